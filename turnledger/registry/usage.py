@@ -339,7 +339,7 @@ def _windows_with_hits(spark, sf, plan_history):
                .select("account", "start_ms").distinct().withColumn("hit", F.lit(True)))
     windows = limits.windows_5h(turns, starts).join(matched, ["account", "start_ms"], "left").withColumn(
         "hit", F.coalesce("hit", F.lit(False)))
-    return billing.with_active_tier(windows, billing.plan_table(spark, plan_history), utc_day("start_ms"))
+    return windows.withColumn("tier", billing.active_tier(plan_history, utc_day("start_ms")))
 
 
 def limit_event_window_match(spark, sf):
