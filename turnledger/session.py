@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +41,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            shared = tempfile.mkdtemp(prefix="turnledger-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the cluster's checkpoint folder; a temporary one only on a local master."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if shared is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        shared = tempfile.mkdtemp(prefix="turnledger-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return shared.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several later steps read and return a reader of it.
+
+    Parquet keeps column pruning and filter push-down for the readers, and a lost executor re-reads the table
+    instead of replaying the steps before it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

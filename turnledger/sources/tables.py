@@ -85,3 +85,148 @@ def chat_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1704067200000) + conv * 3600000 + turn * 60000).alias("ts_ms"),
         F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("type"),
         (F.col("role") == "system").alias("is_meta"), text.alias("text"))
+
+
+# ---- transcripts derived from the events table --------------------------------------------------------------------
+
+def _j(**fields) -> Column:
+    return F.to_json(F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()]))
+
+
+def _s(**fields) -> Column:
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()])
+
+
+def _tool_input(tool: Column, k: Column) -> Column:
+    """Arguments of a derived tool call; fields that do not apply stay out of the JSON text."""
+    path = F.concat(F.lit("/src/f"), (k % 10).cast("string"), F.lit(".py"))
+    return F.struct(F.when(tool.isin("Read", "Edit", "Write"), path).alias("file_path"),
+                    F.when(tool == "Bash", F.lit("make test")).alias("command"),
+                    F.when(tool == "Grep", F.concat(F.lit("x"), k.cast("string"))).alias("pattern"))
+
+
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze lines: every event becomes one to three JSONL lines of its session's transcript.
+
+    signup: user text; error: a call and its failed result; view: a response split over two lines with a tool
+    result in between; click: a response with thinking and a special tool; purchase: markers and short answers.
+    """
+    e = _events(spark, sf_dir)
+    k, user, eid = F.col("k"), F.col("user_id"), F.col("event_id")
+    block = F.floor((F.floor(F.col("ts_ms") / DAY_MS) - EPOCH_2024_DAY) / 5).cast("int").cast("string")
+    sid = F.concat(F.lit("u"), user.cast("string"), F.lit("_"), block)
+    parent = F.concat(F.lit("u"), (user - 1).cast("string"), F.lit("_"), block)
+    ks, es = k.cast("string"), eid.cast("string")
+    iso = F.concat(F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    stamp = (F.when((k == 99) & (F.col("event_type") == "purchase"), "not-a-time")
+             .when(k % 7 == 0, F.col("ts_ms").cast("string")).otherwise(iso))
+    base = dict(sessionId=F.col("sid"), timestamp=F.col("stamp"), cwd=F.col("cwd"), slug=F.concat(F.lit("s-"), F.col("sid")))
+    e = e.select("*", sid.alias("sid"), parent.alias("parent"), stamp.alias("stamp"),
+                 F.concat(F.lit("/home/dev/proj"), (user % 7).cast("string")).alias("cwd"))
+    out = F.floor(F.col("value") * 10).cast("long")
+    read = F.when(k % 4 == 0, 0).otherwise(k * 2500 + 2000).cast("long")
+    write = F.when(k % 4 == 0, k * 10 + 5000).otherwise(k + 100).cast("long")
+
+    def usage(output: Column) -> Column:
+        one_hour = F.when(k % 2 == 0, 50).otherwise(0)
+        return _s(input_tokens=(k + 10), output_tokens=output, cache_read_input_tokens=read,
+                  cache_creation_input_tokens=write,
+                  cache_creation=_s(ephemeral_5m_input_tokens=F.greatest(write - one_hour, F.lit(0)),
+                                    ephemeral_1h_input_tokens=one_hour))
+
+    def answer(content: Column, output: Column | None = out, **more) -> Column:
+        message = dict(id=F.concat(F.lit("m"), es), model=pick(LEDGER_MODELS, k % 5), content=content)
+        if output is not None:
+            message["usage"] = usage(output)
+        return _j(type="assistant", **base, message=_s(**message), **more)
+
+    def text(value: Column) -> Column:
+        return _s(type="text", text=value)
+
+    def result(content: Column, tool_id: Column, is_error: bool) -> Column:
+        return F.array(_s(type="tool_result", tool_use_id=tool_id, content=content, is_error=is_error))
+
+    def said(content, **more) -> Column:
+        return _j(type="user", **base, message=_s(role="user", content=content), **more)
+
+    def marker(kind: str, **more) -> Column:
+        return _j(type=kind, **base, **more)
+
+    # signup
+    prompt = (F.when(k % 8 == 0, said(F.lit("<command-name>compact</command-name><command-args>now</command-args>")))
+              .when(k % 8 == 1, said(F.lit("[Request interrupted by user]")))
+              .when(k % 8 == 2, said(F.lit("note"), isMeta=True))
+              .when(k % 8 == 3, said(F.lit("summary"), isCompactSummary=True))
+              .otherwise(said(F.concat(F.lit("Please fix item "), ks))))
+    # error
+    tool = pick(LEDGER_TOOLS, k % 4)
+    call_id = F.concat(F.lit("t"), es)
+    failing = answer(F.array(_s(type="tool_use", id=call_id, name=tool, input=_tool_input(tool, k))))
+    failed = said(result(pick(ERROR_MESSAGES, k % 12), F.when(k % 10 == 9, F.concat(F.lit("zz"), es)).otherwise(call_id), True))
+    # view
+    look = answer(F.array(text(F.concat(F.lit("Looking at item "), ks))), F.lit(1).cast("long"))
+    many = F.transform(F.sequence(F.lit(0), F.greatest(k % 6 - 1, F.lit(0))), lambda pos: _s(
+        type="tool_use", id=F.concat(F.lit("t"), es, F.lit("_"), pos.cast("string")),
+        name=pick(LEDGER_TOOLS, (k + pos) % 4), input=_tool_input(pick(LEDGER_TOOLS, (k + pos) % 4), k)))
+    uses = F.when(k % 6 == 0, answer(F.array().cast("array<struct<type:string>>"))).otherwise(answer(many))
+    fine = said(result(F.lit("ok"), F.concat(F.lit("t"), es, F.lit("_0")), False))
+    # click
+    thinking = _s(type="thinking", thinking=F.repeat(F.lit("t"), k % 13))
+    special_id = F.concat(F.lit("s"), es)
+
+    def special(name: str, args: Column) -> Column:
+        return F.to_json(_s(type="tool_use", id=special_id, name=name, input=args))
+
+    agent = special("Agent", F.struct(F.when(k % 20 == 0, F.lit("explorer")).alias("subagent_type"),
+                                     F.concat(F.lit("scan "), (k % 5).cast("string")).alias("description"),
+                                     F.lit("look around").alias("prompt")))
+    extra = (F.when(k % 10 == 0, agent)
+             .when(k % 10 == 1, special("Skill", _s(skill=F.concat(F.lit("skill"), (k % 4).cast("string")))))
+             .when(k % 10 == 2, special("Bash", _s(command=F.concat(F.lit('git commit -m "fix '), ks, F.lit('"')))))
+             .when(k % 10 == 3, special("Bash", _s(command="git push origin main")))
+             .when(k % 10 == 4, special("Bash", _s(command=F.concat(F.lit("gh pr create --title pr"), ks))))
+             .when(k % 10 == 5, special("Write", _tool_input(F.lit("Write"), k)))
+             .when(k % 10 == 6, special("Read", _tool_input(F.lit("Read"), k))))
+    pieces = F.array_compact(F.array(F.when(k % 3 == 0, F.to_json(thinking)),
+                                     F.to_json(text(F.concat(F.lit("Done "), ks))), extra))
+    # The mixed block list is spliced into the line as JSON text.
+    clicked = F.replace(answer(F.lit("@@blocks@@")), F.lit('"@@blocks@@"'),
+                        F.concat(F.lit("["), F.array_join(pieces, ","), F.lit("]")))
+    started = said(result(F.lit("started"), special_id, False),
+                   toolUseResult=_s(agentId=F.concat(F.lit("u"), (user + 1).cast("string"), F.lit("_"), block)))
+    # purchase
+    api_error = answer(F.array(text(pick(BACKEND_MESSAGES, k % 9))), None, isApiErrorMessage=True)
+    bought = (F.when(k % 10 == 0, api_error)
+              .when(k % 10 == 1, marker("progress", data=_s(type="hook_progress", hookEvent="PreToolUse",
+                                                           hookName=F.concat(F.lit("h"), (k % 3).cast("string")))))
+              .when(k % 10 == 2, marker("mode", mode=F.when(k % 20 == 2, "plan").otherwise("default")))
+              .when(k % 10 == 3, marker("permission-mode", permissionMode=F.when(k % 20 == 3, "ask").otherwise("auto")))
+              .when(k % 10 == 4, marker("attachment", attachment=_s(type=F.when(k % 20 == 4, "image").otherwise("task_reminder"))))
+              .when(k % 10 == 5, marker("queue-operation", operation="enqueue", content=F.concat(F.lit("later "), ks)))
+              .otherwise(answer(F.array(text(F.concat(F.lit("Answer "), ks))))))
+
+    kind = F.col("event_type")
+    lines = (F.when(kind == "signup", F.array(prompt)).when(kind == "error", F.array(failing, failed))
+             .when((kind == "view") & (k % 6 == 0), F.array(look, uses))
+             .when(kind == "view", F.array(look, fine, uses))
+             .when((kind == "click") & (k % 10 == 0) & (user % 5 == 3), F.array(clicked, started))
+             .when(kind == "click", F.array(clicked)).otherwise(F.array(bought)))
+    is_sub = user % 5 == 4
+    rows = e.select("sid", "parent", is_sub.alias("is_subagent"), eid.alias("eid"), user.alias("uid"),
+                    (user % 3).alias("src"), F.posexplode(lines).alias("j", "value"))
+    return rows.select(
+        "value", (F.col("eid") * 4 + F.col("j")).alias("ord"), F.col("src").cast("int").alias("source_rank"),
+        F.concat(F.lit("src"), F.col("src").cast("string")).alias("source"), F.lit(1048576).cast("long").alias("file_size"),
+        F.concat(F.lit("/"), F.col("sid"), F.lit(".jsonl")).alias("file_path"), F.col("sid").alias("file_stem"),
+        "is_subagent", F.when(F.col("is_subagent"), F.col("parent")).otherwise("").alias("parent_id"),
+        F.when(F.col("is_subagent"), F.col("sid")).otherwise("").alias("agent_id"),
+        F.when(F.col("is_subagent") & (F.col("uid") % 10 == 4), "explorer").otherwise("").alias("agent_type"),
+        F.when(F.col("is_subagent"), "worker").otherwise("").alias("agent_description"))
+
+
+def transcript_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived lines through the same parse and merge as scanned transcripts."""
+    from turnledger.operators.sessions import classified
+    from turnledger.sources.transcripts import merge_streamed, parse_entries
+
+    return classified(merge_streamed(parse_entries(transcript_lines(spark, sf_dir))))
