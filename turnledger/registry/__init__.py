@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PAIRS = (("usage", "usage_sql"), ("planning", "planning_sql"), ("transcripts", "transcripts_sql"))
+PAIRS = (("usage", "usage_sql"), ("planning", "planning_sql"), ("transcripts", "transcripts_sql"), ("streams", "streams_sql"))
 
 
 def all_queries() -> dict:

@@ -16,7 +16,7 @@ from turnledger.session import materialize
 from turnledger.sources import sidefiles, sinks, tables, transcripts
 
 CFG = EngineConfig(as_of=AS_OF)
-_written: dict[tuple[str, str], object] = {}
+_written: dict[tuple, object] = {}
 
 
 def silver(spark, sf):
@@ -27,6 +27,14 @@ def silver(spark, sf):
     return _written[key]
 
 
+def gold_sessions(spark, sf):
+    """The exported session rows, written once and read by the exports and project pages."""
+    key = (spark.sparkContext.applicationId, sf, "sessions")
+    if key not in _written:
+        _written[key] = materialize(sessions.session_rows(silver(spark, sf)), "sessions")
+    return _written[key]
+
+
 def transcript_parse(spark, sf):
     """Bronze to silver on the whole derived tree: entries per type after parsing and merging."""
     e = sessions.classified(transcripts.merge_streamed(transcripts.parse_entries(tables.transcript_lines(spark, sf))))
@@ -215,13 +223,13 @@ def transcript_sessions(spark, sf):
 
 
 def project_facts(spark, sf):
-    return projects.project_facts(sessions.session_rows(silver(spark, sf)))
+    return projects.project_facts(gold_sessions(spark, sf))
 
 
 def session_markdown(spark, sf):
     """Markdown export: one row per block of text of every transcript."""
     e = silver(spark, sf)
-    rows = sessions.session_rows(e).select(
+    rows = gold_sessions(spark, sf).select(
         "session_id", "project", F.to_date(F.timestamp_millis("start_ms")).alias("date"), "start_ms", "duration_min",
         "primary_model", "messages", (F.col("cost_nusd") / 1e9).alias("cost_usd"), "source", "first_prompt")
     m = replay.messages(e)
@@ -232,7 +240,7 @@ def session_markdown(spark, sf):
 
 
 def session_csv(spark, sf):
-    return sinks.csv_cells(sessions.session_rows(silver(spark, sf)).select(
+    return sinks.csv_cells(gold_sessions(spark, sf).select(
         "session_id", "project", "messages", "calls", "duration_min", (F.col("cost_nusd") / 1e9).alias("cost")))
 
 

@@ -142,6 +142,13 @@ SPLIT = """SELECT owner AS session_id, CAST(day AS VARCHAR) AS day, messages, ca
  CAST(o AS BIGINT) AS output_tokens, CAST(r AS BIGINT) AS cache_read, CAST(w AS BIGINT) AS cache_creation FROM md WHERE messages > 0 OR calls > 0"""
 
 SQL = {
+    "transcript_parse": q("""SELECT type, category, count(*) AS entries, CAST(sum(n) AS BIGINT) AS lines, count(ts) AS dated, CAST(sum(tok) AS BIGINT) AS output_tokens,
+     CAST(sum(b) AS BIGINT) AS blocks FROM (
+      SELECT 'assistant' AS type, 'assistant' AS category, CASE WHEN et = 'view' THEN 2 ELSE 1 END AS n, ts, CASE WHEN has_usage THEN o ELSE 0 END AS tok,
+       len(tools) + CASE WHEN et = 'error' THEN 0 ELSE 1 END + CASE WHEN think IS NOT NULL THEN 1 ELSE 0 END AS b FROM resp
+      UNION ALL SELECT 'user', category, 1, ts, 0, CASE WHEN category = 'tool_result' THEN 1 ELSE 0 END FROM usr
+      UNION ALL SELECT ['progress', 'mode', 'permission-mode', 'attachment', 'queue-operation'][k % 10], 'other', 1, ts, 0, 0 FROM t
+       WHERE et = 'purchase' AND k % 10 BETWEEN 1 AND 5) GROUP BY type, category"""),
     "stream_merge": q("""SELECT sid AS session_id, ord, CASE WHEN et = 'view' THEN 2 ELSE 1 END AS n_lines,
      len(tools) + CASE WHEN et = 'error' THEN 0 ELSE 1 END + CASE WHEN think IS NOT NULL THEN 1 ELSE 0 END AS n_blocks,
      CASE WHEN has_usage THEN o ELSE 0 END AS output_tokens FROM resp"""),
@@ -225,6 +232,17 @@ SQL = {
     "project_facts": q("""SELECT proj AS project, count(*) AS sessions, CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(cost) AS BIGINT) AS cost_nusd,
      CAST(sum(tool_calls) AS BIGINT) AS tool_calls, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(file_ops) AS BIGINT) AS file_ops, CAST(sum(git_ops) AS BIGINT) AS git_ops,
      CAST(sum(disp) AS BIGINT) AS agent_dispatches, CAST(sum(i + o) AS BIGINT) AS tokens FROM srow GROUP BY proj""", ROWS),
+    "session_markdown": q("""SELECT CAST(d AS VARCHAR) || '-' || replace(proj, '/', '_') || '-' || substr(sid, 1, 8) || '.md' AS file_name, sid AS session_id, ord, text FROM (
+      SELECT sid, -1 AS ord, '---' || chr(10) || 'session_id: ' || sid || chr(10) || 'project: ' || proj || chr(10) || 'date: ' || CAST(DATE '1970-01-01' + CAST(start_ms // 86400000 AS INT) AS DATE) || chr(10)
+       || 'start: "' || strftime(make_timestamp(start_ms * 1000), '%Y-%m-%dT%H:%M:%S') || 'Z"' || chr(10) || 'duration_min: ' || CAST(duration_min AS VARCHAR) || chr(10) || 'model: ' || coalesce(pm, 'Unknown') || chr(10)
+       || 'messages: ' || messages || chr(10) || 'cost_usd: ' || printf('%.4f', round_even(cost / 1e9 * 1e4, 0) / 1e4) || chr(10) || 'source: src' || (usr % 3) || chr(10) || '---' || chr(10) || chr(10) || '# ' ||
+       coalesce(fp, 'Session ' || substr(sid, 1, 8)) || chr(10) AS text
+      FROM srow LEFT JOIN (SELECT sid, arg_min(CASE k % 8 WHEN 2 THEN 'note' WHEN 3 THEN 'summary' ELSE 'Please fix item ' || k END, ord) AS fp FROM usr WHERE et = 'signup' AND k % 8 > 1 GROUP BY sid) USING (sid)
+       LEFT JOIN (SELECT sid, first(display ORDER BY s DESC, f) AS pm FROM (SELECT sid, model, any_value(display) AS display, sum(o) AS s, min(ord) AS f FROM turn GROUP BY sid, model) GROUP BY sid) USING (sid)
+      UNION ALL SELECT m.sid, m.ord, CASE WHEN role = 'user' THEN '## User' ELSE '## Assistant (' || a.display || ')' END ||
+       coalesce(' — ' || strftime(make_timestamp(m.ts * 1000), '%H:%M:%S'), '') || chr(10) || chr(10) || content || chr(10)
+      FROM msg m LEFT JOIN ans a ON a.ord = m.ord WHERE role IN ('user', 'assistant') AND trim(content) <> '')
+      JOIN (SELECT sid, CAST(DATE '1970-01-01' + CAST(start_ms // 86400000 AS INT) AS DATE) AS d, proj FROM srow) USING (sid)""", ROWS, MESSAGES),
     "session_csv": q("""SELECT sid AS session_id, proj AS project, CAST(messages AS VARCHAR) AS messages, CAST(calls AS VARCHAR) AS calls,
      CASE WHEN duration_min = floor(duration_min) THEN CAST(CAST(duration_min AS BIGINT) AS VARCHAR) ELSE '=' || regexp_replace(printf('%.4f', floor(duration_min * 10000 + 0.5) / 10000), '0+$', '') END AS duration_min,
      CASE WHEN cost / 1e9 = floor(cost / 1e9) THEN CAST(CAST(cost / 1e9 AS BIGINT) AS VARCHAR) ELSE '=' || regexp_replace(printf('%.4f', floor(cost / 1e9 * 10000 + 0.5) / 10000), '0+$', '') END AS cost FROM srow""", ROWS),

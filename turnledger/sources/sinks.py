@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.functions.classify import project_slug, yaml_value
-from turnledger.functions.scalars import iso_utc
+from turnledger.functions.scalars import half_even, iso_utc
 
 
 def write_gold(tables: dict[str, DataFrame], path: str, partitions: dict[str, list[str]] | None = None) -> None:
@@ -89,7 +89,7 @@ def markdown_lines(sessions: DataFrame, messages: DataFrame) -> DataFrame:
         F.lit("---"), line("session_id", yaml_value(F.col("session_id"))), line("project", yaml_value(F.col("project"))),
         line("date", yaml_value(F.col("date"))), line("start", yaml_value(start)),
         line("duration_min", F.col("duration_min").cast("string")), line("model", yaml_value(F.col("primary_model"))),
-        line("messages", F.col("messages").cast("string")), line("cost_usd", F.format_string("%.4f", "cost_usd")), source,
+        line("messages", F.col("messages").cast("string")), line("cost_usd", F.format_string("%.4f", half_even(F.col("cost_usd"), 4))), source,
         F.lit("---"), F.lit(""), F.concat(F.lit("# "), title), F.lit(""))), "\n")
     header = sessions.select("session_id", F.lit(-1).cast("long").alias("ord"), head.alias("text"))
 
