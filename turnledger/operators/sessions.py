@@ -276,35 +276,99 @@ def agent_dispatches(entries: DataFrame, attributes: DataFrame) -> DataFrame:
     return out.unionByName(synthetic.select(out.columns))
 
 
+def session_core(classified_entries: DataFrame) -> DataFrame:
+    """Attributes, counters, first prompt, primary model, context peak and operation counts in one scan.
+
+    Rows fold to (session, model) first and to the session second, so one long session is combined map-side and
+    spread over its models before its own row forms, and prices meet model sums instead of calls.
+    """
+    from turnledger.functions.pricing import cost_nano, with_prices
+    from turnledger.operators import anomalies
+
+    at = F.struct("source_rank", "file_path", "ord")
+    e = classified_entries
+    is_answer = F.col("type") == "assistant"
+    for c in USAGE:
+        e = e.withColumn(c, F.coalesce(F.col(f"usage.{c}"), F.lit(0)))
+    n_tools = F.size(F.filter("blocks", lambda b: b["btype"] == "tool_use"))
+    is_call = is_answer & (F.col("output_tokens") > 0)
+    thinks = is_call & (F.coalesce(n_tools, F.lit(0)) <= 0)
+    dated = is_call & F.col("ts_ms").isNotNull()
+    talk = F.col("type").isin("user", "assistant")
+    over = dated & (anomalies.context_size() > anomalies.LONG_CONTEXT_TOKENS)
+
+    def tools_where(test) -> Column:
+        hits = F.size(F.filter("blocks", lambda b: (b["btype"] == "tool_use") & test(b)))
+        return F.coalesce(F.sum(F.when(is_answer & (hits > 0), hits)), F.lit(0))
+
+    def has_path(b: Column) -> Column:
+        return b["name"].isin("Read", "Edit", "Write") & (F.coalesce(F.get_json_object(b["input"], "$.file_path"), F.lit("")) != "")
+
+    def is_git(b: Column) -> Column:
+        return (b["name"] == "Bash") & classify.git_operation(F.get_json_object(b["input"], "$.command")).isNotNull()
+
+    leads = F.coalesce(F.try_element_at(F.col("blocks"), F.lit(1))["btype"] == "tool_result", F.lit(False))
+    plain = ((F.col("type") == "user") & ~classify.is_command_text(F.col("body")) & (F.col("body") != "")
+             & ~F.col("body").startswith(classify.INTERRUPT_PREFIX) & ~leads)
+    tokens = ("input_tokens", "output_tokens", "cache_read", "cache_creation", "write_1h")
+    e = e.withColumn("write_1h", F.least("cache_1h", "cache_creation"))
+    texts = {c: F.col(c) != "" for c in ("cwd", "slug", "agent_type", "agent_description")}
+    always = {c: F.lit(True) for c in ("source", "file_size")}
+    counts = ("prompt", "tool_result", "command", "interrupt", "meta", "assistant")
+    sums = (*counts, "messages", "compactions", "tool_calls", "file_ops", "git_ops")
+    by_model = e.groupBy("session_id", F.when(is_answer, F.col("model")).alias("model")).agg(
+        *[F.count_if(F.col("category") == n).alias(n) for n in counts],
+        F.count_if(F.col("category").isin("prompt", "assistant")).alias("messages"),
+        F.count_if((F.col("type") == "user") & F.col("is_compact")).alias("compactions"),
+        F.min(F.when(talk, F.col("ts_ms"))).alias("start_ms"), F.max(F.when(talk, F.col("ts_ms"))).alias("end_ms"),
+        *[F.min(F.when(test, F.struct(at.alias("at"), F.col(c).alias("v")))).alias(f"_{c}") for c, test in {**texts, **always}.items()],
+        F.min(F.when(plain, F.struct(at.alias("at"), F.substring("body", 1, 200).alias("v")))).alias("_first_prompt"),
+        F.max("is_subagent").alias("is_subagent"), F.max("parent_id").alias("parent_id"), F.max("agent_id").alias("agent_id"),
+        tools_where(lambda b: F.lit(True)).alias("tool_calls"), tools_where(has_path).alias("file_ops"),
+        tools_where(is_git).alias("git_ops"),
+        F.max(F.when(dated, anomalies.context_size())).alias("peak_context_tokens"),
+        F.min(F.when(over, F.col("ts_ms"))).alias("first_long_ms"),
+        F.sum(F.when(is_call, F.col("output_tokens"))).alias("_out"), F.min(F.when(is_call, F.col("ord"))).alias("_first_call"),
+        *[F.coalesce(F.sum(F.when(thinks, F.col(c))), F.lit(0)).alias(c) for c in tokens])
+    by_model = with_prices(by_model).withColumn("reasoning_cost_nusd", cost_nano())
+    best = F.max_by(F.when(F.col("_out") > 0, F.col("display")), F.when(
+        F.col("_out") > 0, F.struct(F.col("_out"), -F.col("_first_call"))))
+    out = by_model.groupBy("session_id").agg(
+        *[F.sum(c).alias(c) for c in sums], F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
+        *[F.coalesce(F.min(f"_{c}")["v"], F.lit("")).alias(c) for c in (*texts, "source", "first_prompt")],
+        F.min("_file_size")["v"].alias("file_size"), F.max("is_subagent").alias("is_subagent"),
+        F.max("parent_id").alias("parent_id"), F.max("agent_id").alias("agent_id"),
+        F.max("peak_context_tokens").alias("peak_context_tokens"), F.min("first_long_ms").alias("first_long_ms"),
+        F.sum("output_tokens").alias("reasoning_output_tokens"), F.sum("reasoning_cost_nusd").alias("reasoning_cost_nusd"),
+        F.coalesce(best, F.lit("Unknown")).alias("primary_model"))
+    return (out.withColumn("project", classify.project_display(F.col("cwd")))
+            .withColumn("used_long_context", F.coalesce(F.col("peak_context_tokens") > anomalies.LONG_CONTEXT_TOKENS, F.lit(False))))
+
+
 def session_rows(classified_entries: DataFrame, absorb: bool = True) -> DataFrame:
-    """The exported session row: identity, counters, usage, errors and operations, one aggregate per aspect."""
-    from turnledger.operators import anomalies, attribution, series
+    """The exported session row: one core scan plus usage by owner, errors, dispatches and cache flushes."""
+    from turnledger.operators import anomalies, series
 
-    attributes = session_attributes(classified_entries)
-    owners = owner_table(attributes)
-    counters = message_counters(classified_entries).where(F.col("start_ms").isNotNull())
-    slices_ = day_slices(classified_entries, attributes, absorb)
+    core = session_core(classified_entries)
+    slices_ = day_slices(classified_entries, core, absorb)
     totals = series.session_totals(slices_).drop("messages", "source", "project", "date", "end_date")
-    priced_turns = price_calls(turns(classified_entries))
-    uses = tool_uses(classified_entries)
-
-    def count(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias(name))
-
-    parts = [
-        totals, first_prompts(classified_entries), error_counters(error_rows(classified_entries)),
-        count(uses, "tool_calls"), count(file_operations(uses), "file_ops"), count(git_operations(uses), "git_ops"),
-        count(agent_dispatches(classified_entries, attributes), "agent_dispatches"),
-        anomalies.long_context(priced_turns), anomalies.cache_flushes(priced_turns),
-        attribution.reasoning_totals(priced_turns, ["session_id"]).select(
-            "session_id", F.col("output_tokens").alias("reasoning_output_tokens"),
-            F.col("cost_nusd").alias("reasoning_cost_nusd")),
-        facts.primary_models(facts.session_models(priced_turns)).select("session_id", "primary_model")]
-    out = counters.join(attributes, "session_id")
+    calls = turns(classified_entries)
+    # After linking, the longer cache lifetime also applies where only an absorbed sub-agent used it.
+    ttl = slices_.groupBy("session_id").agg((F.max("cache_1h") > 0).alias("has_1h"))
+    parts = [totals, error_counters(error_rows(classified_entries)),
+             agent_dispatches(classified_entries, core).groupBy("session_id").agg(F.count(F.lit(1)).alias("agent_dispatches")),
+             anomalies.cache_flushes(calls, session_ttl=ttl, compactions=compactions(classified_entries))]
+    out = core.where(F.col("start_ms").isNotNull())
     for part in parts:
         out = out.join(part, "session_id", "left")
     if absorb:
-        out = visible(out, owners)
+        out = visible(out, owner_table(core))
     numbers = [c for c, t in out.dtypes if t == "bigint" and c not in ("start_ms", "end_ms", "first_long_ms")]
-    out = out.fillna(0, numbers).fillna({"first_prompt": "", "primary_model": "Unknown", "used_long_context": False})
-    return out.withColumn("duration_min", F.rint((F.col("end_ms") - F.col("start_ms")) / 6000.0) / 10.0)
+    return out.fillna(0, numbers).withColumn(
+        "duration_min", F.rint((F.col("end_ms") - F.col("start_ms")) / 6000.0) / 10.0)
+
+
+def compactions(entries: DataFrame) -> DataFrame:
+    """Compaction events: (session_id, ord, ts_ms) of dated summary entries."""
+    return entries.where((F.col("type") == "user") & F.col("is_compact") & F.col("ts_ms").isNotNull()).select(
+        "session_id", "ord", "ts_ms")
