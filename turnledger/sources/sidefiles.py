@@ -17,9 +17,7 @@ def _lines(spark: SparkSession, sources: Sequence[SourceSpec], pattern: str, who
     parts = []
     for rank, s in enumerate(sources):
         reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        if whole:
-            reader = reader.option("wholetext", True)
-        parts.append(reader.text(s.path).select(
+        parts.append(reader.text(s.path, wholetext=whole).select(
             "value", F.lit(rank).alias("source_rank"), F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_size").alias("size"),
             F.col("_metadata.file_modification_time").alias("modified"),
@@ -41,10 +39,15 @@ def _first_source(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(first, [key, "source_rank"], "left_semi")
 
 
+def well_formed(lines: DataFrame) -> DataFrame:
+    """Lines that hold valid JSON; ``from_json`` alone would turn the others into rows of NULLs."""
+    return lines.where(F.try_parse_json("value").isNotNull())
+
+
 def history_rows(lines: DataFrame) -> DataFrame:
     """Prompt history from JSON lines, first copy per (session, timestamp) in (source, line) order."""
     body = F.from_json("value", "display STRING, timestamp BIGINT, project STRING, sessionId STRING")
-    rows = lines.select("source_rank", "ord", body.alias("b")).where(F.col("b").isNotNull())
+    rows = well_formed(lines).select("source_rank", "ord", body.alias("b"))
     text = [F.coalesce(F.col(f"b.{c}"), F.lit("")).alias(c) for c in ("display", "project", "sessionId")]
     rows = rows.select("source_rank", "ord", F.coalesce("b.timestamp", F.lit(0)).alias("timestamp"), *text)
     first = F.min_by(F.struct("display", "project"), F.struct("source_rank", "ord"))
@@ -61,7 +64,7 @@ def telemetry_rows(lines: DataFrame) -> DataFrame:
     body = F.from_json("value", "event_data STRUCT<session_id: STRING, process: STRING, env: STRUCT<platform: STRING, "
                                 "node_version: STRING, terminal: STRING, arch: STRING, version: STRING>>")
     proc = F.from_json("b.event_data.process", "rss DOUBLE, heapUsed DOUBLE, cpuPercent DOUBLE, uptime DOUBLE")
-    rows = lines.select("source_rank", "path", "ord", body.alias("b"))
+    rows = well_formed(lines).select("source_rank", "path", "ord", body.alias("b"))
     rows = rows.where(F.coalesce("b.event_data.session_id", F.lit("")) != "")
     return rows.select("source_rank", "path", "ord", F.col("b.event_data.session_id").alias("session_id"),
                        F.col("b.event_data.env").alias("env"), proc.alias("p"))
@@ -96,8 +99,7 @@ def load_tasks(spark: SparkSession, sources: Sequence[SourceSpec]) -> DataFrame:
     rows = rows.withColumn("session_id", F.regexp_extract("path", pattern, 1)).withColumn(
         "number", F.regexp_extract("path", pattern, 2).cast("long"))
     body = F.from_json("value", "subject STRING, status STRING")
-    return (_first_source(rows, "session_id").select("session_id", "number", body.alias("b"))
-            .where(F.col("b").isNotNull())
+    return (well_formed(_first_source(rows, "session_id")).select("session_id", "number", body.alias("b"))
             .select("session_id", "number", F.coalesce("b.subject", F.lit("")).alias("subject"),
                     F.coalesce("b.status", F.lit("unknown")).alias("status")))
 
@@ -111,7 +113,7 @@ def load_todos(spark: SparkSession, sources: Sequence[SourceSpec]) -> DataFrame:
     rows = _lines(spark, sources, "*.json", whole=True).where(F.col("path").contains("/todos/"))
     rows = rows.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
     items = F.from_json("value", "ARRAY<STRUCT<status: STRING>>")
-    lists = _first_source(rows, "name").where(F.ltrim("value").startswith("[")).select(items.alias("items")).where(
+    lists = well_formed(_first_source(rows, "name")).where(F.ltrim("value").startswith("[")).select(items.alias("items")).where(
         F.col("items").isNotNull())
 
     def having(*states: str) -> Column:

@@ -88,7 +88,7 @@ def sidecars(spark: SparkSession, sources: Sequence[SourceSpec]) -> DataFrame:
     parts = []
     for rank, s in enumerate(sources):
         meta = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json")
-                .option("wholetext", True).text(s.path)
+                .text(s.path, wholetext=True)
                 .select("value", F.regexp_extract("_metadata.file_path", r"([^/]+)\.meta\.json$", 1).alias("file_stem")))
         body = F.from_json("value", "agentType STRING, description STRING")
         parts.append(meta.select("file_stem", F.lit(rank).alias("source_rank"),

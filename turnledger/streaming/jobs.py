@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from turnledger.functions.pricing import price_calls
 from turnledger.operators.limits import WINDOW_MS
+from turnledger.sources.transcripts import _with_provenance, line_order, merge_streamed, parse_entries
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -127,32 +128,38 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def ingest_lines(spark: SparkSession, path: str, source: str, source_rank: int = 0) -> DataFrame:
-    """New transcript files as a stream of bronze lines."""
-    from turnledger.sources.transcripts import _with_provenance, line_order
+    """New transcript files as a stream of bronze lines with their split offset."""
+    text = (spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+            .select("value", F.col("_metadata.file_path").alias("file_path"),
+                    F.col("_metadata.file_size").alias("file_size"),
+                    F.col("_metadata.file_block_start").alias("block_start")))
+    return _with_provenance(text, source_rank, source, F.col("file_path"))
 
-    text = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
-    rows = text.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size"),
-                       line_order(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("ord"))
-    return _with_provenance(rows, source_rank, source, F.col("file_path")).where(F.trim("value") != "")
 
+def ingest(lines: DataFrame, table_path: str, checkpoint: str):
+    """Parse each micro-batch once and store it under its batch id; a replayed batch overwrites its own folder.
 
-def ingest_entries(lines: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Parsed entries without repeated lines: the same line of a session is kept once within the delay."""
-    from turnledger.sources.transcripts import parse_entries
-
-    keyed = lines.withColumn("line_key", F.xxhash64("file_stem", "value"))
-    entries = parse_entries(keyed).withColumn("event_time", F.timestamp_millis(F.coalesce("ts_ms", F.lit(0))))
-    return entries.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["file_stem", "line_key"])
-
-
-def write_touched_sessions(entries: DataFrame, table_path: str, checkpoint: str):
-    """Append each micro-batch partitioned by batch id; a batch that is replayed overwrites its own partition.
-
-    Readers merge the parts of a response over all batches with ``merge_streamed``, so a response that is split
-    over batches still becomes one entry.
+    Line positions are taken directly on the scan of the batch, before any shuffle.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        ordered = batch.withColumn("ord", line_order(F.col("block_start"), F.monotonically_increasing_id()))
+        keyed = ordered.drop("block_start").where(F.trim("value") != "").withColumn(
+            "line_key", F.xxhash64("file_stem", "value"))
+        parse_entries(keyed).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
-    return (entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True))
+
+
+def stored_entries(spark: SparkSession, table_path: str) -> DataFrame:
+    """Entries over all batches: a line that arrived again counts once, and responses that were split over batches
+    become one entry of their session."""
+    rows = spark.read.parquet(table_path)
+    columns = [c for c in rows.columns if c not in ("batch", "line_key", "ord", "file_path", "file_stem")]
+    first = F.min_by(F.struct(*columns), F.struct("batch", "file_path", "ord"))
+    once = rows.groupBy("file_stem", "line_key").agg(
+        first.alias("e"), F.min(F.struct(F.col("batch").cast("long").alias("b"), "file_path", "ord")).alias("at"))
+    # Batches follow each other in time, so (batch, position) orders the lines of one session.
+    position = F.shiftleft(F.col("at.b"), 48) + F.col("at.ord")
+    flat = once.select("file_stem", position.alias("ord"), F.col("file_stem").alias("file_path"), "e.*")
+    return merge_streamed(flat)
