@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from turnledger.operators import projects, replay, sessions
 from turnledger.sources import sidefiles, sinks, transcripts
 from turnledger.sources.transcripts import SourceSpec
+from turnledger.session import materialize
 from turnledger.streaming import jobs
 
 
@@ -74,7 +75,7 @@ def tree(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def entries(spark, tree):
-    return sessions.classified(transcripts.read_transcripts(spark, tree)).cache()
+    return materialize(sessions.classified(transcripts.read_transcripts(spark, tree)), "entries")
 
 
 def test_merge_and_first_copy(entries):

@@ -9,6 +9,7 @@ from turnledger.functions import classify
 from turnledger.functions.pricing import price_calls
 from turnledger.functions.scalars import usd
 from turnledger.operators import facts
+from turnledger.session import materialize
 
 USAGE = ("input_tokens", "output_tokens", "cache_read", "cache_creation", "cache_1h")
 
@@ -346,10 +347,13 @@ def session_core(classified_entries: DataFrame) -> DataFrame:
 
 
 def session_rows(classified_entries: DataFrame, absorb: bool = True) -> DataFrame:
-    """The exported session row: one core scan plus usage by owner, errors, dispatches and cache flushes."""
+    """The exported session row: one core scan plus usage by owner, errors, dispatches and cache flushes.
+
+    The core table (one row per session) feeds six joins below, so it is written once to the shared folder.
+    """
     from turnledger.operators import anomalies, series
 
-    core = session_core(classified_entries)
+    core = materialize(session_core(classified_entries), "session-core")
     slices_ = day_slices(classified_entries, core, absorb)
     totals = series.session_totals(slices_).drop("messages", "source", "project", "date", "end_date")
     calls = turns(classified_entries)
