@@ -1,7 +1,7 @@
 """Exact splits of a turn's output tokens and cost over its tools and write categories.
 
-All parts of one turn sit in arrays of one row, so the splits need no shuffle. Every part but the last is rounded
-half to even; the last part takes what is left, so parts always add up to the turn.
+All parts of one turn sit in one row, so the splits need no shuffle. Every part but the last is rounded half to
+even; the last part takes what is left, so parts always add up to the turn.
 """
 
 from __future__ import annotations
@@ -25,26 +25,34 @@ def _split(total: Column, weights: Column, weight_sum: Column) -> Column:
     return F.concat(head, F.array(rest))
 
 
-def tool_parts(turns: DataFrame) -> DataFrame:
-    """Column ``parts``: array of (tool, calls, output_tokens, cost_nusd) in order of first use."""
-    names = F.array_distinct("tools")
-    counts = F.transform(names, lambda n: F.size(F.filter(F.col("tools"), lambda t: t == n)).cast("long"))
-    total = F.size("tools")
-    parts = F.arrays_zip(
-        names.alias("tool"), counts.alias("calls"),
-        _split(F.col("output_tokens"), counts, total).alias("output_tokens"),
-        _split(F.col("cost_nusd"), counts, total).alias("cost_nusd"))
-    return turns.withColumn("parts", F.when(total > 0, parts))
-
-
 def tool_tokens(turns: DataFrame, keys=()) -> DataFrame:
-    """Calls, output tokens and cost per tool (and ``keys``). Tokens come from turns with output only."""
-    has_output = F.col("output_tokens") > 0
-    exploded = tool_parts(turns).select(*keys, has_output.alias("_o"), F.explode("parts").alias("p"))
-    return exploded.groupBy(*keys, F.col("p.tool").alias("tool")).agg(
-        F.sum("p.calls").alias("calls"),
-        F.sum(F.when(F.col("_o"), F.col("p.output_tokens")).otherwise(0)).alias("output_tokens"),
-        F.sum(F.when(F.col("_o"), F.col("p.cost_nusd")).otherwise(0)).alias("cost_nusd"))
+    """Calls, output tokens and cost per tool (and ``keys``). Tokens come from turns with output only.
+
+    Within a turn every tool but the last in first-use order gets its rounded share, and the last gets the rest:
+    the whole turn minus those shares. So each share is booked twice, once for its tool and once, negative, for
+    the last tool; the sums per tool are exact and need neither a window nor a second shuffle.
+    """
+    named = turns.select(*keys, "tools", "output_tokens", "cost_nusd", F.array_distinct("tools").alias("names"),
+                         F.size("tools").alias("n"))
+    rows = named.where(F.col("n") > 0).select(
+        *keys, "tools", "n", "output_tokens", "cost_nusd", F.element_at("names", -1).alias("last_tool"),
+        F.explode("names").alias("tool"))
+    calls = (F.col("n") - F.size(F.array_remove("tools", F.col("tool")))).cast("long")
+    is_last = F.col("tool") == F.col("last_tool")
+
+    def share(total: str) -> Column:
+        part = F.when(is_last, F.col(total)).otherwise(F.rint(F.col(total) * F.col("calls") / F.col("n")))
+        return F.when(F.col("output_tokens") > 0, part).otherwise(0).cast("long")
+
+    rows = rows.withColumn("calls", calls).select(
+        *keys, "tool", "last_tool", "calls", share("output_tokens").alias("t"), share("cost_nusd").alias("m"),
+        is_last.alias("is_last"))
+    own = F.struct("tool", "calls", F.col("t").alias("output_tokens"), F.col("m").alias("cost_nusd"))
+    counter = F.struct(F.col("last_tool").alias("tool"), F.lit(0).cast("long").alias("calls"),
+                       (-F.col("t")).alias("output_tokens"), (-F.col("m")).alias("cost_nusd"))
+    booked = rows.select(*keys, F.explode(F.when(F.col("is_last"), F.array(own)).otherwise(F.array(own, counter))).alias("p"))
+    return booked.groupBy(*keys, F.col("p.tool").alias("tool")).agg(
+        *[F.sum(f"p.{c}").alias(c) for c in ("calls", "output_tokens", "cost_nusd")])
 
 
 def reasoning_totals(turns: DataFrame, keys=()) -> DataFrame:
@@ -77,13 +85,14 @@ def write_parts(turns: DataFrame) -> DataFrame:
                                                  _block_weight(b).alias("w"))),
         lambda x: x["w"] > 0)
     out = turns.withColumn("_w", weighed).withColumn("_ws", F.transform("_w", lambda x: x["w"]))
-    total = F.aggregate("_ws", F.lit(0).cast("long"), lambda a, x: a + x)
+    out = out.withColumn("_total", F.aggregate("_ws", F.lit(0).cast("long"), lambda a, x: a + x))
+    total = F.col("_total")
     split = F.arrays_zip(F.transform("_w", lambda x: x["category"]).alias("category"),
                          _split(F.col("output_tokens"), F.col("_ws"), total).alias("tokens"))
     fallback = F.array(F.struct(F.lit("screen_text").alias("category"), F.col("output_tokens").alias("tokens")))
     writes = (F.when((F.col("output_tokens") <= 0) | (F.size("blocks") == 0), None)
               .when(F.size("_w") == 0, fallback).otherwise(split))
-    return out.withColumn("writes", writes).drop("_w", "_ws")
+    return out.withColumn("writes", writes).drop("_w", "_ws", "_total")
 
 
 def narration_tokens(entries: DataFrame) -> DataFrame:

@@ -23,6 +23,15 @@ def _slice_aggregates():
     return [F.count(F.lit(1)).alias("messages"), F.count_if(is_call).alias("calls"), *sums]
 
 
+def row_slices(turns: DataFrame) -> DataFrame:
+    """Dated turns in the shape of slices without grouping, for facts below which no session is needed."""
+    is_call = F.col("output_tokens") > 0
+    t = turns.where(F.col("ts_ms").isNotNull()).withColumn("write_1h", clamped_1h())
+    return t.select(*SESSION_KEYS, utc_day("ts_ms").alias("day"), "model", F.lit(1).cast("long").alias("messages"),
+                    is_call.cast("long").alias("calls"),
+                    *[F.when(is_call, F.col(c)).otherwise(0).cast("long").alias(c) for c in TOKEN_COLUMNS])
+
+
 def slices(turns: DataFrame, has_undated: bool = False) -> DataFrame:
     """Messages, calls and token sums per session, day and raw model.
 

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnledger.functions.pricing import clamped_1h, cost_nano, with_prices
+from turnledger.functions.pricing import price_calls
 from turnledger.functions.scalars import HOUR_MS, cell, local_hour, utc_day
 from turnledger.session import cut_lineage
 
@@ -44,7 +44,7 @@ def _blocks(turns: DataFrame) -> DataFrame:
     turn of a cell; after such a pause a new window always opens.
     """
     cells = (turns.groupBy("account", cell("ts_ms", WINDOW_MS).alias("block"))
-             .agg(F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms")))
+             .agg(F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy("account").orderBy("block")
     pause = F.col("first_ms") - F.lag("last_ms").over(w)
     opens = pause.isNull() | (pause >= WINDOW_MS)
@@ -99,28 +99,26 @@ def _starts_by_doubling(points: DataFrame, blocks: DataFrame, most_blocks: int)
 def window_starts(turns: DataFrame, array_points: int = ARRAY_ISLAND_POINTS) -> DataFrame:
     """Starts of the anchored windows: (account, start_ms).
 
-    One small aggregate looks at the longest island to decide whether the doubling path is needed.
+    One aggregate over the block table looks at the largest island to decide whether the doubling path is needed.
     """
     calls = billable(turns).select("account", "ts_ms")
-    blocks = _blocks(calls)
     w = Window.partitionBy("account", "island_ms")
-    sized = blocks.withColumn("island_blocks", F.count(F.lit(1)).over(w))
-    single = sized.where(F.col("island_blocks") == 1).select("account", F.col("first_ms").alias("start_ms"))
-    multi = sized.where(F.col("island_blocks") > 1)
-    points = (calls.withColumn("block", cell("ts_ms", WINDOW_MS)).distinct()
-              .join(multi.select("account", "block", "island_ms", "island_blocks"), ["account", "block"]))
-    sizes = points.groupBy("account", "island_ms").agg(F.count(F.lit(1)).alias("island_points"),
-                                                       F.max("island_blocks").alias("island_blocks"))
-    longest = sizes.where(F.col("island_points") > array_points).agg(F.max("island_blocks")).first()[0]
+    blocks = _blocks(calls).withColumn("island_blocks", F.count(F.lit(1)).over(w)).withColumn(
+        "island_points", F.sum("n").over(w))
+    single = blocks.where(F.col("island_blocks") == 1).select("account", F.col("first_ms").alias("start_ms"))
+    multi = blocks.where(F.col("island_blocks") > 1)
+    is_long = F.col("island_points") > array_points
+    longest = multi.where(is_long).agg(F.max("island_blocks")).first()[0]
+
+    def points(of: DataFrame) -> DataFrame:
+        return calls.withColumn("block", cell("ts_ms", WINDOW_MS)).join(
+            of.select("account", "block", "island_ms"), ["account", "block"])
+
     if longest is None:
-        return single.unionByName(_starts_by_fold(points))
-    sized_points = points.drop("island_blocks").join(sizes, ["account", "island_ms"])
-    short = sized_points.where(F.col("island_points") <= array_points)
-    long = sized_points.where(F.col("island_points") > array_points)
-    long_blocks = multi.join(sizes.where(F.col("island_points") > array_points).select("account", "island_ms"),
-                             ["account", "island_ms"])
-    return (single.unionByName(_starts_by_fold(short))
-            .unionByName(_starts_by_doubling(long, long_blocks, longest)))
+        return single.unionByName(_starts_by_fold(points(multi)))
+    long_blocks = multi.where(is_long)
+    return (single.unionByName(_starts_by_fold(points(multi.where(~is_long))))
+            .unionByName(_starts_by_doubling(points(long_blocks).distinct(), long_blocks, longest)))
 
 
 def _candidates(starts: DataFrame) -> DataFrame:
@@ -143,14 +141,10 @@ def in_window(rows: DataFrame, starts: DataFrame, ts: str = "ts_ms") -> DataFram
 
 
 def _priced_groups(rows: DataFrame, keys: list[str], with_sessions: bool) -> DataFrame:
-    """Cost, turns, last turn and sessions per group: per session and model first, then priced, then per group."""
-    sums = ("input_tokens", "output_tokens", "cache_read", "cache_creation", "write_1h")
-    fine = (rows.withColumn("write_1h", clamped_1h()).groupBy(*keys, "session_id", "model")
-            .agg(F.count(F.lit(1)).alias("turn_count"), F.max("ts_ms").alias("end_ms"),
-                 *[F.sum(c).alias(c) for c in sums]))
-    per_session = (with_prices(fine).withColumn("cost_nusd", cost_nano()).groupBy(*keys, "session_id")
-                   .agg(F.sum("cost_nusd").alias("cost_nusd"), F.sum("turn_count").alias("turn_count"),
-                        F.max("end_ms").alias("end_ms")))
+    """Cost, turns, last turn and sessions per group: folded per session first, then per group."""
+    per_session = (price_calls(rows).groupBy(*keys, "session_id")
+                   .agg(F.sum("cost_nusd").alias("cost_nusd"), F.count(F.lit(1)).alias("turn_count"),
+                        F.max("ts_ms").alias("end_ms")))
     aggregates = [F.max("end_ms").alias("end_ms"), F.sum("cost_nusd").alias("cost_nusd"),
                   F.sum("turn_count").alias("turn_count"), F.count(F.lit(1)).alias("sessions")]
     if with_sessions:

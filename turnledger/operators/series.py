@@ -1,4 +1,7 @@
-"""Daily series, roll-ups, rankings and KPIs over the session-day-model slices."""
+"""Daily series, roll-ups, rankings and KPIs over session-day-model slices.
+
+Operators that need days and models only also take ``facts.row_slices``, which skips the session-level shuffle.
+"""
 
 from __future__ import annotations
 
@@ -20,22 +23,20 @@ def _sums(*names: str):
 
 
 def by_model_day(day_slices: DataFrame) -> DataFrame:
-    """Day x display: tokens are summed per raw model first, so pricing touches a few rows per day."""
+    """Day x display: tokens are summed per raw model first, so pricing touches a few rows per day.
+
+    Days on which a model only has messages without output appear with zero cost.
+    """
     sums = day_slices.groupBy("day", "model").agg(*_sums("messages", "calls", *TOKEN_COLUMNS))
-    return (priced(sums).where(F.col("calls") > 0).groupBy("day", "display")
+    return (priced(sums).groupBy("day", "display")
             .agg(*_sums("cost_nusd", "calls", "input_tokens", "output_tokens", "cache_read", "cache_creation")))
 
 
-def active_days(day_slices: DataFrame) -> DataFrame:
-    return day_slices.select("day").distinct()
-
-
 def pivot_by_model(day_slices: DataFrame, value: Column, models: list[str], finish=None) -> DataFrame:
     """One column per model (0-filled) and ``total``; ``finish`` is applied to the exact sums."""
     finish = finish or (lambda c: c)
     wide = by_model_day(day_slices).groupBy("day").agg(
         *[F.sum(F.when(F.col("display") == m, value)).alias(m) for m in models], F.sum(value).alias("total"))
-    wide = active_days(day_slices).join(wide, "day", "left")
     return wide.select("day", *[finish(F.coalesce(F.col(f"`{m}`"), F.lit(0))).alias(m) for m in [*models, "total"]])
 
 
@@ -58,9 +59,7 @@ def daily_tokens_by_model(day_slices: DataFrame, models: list[str] | None = None
 
 def daily_cost(day_slices: DataFrame) -> DataFrame:
     """Exact cost per active day (days with messages only have cost 0)."""
-    cost = by_model_day(day_slices).groupBy("day").agg(*_sums("cost_nusd"))
-    return (active_days(day_slices).join(cost, "day", "left")
-            .select("day", F.coalesce("cost_nusd", F.lit(0)).alias("cost_nusd")))
+    return by_model_day(day_slices).groupBy("day").agg(*_sums("cost_nusd"))
 
 
 def cumulative_cost(day_slices: DataFrame) -> DataFrame:
@@ -152,14 +151,14 @@ def project_rollup(day_slices: DataFrame) -> DataFrame:
 
 def model_rollup(day_slices: DataFrame) -> DataFrame:
     sums = ("calls", "input_tokens", "output_tokens", "cache_read", "cache_creation")
-    return (by_model_day(day_slices).groupBy("display").agg(*_sums(*sums, "cost_nusd"))
+    return (by_model_day(day_slices).where(F.col("calls") > 0).groupBy("display").agg(*_sums(*sums, "cost_nusd"))
             .select(F.col("display").alias("model"), *sums, usd("cost_nusd", 2).alias("cost"))
             .orderBy(F.desc("cost"), "model"))
 
 
 def model_totals(day_slices: DataFrame) -> DataFrame:
     """Token sums per display name with its rates; the 1-hour share is limited at this level."""
-    sums = day_slices.groupBy("model").agg(*_sums(*TOKEN_COLUMNS))
+    sums = day_slices.groupBy("model").agg(*_sums("calls", *TOKEN_COLUMNS)).where(F.col("calls") > 0)
     rates = ("p_input", "p_output", "p_read", "p_write_5m", "p_write_1h")
     return (with_prices(sums).groupBy("display", *rates)
             .agg(*_sums("input_tokens", "output_tokens", "cache_read", "cache_creation", "cache_1h"))

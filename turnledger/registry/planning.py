@@ -64,7 +64,7 @@ def customer_plan_periods(spark, sf):
 # ---- the single-account plan history over the ledger --------------------------------------------------------------
 
 def _daily_cost(spark, sf):
-    return one_account(series.daily_cost(usage.day_slices(spark, sf)))
+    return one_account(series.daily_cost(usage.day_rows(spark, sf)))
 
 
 def _session_days(spark, sf):

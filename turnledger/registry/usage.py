@@ -11,6 +11,7 @@ from turnledger.functions import classify
 from turnledger.functions.pricing import price_calls, pricing_warnings
 from turnledger.functions.scalars import day_text, half_even, iso_utc, usd, utc_day
 from turnledger.operators import anomalies, attribution, facts, limits, series
+from turnledger.session import materialize
 from turnledger.sources import tables
 
 AS_OF = dt.date(2024, 1, 31)
@@ -26,6 +27,11 @@ def day_slices(spark, sf):
     return facts.slices(ledger(spark, sf))
 
 
+def day_rows(spark, sf):
+    """Slices at row level, for facts by day and model."""
+    return facts.row_slices(ledger(spark, sf))
+
+
 def one_account(df):
     """The single-account case: one constant key for the whole series."""
     return df.withColumn("account", F.lit("all"))
@@ -37,15 +43,15 @@ def texted(df, *columns):
 
 
 def daily_cost_by_model(spark, sf):
-    return texted(series.daily_cost_by_model(day_slices(spark, sf), MODELS), "day")
+    return texted(series.daily_cost_by_model(day_rows(spark, sf), MODELS), "day")
 
 
 def daily_tokens_by_model(spark, sf):
-    return texted(series.daily_tokens_by_model(day_slices(spark, sf), MODELS), "day")
+    return texted(series.daily_tokens_by_model(day_rows(spark, sf), MODELS), "day")
 
 
 def cumulative_cost(spark, sf):
-    return texted(series.cumulative_cost(day_slices(spark, sf)), "day")
+    return texted(series.cumulative_cost(day_rows(spark, sf)), "day")
 
 
 def daily_messages_sessions(spark, sf):
@@ -77,15 +83,15 @@ def project_rollup(spark, sf):
 
 
 def model_rollup(spark, sf):
-    return series.model_rollup(day_slices(spark, sf))
+    return series.model_rollup(day_rows(spark, sf))
 
 
 def cost_by_token_type(spark, sf):
-    return series.cost_by_token_type(day_slices(spark, sf))
+    return series.cost_by_token_type(day_rows(spark, sf))
 
 
 def cache_savings(spark, sf):
-    return series.cache_savings(day_slices(spark, sf))
+    return series.cache_savings(day_rows(spark, sf))
 
 
 def pricing_warning_list(spark, sf):
@@ -216,7 +222,7 @@ def api_error_classification(spark, sf):
 
 
 def error_text_clean(spark, sf):
-    docs = tables.table(spark, sf, "documents").select("doc_id", "text")
+    docs = tables.spread(tables.table(spark, sf, "documents").select("doc_id", "text"))
     raw = F.concat(F.lit("\x1b[31m"), F.col("text"), F.lit("\x1b[0m\r\n \t"))
     clean = classify.clean_error_text(raw)
     return docs.select("doc_id", F.length(clean).cast("long").alias("n_chars"), F.md5(clean).alias("digest"),
@@ -337,9 +343,10 @@ def _windows_with_hits(spark, sf, plan_history):
                                                                "gap_end_ms", "type", "subtype"], ["ord"])
     matched = (limits.event_windows(clusters.drop("cluster_ms", "last_ms"), starts).where("start_ms IS NOT NULL")
                .select("account", "start_ms").distinct().withColumn("hit", F.lit(True)))
+    # Two facts (caps and hits) read the window table, which elapsed time bounds: it is written once.
     windows = limits.windows_5h(turns, starts).join(matched, ["account", "start_ms"], "left").withColumn(
         "hit", F.coalesce("hit", F.lit(False)))
-    return windows.withColumn("tier", billing.active_tier(plan_history, utc_day("start_ms")))
+    return materialize(windows.withColumn("tier", billing.active_tier(plan_history, utc_day("start_ms"))), "windows")
 
 
 def limit_event_window_match(spark, sf):

@@ -29,6 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for row-heavy work on an input with fewer scan partitions than cores (one small file).
+
+    Inputs of a real size have more partitions than cores and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(values, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -111,7 +120,7 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     signup: user text; error: a call and its failed result; view: a response split over two lines with a tool
     result in between; click: a response with thinking and a special tool; purchase: markers and short answers.
     """
-    e = _events(spark, sf_dir)
+    e = spread(_events(spark, sf_dir))
     k, user, eid = F.col("k"), F.col("user_id"), F.col("event_id")
     block = F.floor((F.floor(F.col("ts_ms") / DAY_MS) - EPOCH_2024_DAY) / 5).cast("int").cast("string")
     sid = F.concat(F.lit("u"), user.cast("string"), F.lit("_"), block)

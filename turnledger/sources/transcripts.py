@@ -1,7 +1,7 @@
 """Transcript scan: JSONL trees of several labelled sources to a typed ``entries`` table.
 
-Bronze keeps one row per line with provenance from the file path. The body is parsed once into VARIANT and turned
-into typed columns; malformed lines drop out.
+Bronze keeps one row per line with provenance from the file path. The body is parsed once into typed columns;
+malformed lines drop out.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from turnledger.functions.scalars import parse_ts_ms
 from turnledger.session import cut_lineage
 
-BLOCK_FIELDS = ("type", "text", "thinking", "id", "name", "input", "tool_use_id", "content", "is_error")
-
 
 @dataclass(frozen=True)
 class SourceSpec:
@@ -97,60 +95,65 @@ def sidecars(spark: SparkSession, sources: Sequence[SourceSpec]) -> DataFrame:
     return _union(parts)
 
 
-def _v(body: Column, path: str, kind: str = "string") -> Column:
-    return F.try_variant_get(body, path, kind)
+LINE_SCHEMA = """type STRING, sessionId STRING, timestamp STRING, cwd STRING, slug STRING, isMeta BOOLEAN,
+ isCompactSummary BOOLEAN, isApiErrorMessage BOOLEAN,
+ message STRUCT<id: STRING, model: STRING, content: VARIANT, usage: STRUCT<
+  input_tokens: BIGINT, output_tokens: BIGINT, cache_read_input_tokens: BIGINT, cache_creation_input_tokens: BIGINT,
+  cache_creation: STRUCT<ephemeral_5m_input_tokens: BIGINT, ephemeral_1h_input_tokens: BIGINT>>>,
+ toolUseResult VARIANT, data STRUCT<type: STRING, hookName: STRING, hookEvent: STRING>, mode STRING,
+ permissionMode STRING, attachment VARIANT, content STRING, operation STRING"""
+BLOCK_TYPE = ("array<struct<type:string,text:string,thinking:string,id:string,name:string,input:string,"
+              "tool_use_id:string,content:string,is_error:boolean>>")
 
 
 def parse_blocks(content: Column) -> Column:
-    """Content blocks of a message whose content is a list; NULL when it is a string."""
-    def one(b: Column) -> Column:
-        return F.struct(
-            _v(b, "$.type").alias("btype"), _v(b, "$.text").alias("text"), _v(b, "$.thinking").alias("thinking"),
-            _v(b, "$.id").alias("id"), _v(b, "$.name").alias("name"), _v(b, "$.input").alias("input"),
-            _v(b, "$.tool_use_id").alias("tool_use_id"), _v(b, "$.content").alias("content"),
-            F.coalesce(_v(b, "$.is_error", "boolean"), F.lit(False)).alias("is_error"))
-
-    return F.transform(content, one)
+    """Content blocks of a message whose content is a list; NULL when it is a string. One cast of the VARIANT."""
+    return F.transform(F.try_variant_get(content, "$", BLOCK_TYPE), lambda b: F.struct(
+        b["type"].alias("btype"), b["text"], b["thinking"], b["id"], b["name"], b["input"], b["tool_use_id"],
+        b["content"], F.coalesce(b["is_error"], F.lit(False)).alias("is_error")))
 
 
 def parse_entries(lines: DataFrame) -> DataFrame:
-    """Typed entries from bronze lines. ``sessionId`` of sub-agent files is replaced by the file stem."""
-    parsed = lines.withColumn("v", F.try_parse_json("value")).drop("value")
-    v = F.col("v")
-    parsed = parsed.where(F.schema_of_variant(v).startswith("OBJECT"))
-    content = _v(v, "$.message.content", "variant")
-    as_list = _v(v, "$.message.content", "array<variant>")
-    usage = F.when(_v(v, "$.message.usage", "variant").isNotNull(), F.struct(
-        F.coalesce(_v(v, "$.message.usage.input_tokens", "bigint"), F.lit(0)).alias("input_tokens"),
-        F.coalesce(_v(v, "$.message.usage.output_tokens", "bigint"), F.lit(0)).alias("output_tokens"),
-        F.coalesce(_v(v, "$.message.usage.cache_read_input_tokens", "bigint"), F.lit(0)).alias("cache_read"),
-        F.coalesce(_v(v, "$.message.usage.cache_creation_input_tokens", "bigint"), F.lit(0)).alias("cache_creation"),
-        F.coalesce(_v(v, "$.message.usage.cache_creation.ephemeral_5m_input_tokens", "bigint"), F.lit(0))
-        .alias("cache_5m"),
-        F.coalesce(_v(v, "$.message.usage.cache_creation.ephemeral_1h_input_tokens", "bigint"), F.lit(0))
-        .alias("cache_1h")))
-    ts_text = _v(v, "$.timestamp")
+    """Typed entries from bronze lines. ``sessionId`` of sub-agent files is replaced by the file stem.
+
+    The line is parsed once with a fixed schema; only ``content``, which may be a string or a list, passes through
+    VARIANT. Malformed lines and lines that are no objects parse to NULLs and drop out.
+    """
+    parsed = lines.withColumn("b", F.from_json("value", LINE_SCHEMA)).drop("value")
+    parsed = parsed.where(F.coalesce("b.type", "b.sessionId", "b.timestamp").isNotNull())
+    parsed = parsed.withColumn("blocks", parse_blocks(F.col("b.message.content")))
+    content, u = F.col("b.message.content"), F.col("b.message.usage")
+    plain = F.when(F.col("blocks").isNull() & (F.schema_of_variant(content) == "STRING"),
+                   F.try_variant_get(content, "$", "string"))
+    zero = F.lit(0).cast("long")
+    usage = F.when(u.isNotNull(), F.struct(
+        F.coalesce(u["input_tokens"], zero).alias("input_tokens"), F.coalesce(u["output_tokens"], zero).alias("output_tokens"),
+        F.coalesce(u["cache_read_input_tokens"], zero).alias("cache_read"),
+        F.coalesce(u["cache_creation_input_tokens"], zero).alias("cache_creation"),
+        F.coalesce(u["cache_creation"]["ephemeral_5m_input_tokens"], zero).alias("cache_5m"),
+        F.coalesce(u["cache_creation"]["ephemeral_1h_input_tokens"], zero).alias("cache_1h")))
+
+    def text(path: str, default: str = "") -> Column:
+        return F.coalesce(F.col(f"b.{path}"), F.lit(default))
+
+    def flag(path: str) -> Column:
+        return F.coalesce(F.col(f"b.{path}"), F.lit(False))
+
     carried = [c for c in lines.columns if c != "value"]
+    agent = F.try_variant_get(F.col("b.toolUseResult"), "$.agentId", "string")
+    kind = F.try_variant_get(F.col("b.attachment"), "$.type", "string")
     return parsed.select(
         *carried, F.when(F.col("is_subagent"), F.col("file_stem"))
-        .otherwise(F.coalesce(_v(v, "$.sessionId"), F.col("file_stem"))).alias("session_id"),
-        _v(v, "$.type").alias("type"), F.coalesce(ts_text, F.lit("")).alias("ts_text"),
-        parse_ts_ms(ts_text).alias("ts_ms"), _v(v, "$.message.id").alias("msg_id"),
-        F.coalesce(_v(v, "$.message.model"), F.lit("unknown")).alias("model"), usage.alias("usage"),
-        F.coalesce(_v(v, "$.cwd"), F.lit("")).alias("cwd"), F.coalesce(_v(v, "$.slug"), F.lit("")).alias("slug"),
-        F.coalesce(_v(v, "$.isMeta", "boolean"), F.lit(False)).alias("is_meta"),
-        F.coalesce(_v(v, "$.isCompactSummary", "boolean"), F.lit(False)).alias("is_compact"),
-        F.coalesce(_v(v, "$.isApiErrorMessage", "boolean"), F.lit(False)).alias("is_api_error"),
-        F.when(F.schema_of_variant(content) == "STRING", _v(v, "$.message.content")).alias("content_text"),
-        parse_blocks(as_list).alias("blocks"),
-        F.coalesce(_v(v, "$.toolUseResult.agentId"), F.lit("")).alias("result_agent_id"),
-        _v(v, "$.data.type").alias("data_type"), F.coalesce(_v(v, "$.data.hookName"), F.lit("")).alias("hook_name"),
-        F.coalesce(_v(v, "$.data.hookEvent"), F.lit("")).alias("hook_event"),
-        F.coalesce(_v(v, "$.mode"), F.lit("")).alias("mode"),
-        F.coalesce(_v(v, "$.permissionMode"), F.lit("")).alias("permission_mode"),
-        F.coalesce(_v(v, "$.attachment.type"), F.lit("")).alias("attachment_type"),
-        F.coalesce(_v(v, "$.content"), F.lit("")).alias("queue_text"),
-        F.coalesce(_v(v, "$.operation"), F.lit("queue")).alias("queue_operation"))
+        .otherwise(F.coalesce("b.sessionId", "file_stem")).alias("session_id"),
+        F.col("b.type").alias("type"), text("timestamp").alias("ts_text"), parse_ts_ms(F.col("b.timestamp")).alias("ts_ms"),
+        F.col("b.message.id").alias("msg_id"), text("message.model", "unknown").alias("model"), usage.alias("usage"),
+        text("cwd").alias("cwd"), text("slug").alias("slug"), flag("isMeta").alias("is_meta"),
+        flag("isCompactSummary").alias("is_compact"), flag("isApiErrorMessage").alias("is_api_error"),
+        plain.alias("content_text"), "blocks", F.coalesce(agent, F.lit("")).alias("result_agent_id"),
+        F.col("b.data.type").alias("data_type"), text("data.hookName").alias("hook_name"),
+        text("data.hookEvent").alias("hook_event"), text("mode").alias("mode"),
+        text("permissionMode").alias("permission_mode"), F.coalesce(kind, F.lit("")).alias("attachment_type"),
+        text("content").alias("queue_text"), text("operation", "queue").alias("queue_operation"))
 
 
 def drop_claimed_files(entries: DataFrame) -> DataFrame:
