@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from turnledger.functions.pricing import price_calls
 from turnledger.functions.scalars import HOUR_MS, cell, local_hour, utc_day
-from turnledger.session import cut_lineage
+from turnledger.session import cut_lineage, materialize
 
 # Fixed values.
 WINDOW_MS = 5 * HOUR_MS
@@ -99,12 +99,14 @@ def _starts_by_doubling(points: DataFrame, blocks: DataFrame, most_blocks: int)
 def window_starts(turns: DataFrame, array_points: int = ARRAY_ISLAND_POINTS) -> DataFrame:
     """Starts of the anchored windows: (account, start_ms).
 
-    One aggregate over the block table looks at the largest island to decide whether the doubling path is needed.
+    The block table is small (elapsed time / five hours per account) and read several times, so it is written
+    once. Its largest island decides whether the doubling path is needed.
     """
     calls = billable(turns).select("account", "ts_ms")
     w = Window.partitionBy("account", "island_ms")
     blocks = _blocks(calls).withColumn("island_blocks", F.count(F.lit(1)).over(w)).withColumn(
         "island_points", F.sum("n").over(w))
+    blocks = materialize(blocks, "blocks")
     single = blocks.where(F.col("island_blocks") == 1).select("account", F.col("first_ms").alias("start_ms"))
     multi = blocks.where(F.col("island_blocks") > 1)
     is_long = F.col("island_points") > array_points
@@ -123,13 +125,11 @@ def window_starts(turns: DataFrame, array_points: int = ARRAY_ISLAND_POINTS) ->
 
 def _candidates(starts: DataFrame) -> DataFrame:
     """Per five-hour cell: the window start inside it and the one in the cell before."""
-    block = cell("start_ms", WINDOW_MS)
-    here = starts.select("account", block.alias("block"), F.col("start_ms").alias("here_ms"),
-                         F.lit(None).cast("long").alias("before_ms"))
-    before = starts.select("account", (block + 1).alias("block"), F.lit(None).cast("long").alias("here_ms"),
-                           F.col("start_ms").alias("before_ms"))
-    return here.unionByName(before).groupBy("account", "block").agg(F.max("here_ms").alias("here_ms"),
-                                                                    F.max("before_ms").alias("before_ms"))
+    block, none = cell("start_ms", WINDOW_MS), F.lit(None).cast("long")
+    marks = F.array(F.struct(block.alias("block"), F.col("start_ms").alias("here_ms"), none.alias("before_ms")),
+                    F.struct((block + 1).alias("block"), none.alias("here_ms"), F.col("start_ms").alias("before_ms")))
+    return starts.select("account", F.explode(marks).alias("m")).groupBy("account", "m.block").agg(
+        F.max("m.here_ms").alias("here_ms"), F.max("m.before_ms").alias("before_ms"))
 
 
 def in_window(rows: DataFrame, starts: DataFrame, ts: str = "ts_ms") -> DataFrame:

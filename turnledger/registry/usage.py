@@ -338,7 +338,7 @@ def _windows_with_hits(spark, sf, plan_history):
     from turnledger.plans import billing
 
     turns = one_account(ledger(spark, sf))
-    starts = limits.window_starts(turns)
+    starts = materialize(limits.window_starts(turns), "starts")
     clusters = limits.cluster_events(_limit_events(spark, sf), ["session_id", "ord", "ts_ms", "gap_start_ms",
                                                                "gap_end_ms", "type", "subtype"], ["ord"])
     matched = (limits.event_windows(clusters.drop("cluster_ms", "last_ms"), starts).where("start_ms IS NOT NULL")
