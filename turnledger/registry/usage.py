@@ -23,6 +23,10 @@ def ledger(spark, sf):
     return tables.usage_ledger(spark, sf)
 
 
+def busy_ledger(spark, sf):
+    return tables.usage_ledger(spark, sf, busy=True)
+
+
 def day_slices(spark, sf):
     return facts.slices(ledger(spark, sf))
 
@@ -116,7 +120,7 @@ def tool_ranking(spark, sf):
 
 
 def top_n_tools(spark, sf):
-    turns = price_calls(ledger(spark, sf))
+    turns = price_calls(busy_ledger(spark, sf))
     return series.top_tools_with_reasoning(attribution.tool_tokens(turns), attribution.reasoning_totals(turns), 3)
 
 
@@ -238,16 +242,16 @@ def model_display(spark, sf):
 
 
 def call_costs(spark, sf):
-    return price_calls(ledger(spark, sf)).select("ord", "display", "cost_nusd")
+    return price_calls(busy_ledger(spark, sf)).select("ord", "display", "cost_nusd")
 
 
 def tool_token_attribution(spark, sf):
-    turns = price_calls(ledger(spark, sf))
+    turns = price_calls(busy_ledger(spark, sf))
     return attribution.tool_tokens(turns)
 
 
 def session_tool_tokens(spark, sf):
-    turns = price_calls(ledger(spark, sf))
+    turns = price_calls(busy_ledger(spark, sf))
     return attribution.tool_tokens(turns, ["session_id"])
 
 
@@ -304,15 +308,15 @@ def task_counts(spark, sf):
 
 
 def windows_5h(spark, sf):
-    return limits.windows_5h(ledger(spark, sf))
+    return limits.windows_5h(busy_ledger(spark, sf))
 
 
 def windows_5h_single_account(spark, sf):
-    return limits.windows_5h(one_account(ledger(spark, sf)))
+    return limits.windows_5h(one_account(busy_ledger(spark, sf)))
 
 
 def weekly_buckets(spark, sf):
-    return texted(limits.weekly_buckets(ledger(spark, sf), 1), "week")
+    return texted(limits.weekly_buckets(busy_ledger(spark, sf), 1), "week")
 
 
 def _limit_events(spark, sf):
@@ -337,7 +341,7 @@ def limit_fingerprints(spark, sf):
 def _windows_with_hits(spark, sf, plan_history):
     from turnledger.plans import billing
 
-    turns = one_account(ledger(spark, sf))
+    turns = one_account(busy_ledger(spark, sf))
     starts = materialize(limits.window_starts(turns), "starts")
     clusters = limits.cluster_events(_limit_events(spark, sf), ["session_id", "ord", "ts_ms", "gap_start_ms",
                                                                "gap_end_ms", "type", "subtype"], ["ord"])

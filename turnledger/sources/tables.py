@@ -42,21 +42,25 @@ def pick(values, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
+    events = table(spark, sf_dir, "events")
     ts_ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").select(
+    return (spread(events) if busy else events).select(
         "event_id", "user_id", "event_type", "value",
         F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("k"), ts_ms.alias("ts_ms"))
 
 
-def usage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One assistant turn per event, with session, source, project, model, usage and the tools it called."""
+def usage_ledger(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
+    """One assistant turn per event, with session, source, project, model, usage and the tools it called.
+
+    ``busy`` marks row-heavy use (pricing every call), for which a one-file table is spread over the cores.
+    """
     k = F.col("k")
     block = F.floor((F.floor(F.col("ts_ms") / DAY_MS) - EPOCH_2024_DAY) / 5).cast("int")
     user = F.col("user_id")
     tools = F.when(k % 6 > 0, F.transform(F.sequence(F.lit(0), k % 6 - 1),
                                          lambda pos: pick(LEDGER_TOOLS, (k + pos) % 4)))
-    return _events(spark, sf_dir).select(
+    return _events(spark, sf_dir, busy).select(
         F.concat(F.lit("u"), user.cast("string"), F.lit("_"), block.cast("string")).alias("session_id"),
         F.concat(F.lit("src"), (user % 3).cast("string")).alias("source"),
         F.concat(F.lit("proj"), (user % 7).cast("string")).alias("project"),
@@ -120,7 +124,7 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     signup: user text; error: a call and its failed result; view: a response split over two lines with a tool
     result in between; click: a response with thinking and a special tool; purchase: markers and short answers.
     """
-    e = spread(_events(spark, sf_dir))
+    e = _events(spark, sf_dir, busy=True)
     k, user, eid = F.col("k"), F.col("user_id"), F.col("event_id")
     block = F.floor((F.floor(F.col("ts_ms") / DAY_MS) - EPOCH_2024_DAY) / 5).cast("int").cast("string")
     sid = F.concat(F.lit("u"), user.cast("string"), F.lit("_"), block)
