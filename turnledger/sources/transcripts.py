@@ -164,13 +164,11 @@ def drop_claimed_files(entries: DataFrame) -> DataFrame:
     """
     order = F.struct("source_rank", "file_path")
     foreign = (entries.where(~F.col("is_subagent") & (F.col("session_id") != F.col("file_stem")))
-               .groupBy(F.col("session_id").alias("claimed")).agg(F.collect_set(
-                   F.struct(order.alias("by"), F.col("file_stem").alias("by_stem"))).alias("claims")))
-    files = entries.select("source_rank", "file_path", "file_stem").distinct()
-    contested = cut_lineage(
-        files.join(foreign, files["file_stem"] == foreign["claimed"])
-        .select("file_stem", order.alias("at"), F.explode("claims").alias("c"))
-        .where(F.col("c.by") < F.col("at")).select("file_stem", F.col("c.by_stem").alias("by_stem")).distinct())
+               .select(F.col("session_id").alias("claimed"), order.alias("by"), F.col("file_stem").alias("by_stem"))
+               .distinct())
+    files = entries.select("source_rank", "file_path", "file_stem").distinct().select("file_stem", order.alias("at"))
+    contested = cut_lineage(files.join(foreign, F.col("file_stem") == F.col("claimed"))
+                            .where(F.col("by") < F.col("at")).select("file_stem", "by_stem").distinct())
     if contested.isEmpty():
         return entries
     settled, count = contested.select("file_stem").distinct(), -1
