@@ -149,7 +149,7 @@ SQL = {
       UNION ALL SELECT 'user', category, 1, ts, 0, CASE WHEN category = 'tool_result' THEN 1 ELSE 0 END FROM usr
       UNION ALL SELECT ['progress', 'mode', 'permission-mode', 'attachment', 'queue-operation'][k % 10], 'other', 1, ts, 0, 0 FROM t
        WHERE et = 'purchase' AND k % 10 BETWEEN 1 AND 5) GROUP BY type, category"""),
-    "stream_merge": q("""SELECT sid AS session_id, ord, CASE WHEN et = 'view' THEN 2 ELSE 1 END AS n_lines,
+    "stream_merge": q("""SELECT sid AS session_id, ord, CAST(CASE WHEN et = 'view' THEN 2 ELSE 1 END AS BIGINT) AS n_lines,
      len(tools) + CASE WHEN et = 'error' THEN 0 ELSE 1 END + CASE WHEN think IS NOT NULL THEN 1 ELSE 0 END AS n_blocks,
      CASE WHEN has_usage THEN o ELSE 0 END AS output_tokens FROM resp"""),
     "session_attributes": q("""SELECT sid AS session_id, proj AS project, 's-' || sid AS slug, 'src' || (usr % 3) AS source, is_sub AS is_subagent,
@@ -256,5 +256,5 @@ SQL = {
     "history_dedupe": "WITH " + LEDGER + """, h AS (SELECT session_id, ts_ms // 3600000 * 3600000 AS timestamp, 'p' || k AS display, project, ord, k FROM led)
      SELECT session_id, timestamp, arg_min(display, CASE WHEN k < 60 THEN 0 ELSE 1000000000000 END + ord) AS display, any_value(project) AS project FROM h GROUP BY session_id, timestamp""",
     "telemetry_maxima": "WITH " + LEDGER + """ SELECT session_id, max(round_even(cache_read * 997 / 1048576 * 10, 0) / 10) AS peak_rss_mb, CAST(max(k) AS DOUBLE) AS peak_heap_mb,
-     max(round_even(k / 7 * 10, 0) / 10) AS max_cpu_pct, max(round_even(k * 1.5, 0)) AS max_uptime_s, count(*) AS event_count FROM led GROUP BY session_id""",
+     max(round_even(k / 7 * 10, 0) / 10) AS max_cpu_pct, CAST(max(round_even(k * 1.5::DOUBLE, 0)) AS DOUBLE) AS max_uptime_s, count(*) AS event_count FROM led GROUP BY session_id""",
 }
