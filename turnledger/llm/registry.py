@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from turnledger.llm.bpe import decode, encode
 from turnledger.llm.common import read
+from turnledger.llm.embedding_dedup import embedding_duplicates
 from turnledger.llm.exact_dedup import exact_duplicates
 from turnledger.llm.near_dedup import near_duplicates
 from turnledger.llm.registry_sql import SQL as SQL
@@ -13,12 +17,22 @@ def op3_sharding(spark, sf_dir):
     return shard(read(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark, sf_dir):
+    coded = decode(encode(read(spark, sf_dir, "documents")))
+    return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op7_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark, sf_dir):
+    return embedding_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op7_minhash_near_dedup, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_sharding, op5_bpe, op7_minhash_near_dedup, op8_embedding_near_dedup, op9_exact_dedup)}

@@ -51,6 +51,22 @@ reach AS (
 least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN least ON node = d.doc_id LEFT JOIN sets ON sets.doc_id = d.doc_id""",
+    "op8_embedding_near_dedup": """
+WITH RECURSIVE valid AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+arcs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM embeddings
+  UNION
+  SELECT r.node, arcs.b FROM reach r JOIN arcs ON arcs.a = r.seen),
+least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS n FROM arcs GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON node = vec_id LEFT JOIN degree ON a = vec_id""",
     "op9_exact_dedup": r"""
 WITH rows AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content, length(coalesce(text, '')) AS n
