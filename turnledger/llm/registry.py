@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from turnledger.llm import language_id, quality
 from turnledger.llm.bpe import decode, encode
 from turnledger.llm.common import read
 from turnledger.llm.embedding_dedup import embedding_duplicates
@@ -17,12 +18,26 @@ def op3_sharding(spark, sf_dir):
     return shard(read(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    out = language_id.held_out(F.col("doc_id"), 4, 2)
+    net = language_id.fit(docs.where(~out))
+    return language_id.predict(docs, net).withColumn("held_out", out)
+
+
 def op5_bpe(spark, sf_dir):
     coded = decode(encode(read(spark, sf_dir, "documents")))
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_quality_classifier(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = language_id.held_out(F.col("doc_id"), 5, 0)
+    model = quality.fit(docs, read(spark, sf_dir, "labels").where(~out))
+    return quality.score(docs, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -35,4 +50,6 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op5_bpe, op7_minhash_near_dedup, op8_embedding_near_dedup, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op3_sharding, op4_language_id, op5_bpe, op6_quality_classifier, op7_minhash_near_dedup, op8_embedding_near_dedup,
+    op9_exact_dedup)}
