@@ -48,9 +48,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per document: the document that stays for its text, the size of its group, whether it stays.
 
     Texts are equal when they are identical without ASCII white space. Of equal texts the one with the most code
-    points in the original stays, then the smallest key. The digest only deals the rows out:
+    points in the original stays, then the smallest key. Digests deal the rows out; contents decide:
 
-    1. every task merges equal contents of its own rows before anything is shuffled,
+    0. keys, digests and lengths are written once, and digests of one row need no comparison;
+    1. of the others, every task merges equal contents of its own rows before they are shuffled,
     2. digest, salt and content are merged, so a text that a third of all rows hold meets in ``salts`` places,
     3. the few salt winners are merged by digest and content.
 
@@ -63,28 +64,29 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = id_and_text(docs, id_col, text_col).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("length"), squeezed(F.col("text")).alias("content"))
     rows = rows.withColumn("digest", digest(F.col("content")))
-    salted = (rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-              .groupBy("digest", "content", "salt")
-              .agg(F.max(_rank(F.col("length"), F.col("doc_id"))).alias("rank"), F.count(F.lit(1)).alias("group_size")))
-    classes = (salted.groupBy("digest", "content")
-               .agg(F.max("rank").alias("rank"), F.sum("group_size").alias("group_size")))
-    winners = classes.select("digest", sha256(F.col("content")).alias("text_sha256"), "rank", "group_size")
-    winners = materialize(winners, "exact-winners")
-    shared = winners.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("digest")
-    wanted = winners.select("digest", "text_sha256", _key_of(F.col("rank")).alias("keep_id"), "group_size")
+    rank = _rank(F.col("length"), F.col("doc_id")).alias("rank")
+    keys = materialize(rows.select("doc_id", "digest", sha256(F.col("content")).alias("text_sha256"), rank), "exact-keys")
+    digests = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max("rank").alias("rank"))
+    repeated = rows.select("doc_id", "digest", "content", rank).join(digests.where("group_size > 1").select("digest"), "digest", "left_semi")
+    salted = (repeated.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+              .groupBy("digest", "content", "salt").agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("group_size")))
+    classes = salted.groupBy("digest", "content").agg(F.max("rank").alias("rank"), F.sum("group_size").alias("group_size"))
+    classes = materialize(classes.select("digest", sha256(F.col("content")).alias("content_sha256"), "content", "rank", "group_size"),
+                          "exact-classes")
+    shared = classes.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("digest")
+    wanted = digests.where("group_size = 1").unionByName(classes.select("digest", "group_size", "rank"))
+    wanted = wanted.select("digest", "group_size", _key_of(F.col("rank")).alias("keep_id"))
     if shared.isEmpty():
-        found = rows.select("doc_id", "digest").join(wanted, "digest")
+        found = keys.join(wanted, "digest")
     else:
-        found = _by_content(rows, classes, shared).unionByName(
-            rows.select("doc_id", "digest").join(shared, "digest", "left_anti").join(wanted, "digest"))
+        found = keys.join(shared, "digest", "left_anti").join(wanted, "digest").unionByName(
+            _by_content(rows, classes.join(shared, "digest", "left_semi")), allowMissingColumns=True)
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                         "text_sha256")
 
 
-def _by_content(rows: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
+def _by_content(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows whose digest covers several contents, matched on the contents themselves."""
-    named = classes.join(shared, "digest", "left_semi").select(
-        "digest", "content", _key_of(F.col("rank")).alias("keep_id"), "group_size",
-        sha256(F.col("content")).alias("text_sha256"))
-    return (rows.join(shared, "digest", "left_semi").select("doc_id", "digest", "content")
-            .join(named, ["digest", "content"]).select("digest", "doc_id", "text_sha256", "keep_id", "group_size"))
+    named = classes.select("digest", "content", _key_of(F.col("rank")).alias("keep_id"), "group_size",
+                           F.col("content_sha256").alias("text_sha256"))
+    return rows.select("doc_id", "digest", "content").join(named, ["digest", "content"]).drop("content")

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from turnledger.llm import language_id, quality
+from turnledger.llm import language_id, pii, quality
 from turnledger.llm.bpe import decode, encode
 from turnledger.llm.common import read
 from turnledger.llm.embedding_dedup import embedding_duplicates
 from turnledger.llm.exact_dedup import exact_duplicates
+from turnledger.llm.licenses import scan_licenses
 from turnledger.llm.near_dedup import near_duplicates
 from turnledger.llm.registry_sql import SQL as SQL
 from turnledger.llm.sharding import shard
 
 
+def op1_pii(spark, sf_dir):
+    found = pii.find(read(spark, sf_dir, "documents"))
+    base = F.array_join("base", ",")
+    return found.select("doc_id", *[f"n_{kind}" for kind in pii.KINDS], F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+                        F.array_join(F.concat("base", "terms"), ",").alias("spans"))
+
+
 def op3_sharding(spark, sf_dir):
     return shard(read(spark, sf_dir, "documents"))
 
@@ -50,6 +58,14 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark, sf_dir):
+    found = scan_licenses(read(spark, sf_dir, "documents"))
+    starts = F.transform("base", lambda p: p["at"])
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+                        F.array_max(starts).alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"),
+                        F.array_join("labels", ",").alias("labels"), "score")
+
+
 QUERIES = {f.__name__: f for f in (
-    op3_sharding, op4_language_id, op5_bpe, op6_quality_classifier, op7_minhash_near_dedup, op8_embedding_near_dedup,
-    op9_exact_dedup)}
+    op1_pii, op3_sharding, op4_language_id, op5_bpe, op6_quality_classifier, op7_minhash_near_dedup, op8_embedding_near_dedup,
+    op9_exact_dedup, op10_license_scan)}
