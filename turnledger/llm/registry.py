@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from turnledger.llm import language_id, pii, quality
 from turnledger.llm.bpe import decode, encode
 from turnledger.llm.common import read
 from turnledger.llm.embedding_dedup import embedding_duplicates
 from turnledger.llm.exact_dedup import exact_duplicates
 from turnledger.llm.licenses import scan_licenses
+from turnledger.llm.mixing import mix
 from turnledger.llm.near_dedup import near_duplicates
 from turnledger.llm.registry_sql import SQL as SQL
 from turnledger.llm.sharding import shard
@@ -22,6 +24,11 @@ def op1_pii(spark, sf_dir):
                         F.array_join(F.concat("base", "terms"), ",").alias("spans"))
 
 
+def op2_mixing(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix(docs, corpus_pipeline.TARGETS)
+
+
 def op3_sharding(spark, sf_dir):
     return shard(read(spark, sf_dir, "documents"))
 
@@ -66,6 +73,10 @@ def op10_license_scan(spark, sf_dir):
                         F.array_join("labels", ",").alias("labels"), "score")
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_pii, op3_sharding, op4_language_id, op5_bpe, op6_quality_classifier, op7_minhash_near_dedup, op8_embedding_near_dedup,
-    op9_exact_dedup, op10_license_scan)}
+    op1_pii, op2_mixing, op3_sharding, op4_language_id, op5_bpe, op6_quality_classifier, op7_minhash_near_dedup,
+    op8_embedding_near_dedup, op9_exact_dedup, op10_license_scan, pipeline)}

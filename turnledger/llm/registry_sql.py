@@ -9,7 +9,39 @@ def _race(shards: int) -> str:
             f"::BIGINT::DOUBLE + 0.5) / 4503599627370496.0), 'shard': i}})).shard::INTEGER")
 
 
+# Slot by slot simulation of the mix: released blocks of classes with rows left, earliest deadline first.
+_OP2 = """
+WITH RECURSIVE classed AS (
+  SELECT doc_id, source, CASE WHEN regexp_full_match(coalesce(source, ''), 'src(1?[0-9])') THEN source ELSE 'other' END AS mix_class,
+         substr(md5(doc_id::VARCHAR), 1, 3) AS bucket
+  FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY mix_class ORDER BY bucket, doc_id) - 1 AS row_in_class FROM classed),
+classes AS (
+  SELECT list(mix_class ORDER BY mix_class) AS names, list(blocks ORDER BY mix_class) AS blocks,
+         list(CASE WHEN mix_class = 'other' THEN 1 ELSE 2 + substr(mix_class, 4)::INT % 4 END ORDER BY mix_class) AS weights
+  FROM (SELECT mix_class, (count(*) + 63) // 64 AS blocks FROM numbered GROUP BY mix_class)),
+run AS (
+  SELECT 0 AS t, 0 AS start, list_transform(blocks, lambda b: 0) AS served, blocks AS remaining, NULL::BIGINT AS chosen,
+         NULL::BIGINT AS block, NULL::BIGINT AS release, NULL::BIGINT AS due, NULL::BIGINT AS slot
+  FROM classes
+  UNION ALL
+  SELECT t + 1, CASE WHEN remaining[pick] = 1 THEN t + 1 ELSE start END,
+         list_transform(served, lambda s, i: CASE WHEN remaining[pick] = 1 THEN 0 WHEN i = pick THEN s + 1 ELSE s END),
+         list_transform(remaining, lambda r, i: CASE WHEN i = pick THEN r - 1 ELSE r END), pick,
+         blocks[pick] - remaining[pick], start + served[pick] * w // weights[pick],
+         start + ((served[pick] + 1) * w + weights[pick] - 1) // weights[pick], t
+  FROM (
+    SELECT *, list_min(list_filter(list_transform(range(1, len(weights) + 1), lambda i: CASE
+             WHEN remaining[i] > 0 AND served[i] * w // weights[i] <= t - start
+             THEN {'due': ((served[i] + 1) * w + weights[i] - 1) // weights[i], 'i': i} END), lambda x: x IS NOT NULL)).i AS pick
+    FROM (SELECT *, list_sum(list_transform(weights, lambda v, i: CASE WHEN remaining[i] > 0 THEN v ELSE 0 END))::BIGINT AS w
+          FROM run, classes WHERE list_sum(remaining) > 0))),
+slots AS (SELECT names[chosen] AS mix_class, block, release, due, slot FROM run, classes WHERE chosen IS NOT NULL)
+SELECT doc_id, source, n.mix_class, row_in_class, n.row_in_class // 64 AS block, release, due, slot, row_in_class % 64 AS place
+FROM numbered n JOIN slots s ON s.mix_class = n.mix_class AND s.block = n.row_in_class // 64"""
+
 SQL = {
+    "op2_mixing": _OP2,
     "op3_sharding": f"""
 WITH placed AS (
   SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, coalesce(text, '') AS text,
