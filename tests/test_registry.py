@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from turnledger.registry import all_queries, all_sql
 from verify import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 
 
 @pytest.fixture(scope="module")
