@@ -18,6 +18,7 @@ from turnledger.session import materialize
 WORDS = 5
 BANDS = 48
 ROWS = 5  # a pair at the threshold of 0.75 shares no band with a chance of (1 - 0.75^5)^48 = 2e-6
+BLOCK = 512  # documents of one side that a task compares at a time
 SLOTS_LOG2 = 20
 SEED = 20240607
 _CACHE = 1_000_000  # distinct words a task remembers before it starts anew
@@ -125,19 +126,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75,
-                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+                    bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row per document: size of its shingle set, its component (smallest linked key), whether it stays.
 
     1. Each task turns whole texts into shingle sets and circulant signatures; band keys are written once.
     2. Documents with one shingle set form a class; only its smallest key goes on.
-    3. Every bucket of a band names its smallest member as centre. Members are verified against the centre, which
-       takes as many pairs as there are members, and links are joined to components.
-    4. A bucket whose members still lie in several components gets the missing pairs: members outside its largest
-       component against all members of other components. Pairs inside one component can change nothing.
+    3. In every bucket of a band, each member is verified against one other, which takes as many pairs as there are
+       members; links join components, so groups of near copies come together without their pairs being listed.
+    4. A bucket whose members still lie in several components has outsiders to its largest component. Outsiders are
+       gathered per largest component and compared, block by block, with it and with each other. Sets are moved per
+       block, not per pair, and pairs inside one component are skipped, as they can change nothing.
     5. Components are completed with the links of step 4.
 
-    So no bucket is expanded into all its pairs, none is capped, and a pair that shares a band is either connected or
-    was compared on full sets.
+    So no bucket is expanded into pairs, none is capped, and a pair that shares a band is either connected or was
+    compared on full sets.
 
     A text without words has no shingles and is linked with nothing; a null text counts as empty. A row with a null
     key is its own component, which is null, and does not stay. Rows that repeat a key and a text are one document.
@@ -151,18 +153,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = sets.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
     slots = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    centres = slots.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("_top")).where("centre != _top")
-    members = materialize(slots.join(centres.select("key", "centre"), "key"), "near-members")
+    shared = slots.groupBy("key").agg(F.min("rep").alias("_low"), F.max("rep").alias("centre")).where("_low != centre")
+    members = materialize(slots.join(shared.select("key", "centre"), "key"), "near-members")
+    held = materialize(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+                       .dropDuplicates(["doc_id"]), "near-texts")
     first = members.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    held = materialize(texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
-    tested = materialize(_verified(first, held, words, percent), "near-tested")
-    found = components(tested.where("linked"), "a", "b", "near-components")
-    more = _missing_pairs(members, found).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    late = materialize(_verified(more, held, words, percent), "near-tested")
-    links = tested.where("linked").unionByName(late.where("linked"))
-    final = components(links, "a", "b", "near-components")
-    classes = classes.join(final, classes["rep"] == final["node"], "left").select(
+    tested = materialize(_verified(first, held, words, percent), "near-tested").where("linked").select("a", "b")
+    found = _placed(held, tested)
+    late = materialize(_compare_blocks(members, found, held, words, percent, block), "near-late")
+    found = _placed(held, tested.unionByName(late))
+    classes = classes.join(found, classes["rep"] == found["node"], "left").select(
         "digest", F.coalesce("component", "rep").alias("_component"))
     whole = sketches.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
@@ -170,15 +170,82 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _missing_pairs(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of a bucket that lie in different components, without those inside the bucket's largest component."""
-    placed = members.join(found, members["rep"] == found["node"], "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component"))
+def _placed(held: DataFrame, links: DataFrame) -> DataFrame:
+    joined = components(links, "a", "b", "near-components")
+    return held.select(F.col("doc_id").alias("node")).join(joined, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component"))
+
+
+def _compare_blocks(members: DataFrame, found: DataFrame, held: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """Links ``(a, b)`` that join components: outsiders of every main component against it and among each other."""
+    placed = members.join(found, members["rep"] == found["node"]).select("key", "rep", "component")
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    split = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
-    split = split.where("parts > 1").select("key", F.col("most.component").alias("main"))
-    placed = placed.join(split, "key")
-    outside = placed.where("component != main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    other = placed.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"), "main")
-    pairs = outside.join(other, "key").where("cx != cy and (cy = main or x < y)")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
+    main = main.where("parts > 1").select("key", F.col("most.component").alias("main"))
+    outside = placed.join(main, "key").where("component != main").select("main", "rep", "component").distinct()
+    outside = materialize(outside, "near-outside")
+    n_out = outside.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / block).alias("n_out"))
+    n_in = found.groupBy(F.col("component").alias("main")).agg(F.ceil(F.count(F.lit(1)) / block).alias("n_in"))
+    grid = n_out.join(n_in, "main")
+    at_out, at_in = F.pmod(F.xxhash64("rep"), "n_out"), F.pmod(F.xxhash64("rep"), "n_in")
+    # Task (i, j): outsider block i against block j, where j counts the outsider blocks from i on, then the main ones.
+    own = F.when(at_out > 0, F.transform(F.sequence(F.lit(0).cast("long"), at_out - 1), lambda i: F.struct(i.alias("i"), at_out.alias("j"), F.lit(1).alias("side"))))
+    left = F.transform(F.sequence(at_out, F.col("n_out") + F.col("n_in") - 1), lambda j: F.struct(at_out.alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    none = F.array().cast("array<struct<i: bigint, j: bigint, side: int>>")
+    ours = outside.join(grid, "main").select("main", "rep", "component", F.explode(F.concat(left, F.coalesce(own, none))).alias("t"))
+    theirs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_out") - 1), lambda i: F.struct(i.alias("i"), (F.col("n_out") + at_in).alias("j"), F.lit(1).alias("side")))
+    mains = found.select(F.col("node").alias("rep"), "component").join(grid, F.col("component") == F.col("main")).select(
+        "main", "rep", "component", F.explode(theirs).alias("t"))
+    tasks = ours.unionByName(mains).select("main", "t.i", "t.j", "t.side", "rep", "component")
+    sent = tasks.join(held.select(F.col("doc_id").alias("rep"), "text"), "rep").repartition("main", "i", "j")
+    sent = sent.sortWithinPartitions("main", "i", "j", "side").select("main", "i", "j", "side", "rep", "component", "text")
+    return sent.mapInArrow(_block_links(words, percent), "a long, b long")
+
+
+def _block_links(words: int, percent: int):
+    """Rows come sorted by task, outsiders first; a task is as large as two blocks at most."""
+    def links(left: list, right: list) -> list[tuple[int, int]]:
+        same = not right
+        right = right or left
+        owner = np.repeat(np.arange(len(right)), [len(s) for _, _, s in right])
+        flat = np.concatenate([s for _, _, s in right])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        sizes = np.array([len(s) for _, _, s in right])
+        group: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while group.get(c, c) != c:
+                c = group[c]
+            return c
+
+        found = []
+        for at, (rep, component, s) in enumerate(left):
+            low, high = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+            width = high - low
+            ends = np.cumsum(width)
+            hits = owner[np.repeat(low - (ends - width), width) + np.arange(int(ends[-1]))]
+            both = np.bincount(hits, minlength=len(right))
+            for k in np.flatnonzero((both > 0) & (100 * both >= percent * (len(s) + sizes - both))):
+                other, theirs = right[k][0], right[k][1]
+                if (same and k <= at) or root(component) == root(theirs):
+                    continue
+                group[root(component)] = root(theirs)
+                found.append((min(rep, other), max(rep, other)))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, task, left, right = _WordHashes(), None, [], []
+        for batch in batches:
+            found = []
+            ids = zip(*(batch.column(i).to_pylist() for i in range(6)))
+            for (main, i, j, side, rep, component), text in zip(ids, batch.column(6).cast(pa.binary())):
+                if (main, i, j) != task:
+                    found += links(left, right) if left else []
+                    task, left, right = (main, i, j), [], []
+                (right if side else left).append((rep, component, shingle_set(text.as_py(), hashes, words)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        if left:
+            found = links(left, right)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    return run
