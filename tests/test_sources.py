@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from turnledger.operators import projects, replay, sessions
+from turnledger.operators import attribution, projects, replay, sessions
 from turnledger.sources import sidefiles, sinks, transcripts
 from turnledger.sources.transcripts import SourceSpec
 from turnledger.session import materialize
@@ -164,8 +164,9 @@ def test_mode_changes(spark):
     rows = [("s", i, i, t, m, p) for i, (t, m, p) in enumerate([("mode", "plan", ""), ("mode", "", ""), ("permission-mode", "", "ask"),
                                                                ("mode", "plan", ""), ("mode", "default", ""), ("permission-mode", "", "ask")])]
     df = spark.createDataFrame(rows, "session_id string, ord long, ts_ms long, type string, mode string, permission_mode string")
-    for hot in (10**6, 1):
-        got = [r.content for r in replay.mode_changes(df, hot).orderBy("ord").collect()]
+    for spread_out in (1, 1 << 21):  # within one cell and over several
+        wide = df.withColumn("ord", F.col("ord") * spread_out)
+        got = [r.content for r in replay.mode_changes(wide).orderBy("ord").collect()]
         assert got == ["Mode: plan", "Permission: ask", "Mode: default"]
 
 
@@ -266,3 +267,30 @@ def test_streaming_ingest(spark, tmp_path):
     rows = jobs.stored_entries(spark, f"{tmp_path}/out").orderBy("ord").collect()
     assert [(r.type, r.n_lines) for r in rows] == [("assistant", 3), ("user", 1)]
     assert rows[0].usage.output_tokens == 12 and [b.btype for b in rows[0].blocks] == ["text", "text", "tool_use"]
+
+
+def test_equal_lines_of_a_stream_count_each(spark, tmp_path):
+    """Lines are known by their place, not by their text, whatever the number of the batch."""
+    root, again = f"{tmp_path}/in", user("s", "same words", stamp(3))
+    put(f"{root}/p/s.jsonl", again, user("s", "other words", stamp(3)), again)
+    jobs.ingest(jobs.ingest_lines(spark, root, "src"), f"{tmp_path}/out", f"{tmp_path}/ck").start().awaitTermination()
+    os.rename(f"{tmp_path}/out/batch=0", f"{tmp_path}/out/batch=40000")
+    rows = jobs.stored_entries(spark, f"{tmp_path}/out").orderBy("ord").collect()
+    assert [r.content_text for r in rows] == ["same words", "other words", "same words"]
+    assert all(r.ord > 0 for r in rows)
+
+
+def test_a_session_in_two_files(spark, tmp_path):
+    """A resumed session: both files count their lines from the start, and turns still meet only their own marks."""
+    root = f"{tmp_path}/two"
+    for name, first in (("a", 1), ("b", 5)):
+        put(f"{root}/p/{name}.jsonl", *[line for k in range(2) for line in (
+            user("one", f"question {name}{k}", stamp(first + 2 * k)),
+            assistant("one", f"m{name}{k}", [{"type": "text", "text": f"answer {name}{k}"}], stamp(first + 2 * k + 1), 100))])
+    e = sessions.classified(transcripts.read_transcripts(spark, [transcripts.SourceSpec("src", root)]))
+    rows = e.orderBy("ord").collect()
+    assert len({r.ord for r in rows}) == 8 and [r.ts_ms for r in rows] == sorted(r.ts_ms for r in rows)
+    turns = sessions.turns(e)
+    marks = attribution.narration_tokens(e).where("type = 'assistant'").select("session_id", "ord", "is_narration")
+    joined = turns.join(marks, ["session_id", "ord"])
+    assert joined.count() == 4 and joined.agg(F.sum("output_tokens")).first()[0] == 400

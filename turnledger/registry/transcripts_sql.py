@@ -10,8 +10,9 @@ ENTRIES = """, t AS (
   account % 5 = 4 AS is_sub, event_type AS et, k, ts_ms AS t0, model, display, p_in, p_out, p_rd, p_5m, p_1h, input_tokens, output_tokens AS o,
   cache_read, cache_creation, cache_1h, cost_nusd, 'dev/proj' || (account % 7) AS proj,
   CASE WHEN k = 99 AND event_type = 'purchase' THEN NULL ELSE ts_ms END AS ts,
+  CASE WHEN account % 6 = 1 AND account % 5 <> 4 THEN ord // 2 * 4 + ord % 2 * 281474976710656 ELSE ord * 4 END AS ob,
   ['Read', 'Bash', 'Edit', 'Grep'] AS tl FROM led),
-resp AS (SELECT *, eid * 4 AS ord, NOT (et = 'purchase' AND k % 10 = 0) AS has_usage,
+resp AS (SELECT *, ob AS ord, NOT (et = 'purchase' AND k % 10 = 0) AS has_usage,
   CASE WHEN et = 'error' THEN [tl[k % 4 + 1]] WHEN et = 'view' THEN [tl[(k + p) % 4 + 1] for p in range(k % 6)]
    WHEN et = 'click' AND k % 10 < 7 THEN [['Agent', 'Skill', 'Bash', 'Bash', 'Bash', 'Write', 'Read'][k % 10 + 1]] ELSE [] END AS tools,
   CASE WHEN et = 'view' THEN 'Looking at item ' || k WHEN et = 'click' THEN 'Done ' || k WHEN et = 'error' THEN ''
@@ -22,9 +23,9 @@ resp AS (SELECT *, eid * 4 AS ord, NOT (et = 'purchase' AND k % 10 = 0) AS has_u
   CASE WHEN et = 'click' AND k % 3 = 0 THEN repeat('t', k % 13) END AS think
  FROM t WHERE et IN ('error', 'view', 'click') OR (et = 'purchase' AND k % 10 IN (0, 6, 7, 8, 9))),
 usr AS (
- SELECT *, eid * 4 AS ord, CASE k % 8 WHEN 0 THEN 'command' WHEN 1 THEN 'interrupt' WHEN 2 THEN 'meta' WHEN 3 THEN 'meta' ELSE 'prompt' END AS category
+ SELECT *, ob AS ord, CASE k % 8 WHEN 0 THEN 'command' WHEN 1 THEN 'interrupt' WHEN 2 THEN 'meta' WHEN 3 THEN 'meta' ELSE 'prompt' END AS category
   FROM t WHERE et = 'signup'
- UNION ALL SELECT *, eid * 4 + 1, 'tool_result' FROM t WHERE et = 'error' OR (et = 'view' AND k % 6 > 0)
+ UNION ALL SELECT *, ob + 1, 'tool_result' FROM t WHERE et = 'error' OR (et = 'view' AND k % 6 > 0)
    OR (et = 'click' AND k % 10 = 0 AND usr % 5 = 3)),
 ent AS (SELECT sid, ord, ts, et, k, 'assistant' AS type, 'assistant' AS category, par, is_sub FROM resp
   UNION ALL SELECT sid, ord, ts, et, k, 'user', category, par, is_sub FROM usr),
@@ -38,7 +39,7 @@ cnt AS (SELECT s.sid, count(*) FILTER (category = 'prompt') AS prompt, count(*)
   coalesce(min(ts), -1) AS start_ms, coalesce(max(ts), -1) AS end_ms FROM sess s LEFT JOIN ent ON ent.sid = s.sid GROUP BY s.sid),
 turn AS (SELECT * FROM resp WHERE has_usage AND o > 0),
 msgerr AS (SELECT *, CASE WHEN k % 10 = 9 THEN 'unknown' ELSE tl[k % 4 + 1] END AS tool FROM t WHERE et = 'error'),
-nerr AS (SELECT sid, eid * 4 + 1 AS ord, tool, k, ts,
+nerr AS (SELECT sid, ob + 1 AS ord, tool, k, ts,
   CASE k % 12 WHEN 0 THEN 'user' WHEN 1 THEN 'user' WHEN 2 THEN 'hook' ELSE 'tool' END AS source,
   CASE k % 12 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'rejected' WHEN 2 THEN 'hook_error' WHEN 3 THEN 'edit_no_match'
    WHEN 4 THEN 'edit_not_unique' WHEN 5 THEN 'stale_read' WHEN 6 THEN 'file_not_found' WHEN 7 THEN 'command_not_found'
@@ -74,13 +75,13 @@ blk AS (
    WHEN k % 10 = 2 THEN '{"command":"git commit -m \\"fix ' || k || '\\""}' WHEN k % 10 = 3 THEN '{"command":"git push origin main"}'
    ELSE '{"command":"gh pr create --title pr' || k || '"}' END)
   FROM (SELECT sid, ord, o, k, et, unnest(tools) AS tool, unnest(range(len(tools))) AS pos FROM turn)),
-bw AS (SELECT *, sum(w) OVER (PARTITION BY ord) AS tw, row_number() OVER (PARTITION BY ord ORDER BY bp DESC) AS back FROM blk WHERE w > 0),
+bw AS (SELECT *, sum(w) OVER (PARTITION BY sid, ord) AS tw, row_number() OVER (PARTITION BY sid, ord ORDER BY bp DESC) AS back FROM blk WHERE w > 0),
 bs AS (SELECT *, round_even(o * w / tw, 0) AS s FROM bw),
-bt AS (SELECT sid, ord, cat, CASE WHEN back = 1 THEN o - (sum(s) OVER (PARTITION BY ord) - s) ELSE s END AS tokens FROM bs),
+bt AS (SELECT sid, ord, cat, CASE WHEN back = 1 THEN o - (sum(s) OVER (PARTITION BY sid, ord) - s) ELSE s END AS tokens FROM bs),
 wc AS (SELECT bt.sid, CASE WHEN cat = 'screen_text' AND is_narration THEN 'screen_text_narration' ELSE cat END AS cat, tokens
-  FROM bt JOIN nar USING (ord))"""
+  FROM bt JOIN nar USING (sid, ord))"""
 
-MESSAGES = """, modes AS (SELECT sid, eid * 4 AS ord, ts, k % 10 = 2 AS is_mode, CASE k % 10 WHEN 2 THEN CASE WHEN k % 20 = 2 THEN 'plan' ELSE 'default' END
+MESSAGES = """, modes AS (SELECT sid, ob AS ord, ts, k % 10 = 2 AS is_mode, CASE k % 10 WHEN 2 THEN CASE WHEN k % 20 = 2 THEN 'plan' ELSE 'default' END
     ELSE CASE WHEN k % 20 = 3 THEN 'ask' ELSE 'auto' END END AS v FROM t WHERE et = 'purchase' AND k % 10 IN (2, 3)),
 mch AS (SELECT sid, ord, ts, CASE WHEN is_mode THEN 'Mode: ' ELSE 'Permission: ' END || v AS content FROM
   (SELECT *, lag(v) OVER (PARTITION BY sid, is_mode ORDER BY ord) AS pv FROM modes) WHERE pv IS NULL OR pv <> v),
@@ -91,9 +92,9 @@ msg AS (
  UNION ALL SELECT sid, ord, ts, CASE WHEN category = 'rejected' THEN 'rejected' ELSE 'error' END, message FROM nerr WHERE category <> 'cancelled'
  UNION ALL SELECT sid, ord, ts, CASE WHEN k % 9 IN (0, 7) THEN 'rate_limit' ELSE 'error' END, txt FROM resp WHERE et = 'purchase' AND k % 10 = 0
  UNION ALL SELECT sid, ord, ts, 'assistant', txt FROM resp WHERE NOT (et = 'purchase' AND k % 10 = 0)
- UNION ALL SELECT sid, eid * 4, ts, 'hook', 'h' || (k % 3) FROM t WHERE et = 'purchase' AND k % 10 = 1
- UNION ALL SELECT sid, eid * 4, ts, 'attachment', 'Image' FROM t WHERE et = 'purchase' AND k % 20 = 4
- UNION ALL SELECT sid, eid * 4, ts, 'queue', 'enqueue: later ' || k FROM t WHERE et = 'purchase' AND k % 10 = 5
+ UNION ALL SELECT sid, ob, ts, 'hook', 'h' || (k % 3) FROM t WHERE et = 'purchase' AND k % 10 = 1
+ UNION ALL SELECT sid, ob, ts, 'attachment', 'Image' FROM t WHERE et = 'purchase' AND k % 20 = 4
+ UNION ALL SELECT sid, ob, ts, 'queue', 'enqueue: later ' || k FROM t WHERE et = 'purchase' AND k % 10 = 5
  UNION ALL SELECT sid, ord, ts, 'mode', content FROM mch),
 ans AS (SELECT * FROM resp WHERE NOT (et = 'purchase' AND k % 10 = 0)),
 dag AS (SELECT sid, ord, ts, 'subagent-' || (row_number() OVER (PARTITION BY sid ORDER BY ord) - 1) AS node,
@@ -215,7 +216,7 @@ SQL = {
       SELECT s.sid AS session_id, tool, calls, ot, sum(ot) OVER (PARTITION BY s.sid) + coalesce(r, 0) AS tt,
        row_number() OVER (PARTITION BY s.sid ORDER BY calls DESC, tool) AS rn FROM
        (SELECT sid, tool, sum(c) AS calls, sum(CASE WHEN o > 0 THEN tokens ELSE 0 END) AS ot FROM (
-         SELECT *, CASE WHEN row_number() OVER (PARTITION BY ord ORDER BY p0 DESC) = 1 THEN o - (sum(x) OVER (PARTITION BY ord) - x) ELSE x END AS tokens FROM (
+         SELECT *, CASE WHEN row_number() OVER (PARTITION BY sid, ord ORDER BY p0 DESC) = 1 THEN o - (sum(x) OVER (PARTITION BY sid, ord) - x) ELSE x END AS tokens FROM (
           SELECT sid, ord, tool, count(*) AS c, min(pos) AS p0, any_value(o) AS o, round_even(any_value(o) * count(*) / any_value(n), 0) AS x FROM (
            SELECT sid, ord, CASE WHEN has_usage THEN o ELSE 0 END AS o, len(tools) AS n, unnest(tools) AS tool, unnest(range(len(tools))) AS pos FROM resp)
           GROUP BY sid, ord, tool)) GROUP BY sid, tool) s
@@ -241,7 +242,7 @@ SQL = {
        LEFT JOIN (SELECT sid, first(display ORDER BY s DESC, f) AS pm FROM (SELECT sid, model, any_value(display) AS display, sum(o) AS s, min(ord) AS f FROM turn GROUP BY sid, model) GROUP BY sid) USING (sid)
       UNION ALL SELECT m.sid, m.ord, CASE WHEN role = 'user' THEN '## User' ELSE '## Assistant (' || a.display || ')' END ||
        coalesce(' — ' || strftime(make_timestamp(m.ts * 1000), '%H:%M:%S'), '') || chr(10) || chr(10) || content || chr(10)
-      FROM msg m LEFT JOIN ans a ON a.ord = m.ord WHERE role IN ('user', 'assistant') AND trim(content) <> '')
+      FROM msg m LEFT JOIN ans a ON a.sid = m.sid AND a.ord = m.ord WHERE role IN ('user', 'assistant') AND trim(content) <> '')
       JOIN (SELECT sid, CAST(DATE '1970-01-01' + CAST(start_ms // 86400000 AS INT) AS DATE) AS d, proj FROM srow) USING (sid)""", ROWS, MESSAGES),
     "session_csv": q("""SELECT sid AS session_id, proj AS project, CAST(messages AS VARCHAR) AS messages, CAST(calls AS VARCHAR) AS calls,
      CASE WHEN duration_min = floor(duration_min) THEN CAST(CAST(duration_min AS BIGINT) AS VARCHAR) ELSE '=' || regexp_replace(printf('%.4f', floor(duration_min * 10000 + 0.5) / 10000), '0+$', '') END AS duration_min,

@@ -227,10 +227,13 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     is_sub = user % 5 == 4
     rows = e.select("sid", "parent", is_sub.alias("is_subagent"), eid.alias("eid"), user.alias("uid"),
                     (user % 3).alias("src"), F.posexplode(lines).alias("j", "value"))
+    # Sessions of every sixth user were resumed: odd events lie in a second file whose positions start anew.
+    two_files = (F.col("uid") % 6 == 1) & ~F.col("is_subagent")
+    stem = F.concat("sid", F.when(two_files & (F.col("eid") % 2 == 1), "_b").otherwise(""))
     return rows.select(
-        "value", (F.col("eid") * 4 + F.col("j")).alias("ord"), F.col("src").cast("int").alias("source_rank"),
+        "value", (F.when(two_files, F.floor(F.col("eid") / 2)).otherwise(F.col("eid")) * 4 + F.col("j")).alias("ord"), F.col("src").cast("int").alias("source_rank"),
         F.concat(F.lit("src"), F.col("src").cast("string")).alias("source"), F.lit(1048576).cast("long").alias("file_size"),
-        F.concat(F.lit("/"), F.col("sid"), F.lit(".jsonl")).alias("file_path"), F.col("sid").alias("file_stem"),
+        F.concat(F.lit("/"), stem, F.lit(".jsonl")).alias("file_path"), stem.alias("file_stem"),
         "is_subagent", F.when(F.col("is_subagent"), F.col("parent")).otherwise("").alias("parent_id"),
         F.when(F.col("is_subagent"), F.col("sid")).otherwise("").alias("agent_id"),
         F.when(F.col("is_subagent") & (F.col("uid") % 10 == 4), "explorer").otherwise("").alias("agent_type"),
@@ -240,6 +243,6 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transcript_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived lines through the same parse and merge as scanned transcripts."""
     from turnledger.operators.sessions import classified
-    from turnledger.sources.transcripts import merge_streamed, parse_entries
+    from turnledger.sources.transcripts import merge_streamed, parse_entries, session_positions
 
-    return classified(merge_streamed(parse_entries(transcript_lines(spark, sf_dir))))
+    return classified(session_positions(merge_streamed(parse_entries(transcript_lines(spark, sf_dir)))))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnledger.functions.scalars import parse_ts_ms
@@ -59,12 +59,26 @@ def first_copies(files: DataFrame) -> DataFrame:
 
 
 def line_order(block_start: Column, row_id: Column) -> Column:
-    """Position of a line in its file from its split offset and the row id inside the partition.
+    """Position of a line in its file: its split's offset plus the row id inside the partition.
 
-    Splits start at least a megabyte apart (the open cost of a file is four), and row ids grow inside a split, so
-    no file has to be numbered by a window.
+    A partition holds at most as many bytes as a split is long, and a line has a byte at least, so the row ids of a
+    split end before the offset of the next one. No file has to be numbered by a window.
     """
-    return F.shiftleft(F.floor(block_start / (1 << 20)).cast("long"), 33) + row_id.bitwiseAND(F.lit((1 << 33) - 1))
+    return block_start.cast("long") + row_id.bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def session_positions(entries: DataFrame, session: str = "session_id", files: Sequence[str] = ("source_rank", "file_path")) -> DataFrame:
+    """Make ``ord`` unique and ordered within a session whose lines come from several files.
+
+    A resumed or forked session has lines in more than one file, and ``ord`` counts per file. Files follow each other
+    in the order of ``files``; the place of a file goes above the 48 bits that a position in a file can take (files up
+    to 256 TB). Only sessions with several files have rows in the joined table.
+    """
+    placed = entries.select(session, *files).distinct().withColumn(
+        "_file_rank", F.row_number().over(Window.partitionBy(session).orderBy(*files)) - 1).where("_file_rank > 0")
+    out = entries.join(placed, [session, *files], "left")
+    rank = F.coalesce("_file_rank", F.lit(0)).cast("long")
+    return out.withColumn("ord", F.shiftleft(rank, 48) + F.col("ord")).drop("_file_rank")
 
 
 def scan_lines(spark: SparkSession, sources: Sequence[SourceSpec]) -> DataFrame:
@@ -211,4 +225,4 @@ def read_transcripts(spark: SparkSession, sources: Sequence[SourceSpec]) -> Data
     entries = entries.join(side, ["source_rank", "file_stem"], "left")
     for c in ("agent_type", "agent_description"):
         entries = entries.withColumn(c, F.coalesce(c, F.lit("")))
-    return merge_streamed(entries)
+    return session_positions(merge_streamed(entries))

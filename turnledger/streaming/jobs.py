@@ -10,13 +10,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from turnledger.functions.pricing import price_calls
 from turnledger.operators.limits import WINDOW_MS
-from turnledger.sources.transcripts import _with_provenance, line_order, merge_streamed, parse_entries
+from turnledger.sources.transcripts import _with_provenance, line_order, merge_streamed, parse_entries, session_positions
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -144,7 +144,7 @@ def ingest(lines: DataFrame, table_path: str, checkpoint: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         ordered = batch.withColumn("ord", line_order(F.col("block_start"), F.monotonically_increasing_id()))
         keyed = ordered.drop("block_start").where(F.trim("value") != "").withColumn(
-            "line_key", F.xxhash64("file_stem", "value"))
+            "line_key", F.sha2(F.col("value").cast("binary"), 256))
         parse_entries(keyed).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
     return (lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -152,14 +152,17 @@ def ingest(lines: DataFrame, table_path: str, checkpoint: str):
 
 
 def stored_entries(spark: SparkSession, table_path: str) -> DataFrame:
-    """Entries over all batches: a line that arrived again counts once, and responses that were split over batches
-    become one entry of their session."""
-    rows = spark.read.parquet(table_path)
-    columns = [c for c in rows.columns if c not in ("batch", "line_key", "ord", "file_path", "file_stem")]
-    first = F.min_by(F.struct(*columns), F.struct("batch", "file_path", "ord"))
-    once = rows.groupBy("file_stem", "line_key").agg(
-        first.alias("e"), F.min(F.struct(F.col("batch").cast("long").alias("b"), "file_path", "ord")).alias("at"))
-    # Batches follow each other in time, so (batch, position) orders the lines of one session.
-    position = F.shiftleft(F.col("at.b"), 48) + F.col("at.ord")
-    flat = once.select("file_stem", position.alias("ord"), F.col("file_stem").alias("file_path"), "e.*")
-    return merge_streamed(flat)
+    """Entries over all batches; responses that were split over batches become one entry of their session.
+
+    A transcript may arrive again as a longer copy under another path. A line is known by its file stem, its number in
+    the file and its text: equal lines of one file count each, a line of a later copy counts once. Files of a stem
+    follow each other in the order in which they came.
+    """
+    rows = spark.read.parquet(table_path).withColumn("batch", F.col("batch").cast("long"))
+    number = F.row_number().over(Window.partitionBy("batch", "file_path").orderBy("ord"))
+    rows = rows.withColumn("ord", number.cast("long"))
+    columns = [c for c in rows.columns if c not in ("file_stem", "ord", "line_key")]
+    first = F.min_by(F.struct(*columns), F.struct("batch", "file_path")).alias("e")
+    once = rows.groupBy("file_stem", "ord", "line_key").agg(first).select("file_stem", "ord", "e.*")
+    placed = session_positions(once, "file_stem", ("batch", "file_path")).drop("batch")
+    return merge_streamed(placed.withColumn("file_path", F.col("file_stem")))
