@@ -30,10 +30,10 @@ def test_half_even(spark):
 
 
 @pytest.mark.parametrize("model,display", [
-    ("claude-opus-4-8", "Opus 4.8"), ("claude-opus-4-20250514", "Opus 4"), ("claude-opus-4-0", "Opus 4"),
-    ("claude-3-5-haiku", "Haiku 3.5"), ("claude-3-opus", "Opus 3"), ("<synthetic>", "Synthetic"),
-    ("claude-opus-4-8[1m]", "Opus 4.8"), ("claude-nova-9-20990101", "Nova 9"), ("gpt-x", "Gpt X"), ("", ""),
-    ("claude-opus-4-8 [1m] [beta]", "Opus 4.8"), ("claude-weird", "Weird")])
+    ("claude-lyra-7-3", "Lyra 7.3"), ("claude-lyra-7-20310228", "Lyra 7"), ("claude-lyra-12-0", "Lyra 12"),
+    ("claude-6-2-orion", "Orion 6.2"), ("claude-6-orion", "Orion 6"), ("< stand-in >", "Stand-in"), ("<a<b>", "<a<b>"),
+    ("claude-lyra-7-3[long]", "Lyra 7.3"), ("claude-lyra-7-3 [long] [x y]", "Lyra 7.3"), ("claude-atlas", "Atlas"),
+    ("local-mix-20310228", "Local Mix"), ("  ", "  "), ("", "")])
 def test_model_display(spark, model, display):
     assert column(spark, [model], pricing.derived_display) == [display]
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnledger.functions.scalars import half_even, safe_ratio
-from turnledger.operators.ordering import HOT_ROWS, with_previous
+from turnledger.operators.ordering import with_previous
 
 # Fixed values.
 LONG_CONTEXT_TOKENS = 200_000
@@ -22,10 +23,6 @@ SHORT_GAP_MS = 300_000
 MID_GAP_MS = 3_600_000
 REWRITE_USD_PER_M = 3.75
 
-# Sessions above this many turns take their running median from two heaps instead of an expanding SQL frame,
-# whose cost grows with the square of the session length.
-LONG_SESSION_TURNS = 2_000
-
 
 def context_size() -> Column:
     return F.col("input_tokens") + F.col("cache_read") + F.col("cache_creation")
@@ -40,13 +37,17 @@ def long_context(turns: DataFrame) -> DataFrame:
             .withColumn("used_long_context", F.col("peak_context_tokens") > LONG_CONTEXT_TOKENS))
 
 
-def _running_medians(group: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Median of the earlier positive rewrites of one session, kept in two heaps."""
-    low: list[int] = []
-    high: list[int] = []
-    for part in group:
+def _running_medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Median and number of the earlier positive rewrites of each session, kept in two heaps.
+
+    Rows come sorted by session and time; the heaps go on from batch to batch, so no session is held as a frame.
+    """
+    session, low, high = None, [], []
+    for batch in batches:
         medians, seen = [], []
-        for value in part["cache_creation"]:
+        for name, value in zip(batch.column("session_id").to_pylist(), batch.column("cache_creation").to_pylist()):
+            if name != session:
+                session, low, high = name, [], []
             n = len(low) + len(high)
             seen.append(n)
             if n == 0:
@@ -54,37 +55,21 @@ def _running_medians(group: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 medians.append(float(-low[0]) if n % 2 else (high[0] - low[0]) / 2.0)
             if value > 0:
-                heapq.heappush(high, -heapq.heappushpop(low, -int(value)))
+                heapq.heappush(high, -heapq.heappushpop(low, -value))
                 if len(high) > len(low):
                     heapq.heappush(low, -heapq.heappop(high))
-        part["median"], part["earlier"] = pd.Series(medians, index=part.index, dtype="float64"), seen
-        yield part[["session_id", "ts_ms", "ord", "median", "earlier"]]
-
-
-def _median_batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        for _, rows in part.groupby("session_id", sort=False):
-            yield from _running_medians(iter([rows.sort_values(["ts_ms", "ord"])]))
-
-
-def _with_running_median(rows: DataFrame, long_session_turns: int) -> DataFrame:
-    """Add ``median`` and ``earlier`` (count) over the earlier positive rewrites of the session."""
-    ordered = Window.partitionBy("session_id").orderBy("ts_ms", "ord")
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    positive = F.when(F.col("cache_creation") > 0, F.col("cache_creation"))
-    sized = rows.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("session_id")))
-    short = (sized.where(F.col("_size") <= long_session_turns).drop("_size")
-             .withColumn("median", F.percentile(positive, F.lit(0.5)).over(before))
-             .withColumn("earlier", F.count(positive).over(before)))
-    long = sized.where(F.col("_size") > long_session_turns).drop("_size")
-    medians = (long.select("session_id", "ts_ms", "ord", "cache_creation").groupBy("session_id")
-               .applyInPandas(lambda pdf: next(_median_batches(iter([pdf]))),
-                              "session_id string, ts_ms long, ord long, median double, earlier long"))
-    return short.unionByName(long.join(medians, ["session_id", "ts_ms", "ord"]))
-
-
-def flush_events(turns: DataFrame, session_ttl: DataFrame | None = None, compactions: DataFrame | None = None,
-                 hot_rows: int = HOT_ROWS, long_session_turns: int = LONG_SESSION_TURNS) -> DataFrame:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(medians, pa.float64()), pa.array(seen, pa.int64())],
+                                         names=[*batch.schema.names, "median", "earlier"])
+
+
+def _with_running_median(rows: DataFrame) -> DataFrame:
+    """Add ``median`` and ``earlier`` (count) over the earlier positive rewrites of the session, in one sorted pass."""
+    ordered = rows.repartition("session_id").sortWithinPartitions("session_id", "ts_ms", "ord")
+    schema = T.StructType([*rows.schema.fields, T.StructField("median", T.DoubleType()), T.StructField("earlier", T.LongType())])
+    return ordered.mapInArrow(_running_medians, schema)
+
+
+def flush_events(turns: DataFrame, session_ttl: DataFrame | None = None, compactions: DataFrame | None = None) -> DataFrame:
     """Turns that rewrote the cache: one row each with ``kind`` gap / nogap.
 
     ``session_ttl`` (session_id, has_1h) overrides the per-session TTL choice, as needed after sub-agent spend has
@@ -92,7 +77,7 @@ def flush_events(turns: DataFrame, session_ttl: DataFrame | None = None, compact
     """
     calls = turns.where((F.col("output_tokens") > 0) & F.col("ts_ms").isNotNull()).select(
         "session_id", "ord", "ts_ms", "cache_read", "cache_creation", "cache_1h")
-    marked = with_previous(calls, ["session_id"], "ts_ms", ["ord"], ["ts_ms", "cache_read"], hot_rows)
+    marked = with_previous(calls, ["session_id"], "ts_ms", ["ord"], ["ts_ms", "cache_read"])
     warm = (F.col("cache_read") > F.col("cache_creation")) & (F.col("cache_read") > 0)
     facts = (calls.groupBy("session_id")
              .agg(F.count(F.lit(1)).alias("n_turns"), (F.max("cache_1h") > 0).alias("has_1h"),
@@ -102,17 +87,18 @@ def flush_events(turns: DataFrame, session_ttl: DataFrame | None = None, compact
                  .withColumn("has_1h", F.coalesce("has_1h", F.lit(False))))
     rows = (marked.join(facts.where((F.col("n_turns") >= 3) & F.col("built").isNotNull()), "session_id")
             .where(F.struct("ts_ms", "ord") > F.col("built")))
-    rows = _with_running_median(rows, long_session_turns)
+    gap = F.col("ts_ms") - F.col("prev.ts_ms")
+    rows = _with_running_median(rows.select("session_id", "ts_ms", "ord", "cache_read", "cache_creation", "has_1h", gap.alias("gap"),
+                                            F.col("prev.cache_read").alias("read_before")))
 
     enough = F.col("earlier") + F.when(F.col("cache_creation") > 0, 1).otherwise(0) >= 3
     rewrite = F.col("cache_creation") > 2 * F.greatest(F.coalesce("median", F.lit(0.0)),
                                                       F.lit(float(REWRITE_FLOOR_TOKENS)))
     ttl = F.when(F.col("has_1h"), CACHE_TTL_1H_MS).otherwise(CACHE_TTL_MS)
-    gap = F.col("ts_ms") - F.col("prev.ts_ms")
-    collapse = (F.col("prev.cache_read") > 0) & (F.col("cache_read") < 0.5 * F.col("prev.cache_read"))
+    collapse = (F.col("read_before") > 0) & (F.col("cache_read") < 0.5 * F.col("read_before"))
     events = rows.where(enough & rewrite).select(
         "session_id", "ts_ms", "ord", "cache_creation",
-        F.when(gap >= ttl, "gap").when(collapse, "nogap").alias("kind")).where(F.col("kind").isNotNull())
+        F.when(F.col("gap") >= ttl, "gap").when(collapse, "nogap").alias("kind")).where(F.col("kind").isNotNull())
     if compactions is None:
         return events
     # A compaction excuses rewrites less than two minutes away: join on the minute-pair cell and its neighbours.
@@ -138,7 +124,7 @@ def cache_flushes(turns: DataFrame, **options) -> DataFrame:
         "session_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
 
-def idle_gaps(turns: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def idle_gaps(turns: DataFrame) -> DataFrame:
     """Gap classes and the cache rewrites that long idle times cost; sessions with at least two turns.
 
     The baseline is a median per session over token counts; equal counts are merged map-side first, so a
@@ -149,7 +135,7 @@ def idle_gaps(turns: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     gap = F.col("ts_ms") - F.col("prev.ts_ms")
     kind = (F.when(gap.isNull(), "first").when(gap < SHORT_GAP_MS, "short")
             .when(gap < MID_GAP_MS, "mid").otherwise("long"))
-    values = (with_previous(calls, ["session_id"], "ts_ms", ["ord"], ["ts_ms"], hot_rows)
+    values = (with_previous(calls, ["session_id"], "ts_ms", ["ord"], ["ts_ms"])
               .groupBy("session_id", kind.alias("kind"), "cc").agg(F.count(F.lit(1)).alias("c")))
 
     short_cc = F.when(F.col("kind") == "short", F.col("cc"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.functions.scalars import half_even
-from turnledger.operators.ordering import HOT_ROWS, with_previous
+from turnledger.operators.ordering import with_previous
 
 # Categories in report order and the tools that write files.
 WRITE_CATEGORIES = ("screen_text", "screen_text_narration", "thinking", "file_writes", "bash_commands",
@@ -96,14 +96,14 @@ def write_parts(turns: DataFrame) -> DataFrame:
     return out.withColumn("writes", writes).drop("_w", "_ws", "_total")
 
 
-def narration_tokens(entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def narration_tokens(entries: DataFrame) -> DataFrame:
     """Mark tool-less assistant turns that the next user/assistant entry continues as an assistant entry.
 
     ``entries`` holds user and assistant rows with ``session_id``, ``ord`` and ``type``; adds ``is_narration``.
     The next entry is the previous one along the reversed line position.
     """
     talk = entries.where(F.col("type").isin("user", "assistant")).withColumn("_back", -F.col("ord"))
-    marked = with_previous(talk, ["session_id"], "_back", [], ["type"], hot_rows, 1 << 20)
+    marked = with_previous(talk, ["session_id"], "_back", [], ["type"], 1 << 20)
     both = (F.col("type") == "assistant") & (F.col("prev.type") == "assistant")
     return marked.withColumn("is_narration", F.coalesce(both, F.lit(False))).drop("_back", "prev")
 

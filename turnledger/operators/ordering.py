@@ -3,8 +3,8 @@
 * Long series are first folded into fixed-width time cells per key. A gap that is at least as wide as a cell can
   only lie between two cells, so gap logic runs on the cell table, whose size is bounded by elapsed time and not
   by row count.
-* ``with_previous`` reads the previous row of a series. Keys with more than ``hot_rows`` rows are cut into cells
-  that different tasks sort; the first row of a cell takes its predecessor from a table of cell ends.
+* ``with_previous`` reads the previous row of a series. Every key is cut into cells that different tasks sort; the
+  first row of a cell takes its predecessor from a table of cell ends.
 * ``grouped_quantiles`` finds exact quantiles with bin counts, without holding a group's values in one place.
 """
 
@@ -17,32 +17,20 @@ from pyspark.sql import functions as F
 
 from turnledger.functions.scalars import HOUR_MS, cell
 
-HOT_ROWS = 1_000_000
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows; at most rows / hot_rows of them exist."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
-
-
 def with_previous(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], columns: Sequence[str],
-                  hot_rows: int = HOT_ROWS, cell_ms: int = HOUR_MS) -> DataFrame:
-    """Add struct ``prev`` holding ``columns`` of the preceding row of the key, in (ts, *order) order."""
-    # The hot-key list has at most rows / hot_rows entries, so it may be broadcast.
-    marked = df.join(F.broadcast(hot_keys(df, keys, hot_rows).withColumn("_hot", F.lit(True))), list(keys), "left")
-    marked = marked.withColumn("_cell", F.when(F.col("_hot"), cell(ts, cell_ms)))
+                  cell_ms: int = HOUR_MS) -> DataFrame:
+    """Add struct ``prev`` holding ``columns`` of the preceding row of the key, in (ts, *order) order.
+
+    Rows are sorted per (key, cell); the table of cell ends has one row per cell that is in use.
+    """
+    marked = df.withColumn("_cell", cell(ts, cell_ms))
     inside = Window.partitionBy(*keys, "_cell").orderBy(ts, *order)
     payload = F.struct(*[F.col(c) for c in columns])
-    marked = marked.withColumn("_prev", F.lag(payload).over(inside))
-
-    ends = (marked.where(F.col("_cell").isNotNull())
-            .groupBy(*keys, "_cell")
-            .agg(F.max_by(payload, F.struct(F.col(ts), *[F.col(o) for o in order])).alias("_last")))
+    ends = marked.groupBy(*keys, "_cell").agg(F.max_by(payload, F.struct(F.col(ts), *[F.col(o) for o in order])).alias("_last"))
     across = Window.partitionBy(*keys).orderBy("_cell")
     ends = ends.select(*keys, "_cell", F.lag("_last").over(across).alias("_before"))
-    out = marked.join(ends, [*keys, "_cell"], "left")
-    return (out.withColumn("prev", F.coalesce(F.col("_prev"), F.col("_before")))
-            .drop("_prev", "_before", "_cell", "_hot"))
+    out = marked.withColumn("_prev", F.lag(payload).over(inside)).join(ends, [*keys, "_cell"], "left")
+    return out.withColumn("prev", F.coalesce("_prev", "_before")).drop("_prev", "_before", "_cell")
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
@@ -86,9 +74,3 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
         low, high = F.col(f"_a{i}"), F.col(f"_b{i}")
         columns.append(F.when(share == 0, low.cast("double")).otherwise(low * (1 - share) + high * share).alias(name))
     return out.select(*keys, "n", *columns)
-
-
-def ranked(df: DataFrame, *order, limit: int | None = None) -> DataFrame:
-    """Order a small (already aggregated) table; top-k is the feature where ``limit`` is given."""
-    out = df.orderBy(*order)
-    return out.limit(limit) if limit else out

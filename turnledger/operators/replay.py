@@ -9,7 +9,7 @@ from turnledger.functions import classify
 from turnledger.functions.pricing import price_calls
 from turnledger.functions.scalars import half_even, usd, utc_day
 from turnledger.operators import sessions
-from turnledger.operators.ordering import HOT_ROWS, with_previous
+from turnledger.operators.ordering import with_previous
 
 # Labels of the attachment kinds that are shown.
 EFFORT_LABELS = {"ultra_effort_enter": "Ultra effort on", "ultra_effort_exit": "Ultra effort off",
@@ -46,20 +46,20 @@ def _tool_detail(b: Column) -> Column:
                     prompt.alias("agent_prompt"))
 
 
-def mode_changes(entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def mode_changes(entries: DataFrame) -> DataFrame:
     """Mode and permission markers, only where the value differs from the previous one of its kind."""
     is_mode = F.col("type") == "mode"
     rows = entries.where(F.col("type").isin("mode", "permission-mode")).select(
         "session_id", "ord", "ts_ms", is_mode.alias("is_mode"),
         F.when(is_mode, F.col("mode")).otherwise(F.col("permission_mode")).alias("value")).where(F.col("value") != "")
     # Line order decides, so the line position is also the axis that cuts very long sessions.
-    marked = with_previous(rows, ["session_id", "is_mode"], "ord", ["value"], ["value"], hot_rows, 1 << 20)
+    marked = with_previous(rows, ["session_id", "is_mode"], "ord", ["value"], ["value"], 1 << 20)
     changed = F.col("prev").isNull() | (F.col("prev.value") != F.col("value"))
     prefix = F.when(F.col("is_mode"), "Mode: ").otherwise("Permission: ")
     return marked.where(changed).select("session_id", "ord", "ts_ms", F.concat(prefix, "value").alias("content"))
 
 
-def messages(classified_entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def messages(classified_entries: DataFrame) -> DataFrame:
     """The replay list: (session_id, ord, pos, role, content, …) with the format's truncations."""
     e = classified_entries
     limit_hit = F.col("is_api_error") & classify.plan_limit_text(F.col("body"))
@@ -119,7 +119,7 @@ def messages(classified_entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFra
         F.when(is_rejected, F.substring("message", 1, 200)).otherwise(
             F.substring(classify.clean_error_text(F.col("message")), 1, 2000)), F.col("pos"),
         F.when(~is_rejected, F.col("source")), F.when(~is_rejected, F.col("category")), tool)
-    modes = marker(mode_changes(e, hot_rows), F.lit("mode"), F.col("content"), F.lit(-1))
+    modes = marker(mode_changes(e), F.lit("mode"), F.col("content"), F.lit(-1))
     return rows.unionByName(failures).unionByName(modes)
 
 
@@ -143,11 +143,11 @@ def chat_filter(message_rows: DataFrame, groups: list[str]) -> DataFrame:
     return message_rows.where(keep | dispatches if "agent-dispatch" in groups else keep)
 
 
-def day_dividers(message_rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def day_dividers(message_rows: DataFrame) -> DataFrame:
     """First message of each run of equal days (UTC days)."""
     dated = message_rows.where(F.col("ts_ms").isNotNull()).withColumn("day", utc_day("ts_ms"))
     marked = with_previous(dated.select("session_id", "ord", "pos", "day"), ["session_id"], "ord", ["pos"], ["day"],
-                           hot_rows, 1 << 20)
+                           1 << 20)
     return marked.where(F.col("prev").isNull() | (F.col("prev.day") != F.col("day"))).select(
         "session_id", "ord", "pos", "day")
 
