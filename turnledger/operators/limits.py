@@ -210,7 +210,21 @@ def explicit_events(api_errors: DataFrame) -> DataFrame:
     return api_errors.where(plan_limit_text(F.col("text"))).select(
         "account", "session_id", "ts_ms", none.alias("gap_start_ms"), none.alias("gap_end_ms"),
         F.lit("explicit").alias("type"), F.lit("user_plan_limit").alias("subtype"),
-        F.lit("high").alias("confidence"), F.substring("text", 1, 400).alias("message_text"))
+        F.lit("high").alias("confidence"), F.col("text").alias("message_text"))
+
+
+def limit_events(api_errors: DataFrame, prompts: DataFrame, tz: str = "UTC") -> DataFrame:
+    """Banners and fingerprints as one list; both kinds meet in the same clusters."""
+    return explicit_events(api_errors).drop("message_text").unionByName(fingerprints(prompts, tz))
+
+
+def transcript_events(classified_entries: DataFrame, account: Column, tz: str = "UTC") -> DataFrame:
+    """Clustered limit events of transcripts: error entries with a plan-limit text, and pauses between prompts."""
+    rows = classified_entries.withColumn("account", account)
+    errors = rows.where(F.col("is_api_error") & (F.trim("body") != "")).select("account", "session_id", "ts_ms", F.col("body").alias("text"))
+    prompts = rows.where(F.col("category") == "prompt").select("account", "session_id", "ord", "ts_ms")
+    payload = ["session_id", "ts_ms", "gap_start_ms", "gap_end_ms", "type", "subtype", "confidence"]
+    return cluster_events(limit_events(errors, prompts, tz), payload, ["type", "session_id"])
 
 
 def cluster_events(events: DataFrame, payload: list[str], order: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnledger.config import EngineConfig
 from turnledger.functions.pricing import price_calls
 from turnledger.functions.scalars import day_text, half_even, usd
-from turnledger.operators import attribution, calibration, facts, projects, replay, series, sessions
+from turnledger.operators import attribution, calibration, facts, limits, projects, replay, series, sessions
 from turnledger.registry.usage import AS_OF, texted
 from turnledger.session import materialize
 from turnledger.sources import sidefiles, sinks, tables, transcripts
@@ -266,6 +266,25 @@ def chars_per_token_by_model(spark, sf):
     return out.select("model", "n", "total_chars", "total_tokens", half_even(F.col("weighted"), 4).alias("weighted"))
 
 
+def transcript_limit_events(spark, sf):
+    """Banners and fingerprints of all transcripts, clustered together for one account."""
+    out = limits.transcript_events(silver(spark, sf), F.lit("all"), CFG.local_tz)
+    return out.select("session_id", "ts_ms", F.coalesce("gap_start_ms", F.lit(-1)).alias("gap_start_ms"), "subtype", "confidence",
+                      "last_ms", "merged_count")
+
+
+def _account_turns(spark, sf):
+    return sessions.turns(silver(spark, sf)).withColumn("account", F.col("source"))
+
+
+def transcript_windows_5h(spark, sf):
+    return limits.windows_5h(_account_turns(spark, sf))
+
+
+def transcript_weekly_buckets(spark, sf):
+    return texted(limits.weekly_buckets(_account_turns(spark, sf), 3), "week")
+
+
 def history_dedupe(spark, sf):
     """Two overlapping history sources written from the ledger."""
     led = tables.usage_ledger(spark, sf)
@@ -293,4 +312,4 @@ QUERIES = {f.__name__: f for f in (
     replay_messages, replay_answers, chat_filter, mode_changes, day_dividers, command_output_tokens, flow_nodes,
     flow_edges, flow_events, session_shares, top_files, workflow_timeline, transcript_sessions, project_facts,
     session_markdown, session_csv, stratified_sample, chars_per_token, chars_per_token_by_model, history_dedupe,
-    telemetry_maxima)}
+    telemetry_maxima, transcript_limit_events, transcript_windows_5h, transcript_weekly_buckets)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnledger.registry.usage_sql import LEDGER
+from turnledger.registry.usage_sql import LEDGER, windows_body
 
 # One row per kept entry (merged responses are one entry), numbered as the transcript lines are.
 ENTRIES = """, t AS (
@@ -131,6 +131,9 @@ PAYLOADS = """, pay AS (
 smp AS (SELECT *, length(p) AS chars, CAST(ceil(length(p) / 4) AS BIGINT) + pos AS tok FROM pay WHERE length(p) >= 8)"""
 
 
+TURNS = "SELECT 'src' || (usr % 3) AS account, sid AS session_id, ts AS ts_ms, cost_nusd FROM turn WHERE ts IS NOT NULL"
+
+
 def q(body: str, *extra: str) -> str:
     return "WITH " + LEDGER + ENTRIES + "".join(extra) + "\n" + body
 
@@ -258,4 +261,20 @@ SQL = {
      SELECT session_id, timestamp, arg_min(display, CASE WHEN k < 60 THEN 0 ELSE 1000000000000 END + ord) AS display, any_value(project) AS project FROM h GROUP BY session_id, timestamp""",
     "telemetry_maxima": "WITH " + LEDGER + """ SELECT session_id, max(round_even(cache_read * 997 / 1048576 * 10, 0) / 10) AS peak_rss_mb, CAST(max(k) AS DOUBLE) AS peak_heap_mb,
      max(round_even(k / 7 * 10, 0) / 10) AS max_cpu_pct, CAST(max(round_even(k * 1.5::DOUBLE, 0)) AS DOUBLE) AS max_uptime_s, count(*) AS event_count FROM led GROUP BY session_id""",
+    "transcript_limit_events": q("""SELECT session_id, ts_ms, gap_start_ms, subtype, confidence, last_ms, merged_count FROM (
+     SELECT arg_min(sid, (ts, type, sid)) AS session_id, min(ts) AS ts_ms, arg_min(coalesce(g, -1), (ts, type, sid)) AS gap_start_ms,
+      arg_min(subtype, (ts, type, sid)) AS subtype, arg_min(conf, (ts, type, sid)) AS confidence, max(ts) AS last_ms, count(*) AS merged_count
+     FROM (SELECT *, sum(opens) OVER (ORDER BY ts, type, sid) AS c FROM (
+      SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, type, sid) <= 900000 THEN 0 ELSE 1 END AS opens FROM le)) GROUP BY c)""", """,
+pr AS (SELECT sid, ord, ts FROM usr WHERE category = 'prompt' AND ts IS NOT NULL),
+le AS (SELECT sid, ts, NULL::BIGINT AS g, 'explicit' AS type, 'user_plan_limit' AS subtype, 'high' AS conf FROM resp
+   WHERE et = 'purchase' AND k % 10 = 0 AND k % 9 IN (0, 7)
+  UNION ALL SELECT sid, ts, g, 'heuristic', '5h_fingerprint', CASE WHEN (g // 3600000) % 24 BETWEEN 7 AND 22 AND (ts // 3600000) % 24 BETWEEN 7 AND 22
+   AND abs(ts - g - 18000000) <= 900000 THEN 'high' ELSE 'medium' END
+   FROM (SELECT *, lag(ts) OVER (ORDER BY ts, ord, sid) AS g FROM pr) p
+   WHERE ts - g BETWEEN 17100000 AND 19800000 AND EXISTS (SELECT 1 FROM pr x WHERE x.ts >= p.g - 7200000 AND x.ts < p.g))"""),
+    "transcript_windows_5h": "WITH RECURSIVE " + LEDGER + ENTRIES + windows_body(TURNS),
+    "transcript_weekly_buckets": q(f"""SELECT account, CAST(CAST(day - CAST((isodow(day) - 1 - 3 + 7) % 7 AS INT) AS DATE) AS VARCHAR) AS week,
+     max(ts_ms) AS end_ms, CAST(sum(cost_nusd) AS BIGINT) AS cost_nusd, count(*) AS turn_count, count(DISTINCT session_id) AS sessions
+     FROM (SELECT *, CAST(DATE '1970-01-01' + CAST(ts_ms // 86400000 AS INT) AS DATE) AS day FROM ({TURNS})) GROUP BY ALL"""),
 }

@@ -155,13 +155,16 @@ win(account, start_ms) AS (
  FROM win WHERE EXISTS (SELECT 1 FROM pts p WHERE p.account = win.account AND p.ts_ms >= win.start_ms + 18000000))"""
 
 
-def window_query(source: str) -> str:
-    body = chain(source) + f""", nxt AS (SELECT *, lead(start_ms) OVER (PARTITION BY account ORDER BY start_ms) AS e FROM win),
+def windows_body(source: str) -> str:
+    return chain(source) + f""", nxt AS (SELECT *, lead(start_ms) OVER (PARTITION BY account ORDER BY start_ms) AS e FROM win),
 tw AS (SELECT t.*, n.start_ms FROM ({source}) t JOIN nxt n ON t.account = n.account AND t.ts_ms >= n.start_ms
   AND (n.e IS NULL OR t.ts_ms < n.e))
 SELECT account, start_ms, max(ts_ms) AS end_ms, CAST(sum(cost_nusd) AS BIGINT) AS cost_nusd, count(*) AS turn_count,
  count(DISTINCT session_id) AS sessions FROM tw GROUP BY account, start_ms"""
-    return "WITH RECURSIVE " + LEDGER + body
+
+
+def window_query(source: str) -> str:
+    return "WITH RECURSIVE " + LEDGER + windows_body(source)
 
 
 ALL_CALLS = "SELECT * REPLACE ('all' AS account) FROM calls"
