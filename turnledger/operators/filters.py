@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from turnledger.functions.scalars import safe_ratio
 from turnledger.operators.ordering import grouped_quantiles
+from turnledger.session import materialize
 
 # Range choices in days (0 = all) and the ladder of axis ends.
 RANGE_DAYS = (0, 7, 30, 90, 365)
@@ -148,10 +149,16 @@ def sorted_page(sessions: DataFrame, column: str, page: int, size: int, ascendin
 
 
 def stable_labels(names: DataFrame, column: str, prefix: str) -> DataFrame:
-    """Anonymous label per distinct name; the dimension is as small as the number of projects or sources."""
-    distinct = names.select(column).distinct()
-    n = F.dense_rank().over(Window.orderBy(column))
-    return distinct.select(column, F.concat(F.lit(prefix + " "), n.cast("string")).alias("label"))
+    """Anonymous label per distinct name, numbered in name order.
+
+    Names are dealt out by range and written once; each range is numbered by itself and starts after the ranges
+    before it, so no task sees all names.
+    """
+    parts = materialize(names.select(column).distinct().repartitionByRange(column).withColumn("_part", F.spark_partition_id()), "labels")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    n = F.row_number().over(Window.partitionBy("_part").orderBy(column)) + F.col("_start")
+    return parts.join(starts, "_part").select(column, F.concat(F.lit(prefix + " "), n.cast("string")).alias("label"))
 
 
 def anonymized(sessions: DataFrame) -> DataFrame:

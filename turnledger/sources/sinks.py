@@ -104,6 +104,12 @@ def markdown_lines(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def write_markdown(lines: DataFrame, path: str) -> None:
-    """One folder per transcript; rows of a file are clustered and sorted, and split over tasks only between files."""
-    (lines.repartitionByRange("file_name", "ord").sortWithinPartitions("file_name", "ord")
+    """All transcripts as one table (file_name, ord, text) in the order of the files, in files of the usual size."""
+    lines.repartitionByRange("file_name", "ord").sortWithinPartitions("file_name", "ord").write.mode("overwrite").parquet(path)
+
+
+def split_markdown(lines: DataFrame, chosen: DataFrame, path: str) -> None:
+    """Single transcripts for a chosen set of ``file_name``s: one folder of text each."""
+    wanted = lines.join(chosen.select("file_name").distinct(), "file_name", "left_semi")
+    (wanted.repartitionByRange("file_name", "ord").sortWithinPartitions("file_name", "ord")
      .select("file_name", "text").write.mode("overwrite").partitionBy("file_name").text(path))
