@@ -102,10 +102,10 @@ class Ensemble:
 
     def column(self) -> Column:
         """The score as a Spark expression over the statistics."""
-        total = F.lit(self.bias)
-        for rule, weight in zip(self.rules, self.weights):
-            total = total + F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0))
-        return 1 / (1 + F.exp(-total))
+        terms = [F.lit(self.bias)] + [F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0)) for rule, weight in zip(self.rules, self.weights)]
+        while len(terms) > 1:  # in pairs, so that the expression stays shallow
+            terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) & ~1:]
+        return 1 / (1 + F.exp(-terms[0]))
 
 
 def _paths(x: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator, path: tuple = ()) -> list[Rule]:
@@ -133,19 +133,32 @@ def _paths(x: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator, p
 
 
 def _lasso(r: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression with an absolute-value penalty, by accelerated proximal gradient steps."""
-    scale = r.std(axis=0) + 1e-9
-    mean = r.mean(axis=0)
-    z = (r - mean) / scale
-    step = 4.0 / (np.linalg.norm(z, 2) ** 2 / len(y) + 1)
-    w, b, ahead, ahead_b, t = np.zeros(z.shape[1]), 0.0, np.zeros(z.shape[1]), 0.0, 1.0
+    """Logistic regression with an absolute-value penalty, by accelerated proximal gradient steps.
+
+    Rules are standardised in the arithmetic, so the matrix of rules is held once.
+    """
+    mean, n = r.mean(axis=0), len(y)
+    scale = r.std(axis=0) + 1e-6
+
+    def ahead_of(v: np.ndarray) -> np.ndarray:
+        v = v / scale
+        return r @ v - mean @ v
+
+    def back_of(e: np.ndarray) -> np.ndarray:
+        return (e @ r - mean * e.sum()) / scale
+
+    top = np.ones(r.shape[1], r.dtype)
+    for _ in range(30):  # the largest eigenvalue, for the step length
+        top = back_of(ahead_of(top / np.linalg.norm(top)))
+    step = 4.0 / (1.05 * np.linalg.norm(top) / n + 1)
+    w, b, at, at_b, t = np.zeros_like(top), 0.0, np.zeros_like(top), 0.0, 1.0
     for _ in range(rounds):
-        error = 1 / (1 + np.exp(-(z @ ahead + ahead_b))) - y
-        new = ahead - step * (z.T @ error) / len(y)
+        error = (1 / (1 + np.exp(-(ahead_of(at) + at_b))) - y).astype(r.dtype)
+        new = at - step * back_of(error) / n
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
-        new_b = ahead_b - step * error.mean()
+        new_b = at_b - step * float(error.mean())
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead, ahead_b = new + (t - 1) / t_new * (new - w), new_b + (t - 1) / t_new * (new_b - b)
+        at, at_b = (new + (t - 1) / t_new * (new - w)).astype(r.dtype), new_b + (t - 1) / t_new * (new_b - b)
         w, b, t = new, new_b, t_new
     return w / scale, float(b - (w * mean / scale).sum())
 
@@ -163,7 +176,10 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
         for rule in _paths(x[rows], y[rows], depth, rng):
             rules.setdefault(rule.holds(x).tobytes(), rule)
     listed = list(rules.values())
-    weights, bias = _lasso(np.stack([r.holds(x) for r in listed], axis=1).astype(np.float64), y.astype(np.float64), penalty)
+    held = np.empty((len(y), len(listed)), np.float32)
+    for i, rule in enumerate(listed):
+        held[:, i] = rule.holds(x)
+    weights, bias = _lasso(held, y.astype(np.float32), penalty)
     kept = [i for i, w in enumerate(weights) if abs(w) > 1e-6]
     return Ensemble(tuple(listed[i] for i in kept), tuple(float(weights[i]) for i in kept), bias)
 
