@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -14,10 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from turnledger.llm.common import id_and_text
-from turnledger.session import materialize
+from turnledger.session import shared_folder
 
-CHUNK_WORDS = 1 << 22
+CHUNK_WORDS = 6_000_000
 _SLICE = 1 << 18  # words that are expanded to tokens at once
+# A word of letters and then marks. The tokenizer never joins the two; an apostrophe it may.
+_LETTERS_MARKS = re.compile(rb"([^\x00-\x40\x5b-\x60\x7b-\x7f]+)([!-&(-/:;=?@\[-`{}~]+)")
+_TOKENIZERS: dict = {}  # of a Python worker, by vocabulary
 
 
 def default_vocabulary() -> str:
@@ -34,8 +39,35 @@ class _Numbering(dict):
         return number
 
 
+def word_parts(word: bytes) -> tuple[bytes, ...]:
+    """What is encoded in the place of a word: letters and marks apart, ASCII letters in lower case.
+
+    The tokenizer lower-cases and splits there as well. A word with a character that could combine with its
+    neighbour, or with the beginning of a special token, stays as it is.
+    """
+    found = _LETTERS_MARKS.fullmatch(word)
+    if found:
+        letters, marks = found.groups()
+        if letters.isascii():
+            return letters.lower(), marks
+        if letters.decode()[-1].isalpha():
+            return letters, marks
+    return (word.lower() if word.isascii() and b"<|" not in word else word,)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^24 as three compressed planes of bytes."""
+    planes = np.concatenate([(numbers >> shift & 255).astype(np.uint8) for shift in (0, 8, 16)])
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, count: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 3 * count, "zstd", asbytes=True), np.uint8).reshape(3, count).astype(np.uint32)
+    return planes[0] | planes[1] << 8 | planes[2] << 16
+
+
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of whole texts: keys, words per text, the number of each word, and the chunk's distinct words.
+    """Chunks of whole texts: keys, parts per text, the number of the part at each position, and the distinct parts.
 
     Words are split at ASCII white space only. The tokenizer drops white space and forms no token across it, and no
     normalisation joins characters across it, so the tokens of a text are those of its words, one after another.
@@ -44,12 +76,28 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, keys, counts, numbers, total = _Numbering(), [], [], [], 0
 
     def flush():
-        flat = np.concatenate(numbers) if numbers else np.empty(0, np.uint32)
-        packed = pa.compress(flat.tobytes(), "zstd", asbytes=True)
-        listed = pa.array([list(words)], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+        parts, first, second = _Numbering(), np.empty(len(words), np.int32), np.full(len(words), -1, np.int32)
+        for i, word in enumerate(words):
+            found = word_parts(word)
+            first[i] = parts[found[0]]
+            if len(found) > 1:
+                second[i] = parts[found[1]]
+        flat = np.concatenate(numbers)
+        width = (1 + (second >= 0)).astype(np.int32)[flat]
+        ends = np.cumsum(width)
+        placed = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        placed[ends - width] = first[flat]
+        double = width == 2
+        placed[ends[double] - 1] = second[flat[double]]
+        order = np.argsort(-np.bincount(placed, minlength=len(parts)), kind="stable")  # small numbers for frequent parts
+        rank = np.empty(len(parts), np.int32)
+        rank[order] = np.arange(len(parts))
+        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        listed = list(parts)
+        text = pa.array([[listed[i] for i in order]], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
         return pa.RecordBatch.from_arrays(
-            [pa.array([chunk], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())),
-             pa.array([packed], pa.binary()), listed], names=["chunk", "keys", "counts", "numbers", "words"])
+            [pa.array([chunk], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([np.diff(edges)], pa.list_(pa.int64())),
+             pa.array([_packed(rank[placed])], pa.binary()), text], names=["chunk", "keys", "counts", "numbers", "words"])
 
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
@@ -66,21 +114,28 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _encoder(vocabulary: str):
+def _tokenizer(vocabulary: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    if vocabulary not in _TOKENIZERS:
+        found = Tokenizer.from_str(vocabulary)
+        found.no_truncation()
+        found.no_padding()
+        _TOKENIZERS.clear()
+        _TOKENIZERS[vocabulary] = found
+    return _TOKENIZERS[vocabulary]
+
+
+def _encoder(vocabulary: str, id_type: str):
     """Rows come sorted by word, so every distinct word is encoded once and its ids go to all its chunks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(vocabulary)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        last, last_ids = None, b""
+        tokenizer, last, last_ids = _tokenizer(vocabulary), None, b""
         for batch in batches:
             runs = pa.compute.run_end_encode(batch.column(2), run_end_type=pa.int32())
             distinct = runs.values.to_pylist()
             fresh = distinct[1:] if distinct and distinct[0] == last else distinct
-            coded = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            coded = [np.array(e.ids, id_type).tobytes() for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
             if len(fresh) < len(distinct):
                 coded.insert(0, last_ids)
             if distinct:
@@ -97,53 +152,68 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def _join_positions(chunk: pa.Table, coded: pa.Table) -> pa.Table:
-    """Put the ids of a chunk's words back at the positions of its texts."""
-    keys, texts = [], []
-    order = np.argsort(coded.column("slot").to_numpy())
-    table = coded.column("ids").combine_chunks().take(pa.array(order)) if coded.num_rows else pa.array([], pa.binary())
-    lengths = pa.compute.binary_length(table).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    flat = np.frombuffer(b"".join(table.to_pylist()), "<u4")
-    starts = np.cumsum(lengths) - lengths
-    for row in chunk.select(["keys", "counts", "numbers", "n_numbers"]).to_pylist():
-        counts = np.array(row["counts"], np.int64)
-        numbers = np.frombuffer(pa.decompress(row["numbers"], row["n_numbers"] * 4, "zstd", asbytes=True), np.uint32)
-        edges = np.cumsum(counts) - counts
-        first = 0
-        while first < len(counts):  # as many whole texts as fit a slice, at least one
-            last = max(first + 1, int(np.searchsorted(edges, edges[first] + _SLICE)))
-            part = numbers[edges[first]:edges[last - 1] + counts[last - 1]]
-            tokens = flat[_ragged(starts[part], lengths[part])]
-            per_word = np.concatenate([[0], np.cumsum(lengths[part])])
-            at = per_word[np.concatenate([edges[first:last] - edges[first], [len(part)]])]
-            texts += [tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-            first = last
-        keys += row["keys"]
-    return pa.table({"doc_id": pa.array(keys, pa.int64()), "ids": pa.array(texts, pa.binary())})
+def _join_positions(id_type: str):
+    def run(chunk: pa.Table, coded: pa.Table) -> pa.Table:
+        """Put the ids of a chunk's words back at the positions of its texts."""
+        keys, texts = [], []
+        order = np.argsort(coded.column("slot").to_numpy())
+        table = coded.column("ids").combine_chunks().take(pa.array(order)) if coded.num_rows else pa.array([], pa.binary())
+        flat = np.frombuffer(b"".join(table.to_pylist()), id_type).astype("<u4")
+        lengths = pa.compute.binary_length(table).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(id_type).itemsize
+        starts = np.cumsum(lengths) - lengths
+        for row in chunk.select(["keys", "counts", "numbers"]).to_pylist():
+            counts = np.array(row["counts"], np.int64)
+            numbers = _unpacked(row["numbers"], int(counts.sum()))
+            edges = np.cumsum(counts) - counts
+            first = 0
+            while first < len(counts):  # as many whole texts as fit a slice, at least one
+                last = max(first + 1, int(np.searchsorted(edges, edges[first] + _SLICE)))
+                part = numbers[edges[first]:edges[last - 1] + counts[last - 1]]
+                tokens = flat[_ragged(starts[part], lengths[part])]
+                per_word = np.concatenate([[0], np.cumsum(lengths[part])])
+                at = per_word[np.concatenate([edges[first:last] - edges[first], [len(part)]])]
+                texts += [tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+                first = last
+            keys += row["keys"]
+        return pa.table({"doc_id": pa.array(keys, pa.int64()), "ids": pa.array(texts, pa.binary())})
+    return run
+
+
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write a table in the shared folder, bucketed by ``key``, so that later joins on the key do not move it again."""
+    spark = df.sparkSession
+    name = f"bpe_chunks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
+     .bucketBy(buckets, key).saveAsTable(name))
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # from the catalog only; the files belong to the shared folder
+    return table
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None) -> DataFrame:
     """``(doc_id, ids)``: token ids of every whole text as little-endian unsigned 32-bit integers.
 
-    1. Tasks split texts into words and write, for each chunk of up to four million words (and one text more), the
+    1. Tasks split texts into words and write, for each chunk of up to six million words (and one text more), the
        distinct words and the number of the word at each position.
     2. Distinct words of the chunks are dealt out by word. A word appears once per chunk at most, so a frequent word
        is no hot key. Each is encoded once.
-    3. Ids go back to their chunks and are joined by position. Only the packed positions are moved, never the texts.
+    3. Ids go back to their chunks and are joined by position. The chunks are bucketed, so neither texts nor positions
+       are shuffled.
 
     A null or empty text has no ids. Null keys and repeated rows are kept as they are. An empty table gives an empty
     result; other columns are left out. The vocabulary is a file of the ``tokenizers`` library.
     """
     vocabulary = Path(vocabulary_path or default_vocabulary()).read_text(encoding="utf-8")
+    id_type = "<u2" if len(pieces(vocabulary_path)) <= 1 << 16 else "<u4"
     texts = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    chunks = materialize(texts.mapInArrow(
-        _split, "chunk long, keys array<long>, counts array<int>, numbers binary, words array<string>"), "bpe-chunks")
+    chunks = _bucketed(texts.mapInArrow(
+        _split, "chunk long, keys array<long>, counts array<long>, numbers binary, words array<string>"), "chunk")
     words = chunks.select("chunk", F.posexplode("words").alias("slot", "word")).repartition("word").sortWithinPartitions("word")
-    coded = words.mapInArrow(_encoder(vocabulary), "chunk long, slot int, ids binary")
-    total = F.aggregate("counts", F.lit(0).cast("long"), lambda t, n: t + n)
-    places = chunks.select("chunk", "keys", "counts", "numbers", total.alias("n_numbers"))
+    coded = words.mapInArrow(_encoder(vocabulary, id_type), "chunk long, slot int, ids binary")
+    places = chunks.select("chunk", "keys", "counts", "numbers")
     return (places.groupBy("chunk").cogroup(coded.groupBy("chunk"))
-            .applyInArrow(_join_positions, "doc_id long, ids binary"))
+            .applyInArrow(_join_positions(id_type), "doc_id long, ids binary"))
 
 
 def pieces(vocabulary_path: str | None = None) -> list[str]:
