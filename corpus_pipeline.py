@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnledger.llm import quality
@@ -43,19 +43,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document and its position in the mix.
+    """Token ids of every document and its ``position``, a number that grows in the order of the mix.
 
-    ``docs`` is read from Parquet files, whose names and rows carry the order of the mix.
+    ``docs`` is read from Parquet files: the number in the file's name and the row in the file carry that order.
     """
-    places = docs.select("doc_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    files = places.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("earlier"))
-    places = places.join(files, "file").select(F.col("doc_id").alias("_id"), (F.col("earlier") + F.col("row")).alias("position"))
-    coded = decode(encode(docs))
-    return coded.join(places, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
-        "doc_id", "position", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), "ids",
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    file = F.regexp_extract(F.col("_metadata.file_path"), r"part-([0-9]+)[^/]*$", 1).cast("long")
+    coded = decode(encode(docs, carry=F.shiftleft(file, 40) + F.col("_metadata.row_index")))
+    return coded.select("doc_id", F.col("carried").alias("position"), F.floor(F.octet_length("ids") / 4).alias("n_tokens"), "ids",
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality", keep_quality), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies),

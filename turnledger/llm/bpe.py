@@ -11,8 +11,9 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
 from turnledger.llm.common import id_and_text
@@ -20,6 +21,7 @@ from turnledger.session import shared_folder
 
 CHUNK_WORDS = 6_000_000
 _SLICE = 1 << 18  # words that are expanded to tokens at once
+_DECODED_ROWS = 256  # texts that a task holds decoded
 # A word of letters and then marks. The tokenizer never joins the two; an apostrophe it may.
 _LETTERS_MARKS = re.compile(rb"([^\x00-\x40\x5b-\x60\x7b-\x7f]+)([!-&(-/:;=?@\[-`{}~]+)")
 _TOKENIZERS: dict = {}  # of a Python worker, by vocabulary
@@ -57,13 +59,19 @@ def word_parts(word: bytes) -> tuple[bytes, ...]:
 
 def _packed(numbers: np.ndarray) -> bytes:
     """Numbers below 2^24 as three compressed planes of bytes."""
-    planes = np.concatenate([(numbers >> shift & 255).astype(np.uint8) for shift in (0, 8, 16)])
-    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    planes = np.empty((3, len(numbers)), np.uint8)
+    for i in range(3):
+        planes[i] = numbers >> 8 * i & 255
+    return pa.compress(pa.py_buffer(planes), "zstd", asbytes=True)
 
 
 def _unpacked(packed: bytes, count: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(packed, 3 * count, "zstd", asbytes=True), np.uint8).reshape(3, count).astype(np.uint32)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
+    planes = np.frombuffer(pa.decompress(packed, 3 * count, "zstd", asbytes=True), np.uint8).reshape(3, count)
+    numbers = planes[2].astype(np.uint32)
+    for i in (1, 0):
+        numbers <<= 8
+        numbers |= planes[i]
+    return numbers
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +81,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     normalisation joins characters across it, so the tokens of a text are those of its words, one after another.
     """
     chunk = TaskContext.get().partitionId() << 24
-    words, keys, counts, numbers, total = _Numbering(), [], [], [], 0
+    words, keys, carried, numbers, total = _Numbering(), [], [], [], 0
 
     def flush():
         parts, first, second = _Numbering(), np.empty(len(words), np.int32), np.full(len(words), -1, np.int32)
@@ -82,34 +90,39 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first[i] = parts[found[0]]
             if len(found) > 1:
                 second[i] = parts[found[1]]
-        flat = np.concatenate(numbers)
-        width = (1 + (second >= 0)).astype(np.int32)[flat]
-        ends = np.cumsum(width)
-        placed = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
-        placed[ends - width] = first[flat]
-        double = width == 2
-        placed[ends[double] - 1] = second[flat[double]]
+        counts, at = [], 0  # text by text, so that no array but the result is as long as the chunk
+        width_of = (1 + (second >= 0)).astype(np.int8)
+        placed = np.empty(sum(int(width_of[n].sum()) for n in numbers), np.int32)
+        for n in numbers:
+            width = width_of[n]
+            ends = np.cumsum(width, dtype=np.int64)
+            out = placed[at:at + (int(ends[-1]) if len(ends) else 0)]
+            out[ends - width] = first[n]
+            double = width == 2
+            out[ends[double] - 1] = second[n[double]]
+            counts.append(len(out))
+            at += len(out)
         order = np.argsort(-np.bincount(placed, minlength=len(parts)), kind="stable")  # small numbers for frequent parts
         rank = np.empty(len(parts), np.int32)
         rank[order] = np.arange(len(parts))
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         listed = list(parts)
         text = pa.array([[listed[i] for i in order]], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
         return pa.RecordBatch.from_arrays(
-            [pa.array([chunk], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([np.diff(edges)], pa.list_(pa.int64())),
-             pa.array([_packed(rank[placed])], pa.binary()), text], names=["chunk", "keys", "counts", "numbers", "words"])
+            [pa.array([chunk], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([carried], pa.list_(pa.int64())),
+             pa.array([counts], pa.list_(pa.int64())), pa.array([_packed(rank[placed])], pa.binary()), text],
+            names=["chunk", "keys", "carried", "counts", "numbers", "words"])
 
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+        for key, place, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1).cast(pa.binary())):
             found = text.as_py().split()
             keys.append(key)
-            counts.append(len(found))
+            carried.append(place)
             numbers.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
             total += len(found)
             if total >= CHUNK_WORDS:
                 yield flush()
                 chunk += 1
-                words, keys, counts, numbers, total = _Numbering(), [], [], [], 0
+                words, keys, carried, numbers, total = _Numbering(), [], [], [], 0
     if keys:
         yield flush()
 
@@ -155,13 +168,13 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def _join_positions(id_type: str):
     def run(chunk: pa.Table, coded: pa.Table) -> pa.Table:
         """Put the ids of a chunk's words back at the positions of its texts."""
-        keys, texts = [], []
+        keys, carried, texts = [], [], []
         order = np.argsort(coded.column("slot").to_numpy())
         table = coded.column("ids").combine_chunks().take(pa.array(order)) if coded.num_rows else pa.array([], pa.binary())
         flat = np.frombuffer(b"".join(table.to_pylist()), id_type).astype("<u4")
         lengths = pa.compute.binary_length(table).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(id_type).itemsize
         starts = np.cumsum(lengths) - lengths
-        for row in chunk.select(["keys", "counts", "numbers"]).to_pylist():
+        for row in chunk.select(["keys", "carried", "counts", "numbers"]).to_pylist():
             counts = np.array(row["counts"], np.int64)
             numbers = _unpacked(row["numbers"], int(counts.sum()))
             edges = np.cumsum(counts) - counts
@@ -175,7 +188,8 @@ def _join_positions(id_type: str):
                 texts += [tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
                 first = last
             keys += row["keys"]
-        return pa.table({"doc_id": pa.array(keys, pa.int64()), "ids": pa.array(texts, pa.binary())})
+            carried += row["carried"]
+        return pa.table({"doc_id": pa.array(keys, pa.int64()), "carried": pa.array(carried, pa.int64()), "ids": pa.array(texts, pa.binary())})
     return run
 
 
@@ -191,9 +205,12 @@ def _bucketed(df: DataFrame, key: str) -> DataFrame:
     return table
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str | None = None,
+           carry: Column | None = None) -> DataFrame:
     """``(doc_id, ids)``: token ids of every whole text as little-endian unsigned 32-bit integers.
 
+    ``carry`` is a number that goes along with each text, as column ``carried``, so that no join has to bring it back.
+
     1. Tasks split texts into words and write, for each chunk of up to six million words (and one text more), the
        distinct words and the number of the word at each position.
     2. Distinct words of the chunks are dealt out by word. A word appears once per chunk at most, so a frequent word
@@ -206,14 +223,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """
     vocabulary = Path(vocabulary_path or default_vocabulary()).read_text(encoding="utf-8")
     id_type = "<u2" if len(pieces(vocabulary_path)) <= 1 << 16 else "<u4"
-    texts = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    place = (carry if carry is not None else F.lit(None)).cast("long").alias("_carried")
+    texts = id_and_text(docs, id_col, text_col, place).withColumn("doc_id", F.col("doc_id").cast("long"))
     chunks = _bucketed(texts.mapInArrow(
-        _split, "chunk long, keys array<long>, counts array<long>, numbers binary, words array<string>"), "chunk")
+        _split, "chunk long, keys array<long>, carried array<long>, counts array<long>, numbers binary, words array<string>"), "chunk")
     words = chunks.select("chunk", F.posexplode("words").alias("slot", "word")).repartition("word").sortWithinPartitions("word")
     coded = words.mapInArrow(_encoder(vocabulary, id_type), "chunk long, slot int, ids binary")
-    places = chunks.select("chunk", "keys", "counts", "numbers")
-    return (places.groupBy("chunk").cogroup(coded.groupBy("chunk"))
-            .applyInArrow(_join_positions(id_type), "doc_id long, ids binary"))
+    places = chunks.select("chunk", "keys", "carried", "counts", "numbers")
+    coded = (places.groupBy("chunk").cogroup(coded.groupBy("chunk"))
+            .applyInArrow(_join_positions(id_type), "doc_id long, carried long, ids binary"))
+    return coded if carry is not None else coded.drop("carried")
 
 
 def pieces(vocabulary_path: str | None = None) -> list[str]:
@@ -228,7 +247,7 @@ def pieces(vocabulary_path: str | None = None) -> list[str]:
 
 
 def decode(encoded: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
-    """``(doc_id, ids, decoded)``: join ids to their pieces; a vocabulary without a decoder puts spaces between them.
+    """``encoded`` with ``decoded``: join ids to their pieces; a vocabulary without a decoder puts spaces between them.
 
     The piece table has a fixed size, so each task holds it and joins whole batches of ids by position in the table.
     """
@@ -238,9 +257,11 @@ def decode(encoded: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     table = pieces(vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [" ".join([table[i] for i in np.frombuffer(ids.as_py(), "<u4").tolist()]) for ids in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
-                                             names=["doc_id", "ids", "decoded"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
+        for whole in batches:
+            at = whole.schema.get_field_index("ids")
+            for first in range(0, whole.num_rows, _DECODED_ROWS):
+                batch = whole.slice(first, _DECODED_ROWS)
+                texts = [" ".join([table[i] for i in np.frombuffer(ids.as_py(), "<u4").tolist()]) for ids in batch.column(at)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
