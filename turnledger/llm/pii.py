@@ -16,11 +16,10 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = 64  # code points on either side of an entity
-SUPPORT = 3  # documents that must hold a term beside an entity before it can count as disclosing
+SUPPORT = 3  # documents that must hold a term and an entity before the term can count as disclosing
 ALPHA = 1.25  # a term discloses an entity if its information about it is at least this part (1 / alpha) of the entity's own
-_TERM = r"(?<![^\s])\p{L}{4,40}+(?=[\s.,]|$)"
-_OCCURRENCE = "array<struct<entity: string, term: string, start: bigint, end: bigint>>"
+SALTS = 16
+TERM = r"\p{L}++"  # a whole run of letters
 
 
 def _digits(text: Column) -> Column:
@@ -57,30 +56,20 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(gate, spans).otherwise(F.array().cast("array<struct<start: bigint, end: bigint, found: string>>"))
 
 
-def _terms(text: Column, start: Column, width: Column, cut_left: Column, cut_right: Column) -> Column:
-    """Whole terms of a slice of the text; a word that the slice cuts through is left out."""
-    piece = F.substring(text, start + 1, width)
-    spans = find_spans(piece, _TERM)
-    whole = F.filter(spans, lambda s: (~cut_left | (s["start"] > 0)) & (~cut_right | (s["end"] < width)))
-    return F.transform(whole, lambda s: F.struct(F.lower(s["found"]).alias("term"), (s["start"] + start).alias("start"),
-                                                (s["end"] + start).alias("end")))
+def outside_entities(text: Column) -> Column:
+    """The text with a blank for every character of an address, the one kind with letters; places stay."""
+    blanks = F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda m: F.repeat(F.lit(" "), F.length(m)))
+    pieces = F.zip_with(F.split(text, EMAIL, -1), blanks, lambda gap, blank: F.concat(gap, F.coalesce(blank, F.lit(""))))
+    return F.when(F.contains(text, F.lit("@")), F.array_join(pieces, "")).otherwise(text)
 
 
-def _beside(text: Column, kind: str, span: Column) -> Column:
-    """Terms within reach of an entity, with the entity they stand beside."""
-    size = F.length(text)
-    left = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    right = F.least(span["end"] + CONTEXT, size.cast("long"))
-    around = F.concat(_terms(text, left.cast("int"), (span["start"] - left).cast("int"), left > 0, F.lit(False)),
-                      _terms(text, span["end"].cast("int"), (right - span["end"]).cast("int"), F.lit(False), right < size))
-    entity = F.concat(F.lit(kind + ":"), F.lower(span["found"]))
-    named = F.transform(around, lambda t: F.struct(entity.alias("entity"), t["term"].alias("term"), t["start"].alias("start"), t["end"].alias("end")))
-    itself = F.array(F.struct(entity.alias("entity"), F.lit("").alias("term"), span["start"].alias("start"), span["end"].alias("end")))
-    return F.concat(itself, named)
+def distinct_terms(text: Column) -> Column:
+    """Terms of a whole text in lower case, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(outside_entities(text), F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _all_beside(kind: str) -> Column:
-    return F.flatten(F.transform(kind, lambda s: _beside(F.col("text"), kind, s)))
+def _entities(kind: str) -> Column:
+    return F.transform(kind, lambda s: F.concat(F.lit(kind + ":"), F.lower(s["found"])))
 
 
 def _written(kind: str, spans: Column) -> Column:
@@ -88,31 +77,40 @@ def _written(kind: str, spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Fixed kinds of every whole text and the terms beside them, written once."""
+    """Fixed kinds of every whole text; the entities and terms of texts that hold any. Written once."""
     rows = id_and_text(docs, id_col, text_col)
     for kind in KINDS:
         rows = rows.withColumn(kind, base_spans(F.col("text"), kind))
     some = F.size(F.concat(*KINDS)) > 0
-    beside = F.concat(*[_all_beside(kind) for kind in KINDS])
     return materialize(rows.select(
-        "doc_id", F.when(some, F.md5(F.col("text").cast("binary"))).alias("text_key"),
+        "doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"),
         *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS],
         F.concat(*[_written(kind, F.col(kind)) for kind in KINDS]).alias("base"),
-        F.when(some, beside).otherwise(F.array().cast(_OCCURRENCE)).alias("beside")), "pii-scan")
+        F.when(some, F.array_distinct(F.concat(*[_entities(kind) for kind in KINDS]))).alias("entities"),
+        F.when(some, distinct_terms(F.col("text"))).alias("words")), "pii-scan")
 
 
 def disclosing_terms(docs: DataFrame, scanned: DataFrame, text_col: str, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
     """``(entity, term, pmi, own)``: terms whose pointwise mutual information with an entity exceeds the threshold.
 
-    Counts are of documents, over the whole corpus: with the entity, with the term, with the term beside the entity.
-    The information of the entity is ``own = log2(N / n_entity)``; a term that occurs only beside it reveals all of it.
+    Counts are of documents, over whole texts of the whole corpus: with the entity, with the term, with both. The
+    information of the entity is ``own = log2(N / n_entity)``; a term that occurs only with it reveals all of it.
+
+    Equal texts count together, and entities below the support go before they meet terms, as no term can reach it with
+    them. A common entity is dealt over ``SALTS`` places; pairs are added up in every task before they are shuffled.
     """
     total = scanned.count()
-    pairs = scanned.select(F.explode(F.array_distinct(F.transform("beside", lambda o: F.struct(o["entity"].alias("entity"), o["term"].alias("term"))))).alias("p"))
-    pairs = pairs.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_both"))
-    entities = pairs.where("term = ''").select("entity", F.col("n_both").alias("n_entity"))
-    pairs = pairs.where(F.col("n_both") >= support).where("term != ''")
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(?<!\p{L})\p{L}{4,40}+(?!\p{L})"), F.lit(0)))
+    texts = scanned.where("entities is not null").groupBy("text_key").agg(
+        F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words"))
+    texts = materialize(texts, "pii-texts")
+    held = texts.select("text_key", "copies", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("n_entity")).where(F.col("n_entity") >= support)
+    dealt = entities.select("entity", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    held = held.withColumn("salt", F.pmod(F.xxhash64("text_key"), F.lit(SALTS))).join(dealt, ["entity", "salt"], "left_semi")
+    pairs = held.select("text_key", "copies", "entity").join(texts.select("text_key", "words"), "text_key").select(
+        "entity", "copies", F.explode("words").alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_both")).where(F.col("n_both") >= support)
+    found = distinct_terms(F.coalesce(F.col(text_col), F.lit("")))
     terms = docs.select(F.explode(found).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     joined = pairs.join(terms, "term").join(entities, "entity")
     own = F.log2(F.lit(float(total)) / F.col("n_entity"))
@@ -124,26 +122,30 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     """One row per document: counts and spans of the fixed kinds, and the spans of terms that disclose them.
 
     ``base`` lists the fixed spans as ``kind:start:end`` by kind (email, ip, card, phone), then start; ``terms`` lists
-    ``term:start:end`` by start. Places count code points, ends are exclusive.
+    ``term:start:end`` by start. Places count code points, ends are exclusive. A term that discloses any entity is
+    listed wherever it stands, also in documents without the entity; letters of an address are no terms.
 
     A null text counts as empty and has no spans. Rows that repeat a key and a text get the same answer; null keys
     are kept. An empty table gives an empty result; other columns are left out.
     """
     scanned = scan(docs, id_col, text_col)
-    told = disclosing_terms(docs, scanned, text_col, support, alpha).select("entity", "term")
-    places = scanned.where("text_key is not null").select("doc_id", "text_key", F.explode("beside").alias("o")).where("o.term != ''")
-    hits = places.select("doc_id", "text_key", "o.*").join(told, ["entity", "term"], "left_semi")
-    hits = hits.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set(F.struct("start", "end")).alias("found"))
-    terms = F.transform(F.array_sort("found"), lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"]))
-    joined = scanned.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    told = materialize(disclosing_terms(docs, scanned, text_col, support, alpha).select("term").distinct(), "pii-told")
+    rows = id_and_text(docs, id_col, text_col).select(
+        F.col("doc_id").alias("_id"), F.md5(F.col("text").cast("binary")).alias("_key"), "text")
+    named = rows.select("_key", F.explode(distinct_terms(F.col("text"))).alias("term")).join(told, "term", "left_semi")
+    named = materialize(named.groupBy("_key").agg(F.collect_set("term").alias("told")), "pii-named")
+    spans = F.filter(find_spans(outside_entities(F.col("text")), TERM), lambda s: F.array_contains("told", F.lower(s["found"])))
+    marks = rows.select("_key", "text").dropDuplicates(["_key"]).join(named, "_key").select("_key", F.transform(
+        spans, lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"])).alias("terms"))
+    joined = scanned.join(marks, F.col("text_key") == F.col("_key"), "left")
     return joined.select("doc_id", "text_key", *[f"n_{kind}" for kind in KINDS], "base",
-                         F.coalesce(terms, F.array().cast("array<string>")).alias("terms"))
+                         F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``(doc_id, text)``: every found span is generalised to its kind in brackets; overlapping spans become one."""
     rows = id_and_text(docs, id_col, text_col)
-    marks = find(docs, id_col, text_col, **options).where("text_key is not null").select(
+    marks = find(docs, id_col, text_col, **options).where((F.size("base") > 0) | (F.size("terms") > 0)).select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.concat("base", "terms").alias("marks")).dropDuplicates(["_id", "_key"])
     joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(F.col("text").cast("binary")) == F.col("_key")), "left")
     spans = F.array_sort(F.transform(F.coalesce("marks", F.array().cast("array<string>")), lambda m: F.struct(
