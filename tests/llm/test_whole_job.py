@@ -6,7 +6,7 @@ from collections import Counter
 import regex
 
 from tests.llm.test_operators import brute_personal
-from turnledger.llm import pii
+from turnledger.llm import licenses, pii
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -60,3 +60,22 @@ def test_terms_far_from_their_entity_and_without_it(spark):
     assert sorted(t for i, t in found if i is None) == [[], ["term:0:8"]]
     clean = [r.text for r in pii.sanitise(df).where("doc_id = 11 or doc_id is null").collect()]
     assert sorted(clean) == ["", "[TERM]", "[TERM]: seen"]
+
+
+# ---- op10_license_scan --------------------------------------------------------------------------------------------
+
+def labels_of(spark, cases):
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()
+    return {cases[r.doc_id]: r for r in rows}
+
+
+def test_every_identifier_of_an_expression(spark):
+    cases = {"SPDX-License-Identifier: MIT OR Apache-2.0": {"mit", "apache-2.0"}, "SPDX-License-Identifier: Apache-2.0 OR MIT": {"mit", "apache-2.0"},
+             "é SPDX-License-Identifier: (GPL-2.0-only OR BSD-3-Clause)": {"gpl-2.0", "bsd-3-clause"},
+             "/* SPDX-License-Identifier: ((GPL-2.0+ WITH Linux-syscall-note) AND (MIT OR CC-BY-4.0)) */": {"gpl-2.0", "mit", "cc-by"},
+             "spdx-license-identifier:ISC.": {"isc"}, "SPDX-License-Identifier: MITX": set(), "SPDX-License-Identifier: " + "MIT OR " * 5000 + "ISC": {"mit", "isc"}}
+    for text, row in labels_of(spark, list(cases)).items():
+        assert set(row.labels) == cases[text], text[:80]
+        assert (row.score == 1.0) == bool(cases[text])
+    row = labels_of(spark, ["é SPDX-License-Identifier: MIT OR Apache-2.0"]).popitem()
+    assert [(row[0][s.start:s.end], s.label) for s in row[1].spdx] == [("MIT", "mit"), ("Apache-2.0", "apache-2.0")]

@@ -81,6 +81,11 @@ _ROOTS = ("licen", "spdx", "permission is hereby", "permission to use", "redistr
           ".tk/", "unlicense.org", "wtfpl.net", "gpl", "clause bsd")
 
 
+# A whole licence expression, brackets included, and the identifiers in it.
+SPDX = r"(?i)spdx-license-identifier:[\s(]*+[a-z0-9.+-]++(?:[ \t)]++(?:or|and|with)[\s(#*/;%!|]++[a-z0-9.+-]++)*+"
+_IDENTIFIER = r"(?i)[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?"
+
+
 @dataclass(frozen=True)
 class Signature:
     label: str
@@ -90,22 +95,27 @@ class Signature:
     score: float
 
 
+def families() -> list[tuple[str, str, str, str, str]]:
+    """The listed families and those of the attribution licences."""
+    made = []
+    for terms in _TERMS:
+        spelled = "[- ]+".join(_WORDS[t] for t in terms.split("-"))
+        made.append((f"cc-{terms}", "creative", rf"creative commons {spelled}(?: [0-9.]+)?(?: international| generic| unported)?(?: licen[cs]e)?",
+                     rf"cc-{terms}-[0-9]\.[0-9]", rf"creativecommons\.org/licenses/{terms}/"))
+    return [*FAMILIES, *made]
+
+
 def signatures() -> list[Signature]:
     """All rules in order; the forms of a family are made from its patterns. The more a form says, the higher it ranks."""
     rules = [Signature(label, keyword, pattern, 60, 0.9) for label, keyword, pattern in TEXTS]
-    families = [*FAMILIES]
     for terms in _TERMS:
-        spelled = "[- ]+".join(_WORDS[t] for t in terms.split("-"))
         short = terms.replace("-", "[- ]")
-        families.append((f"cc-{terms}", "creative", rf"creative commons {spelled}(?: [0-9.]+)?(?: international| generic| unported)?(?: licen[cs]e)?",
-                         rf"cc-{terms}-[0-9]\.[0-9]", rf"creativecommons\.org/licenses/{terms}/"))
         rules += [Signature(f"cc-{terms}", gate, rf"\bcc[- ]{short}(?![- ]?(?:nc|sa|nd)\b)\b(?:[- ][0-9]\.[0-9])?", 30 + len(terms), 0.8)
                   for gate in ("cc by", "cc-by")]
         rules += [Signature(f"cc-{terms}", gate, rf"licen[cs]ed under (?:a |the )?cc[- ]{short}(?![- ]?(?:nc|sa|nd)\b)\b(?:[- ][0-9]\.[0-9])?", 70, 1.0)
                   for gate in ("cc by", "cc-by")]
-    for label, keyword, name, identifier, address in families:
+    for label, keyword, name, _, address in families():
         rules += [
-            Signature(label, "spdx", rf"spdx-license-identifier: ?(?:[a-z0-9.-]+ (?:or|and) )*(?:{identifier})(?![a-z0-9.-]*[a-z0-9])", 90, 1.0),
             Signature(label, keyword, rf"licen[cs]ed under (?:the (?:terms of )?(?:the )?|an? )?(?:{name})", 80, 1.0),
             Signature(label, keyword, rf"(?:released|distributed|available|published|provided) under (?:the (?:terms (?:and conditions )?of )?(?:the )?|an? )?(?:{name})", 75, 1.0),
             Signature(label, keyword, rf"(?:terms|conditions|copy) of (?:the )?(?:{name})", 65, 0.9),
@@ -114,6 +124,20 @@ def signatures() -> list[Signature]:
     return rules
 
 
+def identifiers(text: Column, lowered: Column) -> Column:
+    """``array<struct<start, end, label>>``: every known identifier of every licence expression, at its own place."""
+    known = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f"(?i)^(?:{identifier})$").alias("pattern"))
+                      for label, _, _, identifier, _ in families()])
+
+    def named(expression: Column) -> Column:
+        return F.flatten(F.transform(find_spans(expression["found"], _IDENTIFIER), lambda s: F.transform(
+            F.filter(known, lambda k: F.rlike(s["found"], k["pattern"])), lambda k: F.struct(
+                (expression["start"] + s["start"]).alias("start"), (expression["start"] + s["end"]).alias("end"), k["label"].alias("label")))))
+
+    none = F.array().cast("array<struct<start: bigint, end: bigint, label: string>>")
+    return F.when(F.contains(lowered, F.lit("spdx")), F.flatten(F.transform(find_spans(text, SPDX), named))).otherwise(none)
+
+
 def _rules_column(rules: list[Signature]) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("place"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"),
                               F.lit("(?i)" + r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"))
@@ -163,8 +187,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: fixed phrases by word, detections of the rules, and the labels of both.
 
     ``n_words`` counts words of the whole text. ``base`` holds word numbers and labels of the fixed phrases,
-    ``detections`` the intervals that remain after suppression; ``score`` is the highest score of a detection, 0.5
-    for a text with fixed phrases only, else 0.
+    ``detections`` the intervals that remain after suppression, ``spdx`` every identifier of a licence expression;
+    ``score`` is 1 with such an identifier, else the highest score of a detection, 0.5 for a text with fixed phrases
+    only, else 0.
 
     All work is local to a row: no shuffle, and no row is dropped. A null text counts as empty and gives zeros, nulls
     and empty labels. Null keys and repeated rows are kept. Other columns are left out.
@@ -176,10 +201,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     none = F.array().cast("array<struct<start: bigint, end: bigint, priority: int, place: int, label: string, score: double>>")
     rows = rows.select(
         "doc_id", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"),
-        base_places(F.col("lowered")).alias("base"),
+        base_places(F.col("lowered")).alias("base"), identifiers(F.col("text"), F.col("lowered")).alias("spdx"),
         F.when(gate, detections(F.col("text"), F.col("lowered"), signatures())).otherwise(none).alias("detections"))
     own = F.transform("base", lambda p: p["label"])
     return rows.select(
-        "doc_id", "n_words", "base", "detections", F.array_sort(F.array_distinct(own)).alias("base_labels"),
-        F.array_sort(F.array_distinct(F.concat(own, F.transform("detections", lambda d: d["label"])))).alias("labels"),
-        F.coalesce(F.array_max(F.transform("detections", lambda d: d["score"])), F.when(F.size("base") > 0, 0.5).otherwise(0.0)).alias("score"))
+        "doc_id", "n_words", "base", "detections", "spdx", F.array_sort(F.array_distinct(own)).alias("base_labels"),
+        F.array_sort(F.array_distinct(F.concat(own, *[F.transform(c, lambda d: d["label"]) for c in ("detections", "spdx")]))).alias("labels"),
+        F.when(F.size("spdx") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("detections", lambda d: d["score"])), F.when(F.size("base") > 0, 0.5).otherwise(0.0))).alias("score"))
