@@ -79,3 +79,14 @@ def test_every_identifier_of_an_expression(spark):
         assert (row.score == 1.0) == bool(cases[text])
     row = labels_of(spark, ["é SPDX-License-Identifier: MIT OR Apache-2.0"]).popitem()
     assert [(row[0][s.start:s.end], s.label) for s in row[1].spdx] == [("MIT", "mit"), ("Apache-2.0", "apache-2.0")]
+
+
+def test_wrapped_notices(spark):
+    cases = {"under the terms of the GNU Lesser General Public\nLicense as published by": "lgpl", "the Mozilla Public\n# License": "mpl",
+             " * Redistribution and\n * use in source\n * and binary  forms": "bsd", "Permission is hereby\n// granted, free of charge, to any person\tobtaining a copy": "mit",
+             "Licensed under the Apache License,\n Version 2.0": "apache-2.0", "all\r\n-- rights\r\n-- reserved": "all-rights-reserved",
+             "the GNU General Public License as published by\n * the Free Software Foundation, either\n * version 3 of the License": "gpl-3.0",
+             "the GNU General Public License as published by\n * the Free Software Foundation; either\n *  version 2 of the License": "gpl-2.0",
+             "Creative Commons Attribution-\nShareAlike 4.0": "cc-by-sa", "under CC\nBY-SA 4.0": "cc-by-sa", "do what the **** you want to\npublic license": "wtfpl"}
+    for text, row in labels_of(spark, list(cases)).items():
+        assert cases[text] in row.labels, text

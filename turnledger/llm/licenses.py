@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +20,8 @@ FAMILIES = (
     ("mit", "mit", r"mit(?: open source)? licen[cs]e", r"mit", r"opensource\.org/licenses/mit"),
     ("agpl", "affero", r"(?:gnu )?affero general public licen[cs]e", r"agpl-[13]\.0(?:-only|-or-later)?", r"gnu\.org/licenses/agpl"),
     ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[cs]e", r"lgpl-(?:2\.[01]|3\.0)(?:-only|-or-later)?", r"gnu\.org/licenses/lgpl"),
-    ("gpl-3.0", "general public", r"(?:gnu )?general public licen[cs]e,?(?: as published by [^.]{0,60},)?(?: either)? (?:version|v\.?) ?3(?:\.0)?", r"gpl-3\.0(?:-only|-or-later)?", r"gnu\.org/licenses/gpl-3"),
-    ("gpl-2.0", "general public", r"(?:gnu )?general public licen[cs]e,?(?: as published by [^.]{0,60},)?(?: either)? (?:version|v\.?) ?2(?:\.0)?", r"gpl-2\.0(?:-only|-or-later)?", r"gnu\.org/licenses/gpl-2|gnu\.org/licenses/old-licenses/gpl-2"),
+    ("gpl-3.0", "general public", r"(?:gnu )?general public licen[cs]e,?(?: as published by [^.]{0,60}[,;])?(?: either)? (?:version|v\.?) ?3(?:\.0)?", r"gpl-3\.0(?:-only|-or-later)?", r"gnu\.org/licenses/gpl-3"),
+    ("gpl-2.0", "general public", r"(?:gnu )?general public licen[cs]e,?(?: as published by [^.]{0,60}[,;])?(?: either)? (?:version|v\.?) ?2(?:\.0)?", r"gpl-2\.0(?:-only|-or-later)?", r"gnu\.org/licenses/gpl-2|gnu\.org/licenses/old-licenses/gpl-2"),
     ("gpl", "general public", r"(?:gnu )?general public licen[cs]e", r"gpl-1\.0(?:-only|-or-later)?", r"gnu\.org/licenses/gpl"),
     ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[cs]e", r"gfdl-1\.[123](?:-only|-or-later)?", r"gnu\.org/licenses/fdl"),
     ("bsd-3-clause", "bsd", r"(?:3|three)[- ]clause bsd|(?:modified|new|revised) bsd licen[cs]e", r"bsd-3-clause", r"opensource\.org/licenses/bsd-3-clause"),
@@ -85,6 +85,10 @@ _ROOTS = ("licen", "spdx", "permission is hereby", "permission to use", "redistr
 SPDX = r"(?i)spdx-license-identifier:[\s(]*+[a-z0-9.+-]++(?:[ \t)]++(?:or|and|with)[\s(#*/;%!|]++[a-z0-9.+-]++)*+"
 _IDENTIFIER = r"(?i)[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?"
 
+# A space of a pattern: white space, over line ends with the comment marks that may follow.
+_MARKS = r"\s*#/;%!|>-"
+_GAP = rf"(?:\s[{_MARKS}]*)"
+
 
 @dataclass(frozen=True)
 class Signature:
@@ -95,6 +99,19 @@ class Signature:
     score: float
 
 
+def _spaced(pattern: str) -> str:
+    """The pattern with a gap for every space, so that a mention may break over lines."""
+    pattern = pattern.replace("[- ]+", f"[{_MARKS}]+")
+    for either in ("[- ]", "[ -]"):
+        pattern = pattern.replace(either, f"(?:-|{_GAP})")
+    return pattern.replace(" ", _GAP)
+
+
+def squeezed(lowered: Column) -> Column:
+    """The text with one space for every gap; keywords are sought in it."""
+    return F.regexp_replace(lowered, rf"\s[{_MARKS}]*+", " ")
+
+
 def families() -> list[tuple[str, str, str, str, str]]:
     """The listed families and those of the attribution licences."""
     made = []
@@ -121,7 +138,7 @@ def signatures() -> list[Signature]:
             Signature(label, keyword, rf"(?:terms|conditions|copy) of (?:the )?(?:{name})", 65, 0.9),
             Signature(label, keyword, rf"\b(?:{name})", 40, 0.8),
             Signature(label, "://", rf"https?://(?:www\.|choosealicense\.)?(?:{address})", 50, 0.9)]
-    return rules
+    return [replace(r, pattern=_spaced(r.pattern)) for r in rules]
 
 
 def identifiers(text: Column, lowered: Column) -> Column:
@@ -144,10 +161,10 @@ def _rules_column(rules: list[Signature]) -> Column:
                      for i, r in enumerate(rules)])
 
 
-def detections(text: Column, lowered: Column, rules: list[Signature]) -> Column:
-    """What the rules find in a text: only rules whose keyword occurs are tried, and a detection inside the interval of
+def detections(text: Column, keywords: Column, rules: list[Signature]) -> Column:
+    """What the rules find in a text: only rules whose keyword occurs in ``keywords`` (the squeezed text) are tried, and a detection inside the interval of
     one that ranks higher (priority, then length, then order of the rules) is dropped."""
-    tried = F.filter(_rules_column(rules), lambda r: F.contains(lowered, r["keyword"]))
+    tried = F.filter(_rules_column(rules), lambda r: F.contains(keywords, r["keyword"]))
     found = F.flatten(F.transform(tried, lambda r: F.transform(find_spans(text, r["pattern"]), lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), r["priority"].alias("priority"), r["place"].alias("place"),
         r["label"].alias("label"), r["score"].alias("score")))))
@@ -194,15 +211,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     All work is local to a row: no shuffle, and no row is dropped. A null text counts as empty and gives zeros, nulls
     and empty labels. Null keys and repeated rows are kept. Other columns are left out.
     """
-    rows = id_and_text(docs, id_col, text_col).withColumn("lowered", F.lower("text"))
+    rows = id_and_text(docs, id_col, text_col).withColumn("lowered", F.lower("text")).withColumn("keywords", squeezed(F.col("lowered")))
     gate = F.lit(False)
     for root in _ROOTS:
-        gate = gate | F.contains(F.col("lowered"), F.lit(root))
+        gate = gate | F.contains(F.col("keywords"), F.lit(root))
     none = F.array().cast("array<struct<start: bigint, end: bigint, priority: int, place: int, label: string, score: double>>")
     rows = rows.select(
         "doc_id", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"),
         base_places(F.col("lowered")).alias("base"), identifiers(F.col("text"), F.col("lowered")).alias("spdx"),
-        F.when(gate, detections(F.col("text"), F.col("lowered"), signatures())).otherwise(none).alias("detections"))
+        F.when(gate, detections(F.col("text"), F.col("keywords"), signatures())).otherwise(none).alias("detections"))
     own = F.transform("base", lambda p: p["label"])
     return rows.select(
         "doc_id", "n_words", "base", "detections", "spdx", F.array_sort(F.array_distinct(own)).alias("base_labels"),
