@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnledger.llm import quality
 from turnledger.llm.bpe import decode, encode
-from turnledger.llm.common import keep_rows, read
+from turnledger.llm.common import read
 from turnledger.llm.exact_dedup import exact_duplicates
 from turnledger.llm.language_id import held_out
 from turnledger.llm.mixing import mix
@@ -25,14 +25,32 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model, out="_score").where(F.col("_score") >= QUALITY_THRESHOLD).drop("_score")
 
 
+def with_row_ids(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` (read from Parquet files) and ``_row``, which no two rows share: the number of the file, the row in it."""
+    files = sorted(r[0] for r in docs.select(F.col("_metadata.file_path")).distinct().collect())
+    numbers = spark.createDataFrame(list(enumerate(files)), "_number long, _file string")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    return placed.join(F.broadcast(numbers), "_file").select(*docs.columns, (F.shiftleft("_number", 40) + F.col("_index")).alias("_row"))
+
+
+def keep_first(rows: DataFrame, groups: DataFrame, *order) -> DataFrame:
+    """The first row of every group in the order of ``order``, key (null last) and place. ``groups``: ``_row``, ``_group``."""
+    ranked = F.struct(*order, F.col("doc_id").isNull().alias("keyless"), "doc_id", "_row")
+    first = rows.select("_row", ranked.alias("_rank")).join(groups, "_row").groupBy("_group").agg(F.min("_rank").alias("_rank"))
+    return rows.join(first.select("_rank._row"), "_row", "left_semi").drop("_row")
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of equal texts."""
-    return keep_rows(docs, exact_duplicates(docs).where("kept"))
+    """One document of every group of equal texts: the longest, then the smallest key. Rows are told apart by place."""
+    rows = with_row_ids(spark, docs)
+    groups = exact_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("_group"))
+    return keep_first(rows, groups, (-F.length(F.coalesce("text", F.lit("")))).alias("shortness"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates."""
-    return keep_rows(docs, near_duplicates(docs).where("kept"))
+    """One document of every group of near-duplicates: the smallest key. Rows are told apart by place."""
+    rows = with_row_ids(spark, docs)
+    return keep_first(rows, near_duplicates(rows, "_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

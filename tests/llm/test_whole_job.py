@@ -5,8 +5,10 @@ from collections import Counter
 
 import regex
 
+import corpus_pipeline
 from tests.llm.test_operators import brute_personal
 from turnledger.llm import licenses, pii
+from turnledger.session import materialize
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -90,3 +92,20 @@ def test_wrapped_notices(spark):
              "Creative Commons Attribution-\nShareAlike 4.0": "cc-by-sa", "under CC\nBY-SA 4.0": "cc-by-sa", "do what the **** you want to\npublic license": "wtfpl"}
     for text, row in labels_of(spark, list(cases)).items():
         assert cases[text] in row.labels, text
+
+
+# ---- pipeline -----------------------------------------------------------------------------------------------------
+
+def test_dedup_stages_keep_one_row_of_each_group(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "clean and unique"), (None, "one copy"), (None, "one  copy"), (7, "same key, first text"), (7, "same key, other text"),
+            (8, "ingested twice"), (8, "ingested twice"), (9, words + " a"), (9, words + " b"), (None, words + " c"), (3, "one copy"), (None, None)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "test-dedup")
+    exact = materialize(corpus_pipeline.drop_exact_copies(spark, docs, SMALL), "test-exact")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = [r for i, r in enumerate(rows) if i not in (1, 6, 10)]
+    assert sorted(map(tuple, exact.collect()), key=key) == sorted(want, key=key)
+    near = sorted(map(tuple, corpus_pipeline.drop_near_copies(spark, exact, SMALL).collect()), key=key)
+    long = [r for r in near if r[1] and r[1].startswith("w0 ")]
+    assert len(long) == 1 and long[0][0] == 9
+    assert [r for r in near if r not in long] == sorted((r for r in want if not (r[1] or "").startswith("w0 ")), key=key)
