@@ -244,7 +244,7 @@ def test_exports(spark, entries, tmp_path):
     assert text.startswith("---\nsession_id: s1\nproject: work/app") and "# Fix the bug: now" in text
     assert "## User — 10:00:00\n\nFix the bug: now" in text
     sinks.write_markdown(lines, f"{tmp_path}/md")
-    assert spark.read.text(f"{tmp_path}/md").select("file_name").distinct().count() == 3
+    assert spark.read.parquet(f"{tmp_path}/md").select("file_name").distinct().count() == 3
 
 
 def test_markdown_name_collisions(spark):

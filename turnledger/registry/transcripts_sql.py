@@ -10,7 +10,9 @@ ENTRIES = """, t AS (
   account % 5 = 4 AS is_sub, event_type AS et, k, ts_ms AS t0, model, display, p_in, p_out, p_rd, p_5m, p_1h, input_tokens, output_tokens AS o,
   cache_read, cache_creation, cache_1h, cost_nusd, 'dev/proj' || (account % 7) AS proj,
   CASE WHEN k = 99 AND event_type = 'purchase' THEN NULL ELSE ts_ms END AS ts,
-  CASE WHEN account % 6 = 1 AND account % 5 <> 4 THEN ord // 2 * 4 + ord % 2 * 281474976710656 ELSE ord * 4 END AS ob,
+  -- Sessions of two files: the second follows the first, where the session has a first one.
+  CASE WHEN account % 6 = 1 AND account % 5 <> 4 THEN ord // 2 * 4 + CASE WHEN ord % 2 = 1 AND min(ord % 2) OVER (PARTITION BY session_id) = 0
+   THEN 281474976710656 ELSE 0 END ELSE ord * 4 END AS ob,
   ['Read', 'Bash', 'Edit', 'Grep'] AS tl FROM led),
 resp AS (SELECT *, ob AS ord, NOT (et = 'purchase' AND k % 10 = 0) AS has_usage,
   CASE WHEN et = 'error' THEN [tl[k % 4 + 1]] WHEN et = 'view' THEN [tl[(k + p) % 4 + 1] for p in range(k % 6)]
@@ -195,7 +197,7 @@ SQL = {
     "day_dividers": q("""SELECT sid AS session_id, ord, CAST(day AS VARCHAR) AS day FROM (SELECT *, lag(day) OVER (PARTITION BY sid ORDER BY ord) AS pd FROM
      (SELECT sid, ord, CAST(DATE '1970-01-01' + CAST(ts // 86400000 AS INT) AS DATE) AS day FROM msg WHERE ts IS NOT NULL)) WHERE pd IS NULL OR pd <> day""", MESSAGES),
     "command_output_tokens": q("""SELECT sid AS session_id, ord, '/compact now' AS command, CAST(coalesce((SELECT sum(a.o) FROM ans a WHERE a.sid = m.sid AND a.ord > m.ord
-      AND a.ord < coalesce((SELECT min(n.ord) FROM msg n WHERE n.sid = m.sid AND n.ord > m.ord AND n.role IN ('user', 'command')), 9000000000000)), 0) AS BIGINT) AS output_tokens
+      AND a.ord < coalesce((SELECT min(n.ord) FROM msg n WHERE n.sid = m.sid AND n.ord > m.ord AND n.role IN ('user', 'command')), 9223372036854775807)), 0) AS BIGINT) AS output_tokens
      FROM msg m WHERE role = 'command'""", MESSAGES),
     "flow_nodes": q("""SELECT sid AS session_id, 'main' AS node_id, 'main' AS type, 'Claude' AS name, CAST(coalesce(i, 0) AS BIGINT) AS input_tokens,
       CAST(coalesce(o, 0) AS BIGINT) AS output_tokens, CAST(coalesce(r, 0) AS BIGINT) AS cache_read, CAST(coalesce(w, 0) AS BIGINT) AS cache_creation,
