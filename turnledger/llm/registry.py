@@ -11,10 +11,12 @@ from turnledger.llm.common import read
 from turnledger.llm.embedding_dedup import embedding_duplicates
 from turnledger.llm.exact_dedup import exact_duplicates
 from turnledger.llm.licenses import scan_licenses
+from turnledger.llm.manifest import manifest, without_line_ends
 from turnledger.llm.mixing import mix
 from turnledger.llm.near_dedup import near_duplicates
 from turnledger.llm.registry_sql import SQL as SQL
 from turnledger.llm.sharding import shard
+from turnledger.llm.whitening import whiten
 
 
 def op1_pii(spark, sf_dir):
@@ -73,10 +75,18 @@ def op10_license_scan(spark, sf_dir):
                         F.array_join("labels", ",").alias("labels"), "score")
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return manifest(read(spark, sf_dir, "documents"), without_line_ends(F.col("doc_id"), F.col("text")))
+
+
+def op13_embedding_whitening(spark, sf_dir):
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_mixing, op3_sharding, op4_language_id, op5_bpe, op6_quality_classifier, op7_minhash_near_dedup,
-    op8_embedding_near_dedup, op9_exact_dedup, op10_license_scan, pipeline)}
+    op8_embedding_near_dedup, op9_exact_dedup, op10_license_scan, op11_merkle_manifest, op13_embedding_whitening, pipeline)}

@@ -40,18 +40,67 @@ slots AS (SELECT names[chosen] AS mix_class, block, release, due, slot FROM run,
 SELECT doc_id, source, n.mix_class, row_in_class, n.row_in_class // 64 AS block, release, due, slot, row_in_class % 64 AS place
 FROM numbered n JOIN slots s ON s.mix_class = n.mix_class AND s.block = n.row_in_class // 64"""
 
+_CRC_TABLE = """crc_table AS (  -- CRC-32, polynomial 0xEDB88320, one entry per byte
+  SELECT list(value ORDER BY byte) AS t FROM (
+    SELECT byte, list_reduce(list_prepend(byte, range(8)),
+             lambda v, bit: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)) AS value
+    FROM range(256) AS r(byte)))"""
+
+
+def _leaf(text: str) -> str:
+    parts = [f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END"
+             for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _others(hashes: str, place: str) -> tuple[str, str]:
+    return f"array_to_string({hashes}[1:{place}], '')", f"array_to_string({hashes}[{place} + 2:], '')"
+
+
+def _climb(start: str, runs: str, match: str) -> str:
+    before, after = _others("hs", "c.i % 3")
+    return f"""{start}
+  UNION ALL
+  SELECT c.doc_id, c.source, c.l + 1, c.i // 3, sha256({before} || c.h || {after}), c.proof || {before} || {after}
+  FROM {{self}} c JOIN {runs} r ON r.l = c.l AND r.run = c.i // 3{match}"""
+
+
+_OP11 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+marked AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda p: unicode(substr(doc_id::VARCHAR, p, 1))::BIGINT)),
+              lambda crc, byte: xor(crc >> 8, t[(xor(crc, byte) & 255) + 1])), 4294967295) % 2 = 0 AS bends
+  FROM documents, crc_table),
+leaves AS (
+  SELECT doc_id, source, {_leaf('text')} AS leaf, {_leaf("(CASE WHEN bends THEN replace(text, chr(10), '') ELSE text END)")} AS bent,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+  FROM marked),
+tree AS (
+  SELECT source, 0 AS l, i, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT source, l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM tree WHERE n > 1 GROUP BY source, l, i // 3, n),
+subroots AS (
+  SELECT source, h AS subroot, l, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS j, count(*) OVER () AS m FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS l, j AS i, subroot AS h, m AS n FROM subroots
+  UNION ALL
+  SELECT l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY l, i // 3, n),
+runs AS (SELECT source, l, i // 3 AS run, list(h ORDER BY i) AS hs FROM tree WHERE n > 1 GROUP BY source, l, i // 3),
+top_runs AS (SELECT l, i // 3 AS run, list(h ORDER BY i) AS hs FROM top WHERE n > 1 GROUP BY l, i // 3),
+low AS ({_climb("SELECT doc_id, source, 0 AS l, i, bent AS h, '' AS proof FROM leaves", "runs", " AND r.source IS NOT DISTINCT FROM c.source").format(self="low")}),
+high AS ({_climb("SELECT low.doc_id, low.source, 0 AS l, s.j AS i, low.h, low.proof FROM low JOIN subroots s ON s.source IS NOT DISTINCT FROM low.source AND s.l = low.l", "top_runs", "").format(self="high")})
+SELECT leaves.doc_id, leaves.leaf, subroot, top.h AS root, sha256(high.proof) AS proof_sha256, high.h AS folded_root, high.h = top.h AS verified
+FROM leaves JOIN subroots s ON s.source IS NOT DISTINCT FROM leaves.source JOIN top ON top.n = 1 JOIN high ON high.doc_id = leaves.doc_id AND high.l = top.l"""
+
 SQL = {
+    "op11_merkle_manifest": _OP11,
     "op2_mixing": _OP2,
     "op3_sharding": f"""
 WITH placed AS (
   SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, coalesce(text, '') AS text,
          {_race(8)} AS shard, {_race(9)} AS grown_shard, substr(md5(doc_id::VARCHAR), 1, 3) AS bucket
   FROM documents),
-crc_table AS (  -- CRC-32, polynomial 0xEDB88320, one entry per byte
-  SELECT list(value ORDER BY byte) AS t FROM (
-    SELECT byte, list_reduce(list_prepend(byte, range(8)),
-             lambda v, bit: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)) AS value
-    FROM range(256) AS r(byte)))
+{_CRC_TABLE}
 SELECT doc_id, size::BIGINT AS size,
        xor(list_reduce(list_prepend(4294967295,
              list_transform(range(0, octet_length(encode(text)) * 2, 2), lambda i: ('0x' || substr(hex(encode(text)), i + 1, 2))::BIGINT)),
