@@ -88,31 +88,36 @@ def _per_block(df: DataFrame) -> DataFrame:
     return df.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), last)))
 
 
+FOLD = "unhex(sha2(CAST(concat(lower(hex({n}before)), lower(hex({c}folded)), lower(hex({n}after))) AS BINARY), 256))"
 CLIMB = """
 WITH RECURSIVE climb AS (
-  SELECT place, block, 0 AS step, 0 AS level, place AS first, folded, CAST('' AS BINARY) AS siblings FROM {leaves}
+  SELECT place, coalesce(parent_level, 0) AS level, parent_first AS first, if(parent_level IS NULL, folded, {fold_leaf}) AS folded,
+         coalesce(concat(before, after), CAST('' AS BINARY)) AS siblings, doc_id, leaf, start
+  FROM {leaves}
   UNION ALL
-  SELECT c.place, c.block, c.step + 1, n.parent_level, n.parent_first,
-         unhex(sha2(CAST(concat(lower(hex(n.before)), lower(hex(c.folded)), lower(hex(n.after))) AS BINARY), 256)),
-         concat(n.before, n.after)
-  FROM climb c JOIN {nodes} n ON n.block = c.block AND n.level = c.level AND n.first = c.first)
-SELECT place, max_by(folded, step) AS folded, array_sort(collect_list(struct(step, siblings))) AS steps FROM climb GROUP BY place
+  SELECT c.place, n.parent_level, n.parent_first, {fold_node}, concat(n.before, n.after), CAST(NULL AS {key}), CAST(NULL AS BINARY), CAST(NULL AS BIGINT)
+  FROM climb c JOIN {nodes} n ON n.block = c.place DIV {block} AND n.level = c.level AND n.first = c.first)
+SELECT place DIV {block} AS block, max(doc_id) AS doc_id, max(leaf) AS leaf, max(start) AS start, max_by(folded, level) AS folded,
+       sha2(CAST(lower(hex(aggregate(array_sort(collect_list(struct(level, siblings))), CAST('' AS BINARY), (a, s) -> concat(a, s.siblings)))) AS BINARY), 256) AS proof
+FROM climb GROUP BY place
 """
 
 
 def climb(leaves: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
-    """``(place, folded, steps)``: every leaf ascends by the links of the node rows in one recursive query.
+    """``(block, doc_id, leaf, start, folded, proof)``: every leaf ascends by the links of the node rows in one recursive query.
 
-    Each step appends the siblings of one level as a row and folds the leaf's hash with them. Spark stops recursive
+    ``leaves`` bring their own link; ``nodes`` hold the links above. Each step appends the siblings of one level as a
+    row and folds the leaf's hash with them; at the end the few rows of a leaf are put together. Spark stops recursive
     queries at a million rows unless told otherwise; that setting is lifted while the result is written.
     """
     spark, views = leaves.sparkSession, {"leaves": f"leaves_{uuid.uuid4().hex}", "nodes": f"nodes_{uuid.uuid4().hex}"}
-    limit = spark.conf.get(ROW_LIMIT, None)
+    limit, key = spark.conf.get(ROW_LIMIT, None), leaves.schema["doc_id"].dataType.simpleString()
     leaves.createOrReplaceTempView(views["leaves"])
     nodes.createOrReplaceTempView(views["nodes"])
     try:
         spark.conf.set(ROW_LIMIT, "-1")
-        return materialize(spark.sql(CLIMB.format(**views)), name)
+        return materialize(spark.sql(CLIMB.format(**views, key=key, block=BLOCK, fold_leaf=FOLD.format(n="", c=""),
+                                                  fold_node=FOLD.format(n="n.", c="c."))), name)
     finally:
         spark.conf.unset(ROW_LIMIT) if limit is None else spark.conf.set(ROW_LIMIT, limit)
         for view in views.values():
@@ -142,8 +147,7 @@ def manifest(docs: DataFrame, tampered: Column) -> DataFrame:
     starts = shares.select(F.col("_part").alias("_at"), F.col("source").alias("_name")).join(
         sources, F.col("_name").eqNullSafe(F.col("_source"))).drop("_name")
     leaves = placed.join(starts, (F.col("_part") == F.col("_at")) & F.col("source").eqNullSafe(F.col("_source")))
-    leaves = materialize(leaves.select("place", "start", "size", "doc_id", "leaf", "folded",
-                                       F.floor(F.col("place") / BLOCK).alias("block")), "manifest-leaves")
+    leaves = materialize(leaves.select("place", "start", "size", "doc_id", "leaf", "folded"), "manifest-leaves")
     biggest, count = sources.agg(F.max("size"), F.count(F.lit(1))).first()
 
     lowest = leaves.select(F.col("start").alias("tree"), "size", (F.col("place") - F.col("start")).alias("i"), F.lit(0).alias("level"),
@@ -156,16 +160,17 @@ def manifest(docs: DataFrame, tampered: Column) -> DataFrame:
     found = roots.first()
     root = F.lit(as_text(found["hash"]) if found else None).cast("string")
 
-    links = links + upper_links
-    empty = docs.sparkSession.createDataFrame([], "level int, first long, span long, parent_level int, parent_first long, before binary, after binary")
-    nodes = materialize(_per_block(reduce(DataFrame.unionByName, links, empty)), "manifest-nodes")
-    climbed = climb(leaves.select("place", "block", "folded"), nodes, "manifest-climb")
-    joined = F.aggregate("steps", F.lit(b"").cast("binary"), lambda done, s: F.concat(done, s["siblings"]))
+    none = docs.sparkSession.createDataFrame([], "level int, first long, span long, parent_level int, parent_first long, before binary, after binary")
+    links = reduce(DataFrame.unionByName, links + upper_links, none)
+    # Two thirds of all nodes are leaves: they take their link along, and only the others are searched at every step.
+    own = links.where("level = 0").select(F.col("first").alias("place"), "parent_level", "parent_first", "before", "after")
+    nodes = materialize(_per_block(links.where("level > 0")), "manifest-nodes")
+    climbed = climb(leaves.select("place", "start", "doc_id", "leaf", "folded").join(own, "place", "left"), nodes, "manifest-climb")
     tops = _per_block(subroots.select("first", "span", F.col("hash").alias("subroot"))).drop("span").withColumnRenamed("first", "start")
     folded = as_hex(F.col("folded"))
-    return (leaves.drop("folded").join(climbed, "place").join(tops, ["block", "start"]).select(
+    return climbed.join(tops, ["block", "start"]).select(
         "doc_id", as_hex(F.col("leaf")).alias("leaf"), as_hex(F.col("subroot")).alias("subroot"), root.alias("root"),
-        F.sha2(as_hex(joined).cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root"), (folded == root).alias("verified")))
+        F.col("proof").alias("proof_sha256"), folded.alias("folded_root"), (folded == root).alias("verified"))
 
 
 def as_text(value: bytes) -> str:
