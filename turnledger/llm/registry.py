@@ -16,6 +16,7 @@ from turnledger.llm.mixing import mix
 from turnledger.llm.near_dedup import near_duplicates
 from turnledger.llm.registry_sql import SQL as SQL
 from turnledger.llm.sharding import shard
+from turnledger.llm.substring_dedup import repeated_bytes
 from turnledger.llm.whitening import whiten
 
 
@@ -79,6 +80,11 @@ def op11_merkle_manifest(spark, sf_dir):
     return manifest(read(spark, sf_dir, "documents"), without_line_ends(F.col("doc_id"), F.col("text")))
 
 
+def op12_suffix_array_dedup(spark, sf_dir):
+    found = repeated_bytes(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op13_embedding_whitening(spark, sf_dir):
     return whiten(read(spark, sf_dir, "embeddings"))
 
@@ -89,4 +95,4 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_mixing, op3_sharding, op4_language_id, op5_bpe, op6_quality_classifier, op7_minhash_near_dedup,
-    op8_embedding_near_dedup, op9_exact_dedup, op10_license_scan, op11_merkle_manifest, op13_embedding_whitening, pipeline)}
+    op8_embedding_near_dedup, op9_exact_dedup, op10_license_scan, op11_merkle_manifest, op12_suffix_array_dedup, op13_embedding_whitening, pipeline)}
