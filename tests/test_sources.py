@@ -8,7 +8,7 @@ from turnledger.operators import attribution, projects, replay, sessions
 from turnledger.sources import sidefiles, sinks, transcripts
 from turnledger.sources.transcripts import SourceSpec
 from turnledger.session import materialize
-from turnledger.streaming import jobs
+from turnledger.streaming import ingest
 
 
 def put(path, *lines, raw=None):
@@ -259,12 +259,12 @@ def test_streaming_ingest(spark, tmp_path):
     put(f"{root}/p/s.jsonl", line, assistant("s", "m1", [{"type": "text", "text": "b"}], stamp(1), 9))
 
     def run():
-        jobs.ingest(jobs.ingest_lines(spark, root, "src"), f"{tmp_path}/out", f"{tmp_path}/ck").start().awaitTermination()
+        ingest.ingest(ingest.ingest_lines(spark, root, "src"), f"{tmp_path}/out", f"{tmp_path}/ck").start().awaitTermination()
 
     run()
     put(f"{root}/p/copy/s.jsonl", line, assistant("s", "m1", [use("t", "Read")], stamp(1), 12), user("s", "new line", stamp(2)))
     run()
-    rows = jobs.stored_entries(spark, f"{tmp_path}/out").orderBy("ord").collect()
+    rows = ingest.stored_entries(spark, f"{tmp_path}/out").orderBy("ord").collect()
     assert [(r.type, r.n_lines) for r in rows] == [("assistant", 3), ("user", 1)]
     assert rows[0].usage.output_tokens == 12 and [b.btype for b in rows[0].blocks] == ["text", "text", "tool_use"]
 
@@ -273,11 +273,36 @@ def test_equal_lines_of_a_stream_count_each(spark, tmp_path):
     """Lines are known by their place, not by their text, whatever the number of the batch."""
     root, again = f"{tmp_path}/in", user("s", "same words", stamp(3))
     put(f"{root}/p/s.jsonl", again, user("s", "other words", stamp(3)), again)
-    jobs.ingest(jobs.ingest_lines(spark, root, "src"), f"{tmp_path}/out", f"{tmp_path}/ck").start().awaitTermination()
-    os.rename(f"{tmp_path}/out/batch=0", f"{tmp_path}/out/batch=40000")
-    rows = jobs.stored_entries(spark, f"{tmp_path}/out").orderBy("ord").collect()
+    ingest.ingest(ingest.ingest_lines(spark, root, "src"), f"{tmp_path}/out", f"{tmp_path}/ck").start().awaitTermination()
+    rows = ingest.stored_entries(spark, f"{tmp_path}/out").orderBy("ord").collect()
     assert [r.content_text for r in rows] == ["same words", "other words", "same words"]
-    assert all(r.ord > 0 for r in rows)
+
+
+def test_only_touched_sessions_are_rewritten(spark, tmp_path):
+    root, out = f"{tmp_path}/in", f"{tmp_path}/out"
+
+    def arrive(name, *lines):
+        put(f"{root}/p/{name}.jsonl", *lines)
+        ingest.ingest(ingest.ingest_lines(spark, root, "src"), out, f"{tmp_path}/ck", 4).start().awaitTermination()
+        return {f"{d}/{f}" for d, _, files in os.walk(f"{out}/entries") for f in files if f.startswith("part-")}
+
+    before = arrive("a", *[user(f"s{i}", f"words {i}", stamp(i)) for i in range(12)])
+    after = arrive("b", user("s3", "more", stamp(40)))
+    kept, held = ({f.split("bucket=")[1].split("/")[0] for f in files} for files in (before & after, after))
+    assert len(held) > 2 and len(held - kept) == 1
+    rows = ingest.stored_entries(spark, out)
+    assert rows.count() == 13 and [r.content_text for r in rows.where("session_id = 's3'").orderBy("ord").collect()] == ["words 3", "more"]
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    root, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    put(f"{root}/p/s.jsonl", user("s", "one", stamp(1)), assistant("s", "m", [{"type": "text", "text": "a"}], stamp(2), 7), user("s", "one", stamp(1)))
+    lines = transcripts.scan_lines(spark, [transcripts.SourceSpec("src", root)])
+    ingest.absorb(lines, 0, out)
+    first = sorted(map(str, ingest.stored_entries(spark, out).collect()))
+    ingest.absorb(lines, 0, out)
+    ingest.absorb(lines.limit(0), 1, out)
+    assert len(first) == 3 and sorted(map(str, ingest.stored_entries(spark, out).collect())) == first
 
 
 def test_a_session_in_two_files(spark, tmp_path):

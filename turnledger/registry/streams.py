@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from turnledger.operators import limits
 from turnledger.registry.usage import ledger, one_account
 from turnledger.session import shared_folder
-from turnledger.streaming import jobs
+from turnledger.sources import tables
+from turnledger.streaming import ingest, jobs
 
 SENTINEL_MS = 4102444800000  # 2100-01-01
 CALLS = ("account", "session_id", "ord", "ts_ms", "model", "input_tokens", "output_tokens", "cache_read",
@@ -75,5 +76,30 @@ def stream_windows_5h(spark, sf):
     return _run(spark, base, jobs.windows_5h(rows)).where(F.col("account") != "~sentinel")
 
 
+def _arrivals(spark, sf):
+    """Derived transcript lines in three arrivals: first files; resumed sessions and most sub-agents; the other
+    sub-agents, and a copy of every tenth user's files under another path."""
+    lines = tables.transcript_lines(spark, sf)
+    user = F.regexp_extract("file_stem", "^u([0-9]+)_", 1).cast("long")
+    turn = (F.when(F.col("file_stem").endswith("_b"), 1).when(F.col("is_subagent") & (user % 10 == 4), 2)
+            .when(F.col("is_subagent"), 1).otherwise(0))
+    copies = lines.where(user % 10 == 0).withColumn("file_path", F.concat(F.lit("/later"), "file_path"))
+    return lines.withColumn("arrival", turn).unionByName(copies.withColumn("arrival", F.lit(2)))
+
+
+def stream_ingest(spark, sf):
+    """Entries after three runs of the ingest, each with the files that arrived since the last one."""
+    base = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    rows = _arrivals(spark, sf)
+    rows.write.partitionBy("arrival").parquet(f"{base}/all")
+    schema = rows.drop("arrival").schema
+    for arrival in range(3):
+        spark.read.schema(schema).parquet(f"{base}/all/arrival={arrival}").write.mode("append").parquet(f"{base}/in")
+        ingest.ingest(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/ck", 8).start().awaitTermination()
+    stored = ingest.stored_entries(spark, f"{base}/out")
+    return stored.select("session_id", "ord", "type", "n_lines", F.coalesce(F.size("blocks"), F.lit(0)).cast("long").alias("n_blocks"),
+                         F.coalesce("usage.output_tokens", F.lit(0)).alias("output_tokens"))
+
+
 QUERIES = {f.__name__: f for f in (stream_daily_cost, stream_weekly_cost, stream_usage_rate, stream_limit_clusters,
-                                   stream_windows_5h)}
+                                   stream_windows_5h, stream_ingest)}

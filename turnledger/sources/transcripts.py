@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnledger.functions.scalars import parse_ts_ms
-from turnledger.session import cut_lineage
+from turnledger.session import cut_lineage, materialize
 
 
 @dataclass(frozen=True)
@@ -218,8 +218,12 @@ def merge_streamed(entries: DataFrame) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, sources: Sequence[SourceSpec]) -> DataFrame:
-    """Scan, parse, de-duplicate and merge: the ``entries`` table of a list of sources."""
-    entries = parse_entries(scan_lines(spark, sources))
+    """Scan, parse, de-duplicate and merge: the ``entries`` table of a list of sources.
+
+    Every line is read and parsed once and written as typed columns; the search for claimed files and the merge read
+    the columns that they need from there.
+    """
+    entries = materialize(parse_entries(scan_lines(spark, sources)), "parsed-lines")
     entries = drop_claimed_files(entries)
     side = sidecars(spark, sources)
     entries = entries.join(side, ["source_rank", "file_stem"], "left")

@@ -1,4 +1,4 @@
-"""Live versions of daily and weekly cost, limit clusters, anchored windows and usage rate, and transcript ingest.
+"""Live versions of daily and weekly cost, limit clusters, anchored windows and usage rate.
 
 Prices are joined as a static dimension; every state is bounded by a watermark. Input needs ``event_time`` besides
 the columns of the batch twin.
@@ -10,13 +10,12 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from turnledger.functions.pricing import price_calls
 from turnledger.operators.limits import WINDOW_MS
-from turnledger.sources.transcripts import _with_provenance, line_order, merge_streamed, parse_entries, session_positions
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -125,44 +124,3 @@ def windows_5h(turns: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
-def ingest_lines(spark: SparkSession, path: str, source: str, source_rank: int = 0) -> DataFrame:
-    """New transcript files as a stream of bronze lines with their split offset."""
-    text = (spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
-            .select("value", F.col("_metadata.file_path").alias("file_path"),
-                    F.col("_metadata.file_size").alias("file_size"),
-                    F.col("_metadata.file_block_start").alias("block_start")))
-    return _with_provenance(text, source_rank, source, F.col("file_path"))
-
-
-def ingest(lines: DataFrame, table_path: str, checkpoint: str):
-    """Parse each micro-batch once and store it under its batch id; a replayed batch overwrites its own folder.
-
-    Line positions are taken directly on the scan of the batch, before any shuffle.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        ordered = batch.withColumn("ord", line_order(F.col("block_start"), F.monotonically_increasing_id()))
-        keyed = ordered.drop("block_start").where(F.trim("value") != "").withColumn(
-            "line_key", F.sha2(F.col("value").cast("binary"), 256))
-        parse_entries(keyed).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
-
-    return (lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True))
-
-
-def stored_entries(spark: SparkSession, table_path: str) -> DataFrame:
-    """Entries over all batches; responses that were split over batches become one entry of their session.
-
-    A transcript may arrive again as a longer copy under another path. A line is known by its file stem, its number in
-    the file and its text: equal lines of one file count each, a line of a later copy counts once. Files of a stem
-    follow each other in the order in which they came.
-    """
-    rows = spark.read.parquet(table_path).withColumn("batch", F.col("batch").cast("long"))
-    number = F.row_number().over(Window.partitionBy("batch", "file_path").orderBy("ord"))
-    rows = rows.withColumn("ord", number.cast("long"))
-    columns = [c for c in rows.columns if c not in ("file_stem", "ord", "line_key")]
-    first = F.min_by(F.struct(*columns), F.struct("batch", "file_path")).alias("e")
-    once = rows.groupBy("file_stem", "ord", "line_key").agg(first).select("file_stem", "ord", "e.*")
-    placed = session_positions(once, "file_stem", ("batch", "file_path")).drop("batch")
-    return merge_streamed(placed.withColumn("file_path", F.col("file_stem")))
