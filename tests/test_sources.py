@@ -4,7 +4,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from turnledger.functions.pricing import price_calls
 from turnledger.operators import attribution, projects, replay, sessions
+from turnledger.plans import accounts
 from turnledger.sources import sidefiles, sinks, transcripts
 from turnledger.sources.transcripts import SourceSpec
 from turnledger.session import materialize
@@ -319,3 +321,15 @@ def test_a_session_in_two_files(spark, tmp_path):
     marks = attribution.narration_tokens(e).where("type = 'assistant'").select("session_id", "ord", "is_narration")
     joined = turns.join(marks, ["session_id", "ord"])
     assert joined.count() == 4 and joined.agg(F.sum("output_tokens")).first()[0] == 400
+
+
+def test_account_usage_counts_sub_agents_once(spark, entries):
+    """An absorbed sub-agent spends on its parent's day and opens no window of its own, unless asked for."""
+    own, both = (accounts.account_usage(entries, F.lit("me"), include_subagents=s) for s in (False, True))
+    absorbed = sessions.owner_table(sessions.session_attributes(entries)).where("owner_id != session_id").select("session_id")
+    assert absorbed.count() > 0
+    seen = {r.session_id for r in own.turns.collect()}
+    assert not seen & {r.session_id for r in absorbed.collect()} and seen < {r.session_id for r in both.turns.collect()}
+    cost = own.daily_cost.agg(F.sum("cost_nusd")).first()[0]
+    assert cost == both.daily_cost.agg(F.sum("cost_nusd")).first()[0] == price_calls(both.turns.where("output_tokens > 0")).agg(F.sum("cost_nusd")).first()[0]
+    assert own.session_days.agg(F.sum("sessions")).first()[0] == sessions.session_rows(entries).count()

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from turnledger.config import EngineConfig, PlanPeriod
 from turnledger.functions.scalars import usd, utc_day
 from turnledger.operators import facts, filters, limits, series
-from turnledger.plans import billing
+from turnledger.plans import accounts, billing
 from turnledger.registry import usage
+from turnledger.registry.transcripts import silver
 from turnledger.registry.usage import AS_OF, MODELS, ledger, one_account, texted
 from turnledger.sources import tables
 
@@ -134,12 +135,7 @@ def tier_caps_override(spark, sf):
 
 
 def _hits(spark, sf):
-    windows, cycles = _windows(spark, sf), _cycles(spark)
-    caps = limits.tier_caps(windows)
-    dated = windows.withColumn("day", utc_day("start_ms"))
-    weeks = limits.weekly_buckets(one_account(ledger(spark, sf)), CFG.anchor_weekday)
-    return (limits.tier_hits(billing.on_cycles(dated, cycles, "day"), caps, billing.CYCLE_KEYS),
-            limits.weekly_hits(billing.on_cycles(weeks, cycles, "week"), caps, billing.CYCLE_KEYS))
+    return accounts.hits_on_cycles(_windows(spark, sf), one_account(ledger(spark, sf)), _cycles(spark), CFG.anchor_weekday)
 
 
 def tier_hits_by_cycle(spark, sf):
@@ -189,6 +185,48 @@ def fx_converted_cumulative(spark, sf):
     return texted(out, "day")
 
 
+# ---- the same from transcripts ------------------------------------------------------------------------------------
+
+def _account(spark, sf):
+    return accounts.account_usage(silver(spark, sf), F.lit("all"))
+
+
+def _account_windows(use):
+    return accounts.windows_with_hits(use.turns, use.events.drop("cluster_ms", "last_ms"), PLAN_HISTORY)
+
+
+def transcript_tier_caps(spark, sf):
+    return limits.tier_caps(_account_windows(_account(spark, sf)))
+
+
+def transcript_tier_hits(spark, sf):
+    use = _account(spark, sf)
+    by_window, by_week = accounts.hits_on_cycles(_account_windows(use), use.turns, _cycles(spark), CFG.anchor_weekday)
+    return by_window.join(by_week, billing.CYCLE_KEYS, "left")
+
+
+def _account_periods(spark, use):
+    return billing.plan_periods(_cycles(spark), use.daily_cost, use.session_days, CFG, use.events.select("account", "day"))
+
+
+def transcript_plan_periods(spark, sf):
+    use = _account(spark, sf)
+    current = billing.current_billing(use.daily_cost, use.session_days, CFG)
+    return _filled(billing.framed_periods(_account_periods(spark, use), current).drop("plan_ord", "cycle_ord"))
+
+
+def transcript_current_billing(spark, sf):
+    use = _account(spark, sf)
+    return _filled(billing.current_billing(use.daily_cost, use.session_days, CFG))
+
+
+def transcript_plan_recommendation(spark, sf):
+    use = _account(spark, sf)
+    hits = accounts.hits_on_cycles(_account_windows(use), use.turns, _cycles(spark), CFG.anchor_weekday)
+    out = billing.recommend_tier(billing.recommendation_cycles(_account_periods(spark, use), *hits))
+    return _filled(out.withColumn("current_tier", billing.current_tier(PLAN_HISTORY)))
+
+
 # ---- filters ------------------------------------------------------------------------------------------------------
 
 def session_table(spark, sf):
@@ -286,7 +324,8 @@ def storage_top(spark, sf):
 QUERIES = {f.__name__: f for f in (
     billing_cycles, customer_plan_periods, plan_periods, current_billing, plan_totals, tier_caps, tier_caps_override,
     tier_hits_by_cycle, plan_recommendation, switch_hints, plan_display_facts, limit_event_positions,
-    plan_cost_prorated, fx_converted_cumulative, session_table, range_filtered_kpis, range_filtered_daily,
+    transcript_tier_caps, transcript_tier_hits, transcript_plan_periods, transcript_current_billing,
+    transcript_plan_recommendation, plan_cost_prorated, fx_converted_cumulative, session_table, range_filtered_kpis, range_filtered_daily,
     range_filtered_messages, range_filtered_models, range_filtered_token_cost, range_filtered_hours, attribute_filter,
     attribute_ranges, sorted_page, sorted_page_cache_eff, anonymized_projects, storage_top)}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from turnledger.registry.transcripts_sql import ENTRIES, USAGE
 from turnledger.registry.usage_sql import (ALL_CALLS, CLUSTERS, LEDGER, ON, SES_MODEL, SESSION, chain, w, wide)
 
 CUSTOMER_CYCLES = """WITH o AS (SELECT o_custkey AS account, CAST(o_orderdate AS DATE) AS day, o_totalprice FROM orders),
@@ -19,9 +20,7 @@ c AS (SELECT account, CAST(i AS INT) AS cycle_ord, 'Plan ' || (account % 3) || C
   e IS NULL AND ce = DATE '2001-01-01' AS is_current FROM b WHERE cs <= ce)
 """
 
-SESSION_DAYS = """, sd AS (SELECT date, count(*) AS n, sum(messages) AS m FROM ses GROUP BY date),
-dc AS (SELECT day, coalesce(sum(cost_nusd) FILTER (output_tokens > 0), 0) AS c FROM led GROUP BY day),
-cyc(i, plan, tier, s, e, usd, loc, sym, cur) AS (VALUES
+PERIODS = """, cyc(i, plan, tier, s, e, usd, loc, sym, cur) AS (VALUES
  (0, 'Pro', 'Pro', DATE '2023-12-31', DATE '2024-01-09', 20.0::DOUBLE, 18.0::DOUBLE, '€', false),
  (1, 'Max 5x', 'Max 5x', DATE '2024-01-10', DATE '2024-01-19', 100.0, 92.0, '€', false),
  (2, 'Max 20x (annual)', 'Max 20x', DATE '2024-01-20', DATE '2024-01-31', 200.0, NULL, NULL, true)),
@@ -36,11 +35,16 @@ cb AS (SELECT 12 AS el, 366 AS tot, coalesce((SELECT sum(c) FROM dc WHERE day BE
   coalesce((SELECT sum(n) FROM sd WHERE date BETWEEN DATE '2024-01-20' AND DATE '2024-01-31'), 0) AS n,
   coalesce((SELECT sum(m) FROM sd WHERE date BETWEEN DATE '2024-01-20' AND DATE '2024-01-31'), 0) AS m)"""
 
-WINDOWS = CLUSTERS + chain(ALL_CALLS) + f""", nxt AS (SELECT start_ms, lead(start_ms) OVER (ORDER BY start_ms) AS e FROM win),
-wn AS (SELECT n.start_ms, sum(t.cost_nusd) AS cost FROM ({ALL_CALLS}) t JOIN nxt n ON t.ts_ms >= n.start_ms
+SESSION_DAYS = """, sd AS (SELECT date, count(*) AS n, sum(messages) AS m FROM ses GROUP BY date),
+dc AS (SELECT day, coalesce(sum(cost_nusd) FILTER (output_tokens > 0), 0) AS c FROM led GROUP BY day)""" + PERIODS
+
+
+def _windows(calls: str, at: str) -> str:
+    return chain(calls) + f""", nxt AS (SELECT start_ms, lead(start_ms) OVER (ORDER BY start_ms) AS e FROM win),
+wn AS (SELECT n.start_ms, sum(t.cost_nusd) AS cost FROM ({calls}) t JOIN nxt n ON t.ts_ms >= n.start_ms
   AND (n.e IS NULL OR t.ts_ms < n.e) GROUP BY n.start_ms),
 wh AS (SELECT *, CAST(DATE '1970-01-01' + CAST(start_ms // 86400000 AS INT) AS DATE) AS d,
-  EXISTS (SELECT 1 FROM cl WHERE cl.ts_ms >= wn.start_ms AND cl.ts_ms < wn.start_ms + 18000000) AS hit FROM wn),
+  EXISTS (SELECT 1 FROM cl WHERE cl.{at} >= wn.start_ms AND cl.{at} < wn.start_ms + 18000000) AS hit FROM wn),
 wf AS (SELECT *, CASE WHEN d <= DATE '2024-01-09' THEN 1.0::DOUBLE WHEN d <= DATE '2024-01-19' THEN 5.0 ELSE 20.0 END AS f FROM wh),
 ap AS (SELECT median(cost / 1e9 / f) FILTER (hit AND cost > 0) AS med, count(*) FILTER (hit AND cost > 0) AS n,
   coalesce(max(cost / 1e9 / f) FILTER (NOT hit AND cost > 0), 0) AS fl FROM wf),
@@ -48,6 +52,8 @@ cp AS (SELECT greatest(coalesce(med, 100.0), fl) AS b, * FROM ap),
 caps AS (SELECT round_even(b * 1.0 * 100, 0) / 100 AS c1, round_even(b * 5.0 * 100, 0) / 100 AS c5,
   round_even(b * 20.0 * 100, 0) / 100 AS c20 FROM cp)"""
 
+WINDOWS = CLUSTERS + _windows(ALL_CALLS, "ts_ms")
+
 HITS = """, wk AS (SELECT CAST(day - CAST((isodow(day) - 1) AS INT) AS DATE) AS d, sum(cost_nusd) AS cost FROM calls GROUP BY 1),
 hw AS (SELECT i, count(*) AS windows,
   count(*) FILTER ((hit AND 1.0 <= f) OR (c1 > 0 AND cost / 1e9 > c1)) AS hits_pro,
@@ -98,6 +104,22 @@ fl AS (SELECT led.* FROM led SEMI JOIN fs USING (session_id) WHERE day >= DATE '
 fw AS (SELECT led.* FROM led SEMI JOIN fs USING (session_id))"""
 TAB = (SESSION, SES_MODEL, TABLE)
 
+# Transcripts: sub-agents that a parent absorbed bring no turns, prompts or banners; their spend is on the parent's days.
+SEEN = """SELECT 'all' AS account, sid AS session_id, ts AS ts_ms, cost_nusd,
+ CAST(DATE '1970-01-01' + CAST(ts // 86400000 AS INT) AS DATE) AS day FROM turn JOIN own USING (sid) WHERE ts IS NOT NULL AND owner = sid"""
+SEEN_EVENTS = """, prm AS (SELECT sid, ord, ts FROM usr JOIN own USING (sid) WHERE category = 'prompt' AND ts IS NOT NULL AND owner = sid),
+le AS (SELECT sid, ts, NULL::BIGINT AS g, 'explicit' AS type FROM resp JOIN own USING (sid) WHERE et = 'purchase' AND k % 10 = 0 AND k % 9 IN (0, 7) AND owner = sid
+  UNION ALL SELECT sid, ts, g, 'heuristic' FROM (SELECT *, lag(ts) OVER (ORDER BY ts, ord, sid) AS g FROM prm) p
+   WHERE ts - g BETWEEN 17100000 AND 19800000 AND EXISTS (SELECT 1 FROM prm x WHERE x.ts >= p.g - 7200000 AND x.ts < p.g)),
+lc AS (SELECT *, sum(opens) OVER (ORDER BY ts, type, sid) AS c FROM (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, type, sid) <= 900000 THEN 0 ELSE 1 END AS opens FROM le)),
+cl AS (SELECT min(ts) AS ts_ms, coalesce(nullif(arg_min(coalesce(g, -1), (ts, type, sid)), -1), min(ts)) AS at_ms FROM lc GROUP BY c)"""
+SEEN_DAYS = """, sd AS (SELECT CAST(DATE '1970-01-01' + CAST(start_ms // 86400000 AS INT) AS DATE) AS date, count(*) AS n, sum(messages) AS m
+  FROM cnt JOIN own USING (sid) WHERE owner = sid AND start_ms >= 0 GROUP BY 1),
+dc AS (SELECT day, sum(cost) AS c FROM md WHERE messages > 0 OR calls > 0 GROUP BY day)""" + PERIODS
+SEEN_PLAN = (ENTRIES, SEEN_EVENTS, USAGE.format(own="owner"), SEEN_DAYS)
+SEEN_FULL = (ENTRIES, SEEN_EVENTS, _windows(SEEN, "at_ms"), USAGE.format(own="owner"), SEEN_DAYS, HITS.replace("FROM calls", f"FROM ({SEEN})"))
+
 SQL = {
     "billing_cycles": CUSTOMER_CYCLES + """SELECT account, cycle_ord, plan, CAST(cycle_start AS VARCHAR) AS cycle_start,
      CAST(cycle_end AS VARCHAR) AS cycle_end, round_even(cost_usd * 1e4, 0) / 1e4 AS cost_usd, is_current FROM c""",
@@ -215,3 +237,9 @@ SQL = {
      SELECT CASE WHEN n > 9 AND rn > 8 THEN 'Other (' || (n - 8) || ')' ELSE name END AS name,
       CASE WHEN bool_and(n > 9 AND rn > 8) THEN round_even(sum(v) * 10, 0) / 10 ELSE sum(v) END AS size_mb FROM k GROUP BY 1""",
 }
+
+# The same selections over what transcripts give.
+for _name in ("plan_periods", "current_billing"):
+    SQL[f"transcript_{_name}"] = r(SQL[_name].removeprefix(r("", *PLAN)), *SEEN_PLAN)
+for _name, _parts in (("tier_caps", (WINDOWS,)), ("tier_hits_by_cycle", FULL), ("plan_recommendation", FULL)):
+    SQL[f"transcript_{_name.removesuffix('_by_cycle')}"] = r(SQL[_name].removeprefix(r("", *_parts)), *SEEN_FULL)

@@ -339,18 +339,11 @@ def limit_fingerprints(spark, sf):
 
 
 def _windows_with_hits(spark, sf, plan_history):
-    from turnledger.plans import billing
+    from turnledger.plans import accounts
 
-    turns = one_account(busy_ledger(spark, sf))
-    starts = materialize(limits.window_starts(turns), "starts")
     clusters = limits.cluster_events(_limit_events(spark, sf), ["session_id", "ord", "ts_ms", "gap_start_ms",
                                                                "gap_end_ms", "type", "subtype"], ["ord"])
-    matched = (limits.event_windows(clusters.drop("cluster_ms", "last_ms"), starts).where("start_ms IS NOT NULL")
-               .select("account", "start_ms").distinct().withColumn("hit", F.lit(True)))
-    # Two facts (caps and hits) read the window table, which elapsed time bounds: it is written once.
-    windows = limits.windows_5h(turns, starts).join(matched, ["account", "start_ms"], "left").withColumn(
-        "hit", F.coalesce("hit", F.lit(False)))
-    return materialize(windows.withColumn("tier", billing.active_tier(plan_history, utc_day("start_ms"))), "windows")
+    return accounts.windows_with_hits(one_account(busy_ledger(spark, sf)), clusters.drop("cluster_ms", "last_ms"), plan_history)
 
 
 def limit_event_window_match(spark, sf):
