@@ -41,35 +41,25 @@ def test_detections(spark):
 
 
 def brute_terms(texts, support, alpha):
-    word = regex.compile(r"(?<![^ \t\n\x0b\f\r])\p{L}{4,40}+(?=[ \t\n\x0b\f\r.,]|$)")
-    both, single, places = Counter(), Counter(), []
+    """Terms that disclose an entity, counted over whole texts, and every place where they stand."""
+    both, single, entities, places = Counter(), Counter(), Counter(), {}
     for i, text in enumerate(texts):
-        pairs = set()
-        for span in brute_personal(text):
-            kind, start, end = span.split(":")[0], *map(int, span.split(":")[1:])
-            entity = f"{kind}:{text[start:end].lower()}"
-            pairs.add((entity, ""))
-            left, right = max(start - pii.CONTEXT, 0), min(end + pii.CONTEXT, len(text))
-            for low, high, cut_left, cut_right in ((left, start, left > 0, False), (end, right, False, right < len(text))):
-                piece = text[low:high]
-                for m in word.finditer(piece):
-                    if (cut_left and m.start() == 0) or (cut_right and m.end() == len(piece)):
-                        continue
-                    pairs.add((entity, m.group().lower()))
-                    places.append((i, entity, m.group().lower(), low + m.start(), low + m.end()))
-        both.update(pairs)
-        single.update(set(regex.findall(r"(?<!\p{L})\p{L}{4,40}+(?!\p{L})", text.lower())))
+        spans = [(s.split(":")[0], *map(int, s.split(":")[1:])) for s in brute_personal(text)]
+        shown = list(text)
+        for m in regex.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text):
+            shown[m.start():m.end()] = " " * (m.end() - m.start())
+        places[i] = [(m.group().lower(), m.start(), m.end()) for m in regex.finditer(r"\p{L}++", "".join(shown))]
+        words, held = {w for w, *_ in places[i]}, {f"{kind}:{text[a:b].lower()}" for kind, a, b in spans}
+        single.update(words)
+        entities.update(held)
+        both.update((e, w) for e in held for w in words)
     told = set()
-    for (entity, term), n in both.items():
-        if term and n >= support and single[term]:
-            own = math.log2(len(texts) / both[entity, ""])
-            if math.log2(len(texts) * n / (single[term] * both[entity, ""])) * alpha >= own:
-                told.add((entity, term))
-    out = {i: set() for i in range(len(texts))}
-    for i, entity, term, start, end in places:
-        if (entity, term) in told:
-            out[i].add((start, end))
-    return out
+    for (entity, word), n in both.items():
+        if n >= support:
+            own = math.log2(len(texts) / entities[entity])
+            if math.log2(len(texts) * n / (single[word] * entities[entity])) * alpha >= own:
+                told.add(word)
+    return {i: {(a, b) for w, a, b in found if w in told} for i, found in places.items()}
 
 
 def test_terms(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnledger.session import materialize
+
 NUMBER_BUCKETS = 4096
 
 
@@ -43,6 +45,30 @@ def number_rows(df: DataFrame, group: str, bucket: str, order: list, out: str) -
             .withColumn(out, F.col("_offset") + F.col("_number") - 1).drop("_offset", "_number"))
 
 
+def number_in_order(df: DataFrame, order: list[str], out: str, name: str) -> DataFrame:
+    """``df`` with its place from 0 in the order of ``order`` as ``out``, sorted by range in many tasks.
+
+    Written once with the number of the range, so that places cannot change. The only window over all ranges sees
+    one count for each. The column ``_part`` (the range) stays.
+    """
+    spread = df.withColumn("_tie", F.monotonically_increasing_id())
+    parts = materialize(spread.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie")
+                        .withColumn("_part", F.spark_partition_id()), name)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_part").orderBy(*order, "_tie")
+    return parts.withColumn("_row", F.row_number().over(inside)).join(offsets, "_part").withColumn(
+        out, F.col("_offset") + F.col("_row") - 1).drop("_row", "_offset", "_tie")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``; a lambda variable is not inlined by the optimizer."""
     return F.transform(F.array(value), body)[0]

@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnledger.llm.common import number_in_order
 from turnledger.session import materialize
 
 FAN = 3
@@ -35,22 +36,6 @@ def leaf_of(columns: dict[str, Column]) -> Column:
     return digest(F.concat(*[_field(columns[name]) for name in FIELDS]))
 
 
-def _in_order(df: DataFrame, order: list[str], out: str, name: str) -> DataFrame:
-    """``df`` with its place from 0 in the order of ``order``, sorted by range in many tasks.
-
-    Written once with the number of the range, so that places cannot change. The only window over all ranges sees
-    one count for each.
-    """
-    spread = df.withColumn("_tie", F.monotonically_increasing_id())
-    parts = materialize(spread.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie")
-                        .withColumn("_part", F.spark_partition_id()), name)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_part").orderBy(*order, "_tie")
-    return parts.withColumn("_row", F.row_number().over(inside)).join(offsets, "_part").withColumn(
-        out, F.col("_offset") + F.col("_row") - 1).drop("_row", "_offset", "_tie")
-
-
 def _grow(nodes: DataFrame, biggest: int, base: int, name: str) -> tuple[list[DataFrame], DataFrame]:
     """Climb from the lowest nodes of many trees to their roots; ``(links, roots)``.
 
@@ -138,7 +123,7 @@ def manifest(docs: DataFrame, tampered: Column) -> DataFrame:
     plain = {name: F.col(name) for name in FIELDS}
     rows = docs.select(F.col("doc_id"), F.col("source"), leaf_of(plain).alias("leaf"), leaf_of({**plain, "text": tampered}).alias("folded"))
     rows = materialize(rows, "manifest-hashed")  # sorting by range reads its input twice
-    placed = _in_order(rows, ["source", "doc_id", "leaf"], "place", "manifest-rows")
+    placed = number_in_order(rows, ["source", "doc_id", "leaf"], "place", "manifest-rows")
     # The first place of a source: joined through (range, source), so that a hot source is spread over its ranges.
     shares = placed.groupBy("_part", "source").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("size"))
     shares = materialize(shares, "manifest-shares")
@@ -154,7 +139,7 @@ def manifest(docs: DataFrame, tampered: Column) -> DataFrame:
                            F.col("place").alias("first"), F.lit(1).cast("long").alias("span"), F.col("leaf").alias("hash"))
     links, subroots = _grow(lowest, biggest or 0, 0, "manifest-level")
     subroots = materialize(subroots, "manifest-subroots")
-    ordered = _in_order(subroots.drop("i", "size"), ["first"], "i", "manifest-ordered")
+    ordered = number_in_order(subroots.drop("i", "size"), ["first"], "i", "manifest-ordered")
     upper = ordered.select(F.lit(0).cast("long").alias("tree"), F.lit(count).cast("long").alias("size"), "i", "level", "first", "span", "hash")
     upper_links, roots = _grow(upper, count, UPPER, "manifest-upper")
     found = roots.first()
