@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,7 +15,8 @@ from pyspark.sql import types as T
 
 STATISTICS = ("chars", "words", "word_length", "upper", "digits", "spaces", "marks", "odd_marks", "bars", "shouts", "line_words",
               "distinct_words", "top_word", "repeats", "distinct_lines", "marked_words", "upper_words", "high_bytes")
-FIT_DOCUMENTS = 8_000
+FIT_DOCUMENTS = 20_000
+_BLOCK = 2_000  # documents whose rules are multiplied at once
 TREES = 80
 DEPTH = 3
 _PREFIX = "_quality_"
@@ -135,30 +137,33 @@ def _paths(x: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator, p
 def _lasso(r: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression with an absolute-value penalty, by accelerated proximal gradient steps.
 
-    Rules are standardised in the arithmetic, so the matrix of rules is held once.
+    ``r`` holds a byte for every document and rule. Rules are standardised in the arithmetic and multiplied in blocks
+    of documents, so nothing larger than the bytes is ever held.
     """
-    mean, n = r.mean(axis=0), len(y)
-    scale = np.sqrt(mean * (1 - mean)) + 1e-6  # of a column of zeros and ones
+    blocks = [slice(low, low + _BLOCK) for low in range(0, len(y), _BLOCK)]
+    n = len(y)
+    mean = (sum(r[b].sum(axis=0, dtype=np.int64) for b in blocks) / n).astype(np.float32)
+    scale = np.sqrt(mean * (1 - mean)) + np.float32(1e-6)  # of a column of zeros and ones
 
     def ahead_of(v: np.ndarray) -> np.ndarray:
-        v = v / scale
-        return r @ v - mean @ v
+        v = (v / scale).astype(np.float32)
+        return np.concatenate([r[b].astype(np.float32) @ v for b in blocks]) - mean @ v
 
     def back_of(e: np.ndarray) -> np.ndarray:
-        return (e @ r - mean * e.sum()) / scale
+        return (sum(e[b] @ r[b].astype(np.float32) for b in blocks) - mean * e.sum()) / scale
 
-    top = np.ones(r.shape[1], r.dtype)
+    top = np.ones(r.shape[1], np.float32)
     for _ in range(30):  # the largest eigenvalue, for the step length
         top = back_of(ahead_of(top / np.linalg.norm(top)))
     step = 4.0 / (1.05 * np.linalg.norm(top) / n + 1)
     w, b, at, at_b, t = np.zeros_like(top), 0.0, np.zeros_like(top), 0.0, 1.0
     for _ in range(rounds):
-        error = (1 / (1 + np.exp(-(ahead_of(at) + at_b))) - y).astype(r.dtype)
+        error = (1 / (1 + np.exp(-(ahead_of(at) + at_b))) - y).astype(np.float32)
         new = at - step * back_of(error) / n
         new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
         new_b = at_b - step * float(error.mean())
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        at, at_b = (new + (t - 1) / t_new * (new - w)).astype(r.dtype), new_b + (t - 1) / t_new * (new_b - b)
+        at, at_b = (new + (t - 1) / t_new * (new - w)).astype(np.float32), new_b + (t - 1) / t_new * (new_b - b)
         w, b, t = new, new_b, t_new
     return w / scale, float(b - (w * mean / scale).sum())
 
@@ -170,13 +175,13 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
         share = min(max(share, 0.01), 0.99)
         return Ensemble((), (), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
-    rules: dict[tuple, Rule] = {}
+    rules: dict[bytes, Rule] = {}  # by a digest of the documents for which they hold
     for _ in range(trees):
         rows = rng.integers(0, len(y), min(len(y), 4000))
         for rule in _paths(x[rows], y[rows], depth, rng):
-            rules.setdefault(rule.holds(x).tobytes(), rule)
+            rules.setdefault(hashlib.blake2b(np.packbits(rule.holds(x)), digest_size=16).digest(), rule)
     listed = list(rules.values())
-    held = np.empty((len(y), len(listed)), np.float32)
+    held = np.empty((len(y), len(listed)), np.uint8)
     for i, rule in enumerate(listed):
         held[:, i] = rule.holds(x)
     weights, bias = _lasso(held, y.astype(np.float32), penalty)
