@@ -19,7 +19,7 @@ from pyspark.taskcontext import TaskContext
 from turnledger.llm.common import id_and_text
 from turnledger.session import shared_folder
 
-CHUNK_WORDS = 6_000_000
+CHUNK_WORDS = 4_000_000
 _SLICE = 1 << 18  # words that are expanded to tokens at once
 _DECODED_ROWS = 256  # texts that a task holds decoded
 # A word of letters and then marks. The tokenizer never joins the two; an apostrophe it may.
@@ -211,7 +211,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     ``carry`` is a number that goes along with each text, as column ``carried``, so that no join has to bring it back.
 
-    1. Tasks split texts into words and write, for each chunk of up to six million words (and one text more), the
+    1. Tasks split texts into words and write, for each chunk of up to ``CHUNK_WORDS`` words (and one text more), the
        distinct words and the number of the word at each position.
     2. Distinct words of the chunks are dealt out by word. A word appears once per chunk at most, so a frequent word
        is no hot key. Each is encoded once.
