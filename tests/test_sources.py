@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import os
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnledger.functions.pricing import price_calls
-from turnledger.operators import attribution, projects, replay, sessions
+from turnledger.operators import attribution, export, filters, projects, replay, sessions
 from turnledger.plans import accounts
 from turnledger.sources import sidefiles, sinks, transcripts
 from turnledger.sources.transcripts import SourceSpec
@@ -333,3 +334,11 @@ def test_account_usage_counts_sub_agents_once(spark, entries):
     cost = own.daily_cost.agg(F.sum("cost_nusd")).first()[0]
     assert cost == both.daily_cost.agg(F.sum("cost_nusd")).first()[0] == price_calls(both.turns.where("output_tokens > 0")).agg(F.sum("cost_nusd")).first()[0]
     assert own.session_days.agg(F.sum("sessions")).first()[0] == sessions.session_rows(entries).count()
+
+
+def test_every_sort_column_is_in_the_session_table(spark, entries):
+    table = export.flat_rows(sessions.session_rows(entries))
+    for column in (*filters.SORT_COLUMNS, "total_tokens", "cache_eff"):
+        assert filters.sorted_page(table, column, 0, 2).select("session_id").count() == 2
+    kept = filters.select_sessions(table, filters.Filters(ranges={"messages": (1, None)}), dt.date(2024, 1, 31))
+    assert kept.count() > 0

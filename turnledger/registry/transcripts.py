@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnledger.config import EngineConfig
 from turnledger.functions.pricing import price_calls
 from turnledger.functions.scalars import day_text, half_even, usd
-from turnledger.operators import attribution, calibration, facts, limits, projects, replay, series, sessions
+from turnledger.operators import attribution, calibration, export, facts, limits, projects, replay, series, sessions
 from turnledger.registry.usage import AS_OF, texted
 from turnledger.session import materialize
 from turnledger.sources import sidefiles, sinks, tables, transcripts
@@ -222,6 +222,31 @@ def transcript_sessions(spark, sf):
                       "input_tokens", "output_tokens", "errors", "tool_calls", "file_ops", "git_ops", "duration_min")
 
 
+def session_export(spark, sf):
+    """Exported rows with the nested parts written out as text, each in the order of its keys or places."""
+    out = export.session_export(silver(spark, sf), CFG)
+
+    def pairs(name, value=lambda v: v.cast("string")):
+        entries = F.array_sort(F.map_entries(F.coalesce(name, F.map_from_entries(F.array().cast(
+            f"array<struct<key:string,value:{out.schema[name].dataType.valueType.simpleString()}>>")))))
+        return F.array_join(F.transform(entries, lambda x: F.concat(x["key"], F.lit("="), value(x["value"]))), ";").alias(name)
+
+    def items(name, *fields):
+        return F.array_join(F.transform(name, lambda x: F.concat_ws("|", *[x[f].cast("string") for f in fields])), ";").alias(name)
+
+    def fields(*names):
+        return lambda v: F.concat_ws("/", *[v[n].cast("string") for n in names])
+
+    return out.select(
+        "session_id", "project", "source", "slug", day_text("date").alias("date"), "start_ms", "end_ms", "duration_min", "messages", "user_messages",
+        "assistant_messages", "tool_results", "command_messages", "interrupts", "meta_messages", "calls", "input_tokens", "output_tokens",
+        "cache_read", "cache_creation", "cost_nusd", "compactions", "error_count", "cancelled_count", "rejected_count", "tool_calls", "file_ops_count", "git_ops",
+        "is_subagent", "file_size_mb", F.size("compaction_events").cast("long").alias("dated_compactions"), "agent_dispatches",
+        pairs("model_breakdown", fields("calls", "cost_nusd", "input_tokens", "output_tokens")), pairs("per_day", fields("messages", "cost_nusd")),
+        pairs("hour_hist"), pairs("weekday_hist"), pairs("tools"), pairs("write_categories"), pairs("skills"), pairs("hooks"), pairs("errors_by_source"),
+        items("error_list", "category", "message"), items("git_list", "kind", "message"), items("subagents", "agent", "tokens", "messages", "tool_calls"))
+
+
 def project_facts(spark, sf):
     return projects.project_facts(gold_sessions(spark, sf))
 
@@ -310,6 +335,6 @@ QUERIES = {f.__name__: f for f in (
     file_operations, git_operations, git_summary, skill_ranking, hook_ranking, agent_type_ranking,
     agent_description_ranking, narration_reclass, write_category_attribution, session_write_categories, replay_roles,
     replay_messages, replay_answers, chat_filter, mode_changes, day_dividers, command_output_tokens, flow_nodes,
-    flow_edges, flow_events, session_shares, top_files, workflow_timeline, transcript_sessions, project_facts,
+    flow_edges, flow_events, session_shares, top_files, workflow_timeline, transcript_sessions, session_export, project_facts,
     session_markdown, session_csv, stratified_sample, chars_per_token, chars_per_token_by_model, history_dedupe,
     telemetry_maxima, transcript_limit_events, transcript_windows_5h, transcript_weekly_buckets)}

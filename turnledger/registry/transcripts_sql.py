@@ -235,6 +235,40 @@ SQL = {
       WHERE rn <= 500 AND type <> 'agent') WHERE shown <= 200"""),
     "transcript_sessions": q("""SELECT sid AS session_id, proj AS project, messages, prompt, assistant, compactions, CAST(calls AS BIGINT) AS calls, CAST(cost AS BIGINT) AS cost_nusd,
      CAST(i AS BIGINT) AS input_tokens, CAST(o AS BIGINT) AS output_tokens, errors, tool_calls, file_ops, git_ops, duration_min FROM srow""", ROWS),
+    "session_export": q("""SELECT s.sid AS session_id, s.proj AS project, 'src' || (s.usr % 3) AS source, 's-' || s.sid AS slug,
+      CAST(CAST(DATE '1970-01-01' + CAST(s.start_ms // 86400000 AS INT) AS DATE) AS VARCHAR) AS date, s.start_ms, c.end_ms, duration_min, s.messages,
+      c.prompt AS user_messages, c.assistant AS assistant_messages, c.tool_result AS tool_results, c.command AS command_messages, c.interrupt AS interrupts,
+      c.meta AS meta_messages, CAST(s.calls AS BIGINT) AS calls, CAST(s.i AS BIGINT) AS input_tokens, CAST(s.o AS BIGINT) AS output_tokens,
+      CAST(coalesce(d.r, 0) AS BIGINT) AS cache_read, CAST(coalesce(d.w, 0) AS BIGINT) AS cache_creation, CAST(s.cost AS BIGINT) AS cost_nusd, s.compactions,
+      errors AS error_count, (SELECT count(*) FROM errs e WHERE e.sid = s.sid AND category = 'cancelled') AS cancelled_count,
+      (SELECT count(*) FROM errs e WHERE e.sid = s.sid AND counted_as = 'rejected') AS rejected_count, tool_calls, file_ops AS file_ops_count, git_ops,
+      own.is_sub AS is_subagent, 1.0::DOUBLE AS file_size_mb,
+      (SELECT count(*) FROM usr u WHERE u.sid = s.sid AND et = 'signup' AND k % 8 = 3 AND ts IS NOT NULL) AS dated_compactions, disp AS agent_dispatches,
+      coalesce(mb, '') AS model_breakdown, CASE WHEN nd > 1 THEN dd ELSE '' END AS per_day, coalesce(hh, '') AS hour_hist, coalesce(wd, '') AS weekday_hist,
+      coalesce(tt, '') AS tools, coalesce(ww, '') AS write_categories, coalesce(sk, '') AS skills, coalesce(hk, '') AS hooks, coalesce(es, '') AS errors_by_source,
+      coalesce(el, '') AS error_list, coalesce(gl, '') AS git_list, coalesce(sa, '') AS subagents
+     FROM srow s JOIN cnt c ON c.sid = s.sid JOIN own ON own.sid = s.sid
+     LEFT JOIN (SELECT owner, count(*) AS nd, sum(r) AS r, sum(w) AS w, string_agg(CAST(day AS VARCHAR) || '=' || messages || '/' || CAST(cost AS BIGINT), ';' ORDER BY day) AS dd
+      FROM md WHERE messages > 0 OR calls > 0 GROUP BY owner) d ON d.owner = s.sid
+     LEFT JOIN (SELECT owner, string_agg(display || '=' || n || '/' || cost || '/' || i || '/' || o, ';' ORDER BY display) AS mb FROM (
+      SELECT owner, display, count(*) AS n, CAST(sum(cost_nusd) AS BIGINT) AS cost, CAST(sum(input_tokens) AS BIGINT) AS i, CAST(sum(o) AS BIGINT) AS o
+      FROM turn JOIN own USING (sid) GROUP BY owner, display) GROUP BY owner) m ON m.owner = s.sid
+     LEFT JOIN (SELECT sid, string_agg(h || '=' || n, ';' ORDER BY h) AS hh FROM (SELECT sid, CAST(ts // 3600000 % 24 AS VARCHAR) AS h, count(*) AS n
+      FROM ent WHERE category IN ('prompt', 'assistant') AND ts IS NOT NULL GROUP BY ALL) GROUP BY sid) h ON h.sid = s.sid
+     LEFT JOIN (SELECT sid, string_agg(h || '=' || n, ';' ORDER BY h) AS wd FROM (SELECT sid, CAST((ts // 86400000 + 3) % 7 AS VARCHAR) AS h, count(*) AS n
+      FROM ent WHERE category IN ('prompt', 'assistant') AND ts IS NOT NULL GROUP BY ALL) GROUP BY sid) w ON w.sid = s.sid
+     LEFT JOIN (SELECT sid, string_agg(tool || '=' || n, ';' ORDER BY tool) AS tt FROM (SELECT sid, tool, count(*) AS n FROM uses GROUP BY ALL) GROUP BY sid) t ON t.sid = s.sid
+     LEFT JOIN (SELECT sid, string_agg(cat || '=' || n, ';' ORDER BY cat) AS ww FROM (SELECT sid, cat, CAST(sum(tokens) AS BIGINT) AS n FROM wc GROUP BY ALL) WHERE n > 0 GROUP BY sid) x ON x.sid = s.sid
+     LEFT JOIN (SELECT sid, string_agg(name || '=' || n, ';' ORDER BY name) AS sk FROM (SELECT sid, 'skill' || (k % 4) AS name, count(*) AS n FROM uses WHERE tool = 'Skill' GROUP BY ALL) GROUP BY sid) k ON k.sid = s.sid
+     LEFT JOIN (SELECT sid, string_agg(name || '=' || n, ';' ORDER BY name) AS hk FROM (SELECT sid, 'h' || (k % 3) AS name, count(*) AS n FROM t WHERE et = 'purchase' AND k % 10 = 1 GROUP BY ALL) GROUP BY sid) hk ON hk.sid = s.sid
+     LEFT JOIN (SELECT sid, string_agg(counted_as || '=' || n, ';' ORDER BY counted_as) AS es FROM (SELECT sid, counted_as, count(*) AS n FROM errs WHERE counted_as <> '' GROUP BY ALL) GROUP BY sid) e ON e.sid = s.sid
+     LEFT JOIN (SELECT sid, string_agg(category || '|' || message, ';' ORDER BY ord) AS el FROM errs WHERE counted_as <> '' GROUP BY sid) el ON el.sid = s.sid
+     LEFT JOIN (SELECT sid, string_agg(kind || '|' || message, ';' ORDER BY ord) AS gl FROM gops GROUP BY sid) g ON g.sid = s.sid
+     LEFT JOIN (SELECT owner, string_agg(sid || '|' || tok || '|' || messages || '|' || n, ';' ORDER BY sid) AS sa FROM (
+      SELECT own.owner, own.sid, CAST(coalesce(u.tok, 0) AS BIGINT) AS tok, messages, coalesce(n, 0) AS n FROM own JOIN cnt ON cnt.sid = own.sid
+       LEFT JOIN (SELECT sid, sum(input_tokens + o) AS tok FROM turn GROUP BY sid) u ON u.sid = own.sid
+       LEFT JOIN (SELECT sid, count(*) AS n FROM uses GROUP BY sid) y ON y.sid = own.sid WHERE own.owner <> own.sid) GROUP BY owner) sa ON sa.owner = s.sid""",
+     ROWS, NARRATION),
     "project_facts": q("""SELECT proj AS project, count(*) AS sessions, CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(cost) AS BIGINT) AS cost_nusd,
      CAST(sum(tool_calls) AS BIGINT) AS tool_calls, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(file_ops) AS BIGINT) AS file_ops, CAST(sum(git_ops) AS BIGINT) AS git_ops,
      CAST(sum(disp) AS BIGINT) AS agent_dispatches, CAST(sum(i + o) AS BIGINT) AS tokens FROM srow GROUP BY proj""", ROWS),
