@@ -162,7 +162,7 @@ def test_suffix_order():
     texts = [bytes(rng.choice(b"ab") for _ in range(50)) if rng.random() < 0.7 else b"a" * 44 + bytes(rng.choice(b"ab") for _ in range(6)) for _ in range(400)]
     texts += rng.sample(texts, 100)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    groups = [sorted(g.tolist()) for g in deep_shallow(data, np.arange(len(texts)) * 50)]
+    groups = [sorted(g) for g in deep_shallow(data, np.arange(len(texts)) * 50)]
     want = defaultdict(list)
     for i, t in enumerate(texts):
         want[t].append(50 * i)

@@ -19,7 +19,7 @@ GRAM = 18  # bytes of an anchor; every string of LENGTH bytes holds one, chosen
 SHALLOW = 32  # bytes that the multikey quicksort orders, eight at a time
 CHUNK = 8 << 20  # bytes of text a task looks at together
 SLICE = 1 << 20  # of these, bytes hashed at once
-BUCKET = 64 << 20  # bytes of text whose anchors meet in one group
+BUCKET = 16 << 20  # bytes of text whose anchors meet in one group
 HOT = 1 << 16  # occurrences from which an anchor is hot; never more than a million anchors are
 LAST = (1 << 63) - 1  # stands for a null key
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
@@ -206,31 +206,37 @@ def _segments(buckets: int, hot: np.ndarray, chunk_size: int):
         for table in _chunks(batches, 2, chunk_size):
             best: dict[tuple[int, int, bytes], list] = {}
             known: list[tuple] = []
-            for key, number, text, packed in zip(*(table.column(i).to_pylist() for i in range(4))):
-                place = np.array(packed, np.int64)
-                first, behind, count = place >> 16, place >> 8 & 255, place & 255
-                data = np.frombuffer(text, np.uint8)
-                gram = _hashed(data, first + behind, GRAM)
-                common = np.isin(gram.view(np.int64), hot)
-                if common.any():
-                    single = np.concatenate([np.arange(f, f + c) for f, c in zip(first[common], count[common])])
-                    first, count = np.concatenate([first[~common], single]), np.concatenate([count[~common], np.ones(len(single), np.int64)])
-                    behind = np.concatenate([behind[~common], np.full(len(single), -1)])
-                    gram = np.concatenate([gram[~common], _hashed(data, single, LENGTH)])
-                bucket = (gram >> np.uint64(24)) % np.uint64(buckets)
-                for b, f, a, c in zip(bucket.tolist(), first.tolist(), behind.tolist(), count.tolist()):
-                    part = (b, a, text[f:f + c + LENGTH - 1])
-                    held = best.get(part)
-                    if held is None:
-                        best[part] = [key, [(number, f)]]
-                    elif held[0] == key:
-                        held[1].append((number, f))
-                    else:
-                        low = key < held[0]
-                        lost = [(held[0], n, x, c) for n, x in held[1]] if low else [(key, number, f, c)]
-                        known += lost
-                        if low:
-                            best[part] = [key, [(number, f)]]
+            keys, numbers, texts = (table.column(i).to_pylist() for i in range(3))
+            data, ends = _joined(texts)
+            packed = table.column(3).combine_chunks()
+            place = packed.flatten().to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(texts)), packed.value_lengths().to_numpy(zero_copy_only=False))
+            begin = np.concatenate([[0], ends])[doc]
+            first, behind, count = (place >> 16) + begin, place >> 8 & 255, place & 255
+            gram = _hashed(data, first + behind, GRAM)
+            common = np.isin(gram.view(np.int64), hot)
+            if common.any():
+                sizes = count[common]
+                single = np.repeat(first[common], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                first, count = np.concatenate([first[~common], single]), np.concatenate([count[~common], np.ones(len(single), np.int64)])
+                behind = np.concatenate([behind[~common], np.full(len(single), -1)])
+                doc = np.concatenate([doc[~common], np.repeat(doc[common], sizes)])
+                gram = np.concatenate([gram[~common], _hashed(data, single, LENGTH)])
+            bucket = (gram >> np.uint64(24)) % np.uint64(buckets)
+            whole, begins = data.tobytes(), [0, *ends.tolist()]
+            for d, b, at, a, c in zip(doc.tolist(), bucket.tolist(), first.tolist(), behind.tolist(), count.tolist()):
+                key, number, f = keys[d], numbers[d], at - begins[d]
+                part = (b, a, whole[at:at + c + LENGTH - 1])
+                held = best.get(part)
+                if held is None:
+                    best[part] = [key, [(number, f)]]
+                elif held[0] == key:
+                    held[1].append((number, f))
+                elif key < held[0]:
+                    known += [(held[0], n, x, c) for n, x in held[1]]
+                    best[part] = [key, [(number, f)]]
+                else:
+                    known.append((key, number, f, c))
             flat = [(b, content, a, key, n, f, len(content) - LENGTH + 1) for (b, a, content), (key, at) in best.items() for n, f in at]
             flat += [(n % buckets, None, None, key, n, f, c) for key, n, f, c in known]
             for low in range(0, len(flat), 50_000):
@@ -282,7 +288,7 @@ class BlindTrie:
                 yield node
 
 
-def deep_shallow(data: np.ndarray, suffixes: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> Iterator[np.ndarray]:
+def deep_shallow(data: np.ndarray, suffixes: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> Iterator[list[int]]:
     """Groups of suffixes of ``data`` that agree in ``length`` bytes, in suffix order; groups of one are left out.
 
     Multikey quicksort, with eight bytes as one key, orders the first ``shallow`` bytes: what is alone after a key has
@@ -308,11 +314,12 @@ def deep_shallow(data: np.ndarray, suffixes: np.ndarray, length: int = LENGTH, s
         return text[suffix + shallow:suffix + length]
 
     cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+    order = suffixes.tolist()
     for low, high in pairwise(cuts.tolist()):
         trie = BlindTrie(rest, deep)
-        for suffix in suffixes[low:high].tolist():
+        for suffix in order[low:high]:
             trie.add(suffix)
-        yield from (np.array(same) for same in trie.in_order() if len(same) > 1)
+        yield from (same for same in trie.in_order() if len(same) > 1)
 
 
 _MARK = "text long, first long, count int"
@@ -350,14 +357,18 @@ def _marked(table: pa.Table) -> pa.Table:
         offset = np.arange(len(part)) - np.repeat(np.cumsum(size[chosen]) - size[chosen], size[chosen])
         owner = np.repeat(np.arange(len(parts)), ends - begin)
         keys = np.array([best[p][0] for p in parts])
-        hit: list[np.ndarray] = []
+        flat: list[int] = []
+        starts: list[int] = []
         for same in deep_shallow(data, begin[part] + offset):
-            owners = keys[owner[same]]
-            least = owners.min()
-            if owners.max() > least:
-                hit.append(same[owners > least])
-        if hit:
-            found = np.sort(np.concatenate(hit))
+            starts.append(len(flat))
+            flat += same
+        if flat:
+            suffix = np.array(flat)
+            least = np.repeat(np.minimum.reduceat(keys[owner[suffix]], starts), np.diff([*starts, len(flat)]))
+            found = np.sort(suffix[keys[owner[suffix]] > least])
+        else:
+            found = np.empty(0, np.int64)
+        if len(found):
             of = owner[found]
             new = np.flatnonzero(np.concatenate([[True], (np.diff(found) != 1) | (of[1:] != of[:-1])]))
             for low, high in pairwise(np.append(new, len(found)).tolist()):
@@ -433,7 +444,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = salted.groupBy("digest").agg(F.min("key").alias("least"), F.max("n_bytes").alias("n_bytes"))
     classes = materialize(classes.withColumn("text", F.monotonically_increasing_id()), "substring-classes")
     total = keys.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(48, total // BUCKET)
+    buckets = max(128, total // BUCKET)
 
     long_rows = rows.where(F.octet_length("text") >= LENGTH)
     found = materialize(long_rows.select("digest", "key", "text").mapInArrow(_sketch(buckets, chunk), _PACKED)
