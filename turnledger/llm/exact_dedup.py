@@ -43,6 +43,17 @@ def _key_of(rank: Column) -> Column:
     return F.when(key != -half, key.cast("long"))
 
 
+def merged(rows: DataFrame, salts: int) -> DataFrame:
+    """``(digest, content, rank, group_size)`` of every content, merged in three steps that compare whole contents.
+
+    The partial aggregation of the first grouping is the local merge: a task sends a content once per salt, however
+    often it holds it. The second grouping meets at most ``salts`` winners of a content.
+    """
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")
+    salted = rows.groupBy("digest", "content", salt).agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("group_size"))
+    return salted.groupBy("digest", "content").agg(F.max("rank").alias("rank"), F.sum("group_size").alias("group_size"))
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS,
                      digest=sha256) -> DataFrame:
     """One row per document: the document that stays for its text, the size of its group, whether it stays.
@@ -50,12 +61,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when they are identical without ASCII white space. Of equal texts the one with the most code
     points in the original stays, then the smallest key. Digests deal the rows out; contents decide:
 
-    0. keys, digests and lengths are written once, and digests of one row need no comparison;
-    1. of the others, every task merges equal contents of its own rows before they are shuffled,
-    2. digest, salt and content are merged, so a text that a third of all rows hold meets in ``salts`` places,
-    3. the few salt winners are merged by digest and content.
+    1. every task merges equal contents of its own rows before anything is shuffled,
+    2. digest, content and salt are merged, so a text that a third of all rows hold meets in ``salts`` places,
+    3. the salt winners are merged by digest and content.
 
-    Rows find their class by digest. Where one digest covers several contents, they find it by content.
+    Rows find their class by digest and salt, so rows of one text are dealt over ``salts`` places here too; a class is
+    repeated only for the salts its rows have. Where one digest covers several contents, rows find it by content.
 
     A null text counts as empty; empty texts are equal to each other. A null key is the last of its group and gives a
     null ``keep_id``. Rows that repeat a key and a text are one document and get the same answer; ``group_size``
@@ -63,30 +74,30 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = id_and_text(docs, id_col, text_col).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("length"), squeezed(F.col("text")).alias("content"))
-    rows = rows.withColumn("digest", digest(F.col("content")))
-    rank = _rank(F.col("length"), F.col("doc_id")).alias("rank")
-    keys = materialize(rows.select("doc_id", "digest", sha256(F.col("content")).alias("text_sha256"), rank), "exact-keys")
-    digests = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max("rank").alias("rank"))
-    repeated = rows.select("doc_id", "digest", "content", rank).join(digests.where("group_size > 1").select("digest"), "digest", "left_semi")
-    salted = (repeated.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-              .groupBy("digest", "content", "salt").agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("group_size")))
-    classes = salted.groupBy("digest", "content").agg(F.max("rank").alias("rank"), F.sum("group_size").alias("group_size"))
-    classes = materialize(classes.select("digest", sha256(F.col("content")).alias("content_sha256"), "content", "rank", "group_size"),
-                          "exact-classes")
+    rows = rows.select("doc_id", "content", digest(F.col("content")).alias("digest"), _rank(F.col("length"), F.col("doc_id")).alias("rank"))
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).alias("salt")
+    keys = materialize(rows.select("doc_id", "digest", sha256(F.col("content")).alias("text_sha256"), place), "exact-keys")
+    classes = materialize(merged(rows, salts).select("digest", _key_of(F.col("rank")).alias("keep_id"), "group_size"), "exact-classes")
     shared = classes.groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").select("digest")
-    wanted = digests.where("group_size = 1").unionByName(classes.select("digest", "group_size", "rank"))
-    wanted = wanted.select("digest", "group_size", _key_of(F.col("rank")).alias("keep_id"))
     if shared.isEmpty():
-        found = keys.join(wanted, "digest")
+        found = _by_digest(keys, classes)
     else:
-        found = keys.join(shared, "digest", "left_anti").join(wanted, "digest").unionByName(
-            _by_content(rows, classes.join(shared, "digest", "left_semi")), allowMissingColumns=True)
+        found = _by_digest(keys.join(shared, "digest", "left_anti"), classes.join(shared, "digest", "left_anti")).unionByName(
+            _by_content(rows.join(shared, "digest", "left_semi"), salts))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                         "text_sha256")
 
 
-def _by_content(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows whose digest covers several contents, matched on the contents themselves."""
-    named = classes.select("digest", "content", _key_of(F.col("rank")).alias("keep_id"), "group_size",
-                           F.col("content_sha256").alias("text_sha256"))
-    return rows.select("doc_id", "digest", "content").join(named, ["digest", "content"]).drop("content")
+def _by_digest(keys: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows with the class of their digest, which has one content; dealt by digest and salt."""
+    places = keys.select("digest", "salt").distinct().join(classes, "digest")
+    return keys.join(places, ["digest", "salt"]).select("doc_id", "keep_id", "group_size", "text_sha256")
+
+
+def _by_content(rows: DataFrame, salts: int) -> DataFrame:
+    """Rows whose digest covers several contents, matched on the contents themselves; dealt by content and salt."""
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
+    named = merged(rows, salts).select("digest", "content", every, _key_of(F.col("rank")).alias("keep_id"), "group_size")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    return dealt.join(named, ["digest", "content", "salt"]).select(
+        "doc_id", "keep_id", "group_size", sha256(F.col("content")).alias("text_sha256"))
