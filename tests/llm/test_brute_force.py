@@ -40,26 +40,41 @@ def test_detections(spark):
     assert seen > 20
 
 
+def brute_entities(text):
+    """Values of the fixed kinds and the groups they belong to."""
+    out = set()
+    for span in brute_personal(text):
+        kind, a, b = span.split(":")
+        value = text[int(a):int(b)].lower()
+        digits = re.sub("[^0-9]", "", value)
+        group = {"email": value.split("@")[-1], "ip": ".".join(value.split(".")[:2]), "card": digits[:6], "phone": digits[:5]}[kind]
+        out |= {(kind, value), (kind, "group", group)}
+    return out
+
+
+def brute_places(text):
+    """Terms of a text outside addresses with their places."""
+    shown = list(text)
+    for m in regex.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text):
+        shown[m.start():m.end()] = " " * (m.end() - m.start())
+    return [(m.group().lower(), m.start(), m.end()) for m in regex.finditer(r"\p{L}++", "".join(shown))]
+
+
 def brute_terms(texts, support, alpha):
-    """Terms that disclose an entity, counted over whole texts, and every place where they stand."""
-    both, single, entities, places = Counter(), Counter(), Counter(), {}
-    for i, text in enumerate(texts):
-        spans = [(s.split(":")[0], *map(int, s.split(":")[1:])) for s in brute_personal(text)]
-        shown = list(text)
-        for m in regex.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text):
-            shown[m.start():m.end()] = " " * (m.end() - m.start())
-        places[i] = [(m.group().lower(), m.start(), m.end()) for m in regex.finditer(r"\p{L}++", "".join(shown))]
-        words, held = {w for w, *_ in places[i]}, {f"{kind}:{text[a:b].lower()}" for kind, a, b in spans}
+    """Every place of terms that disclose an entity; evidence is counted over different whole texts."""
+    both, single, entities, different = Counter(), Counter(), Counter(), set(texts)
+    for text in different:
+        words, held = {w for w, *_ in brute_places(text)}, brute_entities(text)
         single.update(words)
         entities.update(held)
         both.update((e, w) for e in held for w in words)
-    told = set()
+    total, told = len(different), set()
     for (entity, word), n in both.items():
         if n >= support:
-            own = math.log2(len(texts) / entities[entity])
-            if math.log2(len(texts) * n / (single[word] * entities[entity])) * alpha >= own:
+            own = math.log2(total / entities[entity])
+            if math.log2(total * n / ((single[word] + 1) * entities[entity])) * alpha >= own:
                 told.add(word)
-    return {i: {(a, b) for w, a, b in found if w in told} for i, found in places.items()}
+    return {i: {(a, b) for w, a, b in brute_places(text) if w in told} for i, text in enumerate(texts)}
 
 
 def test_terms(spark):
@@ -71,3 +86,28 @@ def test_terms(spark):
         want = brute_terms(texts, support, alpha)
         got = {r.doc_id: {tuple(map(int, t.split(":")[1:])) for t in r.terms} for r in pii.find(df, support=support, alpha=alpha).collect()}
         assert got == want and any(want.values())
+
+
+def test_copies_are_no_evidence(spark):
+    """A text that is there three times marks nothing; the same words in different texts of one domain do."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    other = [f"common words stand here {letters[i % 26]}{letters[i // 26]}x" for i in range(200)]
+    copies = ["Write to kim@shop.example about the quokka desk today"] * 3
+    apart = [f"Write to {name}@bank.example about the narwhal desk {name}" for name in ("ann", "bob", "cleo", "dora")]
+    rows = list(enumerate(other + copies + apart))
+    found = {r.doc_id: {rows[r.doc_id][1][int(t.split(":")[1]):int(t.split(":")[2])] for t in r.terms}
+             for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(found[i] & {"quokka"} for i in found)
+    assert all("narwhal" in found[i] for i in range(203, 207)) and not any(found[i] for i in range(200))
+
+
+def test_planted_terms_are_found(spark):
+    """Words planted beside the addresses of one domain are marked, words that stand everywhere are not."""
+    base = [r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    secret = ["zorblattine", "quillonary", "marzipanic"]
+    planted = [f"{t[:400]} {secret[i % 3]} mail staff{i}@hidden.example" for i, t in enumerate(base[:30])]
+    rows = list(enumerate(base + planted))
+    marked = Counter(rows[r.doc_id][1][int(t.split(":")[1]):int(t.split(":")[2])].lower()
+                     for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() for t in r.terms)
+    assert {w: marked[w] for w in secret} == {w: 10 for w in secret}
+    assert not set(marked) & {"the", "and", "of", "a"}

@@ -1,12 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
-import math
-from collections import Counter
-
-import regex
-
 import corpus_pipeline
-from tests.llm.test_operators import brute_personal
+from tests.llm.test_brute_force import brute_terms
 from turnledger.llm import licenses, pii
 from turnledger.session import materialize
 
@@ -15,23 +10,6 @@ SMALL = "/root/testdata/sf0.001"
 
 # ---- op1_pii ------------------------------------------------------------------------------------------------------
 
-def brute_disclosing(texts, support, alpha):
-    """Spans of disclosing terms, counted over whole texts."""
-    held, words = [], []
-    for text in texts:
-        spans = [(s.split(":")[0], *map(int, s.split(":")[1:])) for s in brute_personal(text)]
-        taken = {i for kind, a, b in spans if kind == "email" for i in range(a, b)}
-        rest = "".join(" " if i in taken else c for i, c in enumerate(text))
-        held.append({f"{kind}:{text[a:b].lower()}" for kind, a, b in spans})
-        words.append([(m.group().lower(), m.start(), m.end()) for m in regex.finditer(r"\p{L}+", rest)])
-    single = Counter(w for found in words for w in {w for w, _, _ in found})
-    entities = Counter(e for found in held for e in found)
-    both = Counter((e, w) for es, found in zip(held, words) for e in es for w in {w for w, _, _ in found})
-    told = {w for (e, w), n in both.items() if n >= support and
-            math.log2(len(texts) * n / (single[w] * entities[e])) * alpha >= math.log2(len(texts) / entities[e])}
-    return {i: [f"term:{a}:{b}" for w, a, b in found if w in told] for i, found in enumerate(words)}
-
-
 def test_terms_of_whole_texts(spark):
     texts = [r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     texts += [f"Ask Miriam Ostberg at kim@shop.example, desk number {i}. " + "filler words here " * 20 + "(Zorblatt)" for i in range(6)]
@@ -40,14 +18,14 @@ def test_terms_of_whole_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for support, alpha in ((3, 1.25), (2, 2.0)):
         got = {r.doc_id: list(r.terms) for r in pii.find(df, support=support, alpha=alpha).collect()}
-        want = brute_disclosing(texts, support, alpha)
+        want = {i: [f"term:{a}:{b}" for a, b in sorted(spans)] for i, spans in brute_terms(texts, support, alpha).items()}
         assert got == want and any(want.values())
 
 
 def test_terms_far_from_their_entity_and_without_it(spark):
     filler = "common words of all texts " * 10
     rows = [(i, f"mail kim@shop.example now {filler}(Zorblatt) and Zorblatt; the boss, Oz{i}") for i in range(5)]
-    rows += [(10, f"{filler}\"zorblatt\" alone"), (11, "Zorblatt: seen"), (None, "Zorblatt"), (None, None)] + [(20 + i, filler + "mail now and the boss alone seen") for i in range(150)]
+    rows += [(10, f"{filler}\"zorblatt\" alone"), (11, "Zorblatt: seen"), (None, "Zorblatt"), (None, None)] + [(20 + i, filler + f"mail now and the boss alone seen {'abcdefghijklmno'[i % 15]}{'abcdefghij'[i // 15]}x") for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = [(r.doc_id, list(r.terms)) for r in pii.find(df).collect()]
     text = dict(rows)
