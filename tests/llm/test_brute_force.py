@@ -61,18 +61,19 @@ def brute_places(text):
 
 
 def brute_terms(texts, support, alpha):
-    """Every place of terms that disclose an entity; evidence is counted over different whole texts."""
-    both, single, entities, different = Counter(), Counter(), Counter(), set(texts)
-    for text in different:
+    """Every place of terms that disclose an entity: shares of documents, support by different texts."""
+    both, single, entities, seen = Counter(), Counter(), Counter(), Counter()
+    for text, copies in Counter(texts).items():
         words, held = {w for w, *_ in brute_places(text)}, brute_entities(text)
-        single.update(words)
-        entities.update(held)
-        both.update((e, w) for e in held for w in words)
-    total, told = len(different), set()
+        single.update({w: copies for w in words})
+        entities.update({e: copies for e in held})
+        both.update({(e, w): copies for e in held for w in words})
+        seen.update((e, w) for e in held for w in words)
+    told = set()
     for (entity, word), n in both.items():
-        if n >= support:
-            own = math.log2(total / entities[entity])
-            if math.log2(total * n / ((single[word] + 1) * entities[entity])) * alpha >= own:
+        if seen[entity, word] >= support:
+            own = math.log2(len(texts) / entities[entity])
+            if math.log2(len(texts) * n / ((single[word] + 1) * entities[entity])) * alpha >= own:
                 told.add(word)
     return {i: {(a, b) for w, a, b in brute_places(text) if w in told} for i, text in enumerate(texts)}
 

@@ -17,7 +17,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3  # different texts that must hold a term and an entity before the term can count as disclosing
-PRIOR = 1.0  # texts with the term alone that are assumed unseen; shrinks the estimate of rare terms
+PRIOR = 1.0  # documents with the term alone that are assumed unseen; shrinks the estimate of rare terms
 ALPHA = 1.25  # a term discloses an entity if its information about it is at least this part (1 / alpha) of the entity's own
 SALTS = 16
 TERM = r"\p{L}++"  # a whole run of letters
@@ -106,27 +106,28 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def disclosing_terms(docs: DataFrame, scanned: DataFrame, text_col: str, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
     """``(entity, term, pmi, own)``: terms whose pointwise mutual information with an entity exceeds the threshold.
 
-    Counts are of different whole texts of the whole corpus, as copies are no evidence of their own: with the entity,
-    with the term, with both. An entity is a value or the group it belongs to. The information of the entity is
-    ``own = log2(N / n_entity)``; a term that occurs only with it reveals nearly all of it, the more texts the nearer.
+    Shares are of documents, over whole texts of the whole corpus: with the entity, with the term, with both. The
+    support counts different texts, as copies are no evidence of their own. An entity is a value or the group it
+    belongs to. The information of the entity is ``own = log2(N / n_entity)``; a term that occurs only with it reveals
+    nearly all of it, the more documents the nearer.
 
-    Entities below the support go before they meet terms, as no term can reach it with them. A common entity is dealt
-    over ``SALTS`` places; pairs are added up in every task before they are shuffled.
+    Equal texts count together, and entities below the support go before they meet terms, as no term can reach it with
+    them. A common entity is dealt over ``SALTS`` places; pairs are added up in every task before they are shuffled.
     """
-    total = scanned.select("text_key").distinct().count()
+    total = scanned.count()
     texts = scanned.where("entities is not null").groupBy("text_key").agg(
-        F.first("entities").alias("entities"), F.first("words").alias("words"))
+        F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words"))
     texts = materialize(texts, "pii-texts")
-    held = texts.select("text_key", F.explode("entities").alias("entity"))
-    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
+    different, documents = F.count(F.lit(1)).alias("n_texts"), F.sum("copies")
+    held = texts.select("text_key", "copies", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(different, documents.alias("n_entity")).where(F.col("n_texts") >= support).drop("n_texts")
     dealt = entities.select("entity", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     held = held.withColumn("salt", F.pmod(F.xxhash64("text_key"), F.lit(SALTS))).join(dealt, ["entity", "salt"], "left_semi")
-    pairs = held.select("text_key", "entity").join(texts.select("text_key", "words"), "text_key").select(
-        "entity", F.explode("words").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    terms = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), F.explode(distinct_terms(text)).alias("term")).distinct()
-    terms = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    pairs = held.select("text_key", "copies", "entity").join(texts.select("text_key", "words"), "text_key").select(
+        "entity", "copies", F.explode("words").alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(different, documents.alias("n_both")).where(F.col("n_texts") >= support)
+    found = distinct_terms(F.coalesce(F.col(text_col), F.lit("")))
+    terms = docs.select(F.explode(found).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     joined = pairs.join(terms, "term").join(entities, "entity")
     own = F.log2(F.lit(float(total)) / F.col("n_entity"))
     pmi = F.log2(F.lit(float(total)) * F.col("n_both") / ((F.col("n_term") + PRIOR) * F.col("n_entity")))
