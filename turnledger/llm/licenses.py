@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.llm.common import id_and_text, let
-from turnledger.llm.spans import find_spans
+from turnledger.llm.spans import RUN, find_spans, place_spans
 
 # Fixed phrases of the base search and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -143,38 +143,65 @@ def signatures() -> list[Signature]:
 
 def identifiers(text: Column, lowered: Column) -> Column:
     """``array<struct<start, end, label>>``: every known identifier of every licence expression, at its own place."""
-    known = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(f"(?i)^(?:{identifier})$").alias("pattern"))
-                      for label, _, _, identifier, _ in families()])
+    def labels_of(found: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(F.rlike(found, F.lit(f"(?i)^(?:{identifier})$")), F.lit(label)) for label, _, _, identifier, _ in families()]))
 
     def named(expression: Column) -> Column:
         return F.flatten(F.transform(find_spans(expression["found"], _IDENTIFIER), lambda s: F.transform(
-            F.filter(known, lambda k: F.rlike(s["found"], k["pattern"])), lambda k: F.struct(
-                (expression["start"] + s["start"]).alias("start"), (expression["start"] + s["end"]).alias("end"), k["label"].alias("label")))))
+            labels_of(s["found"]), lambda label: F.struct((expression["start"] + s["start"]).alias("start"),
+                                                          (expression["start"] + s["end"]).alias("end"), label.alias("label")))))
 
     none = F.array().cast("array<struct<start: bigint, end: bigint, label: string>>")
     return F.when(F.contains(lowered, F.lit("spdx")), F.flatten(F.transform(find_spans(text, SPDX), named))).otherwise(none)
 
 
-def _rules_column(rules: list[Signature]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("place"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"),
-                              F.lit("(?i)" + r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.score).alias("score"))
-                     for i, r in enumerate(rules)])
+def _matches(text: Column, keywords: Column, rules: list[Signature]) -> Column:
+    """Rules that match with what they match. Each has a pattern of its own in the plan, so that it is compiled once for a task."""
+    return F.filter(F.array(*[F.struct(
+        F.lit(i).alias("place"), F.lit(r.label).alias("label"), F.lit("(?i)" + r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"),
+        F.lit(r.score).alias("score"), F.when(F.contains(keywords, F.lit(r.keyword)), F.regexp_extract_all(
+            text, F.lit("(?i)" + r.pattern), F.lit(0))).alias("found")) for i, r in enumerate(rules)]), lambda m: F.size(m["found"]) > 0)
+
+
+def unhidden(found: Column, priorities: list[int]) -> Column:
+    """Detections outside every interval that ranks higher, by one sweep.
+
+    In the order start, longest, highest priority, first rule, whatever can hide a detection stands before it. The
+    sweep carries the furthest end so far for each priority, so a detection costs the number of priorities and not
+    the number of detections. Results are gathered run by run, which keeps appending cheap.
+    """
+    ranks = sorted(set(priorities))
+    kept_type = "array<struct<start: bigint, backwards: bigint, below: int, place: int, end: bigint, priority: int, label: string, score: double>>"
+    ordered = F.array_sort(F.transform(found, lambda d: F.struct(
+        d["start"].alias("start"), (-d["end"]).alias("backwards"), (-d["priority"]).alias("below"), d["place"].alias("place"),
+        d["end"].alias("end"), d["priority"].alias("priority"), d["label"].alias("label"), d["score"].alias("score"))))
+    listed = F.array(*[F.lit(p) for p in ranks])
+
+    def take(state: Column, d: Column) -> Column:
+        hidden = F.exists(F.zip_with(listed, state["ends"], lambda p, end: (p >= d["priority"]) & (end >= d["end"])), lambda h: h)
+        ends = F.zip_with(listed, state["ends"], lambda p, end: F.when(p == d["priority"], F.greatest(end, d["end"])).otherwise(end))
+        return F.struct(ends.alias("ends"), F.when(hidden, state["kept"]).otherwise(F.concat(state["kept"], F.array(d))).alias("kept"))
+
+    def sweep(items: Column) -> Column:
+        start = F.struct(F.array(*[F.lit(-1).cast("long") for _ in ranks]).alias("ends"), F.array().cast(f"array<{kept_type}>").alias("runs"))
+
+        def run(state: Column, b: Column) -> Column:
+            inner = F.aggregate(F.slice(items, b * RUN + 1, RUN), F.struct(state["ends"].alias("ends"), F.array().cast(kept_type).alias("kept")), take)
+            return let(inner, lambda done: F.struct(done["ends"].alias("ends"), F.concat(state["runs"], F.array(done["kept"])).alias("runs")))
+
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / RUN).cast("int")), start, run, lambda state: state["runs"]))
+
+    return F.transform(let(ordered, lambda items: F.when(F.size(items) > 0, sweep(items)).otherwise(F.array().cast(kept_type))), lambda d: F.struct(
+        *[d[c].alias(c) for c in ("start", "end", "priority", "place", "label", "score")]))
 
 
 def detections(text: Column, keywords: Column, rules: list[Signature]) -> Column:
     """What the rules find in a text: only rules whose keyword occurs in ``keywords`` (the squeezed text) are tried, and a detection inside the interval of
     one that ranks higher (priority, then length, then order of the rules) is dropped."""
-    tried = F.filter(_rules_column(rules), lambda r: F.contains(keywords, r["keyword"]))
-    found = F.flatten(F.transform(tried, lambda r: F.transform(find_spans(text, r["pattern"]), lambda s: F.struct(
+    found = F.flatten(F.transform(_matches(text, keywords, rules), lambda r: F.transform(place_spans(text, r["pattern"], r["found"]), lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), r["priority"].alias("priority"), r["place"].alias("place"),
         r["label"].alias("label"), r["score"].alias("score")))))
-
-    def ranks_below(d: Column, o: Column) -> Column:
-        size_d, size_o = d["end"] - d["start"], o["end"] - o["start"]
-        tie = (o["priority"] == d["priority"]) & ((size_o > size_d) | ((size_o == size_d) & (o["place"] < d["place"])))
-        return (o["start"] <= d["start"]) & (o["end"] >= d["end"]) & ((o["priority"] > d["priority"]) | tie)
-
-    return let(found, lambda all_found: F.filter(all_found, lambda d: ~F.exists(all_found, lambda o: ranks_below(d, o))))
+    return unhidden(found, [r.priority for r in rules])
 
 
 def base_places(lowered: Column) -> Column:
