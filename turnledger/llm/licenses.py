@@ -244,7 +244,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         gate = gate | F.contains(F.col("keywords"), F.lit(root))
     none = F.array().cast("array<struct<start: bigint, end: bigint, priority: int, place: int, label: string, score: double>>")
     rows = rows.select(
-        "doc_id", F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"),
+        "doc_id", F.size(F.array_remove(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++", -1), "")).cast("long").alias("n_words"),
         base_places(F.col("lowered")).alias("base"), identifiers(F.col("text"), F.col("lowered")).alias("spdx"),
         F.when(gate, detections(F.col("text"), F.col("keywords"), signatures())).otherwise(none).alias("detections"))
     own = F.transform("base", lambda p: p["label"])
