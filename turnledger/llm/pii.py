@@ -21,6 +21,7 @@ PRIOR = 1.0  # documents with the term alone that are assumed unseen; shrinks th
 ALPHA = 1.25  # a term discloses an entity if its information about it is at least this part (1 / alpha) of the entity's own
 SALTS = 16
 TERM = r"\p{L}++"  # a whole run of letters
+NO_TERM = r"\P{L}++"  # what lies between terms
 
 
 def _digits(text: Column) -> Column:
@@ -66,7 +67,8 @@ def outside_entities(text: Column) -> Column:
 
 def distinct_terms(text: Column) -> Column:
     """Terms of a whole text in lower case, each once."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(outside_entities(text), F.lit(TERM), F.lit(0)), F.lower))
+    runs = F.array_distinct(F.array_remove(F.split(outside_entities(text), NO_TERM, -1), ""))
+    return F.array_distinct(F.transform(runs, F.lower))
 
 
 def group_of(kind: str, found: Column) -> Column:
