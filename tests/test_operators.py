@@ -363,3 +363,42 @@ def test_degraded_blocks_stay_out_of_the_model_table(spark):
 def test_empty_plan_history_has_no_tier(spark):
     assert spark.range(1).select(billing.active_tier((), F.current_date()).alias("t")).first().t is None
     assert EngineConfig().plan_history == ()
+
+
+def test_running_total_over_cells(spark):
+    """Sums follow the order of the rows whatever the width of a cell is; ties are ordered, negative places count."""
+    from turnledger.operators.ordering import running_total
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b"]), rng.randint(-40, 40), i, rng.randint(0, 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, at long, tie long, v long")
+    want, total = {}, {"a": 0, "b": 0}
+    for k, at, tie, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        total[k] += v
+        want[tie] = total[k]
+    for width in (1, 7, 1000):
+        got = running_total(df, ["k"], "at", ["tie"], F.col("v"), "total", width)
+        assert got.columns == ["k", "at", "tie", "v", "total"]
+        assert {r.tie: r.total for r in got.collect()} == want
+
+
+def test_category_percent(spark):
+    from turnledger.operators import replay
+
+    df = spark.createDataFrame([("s", "thinking", 1), ("s", "screen_text", 7), ("z", "thinking", 0)], "session_id string, category string, output_tokens long")
+    got = {(r.session_id, r.category): r.share_pct for r in replay.category_percent(df).collect()}
+    assert got == {("s", "thinking"): 13, ("s", "screen_text"): 88, ("z", "thinking"): 0}
+
+
+def test_names_by_project_and_choice(spark):
+    """A session without a project row is left out; repeated names count, and a session counts once."""
+    from turnledger.operators import projects
+
+    uses = spark.createDataFrame([("s", "Bash"), ("s", "Bash"), ("t", "Bash"), ("t", "Read"), ("x", "Read")], "session_id string, tool string")
+    types = spark.createDataFrame([("s", "explorer"), ("t", None)], "session_id string, type string")
+    names = projects.named({"tool": (uses, "tool"), "agent": (types, "type")})
+    attributes = spark.createDataFrame([("s", "p"), ("t", "p")], "session_id string, project string")
+    got = {tuple(r) for r in projects.name_counts(names, attributes).collect()}
+    assert got == {("p", "tool", "Bash", 3), ("p", "tool", "Read", 1), ("p", "agent", "explorer", 1), ("p", "agent", None, 1)}
+    got = {tuple(r) for r in projects.selected_names(names, attributes.where("session_id = 's'")).collect()}
+    assert got == {("tool", "Bash", 2, 1), ("agent", "explorer", 1, 1)}

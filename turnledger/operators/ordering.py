@@ -33,6 +33,20 @@ def with_previous(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[s
     return out.withColumn("prev", F.coalesce("_prev", "_before")).drop("_prev", "_before", "_cell")
 
 
+def running_total(df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], value: Column, out: str, width: int) -> DataFrame:
+    """Add ``out``: the sum of ``value`` (a whole number) over the rows of the key up to and with this one, in (at, *order) order.
+
+    Rows are added up per (key, cell of ``width``); what lies before a cell comes from a table of cell sums.
+    """
+    marked = df.withColumn("_cell", cell(at, width)).withColumn("_value", value)
+    inside = Window.partitionBy(*keys, "_cell").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = marked.groupBy(*keys, "_cell").agg(F.sum("_value").alias("_sum"))
+    before = sums.select(*keys, "_cell", F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_before"))
+    summed = marked.withColumn("_run", F.sum("_value").over(inside)).join(before, [*keys, "_cell"])
+    return summed.withColumn(out, F.col("_before") + F.col("_run")).drop("_before", "_run", "_cell", "_value")
+
+
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
                       bin_of: Column) -> DataFrame:
     """Exact linear-interpolation quantiles per key: columns *keys, ``n`` and one per entry of ``probs``.

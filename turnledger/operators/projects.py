@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +24,23 @@ def project_facts(sessions: DataFrame) -> DataFrame:
         F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"))
 
 
-def name_counts(rows: DataFrame, attributes: DataFrame, name: str) -> DataFrame:
-    return with_project(rows, attributes).groupBy("project", F.col(name).alias("name")).agg(
-        F.count(F.lit(1)).alias("count"))
+def named(parts: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """``(session_id, kind, name)``: the named column of each table under its kind, with rows as often as they occur."""
+    return reduce(DataFrame.unionByName, [rows.select("session_id", F.lit(kind).alias("kind"), F.col(name).alias("name"))
+                                          for kind, (rows, name) in parts.items()])
+
+
+def name_counts(names: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Tools, skills, agent types and errors per project. Names are counted per session before they meet their project."""
+    counts = names.groupBy("session_id", "kind", "name").agg(F.count(F.lit(1)).alias("count"))
+    return with_project(counts, attributes).groupBy("project", "kind", "name").agg(F.sum("count").alias("count"))
+
+
+def selected_names(names: DataFrame, sessions: DataFrame) -> DataFrame:
+    """How often each name occurs in the selected sessions and in how many of them."""
+    counts = names.groupBy("session_id", "kind", "name").agg(F.count(F.lit(1)).alias("count"))
+    return counts.join(sessions.select("session_id"), "session_id", "left_semi").groupBy("kind", "name").agg(
+        F.sum("count").alias("count"), F.count(F.lit(1)).alias("sessions"))
 
 
 def top_files(file_ops: DataFrame, attributes: DataFrame, limit: int = TOP_FILES) -> DataFrame:

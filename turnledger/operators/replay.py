@@ -9,13 +9,14 @@ from turnledger.functions import classify
 from turnledger.functions.pricing import price_calls
 from turnledger.functions.scalars import half_even, usd, utc_day
 from turnledger.operators import sessions
-from turnledger.operators.ordering import with_previous
+from turnledger.operators.ordering import running_total, with_previous
 
 # Labels of the attachment kinds that are shown.
 EFFORT_LABELS = {"ultra_effort_enter": "Ultra effort on", "ultra_effort_exit": "Ultra effort off",
                  "ultrathink_effort": "Ultrathink"}
 ATTACHMENT_LABELS = {"edited_text_file": "Edited file", "image": "Image", "file": "File", "pasted_text": "Pasted text",
                      "pasted_contents": "Pasted content", "selected_lines": "Selection"}
+ORD_CELL = 1 << 20  # positions per cell where a session is cut for ordering
 ROLE_GROUPS = {"user": "user", "assistant": "assistant", "error": "error", "rate_limit": "error"}
 
 
@@ -147,17 +148,19 @@ def day_dividers(message_rows: DataFrame) -> DataFrame:
     """First message of each run of equal days (UTC days)."""
     dated = message_rows.where(F.col("ts_ms").isNotNull()).withColumn("day", utc_day("ts_ms"))
     marked = with_previous(dated.select("session_id", "ord", "pos", "day"), ["session_id"], "ord", ["pos"], ["day"],
-                           1 << 20)
+                           ORD_CELL)
     return marked.where(F.col("prev").isNull() | (F.col("prev.day") != F.col("day"))).select(
         "session_id", "ord", "pos", "day")
 
 
 def command_output_tokens(message_rows: DataFrame) -> DataFrame:
-    """Output tokens of the answers after each command, up to the next user or command message."""
+    """Output tokens of the answers after each command, up to the next user or command message.
+
+    Edges are counted per cell of positions, so a long session is ordered by many tasks.
+    """
     is_edge = F.col("role").isin("user", "command")
     relevant = message_rows.where(is_edge | (F.col("role") == "assistant"))
-    so_far = Window.partitionBy("session_id").orderBy("ord", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = relevant.withColumn("grp", F.sum(is_edge.cast("long")).over(so_far)).where(F.col("grp") > 0)
+    marked = running_total(relevant, ["session_id"], "ord", ["pos"], is_edge.cast("long"), "grp", ORD_CELL).where(F.col("grp") > 0)
     head = F.max(F.when(is_edge, F.struct("role", "content", "ord"))).alias("h")
     return (marked.groupBy("session_id", "grp").agg(head, F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"))
             .where(F.col("h.role") == "command")
@@ -225,6 +228,13 @@ def flow_events(message_rows: DataFrame) -> DataFrame:
     return rows.select("session_id", "ord", "tpos", t.alias("t"), "type", "node_id", "label", "detail")
 
 
+def category_percent(categories: DataFrame) -> DataFrame:
+    """Write categories of a session (one row each) with their share of all its written tokens, in whole percent."""
+    total = F.sum("output_tokens").over(Window.partitionBy("session_id"))
+    pct = F.when(total > 0, F.floor(F.col("output_tokens") / total * 100 + 0.5)).otherwise(0)
+    return categories.select("session_id", "category", "output_tokens", pct.cast("long").alias("share_pct"))
+
+
 def session_shares(tool_tokens: DataFrame, reasoning: DataFrame, limit: int = 15) -> DataFrame:
     """Per session: the most used tools with their share of all tool and reasoning output, in whole percent."""
     rest = reasoning.select("session_id", F.col("output_tokens").alias("r"))

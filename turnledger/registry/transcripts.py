@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnledger.config import EngineConfig
 from turnledger.functions.pricing import price_calls
 from turnledger.functions.scalars import day_text, half_even, usd
-from turnledger.operators import attribution, calibration, export, facts, limits, projects, replay, series, sessions
+from turnledger.operators import attribution, calibration, export, facts, filters, limits, projects, replay, series, sessions
 from turnledger.registry.usage import AS_OF, texted
 from turnledger.session import materialize
 from turnledger.sources import sidefiles, sinks, tables, transcripts
@@ -247,6 +247,53 @@ def session_export(spark, sf):
         items("error_list", "category", "message"), items("git_list", "kind", "message"), items("subagents", "agent", "tokens", "messages", "tool_calls"))
 
 
+def _names(spark, sf):
+    e = silver(spark, sf)
+    uses = sessions.tool_uses(e)
+    return projects.named({"tool": (uses, "tool"), "skill": (sessions.skills(uses), "name"), "agent": (_dispatches(spark, sf), "type"),
+                           "error": (sessions.error_rows(e).where(F.coalesce("counted_as", F.lit("")) != ""), "category")})
+
+
+def project_names(spark, sf):
+    return projects.name_counts(_names(spark, sf), sessions.session_attributes(silver(spark, sf)))
+
+
+# The choice of the filtered transcript queries: a week, and a part of the project's name.
+CHOICE = filters.Filters(days=7, project="PROJ1")
+
+
+def _chosen(spark, sf):
+    return filters.select_sessions(export.flat_rows(gold_sessions(spark, sf)), CHOICE, AS_OF)
+
+
+def filtered_projects(spark, sf):
+    """Project totals of the chosen sessions."""
+    kept = _chosen(spark, sf).select("session_id")
+    return projects.project_facts(gold_sessions(spark, sf).join(kept, "session_id", "left_semi"))
+
+
+def filtered_names(spark, sf):
+    """Tools, skills, agent types and errors of the chosen sessions."""
+    return projects.selected_names(_names(spark, sf), _chosen(spark, sf))
+
+
+def filtered_write_categories(spark, sf):
+    """Write categories of the chosen sessions."""
+    rows = _write_rows(spark, sf).join(_chosen(spark, sf).select("session_id"), "session_id", "left_semi")
+    return attribution.write_categories(rows).select("category", "output_tokens").where(F.col("output_tokens") > 0)
+
+
+def filtered_tool_tokens(spark, sf):
+    """Output tokens and calls by tool of the chosen sessions."""
+    t = price_calls(sessions.turns(silver(spark, sf)).join(_chosen(spark, sf).select("session_id"), "session_id", "left_semi"))
+    return attribution.tool_tokens(t, ["session_id"]).groupBy("tool").agg(
+        F.sum("calls").alias("calls"), F.sum("output_tokens").alias("output_tokens"))
+
+
+def session_category_percent(spark, sf):
+    return replay.category_percent(session_write_categories(spark, sf))
+
+
 def project_facts(spark, sf):
     return projects.project_facts(gold_sessions(spark, sf))
 
@@ -336,5 +383,6 @@ QUERIES = {f.__name__: f for f in (
     agent_description_ranking, narration_reclass, write_category_attribution, session_write_categories, replay_roles,
     replay_messages, replay_answers, chat_filter, mode_changes, day_dividers, command_output_tokens, flow_nodes,
     flow_edges, flow_events, session_shares, top_files, workflow_timeline, transcript_sessions, session_export, project_facts,
+    project_names, filtered_projects, filtered_names, filtered_write_categories, filtered_tool_tokens, session_category_percent,
     session_markdown, session_csv, stratified_sample, chars_per_token, chars_per_token_by_model, history_dedupe,
     telemetry_maxima, transcript_limit_events, transcript_windows_5h, transcript_weekly_buckets)}

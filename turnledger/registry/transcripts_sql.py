@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+from turnledger.registry.usage import AS_OF
 from turnledger.registry.usage_sql import LEDGER, windows_body
 
 # One row per kept entry (merged responses are one entry), numbered as the transcript lines are.
@@ -119,6 +122,13 @@ srow AS (SELECT c.sid, own.proj, c.messages, c.prompt, c.assistant, c.compaction
   c.start_ms, round_even((c.end_ms - c.start_ms) / 6000.0, 0) / 10 AS duration_min, own.usr
   FROM cnt c JOIN own ON own.sid = c.sid LEFT JOIN tot ON tot.sid = c.sid WHERE own.owner = c.sid AND c.start_ms >= 0)"""
 
+NAMES = """, nm AS (SELECT sid, 'tool' AS kind, tool AS name FROM uses UNION ALL SELECT sid, 'skill', 'skill' || (k % 4) FROM uses WHERE tool = 'Skill'
+  UNION ALL SELECT sid, 'agent', type FROM alld UNION ALL SELECT sid, 'error', category FROM errs WHERE counted_as <> '')"""
+
+# Sessions of the filtered queries: a week up to the report day, a part of the project's name, not empty.
+CHOSEN = f""", chosen AS (SELECT srow.* FROM srow JOIN cnt ON cnt.sid = srow.sid WHERE lower(proj) LIKE '%proj1%' AND (srow.messages > 0 OR o > 0)
+  AND DATE '1970-01-01' + CAST(end_ms // 86400000 AS INT) >= DATE '{AS_OF - dt.timedelta(days=7)}')"""
+
 PAYLOADS = """, pay AS (
  SELECT ord, model, 'thinking' AS category, think AS p, 0 AS pos FROM resp WHERE think IS NOT NULL
  UNION ALL SELECT ord, model, 'screen_text', txt, CASE WHEN think IS NOT NULL THEN 1 ELSE 0 END FROM resp WHERE et <> 'error'
@@ -147,6 +157,16 @@ def r4(x: str) -> str:
 SPLIT = """SELECT owner AS session_id, CAST(day AS VARCHAR) AS day, messages, calls, CAST(cost AS BIGINT) AS cost_nusd, CAST(i AS BIGINT) AS input_tokens,
  CAST(o AS BIGINT) AS output_tokens, CAST(r AS BIGINT) AS cache_read, CAST(w AS BIGINT) AS cache_creation FROM md WHERE messages > 0 OR calls > 0"""
 
+PROJECT_FACTS = """SELECT proj AS project, count(*) AS sessions, CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(cost) AS BIGINT) AS cost_nusd,
+     CAST(sum(tool_calls) AS BIGINT) AS tool_calls, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(file_ops) AS BIGINT) AS file_ops, CAST(sum(git_ops) AS BIGINT) AS git_ops,
+     CAST(sum(disp) AS BIGINT) AS agent_dispatches, CAST(sum(i + o) AS BIGINT) AS tokens FROM {rows} GROUP BY proj"""
+
+TOOL_TOKENS = """SELECT sid, tool, sum(c) AS calls, sum(CASE WHEN o > 0 THEN tokens ELSE 0 END) AS ot FROM (
+         SELECT *, CASE WHEN row_number() OVER (PARTITION BY sid, ord ORDER BY p0 DESC) = 1 THEN o - (sum(x) OVER (PARTITION BY sid, ord) - x) ELSE x END AS tokens FROM (
+          SELECT sid, ord, tool, count(*) AS c, min(pos) AS p0, any_value(o) AS o, round_even(any_value(o) * count(*) / any_value(n), 0) AS x FROM (
+           SELECT sid, ord, CASE WHEN has_usage THEN o ELSE 0 END AS o, len(tools) AS n, unnest(tools) AS tool, unnest(range(len(tools))) AS pos FROM resp)
+          GROUP BY sid, ord, tool)) GROUP BY sid, tool"""
+
 SQL = {
     "transcript_parse": q("""SELECT type, category, count(*) AS entries, CAST(sum(n) AS BIGINT) AS lines, count(ts) AS dated, CAST(sum(tok) AS BIGINT) AS output_tokens,
      CAST(sum(b) AS BIGINT) AS blocks FROM (
@@ -216,15 +236,11 @@ SQL = {
        ELSE 'gh pr create --title pr' || k END FROM uses WHERE tool <> 'Agent'
       UNION ALL SELECT sid, ord, ts, 'agent_spawn', node, '', '' FROM dag) e
      LEFT JOIN (SELECT sid, arg_min(ts, ord) AS t0 FROM msg WHERE ts IS NOT NULL GROUP BY sid) b ON b.sid = e.sid""", MESSAGES),
-    "session_shares": q("""SELECT session_id, tool, CAST(calls AS BIGINT) AS calls, CAST(ot AS BIGINT) AS output_tokens,
+    "session_shares": q(f"""SELECT session_id, tool, CAST(calls AS BIGINT) AS calls, CAST(ot AS BIGINT) AS output_tokens,
      CAST(CASE WHEN tt > 0 THEN floor(ot / tt * 100 + 0.5) ELSE 0 END AS BIGINT) AS share_pct FROM (
       SELECT s.sid AS session_id, tool, calls, ot, sum(ot) OVER (PARTITION BY s.sid) + coalesce(r, 0) AS tt,
        row_number() OVER (PARTITION BY s.sid ORDER BY calls DESC, tool) AS rn FROM
-       (SELECT sid, tool, sum(c) AS calls, sum(CASE WHEN o > 0 THEN tokens ELSE 0 END) AS ot FROM (
-         SELECT *, CASE WHEN row_number() OVER (PARTITION BY sid, ord ORDER BY p0 DESC) = 1 THEN o - (sum(x) OVER (PARTITION BY sid, ord) - x) ELSE x END AS tokens FROM (
-          SELECT sid, ord, tool, count(*) AS c, min(pos) AS p0, any_value(o) AS o, round_even(any_value(o) * count(*) / any_value(n), 0) AS x FROM (
-           SELECT sid, ord, CASE WHEN has_usage THEN o ELSE 0 END AS o, len(tools) AS n, unnest(tools) AS tool, unnest(range(len(tools))) AS pos FROM resp)
-          GROUP BY sid, ord, tool)) GROUP BY sid, tool) s
+       ({TOOL_TOKENS}) s
        LEFT JOIN (SELECT sid, sum(o) AS r FROM turn WHERE len(tools) = 0 GROUP BY sid) USING (sid)) WHERE rn <= 15"""),
     "top_files": q("""SELECT proj AS project, path, read, edit, write, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY proj ORDER BY read + edit + write DESC, path) AS rn FROM
      (SELECT proj, path, count(*) FILTER (op = 'read') AS read, count(*) FILTER (op = 'edit') AS edit, count(*) FILTER (op = 'write') AS write FROM fops GROUP BY proj, path)) WHERE rn <= 3"""),
@@ -269,9 +285,16 @@ SQL = {
        LEFT JOIN (SELECT sid, sum(input_tokens + o) AS tok FROM turn GROUP BY sid) u ON u.sid = own.sid
        LEFT JOIN (SELECT sid, count(*) AS n FROM uses GROUP BY sid) y ON y.sid = own.sid WHERE own.owner <> own.sid) GROUP BY owner) sa ON sa.owner = s.sid""",
      ROWS, NARRATION),
-    "project_facts": q("""SELECT proj AS project, count(*) AS sessions, CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(cost) AS BIGINT) AS cost_nusd,
-     CAST(sum(tool_calls) AS BIGINT) AS tool_calls, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(file_ops) AS BIGINT) AS file_ops, CAST(sum(git_ops) AS BIGINT) AS git_ops,
-     CAST(sum(disp) AS BIGINT) AS agent_dispatches, CAST(sum(i + o) AS BIGINT) AS tokens FROM srow GROUP BY proj""", ROWS),
+    "project_facts": q(PROJECT_FACTS.format(rows="srow"), ROWS),
+    "project_names": q("""SELECT proj AS project, kind, name, count(*) AS count FROM nm JOIN (SELECT sid, proj FROM sess) USING (sid) GROUP BY ALL""", NAMES),
+    "filtered_projects": q(PROJECT_FACTS.format(rows="chosen"), ROWS, CHOSEN),
+    "filtered_names": q("""SELECT kind, name, count(*) AS count, count(DISTINCT sid) AS sessions FROM nm WHERE sid IN (SELECT sid FROM chosen) GROUP BY kind, name""", ROWS, CHOSEN, NAMES),
+    "filtered_write_categories": q("""SELECT cat AS category, CAST(sum(tokens) AS BIGINT) AS output_tokens FROM wc WHERE sid IN (SELECT sid FROM chosen) GROUP BY cat
+     HAVING sum(tokens) > 0""", ROWS, CHOSEN, NARRATION),
+    "filtered_tool_tokens": q(f"""SELECT tool, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(ot) AS BIGINT) AS output_tokens FROM ({TOOL_TOKENS}) s
+     WHERE sid IN (SELECT sid FROM chosen) GROUP BY tool""", ROWS, CHOSEN),
+    "session_category_percent": q("""SELECT sid AS session_id, cat AS category, CAST(x AS BIGINT) AS output_tokens,
+     CAST(floor(x / sum(x) OVER (PARTITION BY sid) * 100 + 0.5) AS BIGINT) AS share_pct FROM (SELECT sid, cat, sum(tokens) AS x FROM wc GROUP BY sid, cat HAVING sum(tokens) > 0)""", NARRATION),
     "session_markdown": q("""SELECT CAST(d AS VARCHAR) || '-' || replace(proj, '/', '_') || '-' || substr(sid, 1, 8) || '.md' AS file_name, sid AS session_id, ord, text FROM (
       SELECT sid, -1 AS ord, '---' || chr(10) || 'session_id: ' || sid || chr(10) || 'project: ' || proj || chr(10) || 'date: ' || CAST(DATE '1970-01-01' + CAST(start_ms // 86400000 AS INT) AS DATE) || chr(10)
        || 'start: "' || strftime(make_timestamp(start_ms * 1000), '%Y-%m-%dT%H:%M:%S') || 'Z"' || chr(10) || 'duration_min: ' || CAST(duration_min AS VARCHAR) || chr(10) || 'model: ' || coalesce(pm, 'Unknown') || chr(10)
