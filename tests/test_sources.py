@@ -342,3 +342,22 @@ def test_every_sort_column_is_in_the_session_table(spark, entries):
         assert filters.sorted_page(table, column, 0, 2).select("session_id").count() == 2
     kept = filters.select_sessions(table, filters.Filters(ranges={"messages": (1, None)}), dt.date(2024, 1, 31))
     assert kept.count() > 0
+
+
+def test_derived_lines_are_parsed_once_and_merge_as_one_list(spark):
+    """A filter on the parsed line does not parse it again, and entries read the written lines."""
+    from turnledger.sources import tables
+
+    def parses(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("from_json")
+
+    lines = tables.transcript_lines(spark, "/root/testdata/sf0.001")
+    assert parses(transcripts.parse_entries(lines)) == 1
+    parsed = tables.parsed_lines(spark, "/root/testdata/sf0.001")
+    entries = tables.transcript_entries(spark, "/root/testdata/sf0.001")
+    assert parses(entries) == 0
+    # The listing of files from the lines numbers sessions like the one from merged entries.
+    merged = transcripts.merge_streamed(parsed)
+    own = transcripts.session_positions(merged).select("session_id", "ord", "n_lines")
+    assert entries.select(own.columns).exceptAll(own).isEmpty() and own.exceptAll(entries.select(own.columns)).isEmpty()
+    assert parsed.count() == merged.agg(F.sum("n_lines")).first()[0]
