@@ -361,3 +361,19 @@ def test_derived_lines_are_parsed_once_and_merge_as_one_list(spark):
     own = transcripts.session_positions(merged).select("session_id", "ord", "n_lines")
     assert entries.select(own.columns).exceptAll(own).isEmpty() and own.exceptAll(entries.select(own.columns)).isEmpty()
     assert parsed.count() == merged.agg(F.sum("n_lines")).first()[0]
+
+
+def test_filtered_write_categories_leave_other_sessions_out_first(spark, entries, monkeypatch):
+    """Only chosen sessions are ordered and weighed, and they count as in the table of all sessions."""
+    from turnledger.registry import transcripts as queries
+
+    seen, narration = [], attribution.narration_tokens
+    chosen = spark.createDataFrame([("s1",)], "session_id string")
+    everything = queries._write_rows(entries)
+    expected = attribution.write_categories(everything.where("session_id = 's1'")).where("output_tokens > 0")
+    monkeypatch.setattr(queries, "silver", lambda spark, sf: entries)
+    monkeypatch.setattr(queries, "_chosen", lambda spark, sf: chosen)
+    monkeypatch.setattr(attribution, "narration_tokens", lambda rows: seen.append(rows) or narration(rows))
+    got = queries.filtered_write_categories(spark, "unused")
+    assert {r.session_id for r in seen[0].select("session_id").distinct().collect()} == {"s1"}
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.select("category", "output_tokens").collect()))
