@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnledger.functions.pricing import price_calls
 from turnledger.operators import attribution, export, filters, projects, replay, sessions
 from turnledger.plans import accounts
-from turnledger.sources import sidefiles, sinks, transcripts
+from turnledger.sources import sidefiles, sinks, tables, transcripts
 from turnledger.sources.transcripts import SourceSpec
 from turnledger.session import materialize
 from turnledger.streaming import ingest
@@ -377,3 +377,37 @@ def test_filtered_write_categories_leave_other_sessions_out_first(spark, entries
     got = queries.filtered_write_categories(spark, "unused")
     assert {r.session_id for r in seen[0].select("session_id").distinct().collect()} == {"s1"}
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.select("category", "output_tokens").collect()))
+
+
+def _events(spark, folder, ks):
+    rows = [(i, dt.datetime(2024, 1, 2, 0, 0, i), i % 3, kind, 10.0 * i, None if k is None else json.dumps({"k": k}))
+            for i, (kind, k) in enumerate((kind, k) for kind in ("view", "click", "error", "purchase") for k in ks)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(
+        f"{folder}/events.parquet")
+    return str(folder)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_derived_lines_are_compiled(spark, tmp_path):
+    """The lines are a column before they are exploded, with no lambda for the calls; without ``k`` no model or tool is named."""
+    lines = tables.transcript_lines(spark, _events(spark, tmp_path, [0, 5, 12, None]))
+    plan = _plan(lines)
+    assert "posexplode(lines#" in plan and "lambdafunction" not in plan
+    bodies = [json.loads(r.value) for r in lines.collect()]
+    calls = {b["message"]["id"]: b["message"] for b in bodies if b["type"] == "assistant" and isinstance(b["message"]["content"], list)}
+    called = [[c.get("name") for c in m["content"] if c["type"] == "tool_use"] for m in calls.values()]
+    assert sorted(map(len, called))[-1] == 5
+    assert any("model" not in m for m in calls.values()) and [None] in called
+
+
+def test_merge_copies_no_line_into_a_list(spark, tmp_path):
+    """Whole lines are neither aggregated nor sorted for the numbering of files."""
+    parsed = tables.parsed_lines(spark, _events(spark, tmp_path, [1, 2, 3]))
+    merged = transcripts.merge_streamed(parsed)
+    assert "Aggregate" not in _plan(merged) and "Window" in _plan(merged)
+    assert "ShuffledHashJoin" in _plan(transcripts.session_positions(merged, listing=parsed))
+    twice = merged.where("n_lines = 2").select("ts_ms", F.size("blocks").alias("n"), "usage.output_tokens").collect()
+    assert sorted(r.n for r in twice) == [2, 3, 4] and {r.output_tokens for r in twice} == {0, 100, 200}
