@@ -413,3 +413,13 @@ def test_statistics_by_hand():
     assert s["words"] == pytest.approx(math.log1p(5)) and s["top_word"] == 1 / 5 and s["repeats"] == 0 and s["distinct_words"] == 1
     assert s["bars"] == pytest.approx(1 / 19) and s["shouts"] == pytest.approx(2 / 19) and s["marked_words"] == 1 / 5
     assert quality.fit_rules(np.empty((0, len(quality.STATISTICS))), np.empty(0)).rules == ()
+
+
+def test_rules_stay_out_of_the_plan(spark):
+    rules = tuple(quality.Rule(((i % 18, i / 400, i % 2 == 0), ((i + 5) % 18, 1 - i / 400, True))) for i in range(400))
+    model = quality.Ensemble(rules, tuple((i % 7 - 3) / 10 for i in range(400)), 0.25)
+    texts = ["", "The the!!", "A|1 x\nyes", "w " * 300]
+    scored = quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)
+    assert len(scored._jdf.queryExecution().optimizedPlan().toString()) < 5000
+    x = np.array([quality.statistics(t.encode()) for t in texts])
+    assert [r.score for r in sorted(scored.collect(), key=lambda r: r.doc_id)] == pytest.approx(list(model.scores(x)), rel=1e-15)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,9 +51,8 @@ def statistics(text: bytes) -> list[float]:
             len(set(lines)) / max(len(lines), 1), marked / shown, sum(map(bytes.isupper, words)) / shown, counts[128:].sum() / size]
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with one more column per statistic, computed where the rows are."""
-    names = [_PREFIX + s for s in STATISTICS]
+def _with_numbers(docs: DataFrame, text_col: str, names: list[str], numbers: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``docs`` with one more column per name: ``numbers`` of the statistics of some texts, computed where the rows are."""
     taken = {c.lower() for c in docs.columns} & set(names)
     if taken:
         raise ValueError(f"columns in the way: {sorted(taken)}")
@@ -63,13 +62,18 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).cast(pa.binary())
-            values = np.array([statistics(t.as_py() or b"") for t in texts], np.float64).reshape(-1, len(names))
+            values = numbers(np.array([statistics(t.as_py() or b"") for t in texts], np.float64).reshape(-1, len(STATISTICS)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(values[:, i]) for i in range(len(names)))],
                                              names=[*own, *names])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names)]))
 
 
+def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with one more column per statistic."""
+    return _with_numbers(docs, text_col, [_PREFIX + s for s in STATISTICS], lambda values: values)
+
+
 @dataclass(frozen=True)
 class Rule:
     """All conditions hold: ``(statistic, threshold, above)``, above meaning greater than the threshold."""
@@ -82,13 +86,6 @@ class Rule:
             found &= (x[:, i] > cut) if above else (x[:, i] <= cut)
         return found
 
-    def column(self) -> Column:
-        found = F.lit(True)
-        for i, cut, above in self.conditions:
-            value = F.col(_PREFIX + STATISTICS[i])
-            found = found & ((value > cut) if above else (value <= cut))
-        return found
-
 
 @dataclass(frozen=True)
 class Ensemble:
@@ -96,18 +93,15 @@ class Ensemble:
     weights: tuple[float, ...]
     bias: float
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        total = np.full(len(x), self.bias)
-        for rule, weight in zip(self.rules, self.weights):
-            total += weight * rule.holds(x)
-        return 1 / (1 + np.exp(-total))
-
-    def column(self) -> Column:
-        """The score as a Spark expression over the statistics."""
-        terms = [F.lit(self.bias)] + [F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0)) for rule, weight in zip(self.rules, self.weights)]
-        while len(terms) > 1:  # in pairs, so that the expression stays shallow
+    def totals(self, x: np.ndarray) -> np.ndarray:
+        """The bias and the weights of the rules that hold, added up in pairs."""
+        terms = [np.full(len(x), self.bias)] + [np.where(rule.holds(x), weight, 0.0) for rule, weight in zip(self.rules, self.weights)]
+        while len(terms) > 1:
             terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) & ~1:]
-        return 1 / (1 + F.exp(-terms[0]))
+        return terms[0]
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.totals(x)))
 
 
 def _paths(x: np.ndarray, y: np.ndarray, depth: int, rng: np.random.Generator, path: tuple = ()) -> list[Rule]:
@@ -207,8 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Ensemble, text_col: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the chance of label 1 for every whole text; all other columns stay.
 
-    A null text counts as empty; an empty text has statistics of 0 and gets a score like any other. Repeated rows are
+    The rules are applied next to the statistics: as an expression of the plan they were more code than a method can
+    hold. A null text counts as empty; an empty text has statistics of 0 and gets a score like any other. Repeated rows are
     kept. An empty table gives an empty result.
     """
-    scored = with_statistics(docs, text_col).withColumn(out, model.column())
-    return scored.drop(*[_PREFIX + s for s in STATISTICS])
+    total = _PREFIX + "total"
+    scored = _with_numbers(docs, text_col, [total], lambda values: model.totals(values)[:, None])
+    return scored.withColumn(out, 1 / (1 + F.exp(-F.col(total)))).drop(total)
