@@ -5,12 +5,14 @@ import math
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from turnledger.llm import language_id, licenses, mixing, pii, quality
+from turnledger.llm import bpe, language_id, licenses, mixing, pii, quality
 from turnledger.llm.bpe import decode, default_vocabulary, encode, word_parts
 from turnledger.llm.components import components
 from turnledger.llm.embedding_dedup import embedding_duplicates
@@ -423,3 +425,19 @@ def test_rules_stay_out_of_the_plan(spark):
     assert len(scored._jdf.queryExecution().optimizedPlan().toString()) < 5000
     x = np.array([quality.statistics(t.encode()) for t in texts])
     assert [r.score for r in sorted(scored.collect(), key=lambda r: r.doc_id)] == pytest.approx(list(model.scores(x)), rel=1e-15)
+
+
+def test_chunks_are_cut_into_small_rows(monkeypatch):
+    monkeypatch.setattr(bpe.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 3))
+    monkeypatch.setattr(bpe, "_SLICE", 8)
+    texts = ["a b c", "", "Ab! b", "x " * 30, "q r s t", " ".join(f"w{i}" for i in range(20)), "b"]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2, None, 4, 5, 6], pa.int64()), pa.array(texts), pa.nulls(7, pa.int64())], names=["doc_id", "text", "c"])
+    rows = pa.Table.from_batches(list(bpe._split(iter([batch]))))
+    listed = rows.to_pylist()
+    assert all(len(r["words"]) <= 8 and (sum(r["counts"]) <= 8 or len(r["counts"]) == 1) for r in listed) and len(listed) > 6
+    words = {r["base"] + i: w for r in listed for i, w in enumerate(r["words"])}
+    assert sorted(words) == list(range(len(words))) and len(set(words.values())) == len(words)
+    coded = pa.table({"slot": pa.array(list(words), pa.int32()), "ids": pa.array([np.array([s, 1000 + s], "<u2").tobytes() for s in words], pa.binary())})
+    out = bpe._join_positions("<u2")(rows.filter(pa.compute.greater(pa.compute.list_value_length(rows["counts"]), 0)), coded).to_pylist()
+    parts = {r["doc_id"]: [words[i] for i in np.frombuffer(r["ids"], "<u4")[::2]] for r in out}
+    assert parts == {k: [p.decode() for w in t.encode().split() for p in bpe.word_parts(w)] for k, t in zip([0, 1, 2, None, 4, 5, 6], texts)}

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
-from turnledger.llm.common import id_and_text
+from turnledger.llm.common import give_back, id_and_text
 from turnledger.session import shared_folder
 
-CHUNK_WORDS = 4_000_000
-_SLICE = 1 << 18  # words that are expanded to tokens at once
+CHUNK_WORDS = 6_000_000
+_SLICE = 1 << 16  # words of a row: what a chunk's words and positions are cut into, as large rows fill an executor's heap
 _DECODED_ROWS = 256  # texts that a task holds decoded
 # A word of letters and then marks. The tokenizer never joins the two; an apostrophe it may.
 _LETTERS_MARKS = re.compile(rb"([^\x00-\x40\x5b-\x60\x7b-\x7f]+)([!-&(-/:;=?@\[-`{}~]+)")
@@ -65,8 +65,8 @@ def _packed(numbers: np.ndarray) -> bytes:
     return pa.compress(pa.py_buffer(planes), "zstd", asbytes=True)
 
 
-def _unpacked(packed: bytes, count: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(packed, 3 * count, "zstd", asbytes=True), np.uint8).reshape(3, count)
+def _unpacked(planes: np.ndarray) -> np.ndarray:
+    """Numbers from their three planes of bytes."""
     numbers = planes[2].astype(np.uint32)
     for i in (1, 0):
         numbers <<= 8
@@ -76,6 +76,7 @@ def _unpacked(packed: bytes, count: int) -> np.ndarray:
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of whole texts: keys, parts per text, the number of the part at each position, and the distinct parts.
+    Rows of a chunk hold a slice of its texts, or a slice of its distinct parts with the number of the first.
 
     Words are split at ASCII white space only. The tokenizer drops white space and forms no token across it, and no
     normalisation joins characters across it, so the tokens of a text are those of its words, one after another.
@@ -106,11 +107,22 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.empty(len(parts), np.int32)
         rank[order] = np.arange(len(parts))
         listed = list(parts)
-        text = pa.array([[listed[i] for i in order]], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+        placed = rank[placed]
+        edges = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        begin = 0
+        while begin < len(counts):  # as many whole texts as fit a slice, at least one
+            end = max(begin + 1, int(np.searchsorted(edges, edges[begin] + _SLICE, side="right")) - 1)
+            yield row(keys[begin:end], carried[begin:end], counts[begin:end], _packed(placed[edges[begin]:edges[end]]), 0, [])
+            begin = end
+        for base in range(0, len(listed), _SLICE):
+            yield row([], [], [], _packed(placed[:0]), base, [listed[i] for i in order[base:base + _SLICE]])
+
+    def row(keys: list, carried: list, counts: list, numbers: bytes, base: int, words: list) -> pa.RecordBatch:
+        text = pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
         return pa.RecordBatch.from_arrays(
             [pa.array([chunk], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([carried], pa.list_(pa.int64())),
-             pa.array([counts], pa.list_(pa.int64())), pa.array([_packed(rank[placed])], pa.binary()), text],
-            names=["chunk", "keys", "carried", "counts", "numbers", "words"])
+             pa.array([counts], pa.list_(pa.int64())), pa.array([numbers], pa.binary()), pa.array([base], pa.int32()), text],
+            names=["chunk", "keys", "carried", "counts", "numbers", "base", "words"])
 
     for batch in batches:
         for key, place, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1).cast(pa.binary())):
@@ -120,11 +132,14 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             numbers.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
             total += len(found)
             if total >= CHUNK_WORDS:
-                yield flush()
+                yield from flush()
                 chunk += 1
                 words, keys, carried, numbers, total = _Numbering(), [], [], [], 0
+                give_back()
     if keys:
-        yield flush()
+        yield from flush()
+    words, keys, carried, numbers = _Numbering(), [], [], []
+    give_back()
 
 
 def _tokenizer(vocabulary: str):
@@ -156,6 +171,7 @@ def _encoder(vocabulary: str, id_type: str):
             lengths = np.diff(np.asarray(runs.run_ends), prepend=0)
             ids = pa.array(coded, pa.binary()).take(pa.array(np.repeat(np.arange(len(coded)), lengths)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["chunk", "slot", "ids"])
+        give_back()
     return run
 
 
@@ -166,30 +182,29 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _join_positions(id_type: str):
+    size = np.dtype(id_type).itemsize
+    schema = pa.schema([("doc_id", pa.int64()), ("carried", pa.int64()), ("ids", pa.binary())])
+
     def run(chunk: pa.Table, coded: pa.Table) -> pa.Table:
-        """Put the ids of a chunk's words back at the positions of its texts."""
-        keys, carried, texts = [], [], []
-        order = np.argsort(coded.column("slot").to_numpy())
-        table = coded.column("ids").combine_chunks().take(pa.array(order)) if coded.num_rows else pa.array([], pa.binary())
-        flat = np.frombuffer(b"".join(table.to_pylist()), id_type).astype("<u4")
-        lengths = pa.compute.binary_length(table).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(id_type).itemsize
+        """Put the ids of a chunk's words back at the positions of its texts, slice by slice; each slice is a batch of its own."""
+        give_back()
+        words = coded.column("ids").combine_chunks().take(pa.array(np.argsort(coded.column("slot").to_numpy()))) if coded.num_rows else pa.array([], pa.binary())
+        flat = np.frombuffer(words.buffers()[2] or b"", id_type) if len(words) else np.empty(0, id_type)
+        lengths = pa.compute.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) // size
         starts = np.cumsum(lengths) - lengths
-        for row in chunk.select(["keys", "carried", "counts", "numbers"]).to_pylist():
-            counts = np.array(row["counts"], np.int64)
-            numbers = _unpacked(row["numbers"], int(counts.sum()))
-            edges = np.cumsum(counts) - counts
-            first = 0
-            while first < len(counts):  # as many whole texts as fit a slice, at least one
-                last = max(first + 1, int(np.searchsorted(edges, edges[first] + _SLICE)))
-                part = numbers[edges[first]:edges[last - 1] + counts[last - 1]]
-                tokens = flat[_ragged(starts[part], lengths[part])]
-                per_word = np.concatenate([[0], np.cumsum(lengths[part])])
-                at = per_word[np.concatenate([edges[first:last] - edges[first], [len(part)]])]
-                texts += [tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-                first = last
-            keys += row["keys"]
-            carried += row["carried"]
-        return pa.table({"doc_id": pa.array(keys, pa.int64()), "carried": pa.array(carried, pa.int64()), "ids": pa.array(texts, pa.binary())})
+        batches = []
+        for row in range(chunk.num_rows):
+            keys, carried, counts = (chunk.column(c)[row].values for c in ("keys", "carried", "counts"))
+            counts = counts.to_numpy(zero_copy_only=False).astype(np.int64)
+            total = int(counts.sum())
+            planes = np.frombuffer(pa.decompress(chunk.column("numbers")[row].as_buffer(), 3 * total, "zstd"), np.uint8).reshape(3, total)
+            part = _unpacked(planes)
+            tokens = flat[_ragged(starts[part], lengths[part])].astype("<u4")
+            at = 4 * np.concatenate([[0], np.cumsum(lengths[part])])[np.concatenate([[0], np.cumsum(counts)])]
+            ids = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(tokens)])
+            batches.append(pa.RecordBatch.from_arrays([keys, carried, ids], schema=schema))
+        return pa.Table.from_batches(batches, schema)
+
     return run
 
 
@@ -212,7 +227,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     ``carry`` is a number that goes along with each text, as column ``carried``, so that no join has to bring it back.
 
     1. Tasks split texts into words and write, for each chunk of up to ``CHUNK_WORDS`` words (and one text more), the
-       distinct words and the number of the word at each position.
+       distinct words and the number of the word at each position, both cut into rows of up to ``_SLICE`` words.
     2. Distinct words of the chunks are dealt out by word. A word appears once per chunk at most, so a frequent word
        is no hot key. Each is encoded once.
     3. Ids go back to their chunks and are joined by position. The chunks are bucketed, so neither texts nor positions
@@ -226,10 +241,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     place = (carry if carry is not None else F.lit(None)).cast("long").alias("_carried")
     texts = id_and_text(docs, id_col, text_col, place).withColumn("doc_id", F.col("doc_id").cast("long"))
     chunks = _bucketed(texts.mapInArrow(
-        _split, "chunk long, keys array<long>, carried array<long>, counts array<long>, numbers binary, words array<string>"), "chunk")
-    words = chunks.select("chunk", F.posexplode("words").alias("slot", "word")).repartition("word").sortWithinPartitions("word")
+        _split, "chunk long, keys array<long>, carried array<long>, counts array<long>, numbers binary, base int, words array<string>"), "chunk")
+    words = chunks.select("chunk", "base", F.posexplode("words").alias("at", "word"))
+    words = words.select("chunk", (F.col("base") + F.col("at")).alias("slot"), "word").repartition("word").sortWithinPartitions("word")
     coded = words.mapInArrow(_encoder(vocabulary, id_type), "chunk long, slot int, ids binary")
-    places = chunks.select("chunk", "keys", "carried", "counts", "numbers")
+    places = chunks.where(F.size("counts") > 0).select("chunk", "keys", "carried", "counts", "numbers")
     coded = (places.groupBy("chunk").cogroup(coded.groupBy("chunk"))
             .applyInArrow(_join_positions(id_type), "doc_id long, carried long, ids binary"))
     return coded if carry is not None else coded.drop("carried")
@@ -263,5 +279,7 @@ def decode(encoded: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
                 batch = whole.slice(first, _DECODED_ROWS)
                 texts = [" ".join([table[i] for i in np.frombuffer(ids.as_py(), "<u4").tolist()]) for ids in batch.column(at)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            del whole, batch, texts
+            give_back()
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))

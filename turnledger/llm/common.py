@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +75,14 @@ def free_name(df: DataFrame, name: str) -> str:
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``; a lambda variable is not inlined by the optimizer."""
     return F.transform(F.array(value), body)[0]
+
+
+def give_back() -> None:
+    """Hand the memory that a Python worker holds but no longer uses back to the system.
+
+    Workers are kept for later stages, and a stage may need two of them for each core.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
