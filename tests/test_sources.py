@@ -411,3 +411,28 @@ def test_merge_copies_no_line_into_a_list(spark, tmp_path):
     assert "ShuffledHashJoin" in _plan(transcripts.session_positions(merged, listing=parsed))
     twice = merged.where("n_lines = 2").select("ts_ms", F.size("blocks").alias("n"), "usage.output_tokens").collect()
     assert sorted(r.n for r in twice) == [2, 3, 4] and {r.output_tokens for r in twice} == {0, 100, 200}
+
+
+
+def _filters(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if "Filter " in line]
+
+
+def test_input_is_dealt_out_evenly(spark, tmp_path):
+    """A scan may have as many splits as there are cores and yet all rows in one of them."""
+    spark.range(20_000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = spark.read.parquet(f"{tmp_path}/t")
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = [r["count"] for r in tables.spread(rows).groupBy(F.spark_partition_id()).count().collect()]
+        small = [r["count"] for r in tables.spread(rows, 1_000).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(sizes) == sum(small) == 20_000 and max(sizes) <= 4_000 and max(small) <= 1_500
+
+
+def test_derived_lines_are_built_once(spark, tmp_path):
+    """No filter on the size of the array of lines, which would build them a first time below the exchange."""
+    assert not _filters(tables.transcript_lines(spark, _events(spark, tmp_path, [0, 5])))
