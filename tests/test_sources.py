@@ -436,3 +436,20 @@ def test_input_is_dealt_out_evenly(spark, tmp_path):
 def test_derived_lines_are_built_once(spark, tmp_path):
     """No filter on the size of the array of lines, which would build them a first time below the exchange."""
     assert not _filters(tables.transcript_lines(spark, _events(spark, tmp_path, [0, 5])))
+
+
+
+def test_unchanged_sessions_go_straight_to_the_new_files(spark, tmp_path, monkeypatch):
+    root, out, kept = f"{tmp_path}/in", f"{tmp_path}/out", []
+
+    def store(df, name, **options):
+        rows = materialize(df, name, **options)
+        kept.append((name, {r.session_id for r in rows.select("session_id").distinct().collect()}))
+        return rows
+
+    monkeypatch.setattr(ingest, "materialize", store)
+    for name, lines in (("a", [user(f"s{i}", f"words {i}", stamp(i)) for i in range(6)]), ("b", [user("s3", "more", stamp(40))])):
+        put(f"{root}/p/{name}.jsonl", *lines)
+        ingest.ingest(ingest.ingest_lines(spark, root, "src"), out, f"{tmp_path}/ck", 1).start().awaitTermination()
+    assert [sorted(s) for _, s in kept[-3:]] == [["s3"]] * 3
+    assert ingest.stored_entries(spark, out).count() == 7

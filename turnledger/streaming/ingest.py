@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from turnledger.session import materialize
+from turnledger.session import PLAIN, materialize
 from turnledger.sources.transcripts import _with_provenance, line_order, merge_streamed, parse_entries, session_positions
 
 BUCKETS = 64
@@ -84,16 +84,17 @@ def _stored(spark: SparkSession, path: str, buckets: list[int]) -> DataFrame | N
 def _replace(rows: DataFrame, path: str) -> None:
     """Replace the buckets that ``rows`` hold. Dealt by range, so that a session of many rows spreads over tasks."""
     (rows.repartitionByRange("bucket", "session_id", "ord").sortWithinPartitions("bucket", "session_id", "ord")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+     .write.mode("overwrite").options(partitionOverwriteMode="dynamic", **PLAIN).partitionBy("bucket").parquet(path))
 
 
 def absorb(batch: DataFrame, batch_id: int, table_path: str, buckets: int = BUCKETS) -> None:
     """Work one batch into the tables. Only the numbers of the touched buckets reach the driver, at most ``buckets``.
 
-    Rows are written to the shared folder before they replace what they were read from.
+    What the batch changes is written to the shared folder first. Other sessions of its buckets go straight from the old
+    files to the new ones: a dynamic overwrite writes beside the table and swaps the folders when all tasks have ended.
     """
     spark = batch.sparkSession
-    new = materialize(new_lines(batch, batch_id, buckets), "ingest-new")
+    new = materialize(new_lines(batch, batch_id, buckets), "ingest-new", **PLAIN)
     touched = [r[0] for r in new.select("bucket").distinct().collect()]
     if not touched:
         return
@@ -102,16 +103,12 @@ def absorb(batch: DataFrame, batch_id: int, table_path: str, buckets: int = BUCK
     old_entries = _stored(spark, f"{table_path}/entries", touched)
 
     together = new if old_lines is None else new.unionByName(old_lines.join(sessions, "session_id", "left_semi").select(new.columns))
-    lines = materialize(first_copies(together), "ingest-lines")
-    entries = finished(lines)
-    if old_entries is not None:
-        entries = entries.unionByName(old_entries.join(sessions, "session_id", "left_anti").select(entries.columns))
-    entries = materialize(entries, "ingest-entries")
-    if old_lines is not None:
-        others = old_lines.join(sessions, "session_id", "left_anti").select(lines.columns)
-        lines = materialize(lines.unionByName(others), "ingest-lines")
-    _replace(entries, f"{table_path}/entries")
-    _replace(lines, f"{table_path}/lines")
+    lines = materialize(first_copies(together), "ingest-lines", **PLAIN)
+    entries = materialize(finished(lines), "ingest-entries", **PLAIN)
+    for rows, old, name in ((entries, old_entries, "entries"), (lines, old_lines, "lines")):
+        if old is not None:
+            rows = rows.unionByName(old.join(sessions, "session_id", "left_anti").select(rows.columns))
+        _replace(rows, f"{table_path}/{name}")
 
 
 def ingest(lines: DataFrame, table_path: str, checkpoint: str, buckets: int = BUCKETS):
