@@ -453,3 +453,12 @@ def test_unchanged_sessions_go_straight_to_the_new_files(spark, tmp_path, monkey
         ingest.ingest(ingest.ingest_lines(spark, root, "src"), out, f"{tmp_path}/ck", 1).start().awaitTermination()
     assert [sorted(s) for _, s in kept[-3:]] == [["s3"]] * 3
     assert ingest.stored_entries(spark, out).count() == 7
+
+
+
+def test_texts_of_messages_are_read_once(entries):
+    """Filters test the finished role and tools; none works out texts or tools of its own."""
+    m = replay.messages(entries)
+    for out in (replay.flow_events(m), replay.flow_nodes(m)):
+        assert not [f for f in _filters(out) if "<command-name>" in f or "agent_prompt" in f]
+    assert {r.type for r in replay.flow_events(m).select("type").collect()} >= {"message", "tool_call"}

@@ -67,9 +67,7 @@ def messages(classified_entries: DataFrame) -> DataFrame:
     backend = F.col("is_api_error") & ~classify.plan_limit_text(F.col("body")) & (F.trim("body") != "")
     api = limit_hit | backend
     texts = _joined("blocks", ("text",), "text", "\n")
-    user_text = F.coalesce("content_text", texts, F.lit(""))
-    answer = F.coalesce(texts, F.lit(""))
-    thought = F.trim(F.coalesce(_joined("blocks", ("thinking", "redacted_thinking"), "thinking", "\n\n"), F.lit("")))
+    user_text, answer, thought = F.col("_user_text"), F.col("_answer"), F.col("_thought")
     is_user, is_answer = F.col("type") == "user", F.col("type") == "assistant"
     command = classify.command_label(user_text)
     role = (
@@ -98,7 +96,12 @@ def messages(classified_entries: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     tools = F.transform(F.filter("blocks", lambda b: b["btype"] == "tool_use"), _tool_detail)
     flat = [F.when(has_use, F.coalesce(F.col(f"usage.{c}"), F.lit(0))).alias(c) for c in sessions.USAGE]
-    rows = e.withColumn("role", role).where(F.col("role").isNotNull()).select(
+    # The role is exploded from an array of one: filters on a plain column, here and of the readers, would work out the
+    # texts and the role again for each test.
+    read = e.withColumn("_texts", texts).withColumn("_user_text", F.coalesce("content_text", "_texts", F.lit(""))).withColumn(
+        "_answer", F.coalesce("_texts", F.lit(""))).withColumn(
+        "_thought", F.trim(F.coalesce(_joined("blocks", ("thinking", "redacted_thinking"), "thinking", "\n\n"), F.lit(""))))
+    rows = read.withColumn("_role", role).withColumn("role", F.explode_outer(F.array("_role"))).where(F.col("role").isNotNull()).select(
         "session_id", "ord", F.lit(-1).alias("pos"), "ts_ms", "role", content.alias("content"),
         F.when(has_use, F.col("model")).alias("model"), *flat, F.when(has_use, tools).alias("tools"),
         F.when(has_use & (thought != ""), F.substring(thought, 1, 8000)).alias("thinking"),
@@ -188,8 +191,9 @@ def flow_nodes(message_rows: DataFrame) -> DataFrame:
 
 
 def _tool_rows(message_rows: DataFrame) -> DataFrame:
+    """Tool calls as rows. The outer explode keeps Spark from testing the size of ``tools`` first, which would cut them out of the blocks twice."""
     return message_rows.where(F.col("role") == "assistant").select(
-        "session_id", "ord", "ts_ms", F.posexplode("tools").alias("tpos", "t"))
+        "session_id", "ord", "ts_ms", F.posexplode_outer("tools").alias("tpos", "t")).where(F.col("t").isNotNull())
 
 
 def _dispatch_rows(message_rows: DataFrame) -> DataFrame:
