@@ -462,3 +462,10 @@ def test_texts_of_messages_are_read_once(entries):
     for out in (replay.flow_events(m), replay.flow_nodes(m)):
         assert not [f for f in _filters(out) if "<command-name>" in f or "agent_prompt" in f]
     assert {r.type for r in replay.flow_events(m).select("type").collect()} >= {"message", "tool_call"}
+
+
+
+def test_write_parts_are_weighed_once(entries):
+    from turnledger.registry import transcripts as queries
+
+    assert not [f for f in _filters(attribution.write_categories(queries._write_rows(entries))) if "size(" in f]

@@ -37,7 +37,7 @@ def tool_tokens(turns: DataFrame, keys=()) -> DataFrame:
                          F.size("tools").alias("n"))
     rows = named.where(F.col("n") > 0).select(
         *keys, "tools", "n", "output_tokens", "cost_nusd", F.element_at("names", -1).alias("last_tool"),
-        F.explode("names").alias("tool"))
+        F.explode_outer("names").alias("tool"))
     calls = (F.col("n") - F.size(F.array_remove("tools", F.col("tool")))).cast("long")
     is_last = F.col("tool") == F.col("last_tool")
 
@@ -109,9 +109,12 @@ def narration_tokens(entries: DataFrame) -> DataFrame:
 
 
 def write_categories(turns: DataFrame, keys=()) -> DataFrame:
-    """Output tokens per write category; ``is_narration`` moves plain text of such turns to narration."""
+    """Output tokens per write category; ``is_narration`` moves plain text of such turns to narration.
+
+    The outer explode keeps Spark from testing the size of ``writes`` first, which would work out the parts once more.
+    """
     exploded = write_parts(turns).select(*keys, "is_narration", F.size("tools").alias("n_tools"),
-                                         F.explode("writes").alias("w"))
+                                         F.explode_outer("writes").alias("w")).where(F.col("w").isNotNull())
     moved = (F.col("w.category") == "screen_text") & F.col("is_narration") & (F.col("n_tools") == 0)
     category = F.when(moved, "screen_text_narration").otherwise(F.col("w.category"))
     return exploded.groupBy(*keys, category.alias("category")).agg(F.sum("w.tokens").alias("output_tokens"))
