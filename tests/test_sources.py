@@ -469,3 +469,11 @@ def test_write_parts_are_weighed_once(entries):
     from turnledger.registry import transcripts as queries
 
     assert not [f for f in _filters(attribution.write_categories(queries._write_rows(entries))) if "size(" in f]
+
+
+
+def test_dispatches_read_stored_attributes(spark, entries, monkeypatch):
+    from turnledger.registry import transcripts as queries
+
+    monkeypatch.setattr(queries, "silver", lambda spark, sf: entries)
+    assert "min_by(cwd" not in queries._dispatches(spark, "unused")._jdf.queryExecution().optimizedPlan().toString()
