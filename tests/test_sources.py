@@ -477,3 +477,20 @@ def test_dispatches_read_stored_attributes(spark, entries, monkeypatch):
 
     monkeypatch.setattr(queries, "silver", lambda spark, sf: entries)
     assert "min_by(cwd" not in queries._dispatches(spark, "unused")._jdf.queryExecution().optimizedPlan().toString()
+
+
+
+def test_export_gathers_few_sessions_per_task(spark, entries, monkeypatch):
+    from turnledger.config import EngineConfig
+
+    cfg = EngineConfig(as_of=dt.date(2024, 4, 1))
+    expected = export.session_export(entries, cfg).select("session_id", "error_count", "agent_dispatches").collect()
+    monkeypatch.setattr(export, "GATHERED_SESSIONS", 1)
+    parts, n = spark.conf.get("spark.sql.shuffle.partitions"), entries.select("session_id").distinct().count()
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        out = export.session_export(entries, cfg)
+        assert n > 1 and f"hashpartitioning(session_id#" in _plan(out) and f", {n}), REPARTITION_BY_NUM" in _plan(out)
+        assert sorted(out.select("session_id", "error_count", "agent_dispatches").collect()) == sorted(expected)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)

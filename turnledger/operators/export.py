@@ -13,6 +13,9 @@ from turnledger.functions.scalars import day_text, iso_utc, local_hour, local_we
 from turnledger.operators import anomalies, attribution, facts, sessions
 from turnledger.session import materialize
 
+# Sessions whose nested parts one task of the export gathers.
+GATHERED_SESSIONS = 4_000
+
 # Names of the flat session table by the columns of a session row.
 FLAT = {"prompt": "user_messages", "assistant": "assistant_messages", "tool_result": "tool_results", "command": "command_messages",
         "interrupt": "interrupts", "meta": "meta_messages", "file_ops": "file_ops_count", "errors": "error_count",
@@ -88,7 +91,8 @@ def session_export(classified_entries: DataFrame, cfg: EngineConfig, absorb: boo
     """One row per session with every exported field: numbers and texts flat, the rest as maps and lists.
 
     All nested parts meet in one shuffle: they are stacked as sparse rows, each with one part filled, and gathered by
-    session. A row holds its session's errors, dispatches and git operations, as the export does; ``children`` has them
+    session, in so many partitions that a task gathers about ``GATHERED_SESSIONS`` of them whatever the size of the
+    input (left to itself, Spark cuts by the bytes of compressed rows). A row holds its session's errors, dispatches and git operations, as the export does; ``children`` has them
     as rows for sessions that do not fit one.
     """
     e = classified_entries
@@ -97,7 +101,8 @@ def session_export(classified_entries: DataFrame, cfg: EngineConfig, absorb: boo
     maps, lists = children(e, attributes, cfg, absorb)
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), maps + lists)
     map_names, list_names = [p.columns[1] for p in maps], [p.columns[1] for p in lists]
-    gathered = stacked.groupBy("session_id").agg(*[F.array_sort(F.collect_list(n)).alias(n) for n in map_names + list_names])
+    parts = max(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-attributes.count() // GATHERED_SESSIONS))
+    gathered = stacked.repartition(parts, "session_id").groupBy("session_id").agg(*[F.array_sort(F.collect_list(n)).alias(n) for n in map_names + list_names])
     nested = gathered.select("session_id", *[F.map_from_entries(n).alias(n) for n in map_names], *list_names)
     out = rows.join(nested, "session_id", "left")
     for n in list_names:
