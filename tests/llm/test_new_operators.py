@@ -2,17 +2,22 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import AWKWARD, docs_of
+from turnledger import session
+from turnledger.llm import substring_dedup
 from turnledger.llm.manifest import manifest, without_line_ends
 from turnledger.llm.registry import QUERIES
-from turnledger.llm.substring_dedup import BlindTrie, anchors, deep_shallow, repeated_bytes, spans
+from turnledger.llm.substring_dedup import BlindTrie, _gathered, _sketch, anchors, deep_shallow, repeated_bytes, spans
 from turnledger.llm.whitening import count_above, leading_pairs, whiten
 
 SMALL = "/root/testdata/sf0.001"
@@ -147,6 +152,35 @@ def test_kept_bytes(spark):
     assert got == {1: (("A. " + long).encode(), []), 2: (b" B.", [(0, len(long))]), 3: (b"", [(0, len(long) + 3)])}
 
 
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for folder in folders for f in Path(folder.getPath()).rglob("shuffle_*")}
+
+
+def test_repeats_leave_no_files_of_their_steps(spark, tmp_path, monkeypatch):
+    for module in (session, substring_dedup):
+        monkeypatch.setattr(module, "shared_folder", lambda _: str(tmp_path))
+    df = spark.createDataFrame(planted(5, 60), "doc_id long, text string").repartition(3)
+    before = shuffle_files(spark)
+    found = repeated_bytes(df)
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    tables = {f.relative_to(tmp_path).parts[0].rsplit("-", 1)[0] for f in tmp_path.rglob("*.parquet")}
+    assert tables == {"substring-keys", "substring-salted", "substring-classes", "substring-cut"}
+    assert found.count() == df.count()
+
+
+def test_anchors_travel_without_their_places():
+    text = np.random.default_rng(7).integers(97, 123, 200_000, dtype=np.uint8).tobytes()
+    chunk = next(_gathered(1 << 20)(iter([pa.RecordBatch.from_arrays([pa.array([b"d"]), pa.array([1]), pa.array([text])], names=["digest", "key", "text"])])))
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), chunk.column(2), chunk.column(3)], names=["chunk", "sizes", "data"])
+    sent = list(_sketch(4)(iter([batch])))
+    assert sum(len(x) for b in sent for x in b.column("grams").to_pylist()) == 4 * len(np.unique(anchors(np.frombuffer(text, np.uint8), np.array([len(text)]))[3]))
+    assert chunk.column(3).nbytes < 0.7 * len(text) and not any(x for b in sent for x in b.column("more").to_pylist())
+
+
 def test_every_string_has_the_anchor_of_its_equal():
     rng = np.random.default_rng(5)
     part = rng.integers(97, 101, 300, dtype=np.uint8)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.session import materialize
+from turnledger.session import PLAIN, materialize, remove, shared_folder
 
 LENGTH = 50  # bytes that must repeat
 GRAM = 18  # bytes of an anchor; every string of LENGTH bytes holds one, chosen by its bytes alone
@@ -101,151 +102,201 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
 
 
-# Rows that meet by bucket. kind 0: packed anchors of a chunk; 1: a document of a chunk; 2: anchors known to repeat.
-_PACKED = "bucket long, kind int, chunk long, doc int, digest binary, doc_id long, hashes binary, docs binary, places binary"
-# A place is one number: the first start, how far the anchor lies behind it, the number of starts.
-_FOUND = "kind int, chunk long, doc int, digest binary, doc_id long, place long, hot long"
+# ---- rows that hold much --------------------------------------------------------------------------------------------
 
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
+    fields = [(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))]
+    columns = list(zip(*rows)) or [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
-def _packed_place(first: np.ndarray, anchor: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return (first << 16) | ((anchor - first) << 8) | count
 
+def _shrunk(parts: list[bytes]) -> bytes:
+    return pa.Codec("zstd", 3).compress(b"".join(parts), asbytes=True)
 
-def _rows(schema: str, rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    fields = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))])
-    return pa.RecordBatch.from_pylist(rows, schema=fields)
 
+def _grown(shrunk: bytes, size: int) -> bytes:
+    return pa.Codec("zstd").decompress(shrunk, size, asbytes=True) if size else b""
 
-def _sketch(buckets: int, chunk_size: int):
-    """Anchors of every chunk, dealt out by their hash. An anchor that two documents of the chunk hold is known to
-    repeat: one entry tells the others, and its places go on as they are."""
+
+def _planes(values, kind: str) -> bytes:
+    """Numbers with their bytes of equal weight side by side: most of these are alike, so that they shrink."""
+    return np.asarray(values, kind).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T.tobytes()
+
+
+def _numbers(whole: bytes, at: int, n: int, kind: str) -> np.ndarray:
+    """What ``_planes`` wrote, from place ``at`` on."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(whole, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
+
+
+# One row per chunk of text: its documents, and their texts as one.
+_CHUNK = "digests array<binary>, keys array<long>, sizes array<long>, data binary"
+# Rows of some MB: the writer looks at its buffers after every row, and a reader holds a small row group at a time.
+_LARGE_ROWS = {**PLAIN, "parquet.block.size": str(16 << 20), **{f"parquet.{part}.size.row.check.{end}": "1" for part in ("page", "block") for end in ("min", "max")}}
+
+
+def _gathered(chunk_size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _chunks(batches, 2, chunk_size):
-            texts = [t.as_py() for t in table.column(2)]
-            data, ends = _joined(texts)
-            doc, first, count, anchor = anchors(data, ends)
-            begin = np.concatenate([[0], ends])[doc]
-            chunk = int.from_bytes(hashlib.blake2b(data.tobytes() + b"".join(d.as_py() or b"" for d in table.column(0)) + np.random.bytes(16),
-                                                   digest_size=8).digest(), "little") >> 1
-            rows = [{"bucket": chunk % buckets, "kind": 1, "chunk": chunk, "doc": i, "digest": d, "doc_id": k}
-                    for i, (d, k) in enumerate(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))]
-            gram, place = _hashed(data, anchor, GRAM), _packed_place(first - begin, anchor - begin, count)
-            by = np.lexsort((doc, gram))
-            gram, doc, place = gram[by], doc[by].astype(np.int32), place[by]
-            new = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, bool)
-            lead = np.flatnonzero(new)
-            last = np.append(lead[1:], len(gram)) - 1
-            repeats = (doc[last] != doc[lead])[np.cumsum(new) - 1] if len(gram) else new
-            if repeats.any():
-                rows.append({"bucket": chunk % buckets, "kind": 2, "chunk": chunk, "docs": doc[repeats].tobytes(), "places": place[repeats].tobytes()})
-            told = repeats & new  # one entry that stands for all: no document, and their number as its place
-            sizes = np.zeros(len(gram), np.int64)
-            sizes[lead] = last - lead + 1
-            sent = ~repeats | told
-            gram, doc, place = gram[sent], np.where(told, -1, doc)[sent].astype(np.int32), np.where(told, sizes, place)[sent]
-            bucket = ((gram >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
-            for low, high in pairwise(cuts):
-                part = by[low:high]
-                rows.append({"bucket": int(bucket[part[0]]), "kind": 0, "chunk": chunk, "hashes": gram[part].astype("<u8").tobytes(),
-                             "docs": doc[part].tobytes(), "places": place[part].tobytes()})
-            yield _rows(_PACKED, rows)
+            digests, keys, texts = (table.column(i).to_pylist() for i in range(3))
+            yield _batch(_CHUNK, [(digests, keys, [len(t) for t in texts], _shrunk(texts))])
+    return run
+
+
+def _anchored(shrunk: bytes, sizes: list[int], buckets: int) -> tuple[np.ndarray, ...]:
+    """``(data, ends, document, first, count, anchor, code)`` of a chunk, the same whenever it is asked for. The code of
+    an anchor is its bucket and half of its hash."""
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(_grown(shrunk, int(ends[-1])), np.uint8)
+    doc, first, count, anchor = anchors(data, ends)
+    gram = _hashed(data, anchor, GRAM)
+    return data, ends, doc, first, count, anchor, ((_bucket(gram, buckets) << 32) | (gram & np.uint64(0xFFFFFFFF)).astype(np.int64))
+
+
+def _bucket(hashed: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+# Anchors of a chunk in a bucket, each once, in order; ``more``: which of them the chunk holds how often, if not once.
+_SKETCH = "bucket long, chunk long, grams binary, more binary"
+# In the order of these anchors a bit for each that another chunk holds, too; in rows of their own, anchors that are hot.
+_FOUND = "chunk long, bucket long, bits binary, hot long"
+
+
+def _sketch(buckets: int):
+    """Anchors of every chunk, dealt out by their hash. Places stay: a chunk finds them again."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, sizes, shrunk = (batch.column(c)[i].as_py() for c in range(3))
+                codes, counts = np.unique(_anchored(shrunk, sizes, buckets)[-1], return_counts=True)
+                bucket, gram, rows = codes >> 32, (codes & 0xFFFFFFFF).astype("<u4"), []
+                for low, high in pairwise(np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()):
+                    more = np.flatnonzero(counts[low:high] > 1)
+                    rows.append((int(bucket[low]), chunk, gram[low:high].tobytes(), np.stack([more, counts[low:high][more]]).astype("<u4").tobytes()))
+                yield _batch(_SKETCH, rows)
     return run
 
 
 def _repeated(hot: int):
-    """Places of a bucket's anchors that lie in two documents at least; the anchors that are hot."""
+    """The anchors of a bucket that lie in two chunks at least; those that are hot. Two anchors that agree in half of
+    their hashes only cost work: bytes decide."""
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out = [_rows(_FOUND, [{"kind": 1, **{k: r[k] for k in ("chunk", "doc", "digest", "doc_id")}} for r in rows if r["kind"] == 1])]
-
-        def places(chunk: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-            n = len(doc)
-            none = [pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(chunk), pa.array(doc), *none, pa.array(place), pa.nulls(n, pa.int64())],
-                                              schema=out[0].schema)
-
-        for r in rows:
-            if r["kind"] == 2:
-                doc = np.frombuffer(r["docs"], np.int32)
-                out.append(places(np.full(len(doc), r["chunk"]), doc, np.frombuffer(r["places"], np.int64)))
-        packed = [r for r in rows if r["kind"] == 0]
-        if packed:
-            gram = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in packed])
-            doc = np.concatenate([np.frombuffer(r["docs"], np.int32) for r in packed])
-            place = np.concatenate([np.frombuffer(r["places"], np.int64) for r in packed])
-            row = np.repeat(np.arange(len(packed)), [len(r["docs"]) // 4 for r in packed])
-            by = np.argsort(gram, kind="stable")  # entries of a chunk stay together
-            gram, doc, place, row = gram[by], doc[by], place[by], row[by]
-            new = np.concatenate([[True], gram[1:] != gram[:-1]])
-            lead = np.flatnonzero(new)
-            last = np.append(lead[1:], len(gram)) - 1
-            two = (row[lead] != row[last]) | (doc[lead] != doc[last])
-            total = np.add.reduceat(np.where(doc < 0, place, 1), lead)
-            wanted = two[np.cumsum(new) - 1] & (doc >= 0)
-            out.append(places(np.array([r["chunk"] for r in packed])[row[wanted]], doc[wanted], place[wanted]))
-            out.append(_rows(_FOUND, [{"kind": 3, "hot": int(g.view(np.int64))} for g in gram[lead[total > hot]]]))
-        return pa.Table.from_batches(out)
+        bucket, chunks, grams, more = (table.column(i).to_pylist() for i in range(4))
+        sizes = [len(g) // 4 for g in grams]
+        ends = np.cumsum(sizes)
+        counts = np.ones(ends[-1], np.int64)
+        for m, low in zip(more, (ends - sizes).tolist()):
+            at, n = np.frombuffer(m, "<u4").reshape(2, -1).astype(np.int64)
+            counts[low + at] = n
+        gram, of, holders = np.unique(np.frombuffer(b"".join(grams), "<u4"), return_inverse=True, return_counts=True)
+        flags = holders[of] > 1
+        rows = [(c, b, np.packbits(flags[end - n:end]).tobytes(), None) for c, b, n, end in zip(chunks, bucket, sizes, ends.tolist())]
+        total = np.zeros(len(gram), np.int64)
+        np.add.at(total, of, counts)
+        rows += [(None, None, None, (bucket[0] << 32) | g) for g in gram[total > hot].tolist()]
+        return pa.Table.from_batches([_batch(_FOUND, rows)])
     return run
 
 
 # ---- segments -----------------------------------------------------------------------------------------------------
 
-_SEGMENT = "bucket long, content binary, anchor int, doc_id long, text long, first long, count int"
+# Segments of a chunk in a bucket, shrunk: sizes, anchors, documents (key), places of each; their places (text, first);
+# their bytes. ``segments`` 0: runs of starts that are known to repeat (text, first, count).
+_SEGMENTS = "bucket long, segments long, places long, size long, packed binary"
 
 
-def _segments(buckets: int, hot: np.ndarray, chunk_size: int):
+def _merged(runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (text, first, count) with those that follow each other as one."""
+    text, first, count = np.array(sorted(runs), np.int64).reshape(-1, 3).T
+    end = first + count
+    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (first[1:] != end[:-1])]))
+    return text[new], first[new], end[np.append(new[1:], len(end)) - 1] - first[new]
+
+
+def _segments(buckets: int, hot: np.ndarray):
     """The bytes around every repeated anchor, cut to the strings that hold it, dealt out by the anchor.
 
     Strings of a hot anchor go one by one, dealt out by all their bytes. Of equal segments of a chunk, one of the
-    smallest document goes on; those of larger documents repeat it and are marked (no content).
+    smallest document goes on; those of larger documents repeat it and are marked.
     """
+    def rows(chunk: int, keys: list[int], sizes: list[int], shrunk: bytes, judged: list[dict], replies: list[dict]) -> Iterator[tuple]:
+        data, ends, doc, first, count, anchor, code = _anchored(shrunk, sizes, buckets)
+        if not len(code):
+            return
+        numbers = np.full(len(keys), -1, np.int64)
+        numbers[[j["doc"] for j in judged]] = [j["number"] for j in judged]
+        by = np.argsort(code, kind="stable")  # documents of an anchor stay in order
+        lead = np.flatnonzero(np.concatenate([[True], np.diff(code[by]) != 0]))
+        last = np.append(lead[1:], len(by)) - 1
+        found, bucket = doc[by[lead]] != doc[by[last]], code[by[lead]] >> 32
+        for reply in replies or ():
+            low, high = np.searchsorted(bucket, [reply["bucket"], reply["bucket"] + 1])
+            found[low:high] |= np.unpackbits(np.frombuffer(reply["bits"], np.uint8), count=int(high - low)).astype(bool)
+        by = by[np.repeat(found, last - lead + 1)]
+        by = by[numbers[doc[by]] >= 0]
+        doc, first, count, behind, code = doc[by], first[by], count[by], (anchor - first)[by], code[by]
+        bucket, common = code >> 32, np.isin(code, hot)
+        if common.any():
+            n = count[common]
+            single = np.repeat(first[common], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            first, count = np.concatenate([first[~common], single]), np.concatenate([count[~common], np.ones(len(single), np.int64)])
+            behind = np.concatenate([behind[~common], np.full(len(single), -1)])
+            doc = np.concatenate([doc[~common], np.repeat(doc[common], n)])
+            bucket = np.concatenate([bucket[~common], _bucket(_hashed(data, single, LENGTH), buckets)])
+            by = np.argsort(bucket, kind="stable")
+            doc, first, count, behind, bucket = doc[by], first[by], count[by], behind[by], bucket[by]
+        whole, begins, names = data.tobytes(), [0, *ends.tolist()], numbers.tolist()
+        known: list[tuple[int, int, int]] = []
+        for low, high in pairwise(np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()):
+            best: dict[tuple[int, bytes], list] = {}
+            for d, at, a, c in zip(*(x[low:high].tolist() for x in (doc, first, behind, count))):
+                _add(best, known, (a, whole[at:at + c + LENGTH - 1]), keys[d], [(names[d], at - begins[d])])
+            held = list(best.values())
+            places = [p for _, own in held for p in own]
+            text, start = zip(*places)
+            contents = b"".join(content for _, content in best)
+            columns = [_planes([len(content) for _, content in best], "<u4"), _planes([a for a, _ in best], "<i1"), _planes([k for k, _ in held], "<i8"),
+                       _planes([len(own) for _, own in held], "<u4"), _planes(text, "<i8"), _planes(start, "<i8"), contents]
+            yield int(bucket[low]), len(best), len(places), len(contents), _shrunk(columns)
+        if known:
+            text, start, n = _merged(known)
+            yield chunk % buckets, 0, len(text), 0, _shrunk([_planes(column, "<i8") for column in (text, start, n)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _chunks(batches, 2, chunk_size):
-            best: dict[tuple[int, int, bytes], list] = {}
-            known: list[tuple] = []
-            keys, numbers, texts = (table.column(i).to_pylist() for i in range(3))
-            data, ends = _joined(texts)
-            packed = table.column(3).combine_chunks()
-            place = packed.flatten().to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(len(texts)), packed.value_lengths().to_numpy(zero_copy_only=False))
-            begin = np.concatenate([[0], ends])[doc]
-            first, behind, count = (place >> 16) + begin, place >> 8 & 255, place & 255
-            gram = _hashed(data, first + behind, GRAM)
-            common = np.isin(gram.view(np.int64), hot)
-            if common.any():
-                sizes = count[common]
-                single = np.repeat(first[common], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                first, count = np.concatenate([first[~common], single]), np.concatenate([count[~common], np.ones(len(single), np.int64)])
-                behind = np.concatenate([behind[~common], np.full(len(single), -1)])
-                doc = np.concatenate([doc[~common], np.repeat(doc[common], sizes)])
-                gram = np.concatenate([gram[~common], _hashed(data, single, LENGTH)])
-            bucket = (gram >> np.uint64(24)) % np.uint64(buckets)
-            whole, begins = data.tobytes(), [0, *ends.tolist()]
-            for d, b, at, a, c in zip(doc.tolist(), bucket.tolist(), first.tolist(), behind.tolist(), count.tolist()):
-                key, number, f = keys[d], numbers[d], at - begins[d]
-                part = (b, a, whole[at:at + c + LENGTH - 1])
-                held = best.get(part)
-                if held is None:
-                    best[part] = [key, [(number, f)]]
-                elif held[0] == key:
-                    held[1].append((number, f))
-                elif key < held[0]:
-                    known += [(held[0], n, x, c) for n, x in held[1]]
-                    best[part] = [key, [(number, f)]]
-                else:
-                    known.append((key, number, f, c))
-            flat = [(b, content, a, key, n, f, len(content) - LENGTH + 1) for (b, a, content), (key, at) in best.items() for n, f in at]
-            flat += [(n % buckets, None, None, key, n, f, c) for key, n, f, c in known]
-            for low in range(0, len(flat), 50_000):
-                columns = list(zip(*flat[low:low + 50_000]))
-                kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in _SEGMENT.split(", ")])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield _batch(_SEGMENTS, list(rows(*(column[i].as_py() for column in batch.columns))))
     return run
 
 
+def _add(best: dict, known: list, segment: tuple[int, bytes], key: int, places: list[tuple[int, int]]) -> None:
+    """Keep the places of a segment (anchor, bytes) in its smallest document; those in larger ones are known to repeat."""
+    held, count = best.get(segment), len(segment[1]) - LENGTH + 1
+    if held is None:
+        best[segment] = [key, places]
+    elif held[0] == key:
+        held[1].extend(places)
+    elif key < held[0]:
+        known += [(n, f, count) for n, f in held[1]]
+        best[segment] = [key, places]
+    else:
+        known += [(n, f, count) for n, f in places]
+
+
+def _unpacked(segments: int, places: int, size: int, packed: bytes) -> Iterator[tuple[int, bytes, int, list[tuple[int, int]]]]:
+    """Segments of a row: anchor, bytes, document, places."""
+    whole, at, columns = _grown(packed, 17 * segments + 16 * places + size), 0, []
+    for kind, n in (("<u4", segments), ("<i1", segments), ("<i8", segments), ("<u4", segments), ("<i8", places), ("<i8", places)):
+        columns.append(_numbers(whole, at, n, kind).tolist())
+        at += n * np.dtype(kind).itemsize
+    own, low = list(zip(*columns[4:])), 0
+    for length, anchor, key, n in zip(*columns[:4]):
+        yield anchor, whole[at:at + length], key, own[low:low + n]
+        at, low = at + length, low + n
+
+
 class BlindTrie:
     """Orders strings of one length: inner nodes know only the place of the first difference below them and the bytes
     there, so a string is led down blindly, compared once with the leaf it reaches, and hung in where they part."""
@@ -329,20 +380,13 @@ def _marked(table: pa.Table) -> pa.Table:
     """Runs of starts whose string also starts in a smaller document, from all segments of a bucket."""
     marks: list[tuple[int, int, int]] = []
     best: dict[tuple[int, bytes], list] = {}
-    for content, anchor, key, number, first, count in zip(*(table.column(c).to_pylist() for c in ("content", "anchor", "doc_id", "text", "first", "count"))):
-        if content is None:
-            marks.append((number, first, count))
+    for segments, places, size, packed in zip(*(table.column(c).to_pylist() for c in ("segments", "places", "size", "packed"))):
+        if not segments:
+            whole = _grown(packed, 24 * places)
+            marks += zip(*(_numbers(whole, 8 * i * places, places, "<i8").tolist() for i in range(3)))
             continue
-        held = best.get((anchor, content))
-        if held is None:
-            best[anchor, content] = [key, [(number, first)]]
-        elif held[0] == key:
-            held[1].append((number, first))
-        elif key < held[0]:
-            marks += [(n, f, count) for n, f in held[1]]
-            best[anchor, content] = [key, [(number, first)]]
-        else:
-            marks.append((number, first, count))
+        for anchor, content, key, own in _unpacked(segments, places, size, packed):
+            _add(best, marks, (anchor, content), key, own)
     # Only anchors with several different segments are left to compare.
     parts = list(best)
     if parts:
@@ -399,13 +443,16 @@ _CUT = "text long, n_removed long, spans array<struct<start: bigint, end: bigint
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
-        numbers, texts, firsts, counts = (batch.column(i).to_pylist() for i in range(4))
-        removed = [spans(list(zip(f, c))) for f, c in zip(firsts, counts)]
-        kept = [b"".join(t[a:b] for a, b in zip([0, *(e for _, e in s)], [*(a for a, _ in s), len(t)])) for t, s in zip(texts, removed)]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(numbers, pa.int64()), pa.array([sum(b - a for a, b in s) for s in removed], pa.int64()),
-            pa.array([[{"start": a, "end": b} for a, b in s] for s in removed], kind), pa.array(kept, pa.binary())],
-            names=["text", "n_removed", "spans", "kept"])
+        for i in range(batch.num_rows):
+            sizes, shrunk, runs = (column[i].as_py() for column in batch.columns)
+            whole, begins = _grown(shrunk, sum(sizes)), [0, *np.cumsum(sizes).tolist()]
+            texts = [whole[begins[r["doc"]]:begins[r["doc"] + 1]] for r in runs]
+            removed = [spans(list(zip(r["firsts"], r["counts"]))) for r in runs]
+            kept = [b"".join(t[a:b] for a, b in zip([0, *(e for _, e in s)], [*(a for a, _ in s), len(t)])) for t, s in zip(texts, removed)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([r["number"] for r in runs], pa.int64()), pa.array([sum(b - a for a, b in s) for s in removed], pa.int64()),
+                pa.array([[{"start": a, "end": b} for a, b in s] for s in removed], kind), pa.array(kept, pa.binary())],
+                names=["text", "n_removed", "spans", "kept"])
 
 
 def _sha(content: Column) -> Column:
@@ -420,11 +467,15 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``kept`` themselves without ``digest_kept``. ``chunk`` (bytes a task looks at together) and ``hot`` (occurrences that
     make an anchor hot) decide memory and traffic, never results.
 
-    1. Equal texts form a class; its smallest document is judged, and larger copies lose all their strings.
-    2. Every string holds an anchor that its bytes choose. Anchors of one document alone cannot repeat; hashes tell.
+    1. Equal texts form a class; its smallest document is judged, and larger copies lose all their strings. Texts are
+       stored compressed, a chunk a row.
+    2. Every string holds an anchor that its bytes choose. Anchors of one document alone cannot repeat; hashes tell. Only
+       they are sent, and a bit for each comes back: a chunk finds the places of its anchors again.
     3. Around the others, bytes are dealt out by anchor. Each group orders its suffixes by deep-shallow sorting, and a
        string that also starts in a smaller document is marked. Bytes decide, never hashes.
-    4. Marked runs return to their document and are cut out.
+    4. Marked runs return to their chunk and are cut out.
+
+    What only these steps read is removed after the last, and the shuffle files of a step with the step.
 
     Hot anchors are split: within a chunk of text equal segments are merged, and strings of an anchor with many
     occurrences are dealt out one by one, by all their bytes.
@@ -433,35 +484,46 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows that share a key do not affect each other. An empty table gives an empty result; other columns are left out.
     """
     spark = docs.sparkSession
+    scratch = f"{shared_folder(spark)}/substring-{uuid.uuid4().hex}"
+
+    def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+        return materialize(df, name, scratch, sweep=True, **options)
+
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("digest", _sha(F.col("text")))
     keys = materialize(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"),
                                    F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-                       .select("doc_id", "key", _sha(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "substring-keys")
+                       .select("doc_id", "key", _sha(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "substring-keys", sweep=True)
     salt = F.pmod(F.xxhash64("key"), F.lit(64))
     salted = keys.groupBy("digest", salt.alias("salt")).agg(F.min("key").alias("key"), F.max("n_bytes").alias("n_bytes"))
-    salted = materialize(salted, "substring-salted")
+    salted = materialize(salted, "substring-salted", sweep=True)
     classes = salted.groupBy("digest").agg(F.min("key").alias("least"), F.max("n_bytes").alias("n_bytes"))
-    classes = materialize(classes.withColumn("text", F.monotonically_increasing_id()), "substring-classes")
+    classes = materialize(classes.withColumn("text", F.monotonically_increasing_id()), "substring-classes", sweep=True)
     total = keys.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(128, total // BUCKET)
 
-    long_rows = rows.where(F.octet_length("text") >= LENGTH)
-    found = materialize(long_rows.select("digest", "key", "text").mapInArrow(_sketch(buckets, chunk), _PACKED)
-                        .groupBy("bucket").applyInArrow(_repeated(max(hot, total // 1_000_000)), _FOUND), "substring-anchors")
-    common = np.array([r[0] for r in found.where("kind = 3").select("hot").collect()], np.int64)
-    places = found.where("kind = 0").groupBy("chunk", "doc").agg(F.collect_list("place").alias("places"))
-    judged = found.where("kind = 1").select("chunk", "doc", "digest", F.col("doc_id").alias("key")).join(places, ["chunk", "doc"]).join(
-        classes.select("digest", F.col("least").alias("key"), F.col("text").alias("number")), ["digest", "key"])
-    judged = judged.select("digest", "key", "number", "places").dropDuplicates(["number"])
-    segments = long_rows.join(judged, ["digest", "key"]).select("key", "number", "text", "places")
-    marks = materialize(segments.mapInArrow(_segments(buckets, common, chunk), _SEGMENT).groupBy("bucket").applyInArrow(_marked, _MARK), "substring-marks")
+    long_rows = rows.where(F.octet_length("text") >= LENGTH).select("digest", "key", "text")
+    chunks = stored(long_rows.mapInArrow(_gathered(chunk), _CHUNK).withColumn("chunk", F.monotonically_increasing_id()), "chunks", **_LARGE_ROWS)
+    found = stored(chunks.select("chunk", "sizes", "data").mapInArrow(_sketch(buckets), _SKETCH)
+                   .groupBy("bucket").applyInArrow(_repeated(max(hot, total // 1_000_000)), _FOUND), "anchors", **PLAIN)
+    common = np.array([r[0] for r in found.where("hot IS NOT NULL").select("hot").collect()], np.int64)
+    judged = chunks.select("chunk", F.posexplode(F.arrays_zip("digests", "keys")).alias("doc", "own")).join(
+        classes.select(F.col("digest").alias("of"), "least", F.col("text").alias("number")), (F.col("own.digests") == F.col("of")) & (F.col("own.keys") == F.col("least")))
+    judged = stored(judged.select("chunk", "doc", "number").dropDuplicates(["number"]), "judged")
+
+    def of_chunk(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        return rows.groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias(name))
+
+    asked = of_chunk(judged, "judged", "doc", "number").join(of_chunk(found.where("bits IS NOT NULL"), "replies", "bucket", "bits"), "chunk", "left")
+    segments = chunks.join(asked, "chunk").select("chunk", "keys", "sizes", "data", "judged", "replies").mapInArrow(_segments(buckets, common), _SEGMENTS)
+    marks = stored(segments.groupBy("bucket").applyInArrow(_marked, _MARK), "marks")
 
     runs = marks.groupBy("text").agg(F.collect_list("first").alias("firsts"), F.collect_list("count").alias("counts"))
-    runs = runs.join(classes.select("text", "digest", F.col("least").alias("key")), "text").select(F.col("text").alias("number"), "digest", "key", "firsts", "counts")
-    cut = long_rows.join(runs, ["digest", "key"]).select("number", "text", "firsts", "counts").mapInArrow(_cut, _CUT)
+    runs = of_chunk(runs.withColumnRenamed("text", "number").join(judged, "number"), "runs", "doc", "number", "firsts", "counts")
+    cut = chunks.join(runs, "chunk").select("sizes", "data", "runs").mapInArrow(_cut, _CUT)
     out = F.sha2("kept", 256) if digest_kept else F.col("kept")
-    cut = materialize(cut.select("text", "n_removed", "spans", out.alias("kept")).dropDuplicates(["text"]), "substring-cut")
+    cut = materialize(cut.select("text", "n_removed", "spans", out.alias("kept")), "substring-cut", sweep=True)
+    remove(spark, scratch)
 
     judged = classes.join(cut, "text", "left").select("digest", "least", "n_removed", "spans", "kept")
     asked = salted.select("digest", "salt").join(judged, "digest")
