@@ -163,7 +163,7 @@ def test_repeats_leave_no_files_of_their_steps(spark, tmp_path, monkeypatch):
     df = spark.createDataFrame(planted(5, 60), "doc_id long, text string").repartition(3)
     before = shuffle_files(spark)
     found = repeated_bytes(df)
-    until = time.time() + 20
+    until = time.time() + 5
     while (left := shuffle_files(spark) - before) and time.time() < until:
         time.sleep(0.2)
     assert not left

@@ -1,10 +1,13 @@
 import datetime as dt
 import json
 import os
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from turnledger import session
 from turnledger.functions.pricing import price_calls
 from turnledger.operators import attribution, export, filters, projects, replay, sessions
 from turnledger.plans import accounts
@@ -297,6 +300,27 @@ def test_only_touched_sessions_are_rewritten(spark, tmp_path):
     assert rows.count() == 13 and [r.content_text for r in rows.where("session_id = 's3'").orderBy("ord").collect()] == ["words 3", "more"]
 
 
+def test_ingest_leaves_only_its_tables(spark, tmp_path, monkeypatch):
+    """Tables and shuffle files of a batch go with their use, whatever the driver's memory."""
+    root, out, shared = (f"{tmp_path}/{x}" for x in ("in", "out", "shared"))
+    for module in (session, ingest):
+        monkeypatch.setattr(module, "shared_folder", lambda _: shared)
+    folders = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {f for d in folders for f in Path(d).rglob("shuffle_*")}
+
+    before = shuffled()
+    for name, n in (("a", 6), ("b", 3)):
+        put(f"{root}/p/{name}.jsonl", *[line for i in range(n) for line in (user(f"s{i}", f"words {name}{i}", stamp(i)), assistant(f"s{i}", f"m{name}{i}", [use("t", "Read")], stamp(i)))])
+        ingest.ingest(ingest.ingest_lines(spark, root, "src"), out, f"{tmp_path}/ck", 4).start().awaitTermination()
+        assert not list(Path(shared).rglob("*.parquet"))
+    until = time.time() + 5
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and ingest.stored_entries(spark, out).count() == 18
+
+
 def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     root, out = f"{tmp_path}/in", f"{tmp_path}/out"
     put(f"{root}/p/s.jsonl", user("s", "one", stamp(1)), assistant("s", "m", [{"type": "text", "text": "a"}], stamp(2), 7), user("s", "one", stamp(1)))

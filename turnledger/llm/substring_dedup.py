@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.session import PLAIN, materialize, remove, shared_folder
+from turnledger.session import PLAIN, materialize, remove, shared_folder, swept
 
 LENGTH = 50  # bytes that must repeat
 GRAM = 18  # bytes of an anchor; every string of LENGTH bytes holds one, chosen by its bytes alone
@@ -499,7 +499,8 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     salted = materialize(salted, "substring-salted", sweep=True)
     classes = salted.groupBy("digest").agg(F.min("key").alias("least"), F.max("n_bytes").alias("n_bytes"))
     classes = materialize(classes.withColumn("text", F.monotonically_increasing_id()), "substring-classes", sweep=True)
-    total = keys.agg(F.sum("n_bytes")).first()[0] or 0
+    with swept(spark):
+        total = keys.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(128, total // BUCKET)
 
     long_rows = rows.where(F.octet_length("text") >= LENGTH).select("digest", "key", "text")

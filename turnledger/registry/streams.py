@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from turnledger.operators import limits
 from turnledger.registry.usage import ledger, one_account
-from turnledger.session import shared_folder
+from turnledger.session import move, remove, shared_folder, swept
 from turnledger.sources import tables
 from turnledger.streaming import ingest, jobs
 
@@ -88,14 +88,18 @@ def _arrivals(spark, sf):
 
 
 def stream_ingest(spark, sf):
-    """Entries after three runs of the ingest, each with the files that arrived since the last one."""
+    """Entries after three runs of the ingest, each with the files that arrived since the last one. Files are written
+    once, moved to where they arrive, and removed when they were taken in."""
     base = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     rows = _arrivals(spark, sf)
-    rows.write.partitionBy("arrival").parquet(f"{base}/all")
+    with swept(spark):
+        rows.write.partitionBy("arrival").options(**ingest.PACKED).parquet(f"{base}/all")
     schema = rows.drop("arrival").schema
     for arrival in range(3):
-        spark.read.schema(schema).parquet(f"{base}/all/arrival={arrival}").write.mode("append").parquet(f"{base}/in")
-        ingest.ingest(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/ck", 8).start().awaitTermination()
+        move(spark, f"{base}/all/arrival={arrival}", f"{base}/in/{arrival}")
+        arrived = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{base}/in")
+        ingest.ingest(arrived, f"{base}/out", f"{base}/ck", 8).start().awaitTermination()
+        remove(spark, f"{base}/in/{arrival}")
     stored = ingest.stored_entries(spark, f"{base}/out")
     return stored.select("session_id", "ord", "type", "n_lines", F.coalesce(F.size("blocks"), F.lit(0)).cast("long").alias("n_blocks"),
                          F.coalesce("usage.output_tokens", F.lit(0)).alias("output_tokens"))

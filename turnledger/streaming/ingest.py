@@ -11,14 +11,17 @@ A batch reads the buckets of its sessions, works the new lines into them and rep
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from turnledger.session import PLAIN, materialize
-from turnledger.sources.transcripts import _with_provenance, line_order, merge_streamed, parse_entries, session_positions
+from turnledger.session import PLAIN, materialize, remove, shared_folder, swept
+from turnledger.sources.transcripts import _with_provenance, line_order, merge_streamed, parse_entries
 
 BUCKETS = 64
+PACKED = {**PLAIN, "compression": "zstd"}  # every line is stored several times
 LINE_KEY = ("session_id", "file_stem", "line_key", "nth")
 
 
@@ -51,10 +54,10 @@ def new_lines(batch: DataFrame, batch_id: int, buckets: int = BUCKETS) -> DataFr
 
 
 def first_copies(lines: DataFrame) -> DataFrame:
-    """Every line once: as the earliest batch brought it, of one batch the first source and path."""
-    rest = [c for c in lines.columns if c not in LINE_KEY]
-    first = F.min_by(F.struct(*rest), F.struct("batch", "source_rank", "file_path")).alias("e")
-    return lines.groupBy(*LINE_KEY).agg(first).select(*LINE_KEY, "e.*")
+    """Every line once: as the earliest batch brought it, of one batch the first source and path. Whole lines are sorted
+    once, after they were dealt out."""
+    first = Window.partitionBy(*LINE_KEY).orderBy("batch", "source_rank", "file_path")
+    return lines.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").drop("_copy")
 
 
 def finished(lines: DataFrame) -> DataFrame:
@@ -62,13 +65,19 @@ def finished(lines: DataFrame) -> DataFrame:
 
     The files of a session follow each other by source and path, as in a scan; the lines that later copies of a file
     added follow it in the order in which the copies came. Parts of one response become one entry.
+
+    All this is worked out on the list of files, which lines meet once. As in ``session_positions``, the place of a file
+    goes above the 48 bits of a position in a file.
     """
-    first = F.min_by(F.struct("source_rank", "file_path"), F.struct("batch", "source_rank", "file_path")).alias("f")
-    stems = lines.groupBy("session_id", "file_stem").agg(first).select(
-        "session_id", "file_stem", F.col("f.source_rank").alias("stem_rank"), F.col("f.file_path").alias("stem_path"))
-    placed = session_positions(lines.join(stems, ["session_id", "file_stem"]), "session_id", ("stem_rank", "stem_path", "batch", "file_path"))
+    key = ["session_id", "file_stem", "batch", "source_rank", "file_path"]
+    first = Window.partitionBy("session_id", "file_stem").orderBy("batch", "source_rank", "file_path")
+    place = Window.partitionBy("session_id").orderBy("stem_rank", "stem_path", "batch", "file_path")
+    files = lines.select(*key).distinct()
+    files = files.select(*key, F.first("source_rank").over(first).alias("stem_rank"), F.first("file_path").over(first).alias("stem_path"))
+    files = files.withColumn("_place", (F.dense_rank().over(place) - 1).cast("long"))
+    placed = lines.join(files.hint("shuffle_hash"), key).withColumn("ord", F.shiftleft("_place", 48) + F.col("ord"))
     as_one = placed.withColumn("source_rank", F.col("stem_rank")).withColumn("file_path", F.col("stem_path"))
-    return merge_streamed(as_one.drop("stem_rank", "stem_path", "batch", "line_key", "nth"))
+    return merge_streamed(as_one.drop("stem_rank", "stem_path", "_place", "batch", "line_key", "nth"))
 
 
 def _stored(spark: SparkSession, path: str, buckets: list[int]) -> DataFrame | None:
@@ -83,8 +92,9 @@ def _stored(spark: SparkSession, path: str, buckets: list[int]) -> DataFrame | N
 
 def _replace(rows: DataFrame, path: str) -> None:
     """Replace the buckets that ``rows`` hold. Dealt by range, so that a session of many rows spreads over tasks."""
-    (rows.repartitionByRange("bucket", "session_id", "ord").sortWithinPartitions("bucket", "session_id", "ord")
-     .write.mode("overwrite").options(partitionOverwriteMode="dynamic", **PLAIN).partitionBy("bucket").parquet(path))
+    with swept(rows.sparkSession):
+        (rows.repartitionByRange("bucket", "session_id", "ord").sortWithinPartitions("bucket", "session_id", "ord")
+         .write.mode("overwrite").options(partitionOverwriteMode="dynamic", **PACKED).partitionBy("bucket").parquet(path))
 
 
 def absorb(batch: DataFrame, batch_id: int, table_path: str, buckets: int = BUCKETS) -> None:
@@ -92,23 +102,32 @@ def absorb(batch: DataFrame, batch_id: int, table_path: str, buckets: int = BUCK
 
     What the batch changes is written to the shared folder first. Other sessions of its buckets go straight from the old
     files to the new ones: a dynamic overwrite writes beside the table and swaps the folders when all tasks have ended.
+    What is written on the way is removed as soon as the next step has used it.
     """
     spark = batch.sparkSession
-    new = materialize(new_lines(batch, batch_id, buckets), "ingest-new", **PLAIN)
-    touched = [r[0] for r in new.select("bucket").distinct().collect()]
-    if not touched:
-        return
-    sessions = new.select("session_id").distinct()
-    old_lines = _stored(spark, f"{table_path}/lines", touched)
-    old_entries = _stored(spark, f"{table_path}/entries", touched)
-
-    together = new if old_lines is None else new.unionByName(old_lines.join(sessions, "session_id", "left_semi").select(new.columns))
-    lines = materialize(first_copies(together), "ingest-lines", **PLAIN)
-    entries = materialize(finished(lines), "ingest-entries", **PLAIN)
-    for rows, old, name in ((entries, old_entries, "entries"), (lines, old_lines, "lines")):
-        if old is not None:
-            rows = rows.unionByName(old.join(sessions, "session_id", "left_anti").select(rows.columns))
-        _replace(rows, f"{table_path}/{name}")
+    scratch = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name, folder=f"{scratch}/{name}", sweep=True, **PACKED)
+
+    new = stored(new_lines(batch, batch_id, buckets), "ingest-new")
+    with swept(spark):
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]
+    if touched:
+        old_lines = _stored(spark, f"{table_path}/lines", touched)
+        old_entries = _stored(spark, f"{table_path}/entries", touched)
+        sessions = new.select("session_id").distinct()
+        together = new if old_lines is None else new.unionByName(old_lines.join(sessions, "session_id", "left_semi").select(new.columns))
+        lines = stored(first_copies(together), "ingest-lines")
+        remove(spark, f"{scratch}/ingest-new")
+        entries = stored(finished(lines), "ingest-entries")
+        sessions = lines.select("session_id").distinct()  # the same
+        for rows, old, name in ((entries, old_entries, "entries"), (lines, old_lines, "lines")):
+            if old is not None:
+                rows = rows.unionByName(old.join(sessions, "session_id", "left_anti").select(rows.columns))
+            _replace(rows, f"{table_path}/{name}")
+            remove(spark, f"{scratch}/ingest-{name}")
+    remove(spark, scratch)
 
 
 def ingest(lines: DataFrame, table_path: str, checkpoint: str, buckets: int = BUCKETS):
